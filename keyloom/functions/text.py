@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed value: runs of at least two word characters.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # Fixed value: Unicode white space at either end of a string.
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def strip(text: Column) -> Column:
