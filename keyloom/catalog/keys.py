@@ -29,7 +29,7 @@ POINTS = [f"p{p}" for p in keys.PERCENTILES]
 
 def spread_sql(column: str) -> str:
     points = ", ".join(f"{r(f'quantile_cont({column}::DOUBLE, {p / 100})')} AS p{p}" for p in keys.PERCENTILES)
-    return f"min({column})::DOUBLE AS min, max({column})::DOUBLE AS max, {r(f'avg({column})')} AS mean, {points}"
+    return f"{r(f'min({column})::DOUBLE')} AS min, {r(f'max({column})::DOUBLE')} AS max, {r(f'avg({column})')} AS mean, {points}"
 
 
 def order_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -54,7 +54,7 @@ def event_label_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_(ORDER_COUNTS, f"SELECT {spread_sql('size')}, {r('median(size)')} AS median FROM counts"))
 def key_size_distribution(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(keys.key_size_distribution(order_counts(spark, sf)), "mean", "median", *POINTS)
+    return rounded(keys.key_size_distribution(order_counts(spark, sf)), "min", "max", "mean", "median", *POINTS)
 
 
 @query(with_([KEYED_LABELS], f"""

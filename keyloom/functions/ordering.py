@@ -142,18 +142,18 @@ def running(df: DataFrame, by: Sequence[str], rank: str, value: Column, how: str
 
 
 def cumulative_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """One row per distinct non-null value: its count ``n``, the rows up to it (``upto``), the group ``total``.
+    """One row per distinct non-null value: its count ``__n``, the rows up to it (``__upto``), the group ``__total``.
 
     Repeated values are merged before the sort, so a value that most rows share does not fill one task.
     """
     by = list(by)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
     placed = ordered(distinct, by, [value], rank="__rank")
-    counted = running(placed, by, "__rank", F.col("n"), "sum", "upto")
-    totals = counted.groupBy(*by).agg(F.sum("n").alias("total"))
+    counted = running(placed, by, "__rank", F.col("__n"), "sum", "__upto")
+    totals = counted.groupBy(*by).agg(F.sum("__n").alias("__total"))
     if by:
         return attach(counted, totals, by, "inner").drop("__rank", "__block")
-    return counted.withColumn("total", totals.scalar()).drop("__rank", "__block")
+    return counted.withColumn("__total", totals.scalar()).drop("__rank", "__block")
 
 
 def percentiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str, float]) -> DataFrame:
@@ -161,10 +161,10 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str,
     counted = cumulative_counts(df, by, value)
     aggregates = []
     for name, fraction in points.items():
-        position = F.lit(fraction) * (F.col("total") - 1)
-        start = F.col("upto") - F.col("n")
+        position = F.lit(fraction) * (F.col("__total") - 1)
+        start = F.col("__upto") - F.col("__n")
         for tag, at in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            hit = (start <= at) & (at < F.col("upto"))
+            hit = (start <= at) & (at < F.col("__upto"))
             aggregates.append(F.max(F.when(hit, F.col(value).cast("double"))).alias(f"__{tag}_{name}"))
         aggregates.append(F.max(position - F.floor(position)).alias(f"__w_{name}"))
     found = counted.groupBy(*by).agg(*aggregates)
@@ -177,7 +177,7 @@ def mid_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFra
     """Adds the average rank of ``value`` within the group; equal values share one rank."""
     by = list(by)
     ranks = cumulative_counts(df, by, value).select(
-        *by, value, (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2.0).alias(out)
+        *by, value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(out)
     )
     return attach(df, ranks, [*by, value])
 

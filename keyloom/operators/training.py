@@ -159,7 +159,8 @@ def _fit_grouped(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
     def run(pdf: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
         return _fit_group(pdf, begin, fit)
 
-    grouped = rows.groupBy("key").cogroup(start.groupBy("key"))
+    # both sides come from the same rows: renaming gives the start table columns of its own
+    grouped = rows.groupBy("key").cogroup(start.toDF(*start.columns).groupBy("key"))
     return grouped.applyInPandas(run, _result_schema(rows, fit.classes))
 
 
