@@ -1 +1,99 @@
+"""Streaming forms over the given tables, drained; the SQL is that of the batch operator."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from keyloom.catalog import query
+from keyloom.catalog.keys import C, EVENT_COUNTS
+from keyloom.catalog.records import FIELDS, RAW, STATUS, VALID, document_lines
+from keyloom.catalog.statistics import SUMS, per
+from keyloom.catalog.tables import ALL_WORDS, EVENT_TYPES, MESSAGES, position, rounded, table, with_
+from keyloom.operators import terms
+from keyloom.operators.ledger import with_cumulative
+from keyloom.session import ensure_checkpoint_dir
+from keyloom.streaming import incremental
+
+STATS = with_([ALL_WORDS, "tokens AS (SELECT doc_id, unnest(w) AS term FROM words)"],
+              "SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tokens GROUP BY term")
+
+
+def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a stream of files."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def utc(column: str):
+    """The tables' zone-less times as UTC instants, whatever the session's time zone."""
+    return F.to_timestamp(F.concat(F.col(column).cast("string"), F.lit("Z")))
+
+
+def stream_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return document_lines(stream(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query(with_([RAW, FIELDS, STATUS], "SELECT status, count(*) AS n FROM classified WHERE is_object GROUP BY status"))
+def stream_cleaning_report(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.drain(incremental.stream_cleaning_report(stream_lines(spark, sf)), "complete")
+
+
+@query(with_([RAW, FIELDS, STATUS, VALID], "SELECT seq, label, md5(text) AS digest FROM valid"))
+def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
+    clean = incremental.stream_clean(stream_lines(spark, sf)).select("seq", "label", F.md5("text").alias("digest"))
+    return incremental.drain(clean, "append")
+
+
+@query("SELECT DISTINCT lang, md5(text) AS digest FROM documents")
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    first = incremental.stream_dedup(stream(spark, sf, "documents"), ["lang", "text"])
+    return incremental.drain(first.select("lang", F.md5("text").alias("digest")), "append")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup_within_watermark(spark: SparkSession, sf: str) -> DataFrame:
+    """First event of each user and type; the horizon spans the whole table."""
+    events = stream(spark, sf, "events").withColumn("ts", utc("ts"))
+    first = incremental.stream_dedup(events, ["user_id", "event_type"], "ts", "60 days")
+    return incremental.drain(first.select("user_id", "event_type"), "append")
+
+
+@query(STATS)
+def stream_term_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    return incremental.drain(incremental.stream_term_statistics(stream(spark, sf, "documents"), "text"), "complete")
+
+
+@query(STATS)
+def append_term_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
+    running = incremental.append_term_statistics(stream(spark, sf, "documents"), "text", f"{folder}/rows", f"{folder}/state")
+    running.awaitTermination()
+    return terms.merge_term_statistics(spark.read.parquet(f"{folder}/rows"))
+
+
+@query(with_([MESSAGES,
+              f"sums AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, {SUMS} FROM messages GROUP BY day)",
+              "closed AS (SELECT * FROM sums WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM messages))"], f"""
+SELECT date_diff('day', TIMESTAMP '2024-01-01', day)::INTEGER AS round, * EXCLUDE (day), {per('down')}, {per('up')},
+       (sum(downlink_bytes) OVER (ORDER BY day))::BIGINT AS cum_downlink_bytes,
+       (sum(uplink_bytes) OVER (ORDER BY day))::BIGINT AS cum_uplink_bytes,
+       (sum(downlink_bytes + uplink_bytes) OVER (ORDER BY day))::BIGINT AS cum_total_bytes FROM closed"""))
+def stream_round_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily windows that the watermark has closed, with running totals added in batch."""
+    sent = stream(spark, sf, "events").select(
+        utc("ts").alias("ts"), F.when(F.col("event_type") == "purchase", "up").otherwise("down").alias("direction"),
+        F.rint(F.col("value") * 100).cast("long").alias("bytes"),
+    )
+    days = incremental.drain(incremental.stream_round_sums(sent, "ts"), "append")
+    first_day = 19723  # 2024-01-01 in days since 1970-01-01
+    days = days.withColumn("round", (F.floor(F.unix_seconds("round") / 86400) - first_day).cast("int"))
+    return rounded(with_cumulative(days, [], "round"), "downlink_bytes_per_client", "uplink_bytes_per_client")
+
+
+@query(with_(EVENT_COUNTS, "SELECT * FROM counts"))
+def stream_key_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    events = stream(spark, sf, "events").select(F.col("user_id").alias("key"), position("event_type", EVENT_TYPES).alias("label"))
+    return incremental.drain(incremental.stream_key_label_counts(events, "key", "label", C), "complete")

@@ -6,6 +6,7 @@ import time
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,20 +61,13 @@ def write_bucketed_once(df: DataFrame, table: str, key: str, buckets: int) -> Da
     return spark.table(table)
 
 
-def significant(value: Column, digits: int = 8) -> Column:
-    """A number with ``digits`` significant digits, without trailing zeros; large and small ones in exponent form."""
-    printed = F.format_string(f"%.{digits - 1}e", value)
-    mantissa = F.regexp_replace(F.regexp_extract(printed, "^(.*)e", 1), r"\.?0+$", "")
-    exponent = F.regexp_extract(printed, "e(.*)$", 1)
-    power = exponent.cast("int")
-    plain = printed.cast(f"decimal(38,{digits + 4})").cast("string")
-    plain = F.when(plain.contains("."), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
-    text = (
-        F.when(value == 0, F.lit("0"))
-        .when((power >= -4) & (power < digits), plain)
-        .otherwise(F.concat(mantissa, F.lit("e"), exponent))
-    )
-    return F.when(value.isNotNull() & ~F.isnan(value), text)
+@F.pandas_udf(T.StringType())
+def significant(values: pd.Series) -> pd.Series:
+    """Numbers with 8 significant digits, rounded from their exact binary value; NaN becomes NULL.
+
+    The JVM formatter rounds the shortest decimal form instead, which differs in the last digit on ties.
+    """
+    return values.map(lambda v: None if pd.isna(v) else f"{v:.8g}").astype(object)
 
 
 def printable(df: DataFrame) -> DataFrame:
