@@ -173,13 +173,21 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, points: dict[str,
     return found.select(*by, *[(lo(n) + (hi(n) - lo(n)) * F.col(f"__w_{n}")).alias(n) for n in points])
 
 
-def mid_ranks(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Adds the average rank of ``value`` within the group; equal values share one rank."""
+def mid_ranks(df: DataFrame, by: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """Adds average ranks within the group, equal values sharing one; ``columns`` maps a value column to its rank.
+
+    All columns are ranked in one sort.
+    """
     by = list(by)
-    ranks = cumulative_counts(df, by, value).select(
-        *by, value, (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(out)
-    )
-    return attach(df, ranks, [*by, value])
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*by, F.explode(cells).alias("cell")).select(*by, F.col("cell.c").alias("__c"), F.col("cell.v").alias("__v"))
+    ranks = cut_lineage(cumulative_counts(long, [*by, "__c"], "__v"))
+    for column, out in columns.items():
+        mine = ranks.where(F.col("__c") == column).select(
+            *by, F.col("__v").alias(column), (F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2.0).alias(out)
+        )
+        df = attach(df, mine, [*by, column])
+    return df
 
 
 def sorted_codes(keys: DataFrame, key: str, code: str = "code") -> DataFrame:

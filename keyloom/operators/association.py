@@ -190,8 +190,8 @@ def bias_statistics(df: DataFrame, by: Sequence[str], model: str, reference: str
         F.col(reference).alias("c"),
         F.col(model).alias("w"),
     )
-    rows = cut_lineage(rows)  # read four times below
-    rows = mid_ranks(mid_ranks(rows, by, "b", "rank_b"), by, "x", "rank_x")
+    rows = cut_lineage(rows)
+    rows = cut_lineage(mid_ranks(rows, by, {"b": "rank_b", "x": "rank_x"}))
     first = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_features"),
         F.corr("b", "x").alias("r"),

@@ -49,8 +49,10 @@ def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     approximation with tie correction beyond. Groups with only zeros get NULL.
     """
     by = list(by)
-    moved = df.where(F.col(diff) != 0).select(*by, F.col(diff).alias("__d"), F.abs(diff).alias("__a"))
-    ranked = mid_ranks(moved, by, "__a", "__rank")
+    moved = df.where(F.col(diff) != 0).select(
+        *by, F.col(diff).cast("double").alias("__d"), F.abs(diff).cast("double").alias("__a")
+    )
+    ranked = mid_ranks(moved, by, {"__a": "__rank"})
     ties = moved.groupBy(*by, "__a").agg(F.count(F.lit(1)).cast("double").alias("t"))
     sizes = ties.groupBy(*by).agg(
         F.sum("t").cast("int").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied")

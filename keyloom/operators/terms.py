@@ -18,36 +18,30 @@ def _grams(text: str, low: int, high: int):
 def explode_ngrams(df: DataFrame, text: str, low: int = 1, high: int = 1) -> DataFrame:
     """One row per n-gram occurrence with its position in the document; the text is dropped."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.posexplode(_grams(text, low, high)).alias("pos", "term"))
+    uses = df.select(*rest, F.posexplode_outer(_grams(text, low, high)).alias("pos", "term"))
+    return uses.where(F.col("term").isNotNull())
 
 
 def term_incidence(df: DataFrame, text: str, low: int = 1, high: int = 1) -> DataFrame:
     """One row per document and distinct term. Built inside the row, so it needs no shuffle."""
     rest = [c for c in df.columns if c != text]
-    return df.select(*rest, F.explode(F.array_distinct(_grams(text, low, high))).alias("term"))
+    uses = df.select(*rest, F.explode_outer(F.array_distinct(_grams(text, low, high))).alias("term"))
+    return uses.where(F.col("term").isNotNull())
 
 
 def term_statistics(df: DataFrame, text: str, low: int = 1, high: int = 1, by: Sequence[str] = ()) -> DataFrame:
     """Corpus frequency ``tf`` and document frequency ``df`` of every term, per ``by`` group if given.
 
-    Occurrences and per-document first uses are emitted side by side, so both counts come from one
-    aggregation on the term and partial sums shrink the shuffle to one row per term and task.
+    Every document's n-grams are followed by its distinct n-grams, so both counts come from one aggregation on
+    the term, and partial sums shrink the shuffle to one row per term and task.
     """
-    grams = _grams(text, low, high)
-    uses = df.select(
-        *by,
-        F.explode(
-            F.concat(
-                F.transform(grams, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-                F.transform(
-                    F.array_distinct(grams), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))
-                ),
-            )
-        ).alias("use"),
-    )
-    return uses.groupBy(*by, F.col("use.term").alias("term")).agg(
-        F.sum("use.tf").cast("long").alias("tf"), F.sum("use.df").cast("long").alias("df")
-    )
+    grams = df.select(*by, _grams(text, low, high).alias("__all"))
+    # the array must not travel with every exploded row: only its size is kept beside it
+    both = grams.select(*by, F.size("__all").alias("__size"), F.concat("__all", F.array_distinct("__all")).alias("__both"))
+    # the outer form keeps the optimizer from adding a size test that would tokenise every text again
+    uses = both.select(*by, "__size", F.posexplode_outer("__both").alias("__at", "term")).where(F.col("term").isNotNull())
+    occurrence = F.col("__at") < F.col("__size")
+    return uses.groupBy(*by, "term").agg(F.count_if(occurrence).alias("tf"), F.count_if(~occurrence).alias("df"))
 
 
 def merge_term_statistics(stats: DataFrame) -> DataFrame:
@@ -96,7 +90,7 @@ def tfidf_transform(
     Words are matched to the vocabulary before anything is shuffled; one shuffle on the document then serves
     both the counts and the norm.
     """
-    words = df.select(doc, F.explode(_grams(text, low, high)).alias("term"))
+    words = df.select(doc, F.explode_outer(_grams(text, low, high)).alias("term"))
     known = words.join(vocabulary.select("term", "idx", "idf"), "term").select(doc, "idx", "idf").repartition(doc)
     counts = known.groupBy(doc, "idx").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
     weight = (1.0 + F.log("tf")) if sublinear else F.col("tf").cast("double")

@@ -64,11 +64,13 @@ def analyze_cell(
     out = {}
     if runs is not None:
         out["checks"] = cut_lineage(refuse_failed(comparability_checks(runs, [], "condition")))
+    rows = cut_lineage(rows.select(doc, key, label, "role"))
     train = rows.where(F.col("role") == train_role).select(doc, key, label)
     train_uses = train.join(uses.select(doc, "term"), doc)
     flagged = flagged_terms(train, train_uses, doc, key, label, rule, seed)
     directions = {name: association.sentiment_direction(params, classes) for name, params in models.items()}
     table = cut_lineage(association.feature_table(vocabulary, flagged, directions, reference))
+    features = cut_lineage(features)  # scored by every model
     others = [name for name in models if name != reference]
     tests = rows.where(F.col("role").isin(test_role, unseen_role)).select(
         doc, key, label, F.when(F.col("role") == test_role, "seen").otherwise("unseen").alias("side")
