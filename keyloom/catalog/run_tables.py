@@ -9,6 +9,7 @@ from keyloom.catalog import query
 from keyloom.catalog.models import HISTORY, history
 from keyloom.catalog.tables import KEYED_LABELS, keyed_labels, keyed_text, keyed_uses, model_inputs, r, rounded, rs, table, vocabulary, with_
 from keyloom.catalog.text import mixed_centroids
+from keyloom.functions.numeric import correlation
 from keyloom.operators import metrics, runs
 from keyloom.operators.sampling import assign_roles_stratified
 from keyloom.plans import analysis
@@ -225,7 +226,7 @@ def values(spark: SparkSession, sf: str) -> DataFrame:
     """Two correlations per condition, cell and seed; one is undefined in one seed of the control cell."""
     seed = (F.col("l_suppkey") % 8).alias("seed")
     sums = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("condition"), F.col("l_linestatus").alias("cell"), seed).agg(
-        F.corr("l_discount", "l_quantity").alias("spearman"), F.corr("l_tax", "l_quantity").alias("partial_pearson")
+        correlation("l_discount", "l_quantity").alias("spearman"), correlation("l_tax", "l_quantity").alias("partial_pearson")
     )
     kept = F.when((F.col("seed") != 5) | (F.col("cell") == "O"), F.col("partial_pearson"))
     sums = sums.withColumn("partial_pearson", kept)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.numeric import correlation
 from keyloom.functions.ordering import attach, hash_rank, mid_ranks, ordered, running
 from keyloom.functions.tdist import two_sided_p
 from keyloom.session import cut_lineage
@@ -194,8 +195,8 @@ def bias_statistics(df: DataFrame, by: Sequence[str], model: str, reference: str
     rows = cut_lineage(mid_ranks(rows, by, {"b": "rank_b", "x": "rank_x"}))
     first = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_features"),
-        F.corr("b", "x").alias("r"),
-        F.corr("rank_b", "rank_x").alias("rho"),
+        correlation("b", "x").alias("r"),
+        correlation("rank_b", "rank_x").alias("rho"),
         F.avg(F.abs("b")).alias("mean_abs_bias"),
         F.stddev_pop("b").alias("sd_b"),
         F.stddev_pop("x").alias("sd_x"),
@@ -214,7 +215,7 @@ def bias_statistics(df: DataFrame, by: Sequence[str], model: str, reference: str
         (F.col("x") - F.col("mean_x") - F.coalesce("slope_x", F.lit(0.0)) * away).alias("rx"),
     )
     second = residual.groupBy(*by).agg(
-        F.corr("rb", "rx").alias("partial"), F.stddev_pop("rb").alias("sd_rb"), F.stddev_pop("rx").alias("sd_rx")
+        correlation("rb", "rx").alias("partial"), F.stddev_pop("rb").alias("sd_rb"), F.stddev_pop("rx").alias("sd_rx")
     )
     joined = attach(first, second, by, "inner")
     usable = (F.col("num_features") >= 3) & (F.col("sd_b") > 0) & (F.col("sd_x") > 0)

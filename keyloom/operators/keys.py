@@ -71,7 +71,7 @@ def class_distribution_of_counts(counts: DataFrame, classes: int) -> DataFrame:
     sums = counts.agg(F.sum("size").alias("total"), *[F.sum(c).alias(c) for c in class_columns(classes)])
     cells = [F.struct(F.lit(c).alias("label"), F.col(f"n_{c}").alias("n")) for c in range(classes)]
     rows = sums.select("total", F.explode(F.array(*cells)).alias("c"))
-    return rows.select("c.label", "c.n", (F.col("c.n") / F.col("total")).alias("share"))
+    return rows.select("c.label", "c.n", F.try_divide(F.col("c.n"), F.col("total")).alias("share"))
 
 
 def key_skew(counts: DataFrame, classes: int) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +92,9 @@ def retention_curve(counts: DataFrame, thresholds: Sequence[int] = THRESHOLDS) -
             F.struct(
                 F.lit(int(t)).cast("long").alias("min_size"),
                 F.col(f"k_{t}").alias("keys_retained"),
-                (F.col(f"k_{t}") / F.col("k")).alias("key_fraction"),
+                F.try_divide(F.col(f"k_{t}"), F.col("k")).alias("key_fraction"),
                 F.col(f"n_{t}").alias("records_retained"),
-                (F.col(f"n_{t}") / F.col("n")).alias("record_fraction"),
+                F.try_divide(F.col(f"n_{t}"), F.col("n")).alias("record_fraction"),
             )
             for t in thresholds
         ]
