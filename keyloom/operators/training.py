@@ -11,6 +11,7 @@ one per step, over the same batches; it is never gathered into one task.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -25,7 +26,9 @@ from keyloom.operators.metrics import classification_metrics, confusion, dispers
 from keyloom.operators.params import step_fedadam, step_fedavg
 from keyloom.operators.sampling import sample_keys_per_round
 from keyloom.operators.scoring import evaluate, global_prior, label_prior_offset, planned_steps, predict, score_linear
-from keyloom.session import cut_lineage
+from keyloom.session import cut_lineage, ship_with_tasks
+
+ship_with_tasks(sys.modules[__name__])
 
 BIAS = -1
 ALGORITHMS = ("fedavg", "fedprox", "fedadam", "scaffold", "fedavg_la")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Sequence
 from functools import reduce
@@ -12,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.functions.hashing import hash_word
+from keyloom.session import ship_with_tasks
+
+
+ship_with_tasks(sys.modules[__name__])
 
 
 def row_digest(cols: Sequence[str]) -> Column:

@@ -13,7 +13,9 @@ from keyloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(8, "keyloom-tests")
+    # tiny inputs: compiling every stage costs far more than running it interpreted
+    plain = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"}
+    return local_session(4, "keyloom-tests", **plain)
 
 
 @pytest.fixture(scope="session")

@@ -12,7 +12,7 @@ from keyloom.operators import params, scoring, training
 from keyloom.operators.keys import key_label_counts
 from keyloom.operators.training import Fit
 
-D, C, SIZES = 6, 3, (20, 16, 24)
+D, C, SIZES = 6, 3, (10, 8, 14)
 
 
 @pytest.fixture(scope="module")
@@ -94,8 +94,7 @@ FITS = [
 ]
 
 
-@pytest.mark.parametrize("limit", [10**6, 1, 60])
-@pytest.mark.parametrize("fit", FITS)
+@pytest.mark.parametrize("fit, limit", [(FITS[0], 10**6), (FITS[1], 10**6), (FITS[2], 10**6), (FITS[3], 10**6), (FITS[1], 1), (FITS[3], 40)])
 def test_training_equals_brute_force_on_both_paths(spark, data, fit, limit):
     x, y, key, documents, features = data
     from dataclasses import replace
@@ -159,14 +158,14 @@ def brute_mixing(x, y, key, fit, rounds, algorithm, server_lr=1.0, offsets=None)
 )
 def test_mixing_equals_brute_force(data, algorithm, fit, server_lr):
     x, y, key, documents, features = data
-    model, history = training.parameter_mixing(documents, features, "doc", "key", "label", fit, 3, algorithm, server_lr=server_lr)
-    assert np.allclose(dense_long(model), brute_mixing(x, y, key, fit, 3, algorithm, server_lr))
-    assert [r["round"] for r in history.orderBy("round").collect()] == [1, 2, 3]
+    model, history = training.parameter_mixing(documents, features, "doc", "key", "label", fit, 2, algorithm, server_lr=server_lr)
+    assert np.allclose(dense_long(model), brute_mixing(x, y, key, fit, 2, algorithm, server_lr))
+    assert [r["round"] for r in history.orderBy("round").collect()] == [1, 2]
 
 
 def test_mixing_with_hot_keys_gives_the_same_model(data):
     _, _, _, documents, features = data
-    fits = [Fit(C, 0.3, epochs=2, batch_size=6, seed=4, max_group_rows=limit) for limit in (10**6, 60)]
+    fits = [Fit(C, 0.3, epochs=2, batch_size=6, seed=4, max_group_rows=limit) for limit in (10**6, 40)]
     models = [dense_long(training.parameter_mixing(documents, features, "doc", "key", "label", f, 2, "scaffold")[0]) for f in fits]
     assert np.allclose(*models)
 
