@@ -60,7 +60,10 @@ def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     exact = (F.col("n") <= EXACT_WITH_TIES) | ((F.col("n") <= EXACT_WITHOUT_TIES) & (F.col("tied") == 0))
     # collect_list skips NULL: only groups small enough to be counted exactly gather their ranks
     gathered = F.collect_list(F.when(exact, (2 * F.col("__rank")).cast("int")))
-    joined = attach(ranked, sizes, by, "inner") if by else ranked.join(F.broadcast(sizes))  # sizes: one row
+    if by:
+        joined = attach(ranked, sizes, by, "inner")
+    else:
+        joined = ranked.withColumns({c: sizes.select(c).scalar() for c in ("n", "tied")})
     sums = joined.groupBy(*by).agg(
         F.max("n").alias("n"),
         F.max("tied").alias("tied"),

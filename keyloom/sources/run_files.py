@@ -53,9 +53,8 @@ SCHEMAS = {"run_metadata": METADATA, "final": FINAL, "history": HISTORY, "client
 
 def read_run_files(spark: SparkSession, root: str) -> DataFrame:
     """``(run_dir, run_metadata, final, history, clients)`` as JSON text; a file that is missing is NULL."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    reader = reader.option("pathGlobFilter", "{" + ",".join(f"{name}.json" for name in FILES) + "}")
-    texts = reader.text(root).select(
+    names = "{" + ",".join(f"{name}.json" for name in FILES) + "}"
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names).select(
         F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("run_dir"), "_metadata.file_name", "value"
     )
     return texts.groupBy("run_dir").agg(
