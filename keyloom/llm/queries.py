@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import html_text, langid, token_counts, toxicity
+from keyloom.llm import html_text, langid, mixing, token_counts, toxicity
 from keyloom.llm.common import fold, keep, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -27,6 +27,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "nats", "rejected")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(mixing.sizes_of(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = keep(token_counts.length_histogram(table(spark, sf_dir, "documents"), TOKENIZER), "lengths")
     return token_counts.suffix_sums(histogram)
@@ -39,6 +44,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_language_id": op4_language_id,
+    "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
     "op9_html_extraction": op9_html_extraction,
 }
