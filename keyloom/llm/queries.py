@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import html_text, langid, mixing, token_counts, topk, toxicity
+from keyloom.llm import html_text, langid, mixing, simhash, token_counts, topk, toxicity
 from keyloom.llm.common import fold, keep, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -20,6 +20,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
@@ -48,6 +52,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
