@@ -33,6 +33,11 @@ def keep(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def few(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``most_rows`` rows (counted now); otherwise Spark joins as it sees fit."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id is in no fold and gives null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % parts

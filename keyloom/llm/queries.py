@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import html_text, langid, mixing, simhash, token_counts, topk, toxicity
+from keyloom.llm import decontamination, html_text, langid, mixing, simhash, token_counts, topk, toxicity
 from keyloom.llm.common import fold, keep, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -41,6 +41,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(histogram)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op6_mixing": op6_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_top_k": op10_top_k,
 }
