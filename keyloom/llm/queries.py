@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontamination, html_text, langid, line_dedup, mixing, simhash, token_counts, topk, toxicity
+from keyloom.llm import decontamination, html_text, langid, line_dedup, mixing, simhash, token_counts, topk, toxicity, warc
 from keyloom.llm.common import fold, keep, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every capture is found again by its key through the index and read from the archives."""
+    captures, index, folder = warc.archive(spark, table(spark, sf_dir, "pages"))
+    found = warc.lookup(captures.select(F.col("key").alias("prefix")), index, folder)
+    return warc.read_records(found, folder)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs.where(fold(F.col("doc_id"), 3) != 1), table(spark, sf_dir, "labels"))
@@ -59,6 +66,7 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_index": op1_warc_index,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
