@@ -372,15 +372,14 @@ def _posterior(nats: np.ndarray, n: np.ndarray, sharpness: float) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, and lang_pred, score, nats, rejected.
+def predict(docs: DataFrame, model: Model | None, text: str = "text", new: tuple[str, str, str, str] = ("lang_pred", "score", "nats", "rejected"), keep_text: bool = False) -> DataFrame:
+    """All columns of ``docs``, the text only if asked for, and lang_pred, score, nats, rejected (under the names in ``new``).
 
     lang_pred is the language of lowest cross-entropy per character over the whole text (ties: first by code point); ``und``
     with score 0 if the text is null or has no letter, or if nothing was learned. score is its calibrated share. rejected:
     ``und``, or a text whose entropy is above its language's limit. Columns named like the new ones are replaced.
     """
-    new = ("lang_pred", "score", "nats", "rejected")
-    others = [c for c in docs.columns if c not in (text, *new)]
+    others = [c for c in docs.columns if c not in new and (keep_text or c != text)]
     source = docs.select(*others, F.col(text).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # most_cells values
@@ -401,4 +400,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             columns = [batch.column(c) for c in others] + [pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), pa.array(out, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, *new])
 
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, nats double, rejected boolean"]))
+    return source.mapInArrow(run, ", ".join([*fields, *(f"`{c}` {kind}" for c, kind in zip(new, ("string", "double", "double", "boolean"), strict=True))]))
+
+
+def accepted(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is rejected; columns as they are."""
+    new = ("__lang", "__score", "__nats", "__rejected")
+    return predict(docs, model, text, new, keep_text=True).where(~F.col("__rejected")).select(*docs.columns)

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ascii_lower, few, keep, text_batches
+from keyloom.llm.common import WORD, ascii_lower, few, keep, text_batches
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
@@ -370,6 +370,14 @@ def _without(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull() | (F.size(gone) == 0), text).otherwise(F.array_join(kept, "\n"))
 
 
+def _marked(docs: DataFrame, row: str, text: str, threshold: float, hot: int, first: int) -> DataFrame:
+    """``docs`` and __gone: what to remove from each row, null if nothing."""
+    keyed = _identified(docs, row, text)
+    gone = removals(keyed.select(F.col("__oid").alias("oid"), F.coalesce(text, F.lit("")).alias("text")), threshold, hot, first)
+    per_doc = gone.groupBy(F.col("oid").alias("__oid")).agg(F.array_sort(F.collect_set(F.struct("line", "like_oid", "like_line"))).alias("__gone"))
+    return keyed.join(keep(per_doc, "removed-lines"), "__oid", "left").drop("__oid")
+
+
 def deduplicated(docs: DataFrame, row: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, hot: int = HOT, first: int = FIRST_CANDIDATES) -> DataFrame:
     """All columns of ``docs`` with the text without removed lines, and n_lines, n_removed, removed (line, like_oid, like_line).
 
@@ -378,12 +386,23 @@ def deduplicated(docs: DataFrame, row: str = "doc_id", text: str = "text", thres
     one that has lost all lines (its text is then empty); null texts stay null. Columns named like the new ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    keyed = _identified(docs.select(*own), row, text)
-    gone = removals(keyed.select(F.col("__oid").alias("oid"), F.coalesce(text, F.lit("")).alias("text")), threshold, hot, first)
-    per_doc = gone.groupBy(F.col("oid").alias("__oid")).agg(F.array_sort(F.collect_set(F.struct("line", "like_oid", "like_line"))).alias("__gone"))
-    joined = keyed.join(keep(per_doc, "removed-lines"), "__oid", "left")
+    joined = _marked(docs.select(*own), row, text, threshold, hot, first)
     numbers = F.transform("__gone", lambda x: x.line)
-    wordy = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    wordy = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
     removed = F.coalesce("__gone", F.array().cast("array<struct<line:int,like_oid:bigint,like_line:int>>"))
     kept = [_without(F.col(c), numbers).alias(c) if c == text else F.col(c) for c in own]
     return joined.select(*kept, F.size(wordy).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
+
+
+def without_repeats(docs: DataFrame, row: str = "doc_id", text: str = "text", length: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the repeated lines and without documents that lose all their words; columns as they are.
+
+    ``length``, if there is such a column, is set to the characters that are left.
+    """
+    joined = _marked(docs, row, text, threshold, HOT, FIRST_CANDIDATES)
+    joined = joined.withColumn("__left", _without(F.col(text), F.transform("__gone", lambda x: x.line)))
+    joined = joined.where(F.col("__gone").isNull() | F.col("__left").rlike(WORD))
+    new = {text: F.col("__left")}
+    if length in docs.columns:
+        new[length] = F.when(F.col("__gone").isNull(), F.col(length)).otherwise(F.length("__left")).cast(docs.schema[length].dataType)
+    return joined.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

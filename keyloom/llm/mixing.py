@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, keep
+from keyloom.llm.common import WORD, keep, row_key
 
 # Units of a bucket, on average.
 FAN = 64
@@ -135,5 +135,20 @@ def mix(sizes: DataFrame, row: Sequence[str] = ("doc_id",), weights: Sequence[fl
     return whole.select(*row, F.col("__source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def mixed(docs: DataFrame, row: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """The mix itself: every taken document once per copy, with all its columns and copy (from 1; a column of that name is replaced).
+
+    Rows that agree in id, text and source are documents of their own with the same chances; which of them is which does not matter.
+    """
+    own = [c for c in docs.columns if c != "copy"]
+    k1, k2 = row_key(F.col(row), F.col(text), F.col(source))
+    decided = mix(sizes_of(docs, [k1, k2], text, source), ("__k1", "__k2"), weights, share, most, seed)
+    per_key = decided.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+    keyed = docs.select(*own, k1, k2).join(keep(per_key, "mix-copies"), ["__k1", "__k2"])
+    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
+    chosen = keyed.withColumn("__n", F.element_at("__copies", nth)).where("__n > 0")
+    return chosen.select(*own, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("copy"))
+
+
 def sizes_of(docs: DataFrame, row: Sequence[Column | str], text: str = "text", source: str = "source") -> DataFrame:
     return docs.select(*row, F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))

@@ -238,7 +238,7 @@ def lookup(requests: DataFrame, index: DataFrame, folder: str) -> DataFrame:
     """(prefix, key, file, offset, length) of all captures for the different values of ``prefix`` in ``requests``.
 
     A prefix is a whole key, or a URL key and a space for all captures of a URL, or a reversed host for all below it.
-    Requests go to the parts whose range their prefix may touch; each part is opened by the tasks that have requests for it.
+    Requests go to the parts whose range their prefix may touch; each part is read by up to four tasks.
     """
     parts = sorted((tuple(r) for r in index.select("last", "first", "name", "directory", "size").collect()), key=lambda r: (r[0], r[1], r[2]))
     shared = requests.sparkSession.sparkContext.broadcast(parts)  # MOST_PARTS rows at most
@@ -278,7 +278,7 @@ def lookup(requests: DataFrame, index: DataFrame, folder: str) -> DataFrame:
 
     wanted = requests.select("prefix").where("prefix is not null").distinct()
     touched = wanted.mapInArrow(route, "prefix string, name string, directory long, size long")
-    dealt = touched.repartition("name", F.expr("substring(prefix, 1, 12)")).sortWithinPartitions("name", "prefix")
+    dealt = touched.repartition("name", F.pmod(F.xxhash64("prefix"), F.lit(4))).sortWithinPartitions("name", "prefix")
     return dealt.mapInArrow(run, "prefix string, key string, file string, offset long, length long")
 
 
