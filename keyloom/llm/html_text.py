@@ -25,6 +25,7 @@ NEVER_TEXT = {
     "iframe", "input", "map", "math", "menu", "nav", "noembed", "noframes", "noscript", "object", "option", "script",
     "select", "style", "svg", "template", "textarea", "title", "video",
 }
+INVISIBLE = {"script", "style"}
 REGIONS = {"article", "main", "section", "div", "td", "body", "blockquote", "table", "tr", "tbody", "center", "li", "ul", "ol", "dl", "dd"}
 MAIN_ROLES = {"main", "article"}
 # Words in class, id or role that mark what surrounds an article.
@@ -103,6 +104,10 @@ class _Lines(HTMLParser):
                 self.open.append((tag, True, 0))
                 self.hidden += 1
             return
+        if tag in INVISIBLE:  # does not part the text around it
+            self.open.append((tag, True, 0))
+            self.hidden += 1
+            return
         if tag in ENDS_PARAGRAPH and (k := self.find({"p"}, REGIONS)) is not None:
             self.close_from(k)
         for same in CLOSES[1:]:
@@ -130,6 +135,11 @@ class _Lines(HTMLParser):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in INVISIBLE:
+            if self.open and self.open[-1][0] == tag:
+                self.open.pop()
+                self.hidden -= 1
+            return
         if tag in INLINE:
             self.tags += 1
             if self.open and self.open[-1][0] == tag:

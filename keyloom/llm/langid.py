@@ -20,6 +20,8 @@ SLICE = 1 << 19  # characters worked on at once
 MOST_CELLS = 6_000_000
 MOST_LANGUAGES = 256
 SPACE = 32
+# Letters that a character not seen in learning could be.
+LETTERS = 1 << 16
 
 
 class Alphabet:
@@ -292,12 +294,11 @@ def build(counts: DataFrame, most_cells: int = MOST_CELLS) -> Model | None:
     table = counts.where(F.col("n") >= least).toPandas()  # most_cells / languages rows at most
     names = sorted(set(table["lang"]))
     parts = {}
-    seen = np.unique(_unpack(1, table["gram"].to_numpy().view(np.uint64)))
     for name, mine in table.groupby("lang"):
         mine = mine.sort_values("gram")
         g = mine["gram"].to_numpy().view(np.uint64)
         order = np.argsort(g)
-        parts[name] = _kneser_ney(g[order], mine["n"].to_numpy()[order], len(seen) + 1)
+        parts[name] = _kneser_ney(g[order], mine["n"].to_numpy()[order], LETTERS)
     floor = np.array([np.log(parts[name][2]) for name in names], np.float32)
     logs: dict[int, HashArray] = {}
     backs: dict[int, HashArray] = {}
@@ -330,7 +331,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row: str = "doc
     """Counts all of ``docs``, builds the models and calibrates them on ``calibration_rows`` documents of lowest hash.
 
     Calibration sets, per language, the entropy above which a text is rejected: the highest of the language's sample
-    documents with 50 characters or more, plus ``slack`` nats; and how sharply scores follow differences of entropy: the
+    documents with 20 letters or more, plus ``slack`` nats; and how sharply scores follow differences of entropy: the
     sharpness of highest likelihood on the sample. Null and empty texts and null languages are not learned from.
     """
     model = build(keep(gram_counts(docs, text, lang), "langid-grams"))
@@ -352,7 +353,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row: str = "doc
     nats = np.array([r["nats"] for r in rows]).reshape(len(rows), len(known))
     truth = np.array([known.get(r["lang"], -1) for r in rows], int)
     n = np.array([r["n"] for r in rows], int)
-    long = n >= 50
+    long = n >= 20
     best, owner = nats[long].min(axis=1), truth[long]
     fallback = float(best.max()) if len(best) else np.log(2**16)
     model.limits = np.array([(best[owner == k].max() if (owner == k).any() else fallback) + slack for k in range(len(known))])
