@@ -56,12 +56,12 @@ def url_key(url: str | None) -> str:
         host, port = parts.hostname or "", parts.port
     except ValueError:
         return url
-    labels = host.split(".")
-    if len(labels) > 2 and re.fullmatch(r"www\d*", labels[0]):
-        labels = labels[1:]
-    if not re.fullmatch(r"[\d.]+|.*:.*", host):
-        labels = labels[::-1]
-    at = ",".join(labels) + (f":{port}" if port and port not in (80, 443) else "")
+    if not re.fullmatch(r"[\d.]+|.*:.*", host):  # an address stays as it is
+        labels = host.split(".")
+        if len(labels) > 2 and re.fullmatch(r"www\d*", labels[0]):
+            labels = labels[1:]
+        host = ",".join(labels[::-1])
+    at = host + (f":{port}" if port and port not in (80, 443) else "")
     return f"{at}){parts.path.rstrip('/') or '/'}" + (f"?{parts.query}" if parts.query else "")
 
 
