@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import ascii_lower, few, keep, row_key
+from keyloom.llm.common import few, keep, row_key
 
-# Fixed value: words are runs of 0-9, a-z (after lower-casing) and everything beyond ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Words are runs of 0-9, a-z (after lower-casing A-Z) and everything beyond ASCII; all else becomes a space.
+CHANGED = "".join(c for c in map(chr, range(128)) if not (c.isdigit() or c.islower()))
+CHANGED_TO = "".join(c.lower() if c.isupper() else " " for c in CHANGED)
 # Lists that are intersected per window, counted from the rarest term, before words are compared.
-LISTS = 3
+LISTS = 2
 # Terms that are looked up in one pass over the documents, which is what bounds the broadcast; more of them take more passes.
 TERMS_AT_ONCE = 500_000
 
 
 def words(text: Column) -> Column:
     """Words of a text in order; null has none."""
-    return F.coalesce(F.regexp_extract_all(ascii_lower(text), F.lit(TERM), F.lit(0)), F.array().cast("array<string>"))
+    parts = F.split(F.translate(text, CHANGED, CHANGED_TO), " ")
+    return F.coalesce(F.array_remove(parts, ""), F.array().cast("array<string>"))
 
 
 def windows(benchmark: DataFrame, size: int = 10, item: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
