@@ -398,7 +398,7 @@ def contamination_cases():
             text = rng.choice(items)[1] or ""
             parts.insert(rng.randrange(len(parts) + 1), rng.choice([text, text.upper(), text.replace(" ", "-"), " ".join(text.split()[2:])]))
         rows.append((d, " / ".join(parts)))
-    rows += [(0, rows[0][1]), (0, "other the"), (None, rows[1][1]), (None, rows[1][1]), (90, None), (91, ""), (92, "!!"), (93, "w7 " * 50_000 + (items[5][1] or ""))]
+    rows += [(0, rows[0][1]), (0, "other the"), (None, rows[1][1]), (None, rows[1][1]), (90, None), (91, ""), (92, "!!"), (94, "w1\x00w2\x7fw3{w4@w5 ÀB\u00a0x1\u2003 [a]`b^_"), (93, "w7 " * 50_000 + (items[5][1] or ""))]
     return rows, items
 
 
