@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import WORD, ascii_lower, few, keep, text_batches
@@ -21,20 +21,20 @@ from keyloom.llm.common import WORD, ascii_lower, few, keep, text_batches
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 # Bytes of text whose words are hashed at once, and index rows that a task collects before it sends them.
-CHUNK, ROWS = 1 << 21, 600_000
+CHUNK, ROWS = 1 << 18, 600_000
 # Index rows of a part; a task reads a few parts.
 PART_ROWS = 300_000
 # A word whose bucket has more occurrences than this meets only together with a second shared word.
 HOT = 5_000_000
 # Earlier candidates that a line sends for each of its words in the first round; the rest follow if none of them matches.
 FIRST_CANDIDATES = 8
+# Removed lines whose places are broadcast; if there are more, documents are shuffled to them.
+MOST_SENT = 1_000_000
 # Pairs that are filtered at once.
 PAIRS = 1 << 20
 INDEX = [("word", np.uint64), ("sid", np.uint64), ("sig", np.uint64), ("oid", np.int64), ("line", np.uint32), ("size", np.uint32), ("pos", np.uint32), ("asks", np.uint8)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,33 +43,48 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POWERS = np.cumprod(np.full(256, 0xD6E8FEB86659FD93, np.uint64))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[_LOWER]
+# An odd number and its inverse modulo 2 ** 64.
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _powers(n: int) -> np.ndarray:
-    return _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.full(n, 0xD6E8FEB86659FD93, np.uint64))
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2 ** 64; kept up to the length of usual chunks."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        factors = np.full(max(n, 2 * CHUNK), base, np.uint64)
+        factors[0] = 1
+        powers = np.cumprod(factors, dtype=np.uint64)
+        if n > 2 * CHUNK:
+            return powers
+        _POWERS[base] = powers
+    return _POWERS[base][:n]
 
 
 def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(line, word hash of 48 bits) of all words."""
+    """(line, word hash of 48 bits) of all words: polynomials of their bytes, as differences of one running sum."""
     data = np.frombuffer(text, np.uint8)
-    solid = np.flatnonzero(~_SPACE[data])
-    if not len(solid):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.diff(solid, prepend=-2) != 1)
-    lengths = np.diff(np.append(first, len(solid)))
-    place = np.arange(len(solid)) - np.repeat(first, lengths)
-    values = _BYTE[_LOWER[data[solid]]] * _powers(int(lengths.max()))[place]
-    hashes = _mix(np.add.reduceat(values, first)) >> np.uint64(16)
-    lines = np.searchsorted(np.flatnonzero(data == 10), solid[first])
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = _SPACE[data]
+    begins = np.flatnonzero(blank[:-1] & ~blank[1:])
+    ends = np.flatnonzero(~blank[:-1] & blank[1:])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
+    inverse = _powers(pow(_BASE, -1, 1 << 64), len(data))
+    hashes = _mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64)) >> np.uint64(16)
+    cuts = np.searchsorted(begins, np.flatnonzero(data == 10))
+    lines = np.repeat(np.arange(len(cuts) + 1), np.diff(np.concatenate([[0], cuts, [len(begins)]])))
     return lines, hashes
 
 
 def _sets(lines: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words by line and code, each once."""
     if not len(lines) or lines[-1] < 1 << 16:
-        both = np.unique((lines.astype(np.uint64) << np.uint64(48)) | codes)
+        both = (lines.astype(np.uint64) << np.uint64(48)) | codes
+        both.sort()
+        both = both[np.diff(both, prepend=~both[:1]) != 0]
         return (both >> np.uint64(48)).astype(np.int64), both & np.uint64((1 << 48) - 1)
     order = np.lexsort((codes, lines))
     lines, codes = lines[order], codes[order]
@@ -169,11 +184,16 @@ def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.n
     pos = np.arange(len(lines)) - begins[which]
     sid = _set_ids((by_rarity[(codes >> np.uint64(32)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (codes & np.uint64(0xFFFFFFFF)), begins, sizes)
     sig = np.bitwise_xor.reduceat(np.uint64(1) << (codes & np.uint64(63)), begins)
-    chosen = pos <= (sizes - need)[which]
+    place = np.lexsort((numbers[lines[begins]], owners[lines[begins]], sid))
+    once = np.zeros(len(begins), bool)  # the first of lines with the same words
+    once[place[np.diff(sid[place], prepend=~sid[place[:1]]) != 0]] = True
+    many = np.flatnonzero(asks[lines[begins]] > 0)
+    asking = np.isin(sid, sid[many]) if 0 < len(many) < len(begins) else np.full(len(begins), len(many) > 0)
+    chosen = (pos <= (sizes - need)[which]) & once[which]
     is_hot = hot[(codes >> np.uint64(32)).astype(np.int64)]
     alone = np.flatnonzero(chosen & ~is_hot)
-    words, owner, place = [codes[alone]], [which[alone]], [pos[alone]]
-    for k in np.unique(which[np.flatnonzero(chosen & is_hot)]):
+    words, owner, places = [codes[alone]], [which[alone]], [pos[alone]]
+    for k in np.unique(which[chosen & is_hot]):
         if need[k] < 2:
             continue  # one word: only equal lines can match, which needs no index
         mine = codes[begins[k] : begins[k] + sizes[k] - need[k] + 2]
@@ -182,22 +202,27 @@ def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.n
         both = np.array(sorted(pairs), np.uint64).reshape(-1, 2)
         words.append((_mix(both[:, 0] * np.uint64(3) + _mix(both[:, 1])) >> np.uint64(16)) | np.uint64(1 << 48))
         owner.append(np.full(len(both), k))
-        place.append(np.zeros(len(both), np.int64))
+        places.append(np.zeros(len(both), np.int64))
     owner = np.concatenate(owner)
     out = np.zeros(len(owner), INDEX)
     at = lines[begins][owner]
-    for name, value in (("word", np.concatenate(words)), ("sid", sid[owner]), ("sig", sig[owner]), ("oid", owners[at]), ("line", numbers[at]), ("size", sizes[owner]), ("pos", np.concatenate(place)), ("asks", asks[at])):
+    for name, value in (("word", np.concatenate(words)), ("sid", sid[owner]), ("sig", sig[owner]), ("oid", owners[at]), ("line", numbers[at]), ("size", sizes[owner]), ("pos", np.concatenate(places)), ("asks", asking[owner])):
         out[name] = value
     return out
 
 
 def _earliest(rows: np.ndarray) -> np.ndarray:
     """Of rows of the same word and set, the first in document order; it asks if any of them does."""
-    rows = rows[np.lexsort((rows["line"], rows["oid"], rows["sid"], rows["word"]))]
-    new = (np.diff(rows["word"], prepend=rows["word"][:1] + np.uint64(1)) != 0) | (np.diff(rows["sid"], prepend=rows["sid"][:1]) != 0)
-    begins = np.flatnonzero(new)
-    out = rows[begins]
-    out["asks"] = np.maximum.reduceat(rows["asks"], begins) if len(begins) else out["asks"]
+    word, sid = rows["word"].copy(), rows["sid"].copy()
+    order = np.argsort(word + _mix(sid))  # brings equal pairs together
+    word, sid = word[order], sid[order]
+    begins = np.flatnonzero((np.diff(word, prepend=~word[:1]) != 0) | (np.diff(sid, prepend=~sid[:1]) != 0))
+    sizes = np.diff(np.append(begins, len(rows)))
+    out = rows[order[begins]]
+    for k in np.flatnonzero(sizes > 1):
+        same = rows[order[begins[k] : begins[k] + sizes[k]]]
+        out[k] = same[np.lexsort((same["line"], same["oid"]))[0]]
+        out["asks"][k] = same["asks"].max()
     return out
 
 
@@ -222,7 +247,7 @@ def _candidates(rows: np.ndarray, threshold: float, most: int | None) -> tuple[n
     ``most`` earliest stay. ``rows`` come from ``_earliest``, sorted here by word and size.
     """
     rows_at = np.lexsort((rows["size"], rows["word"]))
-    size, pos, sig = rows["size"][rows_at].astype(np.int64), rows["pos"][rows_at].astype(np.int64), rows["sig"][rows_at]
+    size, pos, sig = rows["size"][rows_at].astype(np.int32), rows["pos"][rows_at].astype(np.int32), rows["sig"][rows_at]
     place = np.empty(len(rows), np.int64)
     place[np.lexsort((rows["line"], rows["oid"]))] = np.arange(len(rows))  # document order
     place, asks = place[rows_at], rows["asks"][rows_at] > 0
@@ -246,11 +271,12 @@ def _candidates(rows: np.ndarray, threshold: float, most: int | None) -> tuple[n
     while i < len(rows):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS)))
         n = counts[i:j]
-        a = np.repeat(np.arange(i, j), n)
-        b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[i:j], n)
-        overlap = np.ceil(threshold / (1 + threshold) * (size[a] + size[b]) - 1e-9)
-        ok = 1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1 >= overlap
-        ok &= np.bitwise_count(sig[a] ^ sig[b]) <= size[a] + size[b] - 2 * overlap
+        a = np.repeat(np.arange(i, j, dtype=np.int32), n)
+        b = np.arange(len(a), dtype=np.int32) + np.repeat((low[i:j] - np.cumsum(n) + n).astype(np.int32), n)
+        both = size[a] + size[b]
+        ok = np.flatnonzero(np.bitwise_count(sig[a] ^ sig[b]) <= both * ((1 - threshold) / (1 + threshold)) + 1e-6)
+        a, b, both = a[ok].astype(np.int64), b[ok].astype(np.int64), both[ok]
+        ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= np.ceil(threshold / (1 + threshold) * both - 1e-9)
         a, b = a[ok], b[ok]
         swap = place[a] < place[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -273,9 +299,9 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
         held, size = [], 0
 
         def parted() -> pa.RecordBatch:
-            rows = _earliest(np.concatenate(held))
+            rows = np.concatenate(held)
             part = (_mix(rows["word"]) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
             rows, part = rows[order], part[order]
             begins = np.flatnonzero(np.diff(part, prepend=-1))
             cuts = np.split(rows, begins[1:])
@@ -310,7 +336,10 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
 
     sent = docs.mapInArrow(send, "part long, n long, rows binary")
     schema = "oid long, line int, sid long, like_oid long, like_line int, more boolean"
-    return keep(sent.repartition(parts, "part").mapInArrow(match, schema).groupBy("oid", "line", "sid", "like_oid", "like_line").agg(F.max("more").alias("more")), "candidates")
+    found = sent.repartition(parts, "part").mapInArrow(match, schema)
+    pairs = found.groupBy("oid", "line", "sid", "like_oid", "like_line").agg(F.count(F.lit(1)).alias("shared"), F.max("more").alias("more"))
+    best = Window.partitionBy("sid").orderBy(F.desc("shared"), "like_oid", "like_line")
+    return keep(pairs.withColumn("nth", F.row_number().over(best)).withColumn("more", F.max("more").over(Window.partitionBy("sid"))), "candidates")
 
 
 def _word_set(line: Column) -> Column:
@@ -322,21 +351,21 @@ def _verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataF
     wanted = candidates.select("oid", "line").union(candidates.select("like_oid", "like_line")).distinct()
     wanted = keep(wanted.groupBy("oid").agg(F.collect_list("line").alias("lines")), "wanted-lines")
     taken = docs.select("oid", "text").join(few(wanted, 200_000), "oid")
-    sets = taken.select("oid", F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("line"))
-    sets = keep(sets.select("oid", "line", _word_set(F.get("all", F.col("line"))).alias("words")), "word-sets")
-    likes = sets.select(F.col("oid").alias("like_oid"), F.col("line").alias("like_line"), F.col("words").alias("like_words"))
-    pairs = candidates.join(sets, ["oid", "line"]).join(likes, ["like_oid", "like_line"])
-    shared = F.size(F.array_intersect("words", "like_words"))
-    similar = shared * (1 + threshold) >= threshold * (F.size("words") + F.size("like_words")) - 1e-9
-    best = F.min(F.struct("like_oid", "like_line")).alias("like")
-    return pairs.where(similar).groupBy("sid").agg(best).select("sid", "like.like_oid", "like.like_line")
+    lines = taken.select("oid", F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("line"))
+    lines = keep(lines.select("oid", "line", F.get("all", F.col("line")).alias("text")), "wanted-texts")
+    likes = lines.select(F.col("oid").alias("like_oid"), F.col("line").alias("like_line"), F.col("text").alias("like_text"))
+    pairs = candidates.select("oid", "line", "sid", "like_oid", "like_line").join(lines, ["oid", "line"]).join(likes, ["like_oid", "like_line"])
+    pairs = pairs.select("sid", "like_oid", "like_line", _word_set(F.col("text")).alias("a"), _word_set(F.col("like_text")).alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    similar = shared * (1 + threshold) >= threshold * (F.size("a") + F.size("b")) - 1e-9
+    return pairs.where(similar).groupBy("sid").agg(F.min(F.struct("like_oid", "like_line")).alias("like")).select("sid", "like.like_oid", "like.like_line")
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, first: int = FIRST_CANDIDATES) -> DataFrame:
     """From (oid, text): (oid, line, like_oid, like_line) of every line to remove, from line 0.
 
     Lines are ordered by oid, then line number. A line goes if any earlier line has Jaccard similarity ``threshold`` or more
-    with it, kept or not. like is the first line with the same words, else the earliest found of those similar. Lines without
+    with it, kept or not. like is the first line with the same words, else an earlier one that is similar. Lines without
     words stay. Rows that repeat an oid are one document.
     """
     seen = keep(_lines(docs), "lines")
@@ -347,7 +376,11 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, firs
     heat = counts[by_rarity] > hot
     parts = max(8, int(counts.sum() * (1 - threshold) * 1.2) // PART_ROWS)
     candidates = _search(docs.withColumn("asked", F.lit(None).cast("array<int>")), by_rarity, heat, parts, threshold, first)
-    found = keep(_verified(docs, candidates, threshold), "matches")
+    # most lines match the candidate with which they share the most words; the others try the rest
+    found = keep(_verified(docs, candidates.where("nth = 1"), threshold), "matches")
+    untried = keep(candidates.where("nth > 1").join(found, "sid", "left_anti"), "untried")
+    if not untried.isEmpty():
+        found = keep(found.union(_verified(docs, untried, threshold)), "matches")
     undecided = candidates.where("more").select("oid", "line", "sid").distinct().join(found, "sid", "left_anti")
     undecided = keep(undecided.groupBy("oid").agg(F.collect_list("line").alias("asked")), "undecided-lines")
     if not undecided.isEmpty():
@@ -375,7 +408,9 @@ def _marked(docs: DataFrame, row: str, text: str, threshold: float, hot: int, fi
     keyed = _identified(docs, row, text)
     gone = removals(keyed.select(F.col("__oid").alias("oid"), F.coalesce(text, F.lit("")).alias("text")), threshold, hot, first)
     per_doc = gone.groupBy(F.col("oid").alias("__oid")).agg(F.array_sort(F.collect_set(F.struct("line", "like_oid", "like_line"))).alias("__gone"))
-    return keyed.join(keep(per_doc, "removed-lines"), "__oid", "left").drop("__oid")
+    per_doc = keep(per_doc, "removed-lines")
+    removed = per_doc.agg(F.sum(F.size("__gone"))).first()[0] or 0
+    return keyed.join(F.broadcast(per_doc) if removed <= MOST_SENT else per_doc, "__oid", "left").drop("__oid")
 
 
 def deduplicated(docs: DataFrame, row: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, hot: int = HOT, first: int = FIRST_CANDIDATES) -> DataFrame:
