@@ -116,11 +116,11 @@ def planned_steps(spark: SparkSession, sf: str) -> DataFrame:
 LR = 0.5
 
 
-def start_sql(by: str) -> list[str]:
+def start_sql(by: str, where: str = "true") -> list[str]:
     return [
         f"""train AS (
-          SELECT {by} AS g, k.doc_id, k.label, f.idx, f.value FROM features f JOIN keyed_text k ON k.doc_id = f.doc_id
-          UNION ALL SELECT {by}, doc_id, label, -1, 1.0 FROM keyed_text k)""",
+          SELECT {by} AS g, k.doc_id, k.label, f.idx, f.value FROM features f JOIN keyed_text k ON k.doc_id = f.doc_id WHERE {where}
+          UNION ALL SELECT {by}, doc_id, label, -1, 1.0 FROM keyed_text k WHERE {where})""",
         "sizes AS (SELECT g, count(*) AS n FROM train WHERE idx = -1 GROUP BY g)",
         "w0 AS (SELECT DISTINCT g, idx, 0.0 AS a, 0.0 AS b FROM train)",
     ]
@@ -168,17 +168,6 @@ def train_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(trained.select("key", "idx", "n", "steps", "train_loss", "w_0", "w_1"), "train_loss", "w_0", "w_1")
 
 
-@query(with_([*FEATURES, *start_sql("k.key"), *step_sql(1, decay=0.01), *step_sql(2, decay=0.01)], f"""
-SELECT g AS key, idx::INTEGER AS idx, {r('a')} AS w_0, {r('b')} AS w_1 FROM w2"""))
-def train_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """The same training with every key treated as too large for one task."""
-    documents, values = training_inputs(spark, sf)
-    rows = cut_lineage(training.training_rows(documents, values, "doc_id", "key", "label"))
-    fit = training.Fit(classes=CLASSES, lr=LR, epochs=2, weight_decay=0.01, max_group_rows=1)
-    trained = training.train_per_key(rows, training.start_table(rows, None, CLASSES), fit)
-    return rounded(trained.select("key", "idx", "w_0", "w_1"), "w_0", "w_1")
-
-
 @query()
 def train_per_key_in_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Mini-batches in seeded order; checked against brute force in the tests."""
@@ -205,68 +194,26 @@ def train_pooled_history(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(history, "train_loss")
 
 
-@query(with_([*FEATURES, *start_sql("0"), *step_sql(1), *step_sql(2)], long_sql("w2")))
-def mix_fedavg(spark: SparkSession, sf: str) -> DataFrame:
-    """Two rounds of one full-batch step per key and a weighted mean are two pooled gradient steps."""
-    documents, values = training_inputs(spark, sf)
-    model, _ = training.parameter_mixing(documents, values, "doc_id", "key", "label", training.Fit(CLASSES, LR), 2)
-    return rounded(model, "value")
-
-
-@query(with_([*FEATURES, *start_sql("k.key"), *step_sql(1, mu=0.1), *step_sql(2, mu=0.1),
-              "total AS (SELECT sum(n) AS total FROM sizes)",
-              "mean AS (SELECT idx, sum(a * n) / any_value(total) AS a, sum(b * n) / any_value(total) AS b FROM w2 JOIN sizes USING (g), total GROUP BY idx)"],
-             long_sql("mean")))
-def mix_fedprox(spark: SparkSession, sf: str) -> DataFrame:
-    documents, values = training_inputs(spark, sf)
-    fit = training.Fit(CLASSES, LR, epochs=2, mu=0.1)
-    model, _ = training.parameter_mixing(documents, values, "doc_id", "key", "label", fit, 1, "fedprox")
-    return rounded(model, "value")
-
-
-@query(with_([*FEATURES, *start_sql("0"), *step_sql(1),
-              """adam AS (SELECT idx, 0.1 * 0.1 * a / (sqrt(0.01 * a * a) + 0.001) AS a,
-                                 0.1 * 0.1 * b / (sqrt(0.01 * b * b) + 0.001) AS b FROM w1)"""], long_sql("adam")))
-def mix_fedadam(spark: SparkSession, sf: str) -> DataFrame:
-    documents, values = training_inputs(spark, sf)
-    model, _ = training.parameter_mixing(
-        documents, values, "doc_id", "key", "label", training.Fit(CLASSES, LR), 1, "fedadam", server_lr=0.1
-    )
-    return rounded(model, "value")
-
-
-@query(with_([*FEATURES, *start_sql("k.key"), *step_sql(1),
-              "ks AS (SELECT count(*) AS total FROM sizes)",
-              "mean AS (SELECT idx, sum(a) / any_value(total) AS a, sum(b) / any_value(total) AS b FROM w1, ks GROUP BY idx)"],
-             long_sql("mean")))
-def mix_scaffold(spark: SparkSession, sf: str) -> DataFrame:
-    documents, values = training_inputs(spark, sf)
-    model, _ = training.parameter_mixing(documents, values, "doc_id", "key", "label", training.Fit(CLASSES, LR), 1, "scaffold")
-    return rounded(model, "value")
+HELD_OUT = "k.doc_id % 5 = 0"
 
 
-@query()
-def mix_prior_corrected(spark: SparkSession, sf: str) -> DataFrame:
-    """Rounds with sampled keys and label-prior offsets: the history."""
-    documents, values = training_inputs(spark, sf)
-    _, history = training.parameter_mixing(
-        documents, values, "doc_id", "key", "label", training.Fit(CLASSES, LR), 2, "fedavg_la", fraction=0.5,
-        prior_reference="global", validation=(documents, values),
-    )
-    return rounded(history, "train_loss", "val_loss", "val_accuracy", "val_macro_f1")
-
-
-@query(with_([*FEATURES, *start_sql("k.key"), *step_sql(1),
-              """own AS (SELECT t.g AS key, t.doc_id, any_value(t.label) AS label,
-                                (sum(value * b) > sum(value * a))::INTEGER AS prediction
-                         FROM train t JOIN w1 w ON w.g = t.g AND w.idx = t.idx GROUP BY t.g, t.doc_id)""",
+@query(with_([*FEATURES, *start_sql("k.key", f"NOT ({HELD_OUT})"), *step_sql(1),
+              f"""own AS (
+                SELECT k.key, k.doc_id, any_value(k.label) AS label,
+                       (any_value(z.b) + coalesce(sum(f.value * w.b), 0) > any_value(z.a) + coalesce(sum(f.value * w.a), 0))::INTEGER AS prediction
+                FROM keyed_text k JOIN w1 z ON z.g = k.key AND z.idx = -1 LEFT JOIN features f ON f.doc_id = k.doc_id
+                LEFT JOIN w1 w ON w.g = k.key AND w.idx = f.idx WHERE {HELD_OUT} GROUP BY k.key, k.doc_id)""",
               *metrics_sql("own", "key", 2)],
-             f"SELECT key, n AS n_train, {r('accuracy')} AS accuracy, {r('macro_f1')} AS macro_f1 FROM measured"))
+             f"""SELECT s.g AS key, s.n AS n_train, {r('accuracy')} AS accuracy, {r('macro_f1')} AS macro_f1
+             FROM sizes s LEFT JOIN measured m ON m.key = s.g"""))
 def train_local_only(spark: SparkSession, sf: str) -> DataFrame:
-    """One model per key, each scored on its own rows."""
+    """One model per key from four fifths of its documents, scored on the rest."""
     documents, values = training_inputs(spark, sf)
-    rows = cut_lineage(training.training_rows(documents, values, "doc_id", "key", "label"))
-    results, _ = training.train_local_only(rows, rows, training.Fit(CLASSES, LR))
+    parts = [
+        cut_lineage(training.training_rows(documents.where(side), values, "doc_id", "key", "label"))
+        for side in (F.col("doc_id") % 5 != 0, F.col("doc_id") % 5 == 0)
+    ]
+    results, _ = training.train_local_only(*parts, training.Fit(CLASSES, LR))
     return rounded(
         results.select("key", "n_train", F.col("client_test_accuracy").alias("accuracy"), F.col("client_test_macro_f1").alias("macro_f1")),
         "accuracy", "macro_f1",

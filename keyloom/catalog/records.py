@@ -172,7 +172,7 @@ def write_table(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- the whole preparation: documents keyed by source, class = language
 
-PREPARATION = Preparation(min_records=10, max_records=40, filter_seed=3, unseen_fraction=0.2, min_df=3, max_features=500)
+PREPARATION = Preparation(min_records=10, max_records=40, filter_seed=3, unseen_fraction=0.2, min_df=3)
 HOLDOUT, ROLE_SEED = derive_seed("holdout", 0), derive_seed("roles", 0)
 PREPARED = [
     "sizes AS (SELECT source AS key, count(*) AS n FROM documents GROUP BY source HAVING count(*) >= 10)",
@@ -214,7 +214,7 @@ def prepare_keyed_dataset(spark: SparkSession, sf: str) -> DataFrame:
                 SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
                 FROM words)""",
               "stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM grams GROUP BY term)",
-              "top AS (SELECT * FROM stats WHERE df >= 3 ORDER BY tf DESC, term LIMIT 500)"], f"""
+              "top AS (SELECT * FROM stats WHERE df >= 3)"], f"""
 SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx, tf, df,
        {r('ln((1.0 + (SELECT count(*) FROM words)) / (1.0 + df)) + 1.0')} AS idf FROM top"""))
 def prepare_vocabulary(spark: SparkSession, sf: str) -> DataFrame:

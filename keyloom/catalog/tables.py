@@ -8,18 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.operators.terms import fit_vocabulary, term_incidence, tfidf_transform
-from keyloom.session import cut_lineage, spread
+from keyloom.session import cut_lineage
 
 DIGITS = 6
 
 
-TEXT_TABLES = ("documents", "conversations")
-
-
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table. Text that sits in fewer splits than there are cores is spread out before it is tokenised."""
-    rows = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
+    return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -77,16 +72,16 @@ def keyed_uses(spark: SparkSession, sf: str) -> DataFrame:
     return term_incidence(keyed_text(spark, sf).select("doc_id", "key", "label", "text"), "text")
 
 
-# ---- features: unigrams, at least 2 documents, the 300 most frequent
+# ---- features: all unigrams of at least 2 documents
 
-MIN_DF, MAX_FEATURES, CLASSES = 2, 300, 2
+MIN_DF, CLASSES = 2, 2
 
 FEATURES = [
     KEYED_TEXT,
     WORDS,
     "tokens AS (SELECT doc_id, unnest(w) AS term FROM words)",
     "term_stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tokens GROUP BY term)",
-    f"top_terms AS (SELECT * FROM term_stats WHERE df >= {MIN_DF} ORDER BY tf DESC, term LIMIT {MAX_FEATURES})",
+    f"top_terms AS (SELECT * FROM term_stats WHERE df >= {MIN_DF})",
     """vocabulary AS (
       SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx, tf, df,
              ln((1.0 + (SELECT count(*) FROM keyed_text)) / (1.0 + df)) + 1.0 AS idf FROM top_terms)""",
@@ -99,7 +94,7 @@ FEATURES = [
 
 
 def vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return fit_vocabulary(keyed_text(spark, sf), "text", MIN_DF, MAX_FEATURES)
+    return fit_vocabulary(keyed_text(spark, sf), "text", MIN_DF)
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,7 @@ from keyloom.functions.hashing import hash_word
 from keyloom.operators import association, terms
 from keyloom.operators.sampling import assign_roles_stratified
 from keyloom.plans.analysis import FlagRule, flagged_terms
+from keyloom.session import cut_lineage
 
 
 @query(with_([ALL_WORDS, GRAMS], f"""
@@ -74,11 +75,14 @@ def tfidf_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_(FEATURES, f"""
-SELECT doc_id, 300 AS size, count(*)::INTEGER AS cells, {r('sum(value)')} AS total FROM features GROUP BY doc_id"""))
+SELECT doc_id, (SELECT count(*) FROM vocabulary)::INTEGER AS size, count(*)::INTEGER AS cells, {r('sum(value)')} AS total
+FROM features GROUP BY doc_id"""))
 def to_sparse_vector(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    vectors = terms.to_sparse_vector(features(spark, sf), "doc_id", 300).select("doc_id", vector_to_array("features").alias("v"))
+    words = cut_lineage(vocabulary(spark, sf))
+    values = terms.tfidf_transform(keyed_text(spark, sf), "doc_id", "text", words)
+    vectors = terms.to_sparse_vector(values, "doc_id", words.count()).select("doc_id", vector_to_array("features").alias("v"))
     return vectors.select(
         "doc_id", F.size("v").alias("size"), F.size(F.filter("v", lambda x: x != 0)).alias("cells"),
         F.round(F.aggregate("v", F.lit(0.0), lambda a, b: a + b), 6).alias("total"),
@@ -99,12 +103,12 @@ ROLES = f"""roles AS (
 @query(with_([KEYED_TEXT, ROLES,
               r"tokens AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM roles WHERE rank <= train)",
               "stats AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tokens GROUP BY term)",
-              "top AS (SELECT * FROM stats WHERE df >= 2 ORDER BY tf DESC, term LIMIT 500)"],
+              "top AS (SELECT * FROM stats WHERE df >= 2)"],
              f"""SELECT term, (row_number() OVER (ORDER BY term) - 1)::INTEGER AS idx, tf, df,
              {r('ln((1.0 + (SELECT count(*) FROM roles WHERE rank <= train)) / (1.0 + df)) + 1.0')} AS idf FROM top"""))
 def fit_on_role(spark: SparkSession, sf: str) -> DataFrame:
     roles = assign_roles_stratified(keyed_text(spark, sf), "label", "doc_id", (0.8, 0.1, 0.1), 7)
-    return rounded(terms.fit_on_role(roles, "text", "role", 0, 2, 500), "idf")
+    return rounded(terms.fit_on_role(roles, "text", "role", 0, 2), "idf")
 
 
 # ---- association
@@ -141,10 +145,10 @@ def decomposition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_(DECOMPOSITION, f"""
-SELECT term, document_frequency, client_frequency, {rs(*SLOPES)} FROM decomposition WHERE document_frequency >= 5"""))
+SELECT term, document_frequency, client_frequency, {rs(*SLOPES)} FROM decomposition"""))
 def association_decomposition(spark: SparkSession, sf: str) -> DataFrame:
     """Which words look associated with quality, and how much of it is due to which sources use them."""
-    return rounded(decomposition(spark, sf).where(F.col("document_frequency") >= 5), *SLOPES)
+    return rounded(decomposition(spark, sf), *SLOPES)
 
 
 REPEATS = 5
@@ -158,15 +162,14 @@ NULL = [
                PARTITION BY rep, label ORDER BY {hash_order(11, 'rep', 'doc_id')}, rep, doc_id) AS i
       FROM keyed_text, (SELECT unnest(range(1, {REPEATS + 1})) AS rep))""",
     "moves AS (SELECT d.rep, d.doc_id, p.to_key FROM draws d JOIN places p ON p.label = d.label AND p.i = d.i)",
-    "supported AS (SELECT * FROM decomposition WHERE document_frequency >= 20 AND client_frequency >= 3)",
     """moved AS (
       SELECT m.rep, m.to_key AS key, u.term, count(*) AS c, sum(u.label) AS zs
-      FROM uses u JOIN supported s ON s.term = u.term JOIN moves m ON m.doc_id = u.doc_id GROUP BY ALL)""",
+      FROM uses u JOIN moves m ON m.doc_id = u.doc_id GROUP BY ALL)""",
     """moved_sums AS (
       SELECT rep, term, sum(c) AS df, sum(zs) AS zs, sum(c * s_k) AS cs, sum(c * c / n_k) AS c2
       FROM moved JOIN key_means USING (key) GROUP BY rep, term)""",
     """gaps AS (
-      SELECT rep, term, (zs - df * s) / (df - df * df / n) - CASE WHEN df - c2 > 1e-12 THEN (zs - cs) / (df - c2) END AS gap
+      SELECT rep, term, CASE WHEN df - df * df / n > 1e-12 THEN (zs - df * s) / (df - df * df / n) END - CASE WHEN df - c2 > 1e-12 THEN (zs - cs) / (df - c2) END AS gap
       FROM moved_sums, whole)""",
     "term_null AS (SELECT term, avg(gap) AS null_mean, stddev_samp(gap) AS null_sd FROM gaps GROUP BY term)",
 ]
@@ -175,8 +178,8 @@ NULL = [
 @query(with_(NULL, f"SELECT term, {rs('null_mean', 'null_sd')} FROM term_null"))
 def permutation_null(spark: SparkSession, sf: str) -> DataFrame:
     documents = keyed_text(spark, sf).select("doc_id", "key", "label")
-    supported = decomposition(spark, sf).where("document_frequency >= 20 AND client_frequency >= 3")
-    null = association.permutation_null(documents, keyed_uses(spark, sf), supported, "doc_id", "key", "label", REPEATS, 11)
+    every = cut_lineage(decomposition(spark, sf))
+    null = association.permutation_null(documents, keyed_uses(spark, sf), every, "doc_id", "key", "label", REPEATS, 11)
     return rounded(null, "null_mean", "null_sd")
 
 
@@ -204,6 +207,11 @@ def benjamini_hochberg(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(association.benjamini_hochberg(term_p(spark, sf), "p", ["term"]), "p", "q")
 
 
+# twin of ``association.gap_type``: slopes of less than 1e-12 have no sign, and a difference of less than 1e-9 is none
+GAP_TYPE = """CASE WHEN {} THEN ''
+  WHEN beta_pooled * beta_within < 0 AND least(abs(beta_pooled), abs(beta_within)) > 1e-12 THEN 'sign_reversed'
+  WHEN abs(beta_pooled) > abs(beta_within) * (1 + 1e-9) + 1e-12 THEN 'inflated' ELSE 'attenuated' END"""
+
 RULE = FlagRule(repeats=REPEATS, min_document_frequency=20, min_client_frequency=3, fdr=0.5)
 # four degrees of freedom: the finite sum has two terms
 FLAGS = [
@@ -223,10 +231,7 @@ FLAGS = [
       SELECT *, CASE WHEN gap_z IS NOT NULL THEN least(1.0, min(gap_p * m / k)
                OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) END AS gap_q FROM ranked)""",
     "structured AS (SELECT *, coalesce(gap_q <= 0.5, false) AS client_structure FROM adjusted)",
-    """flagged AS (
-      SELECT *, CASE WHEN NOT client_structure THEN '' WHEN sign(beta_pooled) * sign(beta_within) < 0 THEN 'sign_reversed'
-                     WHEN abs(beta_pooled) > abs(beta_within) THEN 'inflated' ELSE 'attenuated' END AS gap_type
-      FROM structured)""",
+    f"flagged AS (SELECT *, {GAP_TYPE.format('NOT client_structure')} AS gap_type FROM structured)",
 ]
 
 
@@ -244,16 +249,11 @@ def flag_terms(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(flags, *numbers)
 
 
-@query(with_(DECOMPOSITION, """
-SELECT term, CASE WHEN document_frequency < 10 THEN '' WHEN sign(beta_pooled) * sign(beta_within) < 0 THEN 'sign_reversed'
-                  WHEN abs(beta_pooled) > abs(beta_within) THEN 'inflated' ELSE 'attenuated' END AS gap_type,
-       document_frequency >= 10 AND (sign(beta_pooled) * sign(beta_within) < 0 OR abs(beta_pooled) > abs(beta_within)) IS TRUE
-         AS candidate
-FROM decomposition WHERE abs(gap) > 1e-9"""))
+@query(with_([*DECOMPOSITION, f"typed AS (SELECT term, {GAP_TYPE.format('document_frequency < 10')} AS gap_type FROM decomposition)"],
+             "SELECT term, gap_type, gap_type IN ('inflated', 'sign_reversed') AS candidate FROM typed"))
 def gap_type(spark: SparkSession, sf: str) -> DataFrame:
     """Gap types if every term of ten or more documents counted as structured."""
-    terms_ = decomposition(spark, sf).where(F.abs("gap") > 1e-9)
-    typed = association.gap_type(terms_.withColumn("client_structure", F.col("document_frequency") >= 10))
+    typed = association.gap_type(decomposition(spark, sf).withColumn("client_structure", F.col("document_frequency") >= 10))
     return typed.select("term", "gap_type", "candidate")
 
 
@@ -331,10 +331,10 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
                 SELECT document_frequency >= 100 AS frequent, w_mixed - w_pooled AS b, exposure AS x, w_pooled AS c, w_mixed AS w
                 FROM joined WHERE document_frequency >= 20 AND exposure IS NOT NULL)""",
               """ranks AS (
-                SELECT *, rank() OVER (PARTITION BY frequent ORDER BY b)
-                            + (count(*) OVER (PARTITION BY frequent, b) - 1) / 2.0 AS rb,
-                          rank() OVER (PARTITION BY frequent ORDER BY x)
-                            + (count(*) OVER (PARTITION BY frequent, x) - 1) / 2.0 AS rx FROM rows_)""",
+                SELECT *, rank() OVER (PARTITION BY frequent ORDER BY round(b, 9) + 0.0)
+                            + (count(*) OVER (PARTITION BY frequent, round(b, 9) + 0.0) - 1) / 2.0 AS rb,
+                          rank() OVER (PARTITION BY frequent ORDER BY round(x, 9) + 0.0)
+                            + (count(*) OVER (PARTITION BY frequent, round(x, 9) + 0.0) - 1) / 2.0 AS rx FROM rows_)""",
               """fits AS (
                 SELECT frequent, regr_slope(b, c) AS sb, regr_intercept(b, c) AS ib, regr_slope(x, c) AS sx,
                        regr_intercept(x, c) AS ix FROM rows_ GROUP BY frequent)""",

@@ -13,6 +13,9 @@ from keyloom.functions.tdist import two_sided_p
 from keyloom.session import cut_lineage
 
 GAP_TYPES = ("inflated", "sign_reversed", "attenuated")
+NO_SLOPE, NO_DIFFERENCE = 1e-12, 1e-9
+# Digits after the point to which values are compared in rank correlations.
+RANK_DIGITS = 9
 
 
 def key_term_counts(uses: DataFrame, key: str, term: str = "term") -> DataFrame:
@@ -159,12 +162,17 @@ def flag_terms(
 
 
 def gap_type(flagged: DataFrame) -> DataFrame:
-    """Direction of the difference between pooled and within-key slope, and whether the term is a candidate."""
+    """Direction of the difference between pooled and within-key slope, and whether the term is a candidate.
+
+    Slopes are sums of rounded terms: below ``NO_SLOPE`` a slope has no sign, and a relative difference below
+    ``NO_DIFFERENCE`` is none, so that the order of summation cannot decide.
+    """
     pooled, within = F.col("beta_pooled"), F.col("beta_within")
+    both = F.least(F.abs(pooled), F.abs(within)) > NO_SLOPE
     kind = (
         F.when(~F.col("client_structure"), "")
-        .when(F.signum(pooled) * F.signum(within) < 0, "sign_reversed")
-        .when(F.abs(pooled) > F.abs(within), "inflated")
+        .when((pooled * within < 0) & both, "sign_reversed")
+        .when(F.abs(pooled) > F.abs(within) * (1 + NO_DIFFERENCE) + NO_SLOPE, "inflated")
         .otherwise("attenuated")
     )
     typed = flagged.withColumn("gap_type", kind)
@@ -182,7 +190,11 @@ def sentiment_direction(parameters: DataFrame, classes: int, by: Sequence[str] =
 
 
 def bias_statistics(df: DataFrame, by: Sequence[str], model: str, reference: str, exposure: str, mask: Column) -> DataFrame:
-    """Relation between a model's coefficient bias and key exposure, over the masked rows of each group."""
+    """Relation between a model's coefficient bias and key exposure, over the masked rows of each group.
+
+    Spearman's ranks compare values rounded to ``RANK_DIGITS`` digits: values that differ by the order of summation only
+    are ties.
+    """
     by = list(by)
     rows = df.where(mask & F.col(exposure).isNotNull()).select(
         *by,
@@ -192,7 +204,8 @@ def bias_statistics(df: DataFrame, by: Sequence[str], model: str, reference: str
         F.col(model).alias("w"),
     )
     rows = cut_lineage(rows)
-    rows = cut_lineage(mid_ranks(rows, by, {"b": "rank_b", "x": "rank_x"}))
+    rows = rows.withColumns({f"__{c}": F.round(F.col(c), RANK_DIGITS) + F.lit(0.0) for c in "bx"})
+    rows = cut_lineage(mid_ranks(rows, by, {"__b": "rank_b", "__x": "rank_x"}).drop("__b", "__x"))
     first = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_features"),
         correlation("b", "x").alias("r"),

@@ -1,11 +1,12 @@
-"""Softmax regression per key, over the pooled table, and by repeated mixing of per-key models.
+"""Softmax regression per key and over the pooled table.
 
 A document's features are long rows ``(doc, idx, value)``; the bias is the feature ``BIAS`` with value 1. A key's update
 lists only the features the key uses. Every other parameter follows a rule without data (it shrinks by ``keep`` and
 moves by ``drift`` times the control variate), so it is never written out per key.
 
-Small keys are trained in grouped maps. A key whose rows exceed ``max_group_rows`` is trained by Spark aggregations,
-one per step, over the same batches; it is never gathered into one task.
+Full batches (the default) are trained by Spark aggregations over all keys at once, a fixed number of jobs per step however
+large a key is. Mini-batches need a key's rows in order, so they are trained in grouped maps and refused for keys beyond
+``max_group_rows``.
 """
 
 from __future__ import annotations
@@ -20,23 +21,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.functions.ordering import attach, hash_rank
-from keyloom.operators.keys import key_label_counts
 from keyloom.operators.metrics import classification_metrics, confusion, dispersion
-from keyloom.operators.params import step_fedadam, step_fedavg
-from keyloom.operators.sampling import sample_keys_per_round
-from keyloom.operators.scoring import evaluate, global_prior, label_prior_offset, planned_steps, predict, score_linear
+from keyloom.operators.scoring import predict
 from keyloom.session import cut_lineage, ship_with_tasks
 
 ship_with_tasks(sys.modules[__name__])
 
 BIAS = -1
-ALGORITHMS = ("fedavg", "fedprox", "fedadam", "scaffold", "fedavg_la")
 
 
 @dataclass(frozen=True)
 class Fit:
-    """Settings of local training; ``batch_size=None`` takes all rows of the key in every step."""
+    """Settings of local training; ``batch_size=None`` takes all rows of the key in every step.
+
+    ``max_group_rows``: feature rows of a key that one task may hold when ``batch_size`` is set.
+    """
 
     classes: int
     lr: float
@@ -167,121 +166,100 @@ def _fit_grouped(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
     return grouped.applyInPandas(run, _result_schema(rows, fit.classes))
 
 
-def _batches(rows: DataFrame, fit: Fit, number: int) -> DataFrame:
-    """Documents of pass ``number`` with their batch: ``(key, doc, batch)``."""
-    docs = rows.where(F.col("idx") == BIAS).select("key", "doc")
-    if not fit.batch_size:
-        return docs.withColumn("batch", F.lit(0).cast("long"))
-    ranked = hash_rank(docs, ["key"], ["doc"], f"{fit.seed}|{number}")
-    return ranked.select("key", "doc", F.floor((F.col("rank") - 1) / fit.batch_size).alias("batch"))
+def _sized(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table, broadcast if it has few rows; beyond that Spark joins it, and adaptive execution splits hot keys."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
+def _parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents, one row each, and their feature rows, both dealt out by key and document and written once."""
+    dealt = rows.repartition("key", "doc")
+    documents = dealt.where(F.col("idx") == BIAS).drop("idx", "value")
+    return cut_lineage(documents), cut_lineage(dealt.where(F.col("idx") != BIAS).select("key", "doc", "idx", "value"))
+
+
+def _logits(documents: DataFrame, features: DataFrame, weights: DataFrame, classes: int) -> DataFrame:
+    """``documents`` with ``x_c``: the score by the weights of their own key; features without a weight count as 0.
+
+    The bias meets documents by key, apart from the features, so it adds no row that all documents share.
+    """
+    names = [f"w_{c}" for c in range(classes)]
+    inner = weights.where(F.col("idx") != BIAS).select("key", "idx", *names)
+    bias = weights.where(F.col("idx") == BIAS).select("key", *[F.col(w).alias(f"bias_{w}") for w in names])
+    sums = features.join(_sized(inner), ["key", "idx"]).groupBy("key", "doc").agg(
+        *[F.sum(F.col("value") * F.col(f"w_{c}")).alias(f"s_{c}") for c in range(classes)]
+    )
+    scored = documents.join(sums, ["key", "doc"], "left").join(_sized(bias), "key")
+    totals = [(F.coalesce(f"s_{c}", F.lit(0.0)) + F.col(f"bias_w_{c}")).alias(f"x_{c}") for c in range(classes)]
+    return scored.select(*documents.columns, *totals)
 
 
 def fit_stepwise(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
-    """Same result as the grouped map, one Spark aggregation per step over all keys at once.
+    """Full-batch steps for all keys at once; same result as the grouped map.
 
-    Rows stay partitioned by document; a step shuffles only partial gradients, one per key and feature. Weights are
-    written to the checkpoint folder after every step.
+    A step scores documents, writes their residuals, and adds up one gradient per key and feature from partial sums. Its
+    number of jobs does not depend on the data, and weights are written after every step.
     """
     classes = range(fit.classes)
-    has_offset = "offset" in rows.columns
-    rows = cut_lineage(rows.repartition("doc"))
-    size = F.lit(fit.batch_size) if fit.batch_size else F.col("n")
-    counts = rows.where(F.col("idx") == BIAS).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("per_pass", F.ceil(F.col("n") / size))
-    counts = cut_lineage(counts.withColumn("steps", planned_steps(F.col("n"), size, fit.epochs)))
-    most = counts.agg(F.max("steps"), F.max("per_pass")).first()
-    if most[0] is None:
-        return rows.sparkSession.createDataFrame([], _result_schema(rows, fit.classes))
-    state = start.withColumns({f"b_{c}": F.col(f"w_{c}") for c in classes}).withColumns(
-        {f"v_{c}": F.lit(0.0) for c in classes}
-    )
-    state = state.withColumn("loss_sum", F.lit(0.0)).withColumn("seen", F.lit(0).cast("long"))
-    state = cut_lineage(state)
-    passes: dict[int, DataFrame] = {}
-    extra = ["offset"] if has_offset else []
-    for step in range(int(most[0])):
-        plan = counts.where(F.col("steps") > step).select(
-            "key", F.floor(F.lit(step) / F.col("per_pass")).alias("pass"), (F.lit(step) % F.col("per_pass")).alias("turn")
-        )
-        if fit.batch_size:
-            # keys of different size are in different passes; one batch table per pass that is still open
-            open_passes = [r[0] for r in plan.select("pass").distinct().collect()]
-            for number in open_passes:
-                if number not in passes:
-                    passes[number] = cut_lineage(_batches(rows, fit, int(number)))
-            members = None
-            for number in open_passes:
-                turn = plan.where(F.col("pass") == number).select("key", F.col("turn").alias("batch"))
-                part = passes[number].join(turn, ["key", "batch"], "left_semi").select("key", "doc")
-                members = part if members is None else members.unionByName(part)
-            batch = rows.join(members, ["key", "doc"], "left_semi")
-        else:
-            batch = rows.join(plan.select("key"), "key", "left_semi")
-        joined = batch.join(state.select("key", "idx", *[f"w_{c}" for c in classes]), ["key", "idx"])
-        logits = joined.groupBy("key", "doc").agg(
-            F.first("label").alias("label"), *[F.first(e).alias(e) for e in extra],
-            *[F.sum(F.col("value") * F.col(f"w_{c}")).alias(f"x_{c}") for c in classes],
-        )
-        if has_offset:
-            logits = logits.withColumns({f"x_{c}": F.col(f"x_{c}") + F.col("offset")[c] for c in classes})
+    steps = max(1, int(round(fit.epochs)))
+    documents, features = _parted(rows)
+    state = start.withColumns({f"b_{c}": F.col(f"w_{c}") for c in classes}).withColumns({f"v_{c}": F.lit(0.0) for c in classes})
+    state = cut_lineage(state.withColumn("loss_sum", F.lit(0.0)))
+    sizes = cut_lineage(documents.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    for _ in range(steps):
+        scored = _logits(documents, features, state, fit.classes)
+        if "offset" in documents.columns:
+            scored = scored.withColumns({f"x_{c}": F.col(f"x_{c}") + F.col("offset")[c] for c in classes})
         odds = [F.exp(F.col(f"x_{c}") - F.greatest(*[f"x_{d}" for d in classes])) for c in classes]
         total = sum(odds[1:], odds[0])
-        own = sum((F.when(F.col("label") == c, odds[c]).otherwise(0.0) for c in classes[1:]),
-                  F.when(F.col("label") == 0, odds[0]).otherwise(0.0))
-        residual = logits.select(
-            "key", "doc", (-F.log(own / total)).alias("loss"),
-            *[(odds[c] / total - F.when(F.col("label") == c, 1.0).otherwise(0.0)).alias(f"r_{c}") for c in classes],
+        own = sum((F.when(F.col("label") == c, odds[c]).otherwise(0.0) for c in classes[1:]), F.when(F.col("label") == 0, odds[0]).otherwise(0.0))
+        shares = [(odds[c] / total - F.when(F.col("label") == c, 1.0).otherwise(0.0)).alias(f"r_{c}") for c in classes]
+        residual = cut_lineage(scored.select("key", "doc", (-F.log(own / total)).alias("loss"), *shares))
+        pulls = features.join(residual, ["key", "doc"]).groupBy("key", "idx").agg(
+            *[F.sum(F.col("value") * F.col(f"r_{c}")).alias(f"p_{c}") for c in classes]
         )
-        pull = batch.select("key", "doc", "idx", "value").join(residual, ["key", "doc"])
-        sums = pull.groupBy("key", "idx").agg(
-            *[F.sum(F.col("value") * F.col(f"r_{c}")).alias(f"p_{c}") for c in classes],
-            F.count(F.lit(1)).alias("rows"), F.sum("loss").alias("loss"),
-        )
-        # the bias row of a key meets every document of the batch once: its count and loss are the batch's
-        sums = cut_lineage(sums)
-        batch_sums = sums.where(F.col("idx") == BIAS).select("key", F.col("rows").alias("m"), F.col("loss").alias("batch_loss"))
-        moved = state.join(sums.drop("rows", "loss"), ["key", "idx"], "left").join(batch_sums, "key", "left")
-        active = F.col("m").isNotNull()
+        per_key = residual.groupBy("key").agg(*[F.sum(f"r_{c}").alias(f"p_{c}") for c in classes], F.sum("loss").alias("loss"))
+        biases = per_key.select("key", F.lit(BIAS).alias("idx"), *[f"p_{c}" for c in classes])
+        losses = per_key.select("key", "loss").join(sizes, "key")
+        moved = state.join(pulls.unionByName(biases), ["key", "idx"], "left").join(losses, "key")
         speed, weight = {}, {}
         for c in classes:
             w = F.col(f"w_{c}")
             gradient = (
-                F.coalesce(f"p_{c}", F.lit(0.0)) / F.col("m") + fit.mu * (w - F.col(f"b_{c}"))
+                F.coalesce(f"p_{c}", F.lit(0.0)) / F.col("n") + fit.mu * (w - F.col(f"b_{c}"))
                 + (F.col(f"g_{c}") - F.col(f"l_{c}")) + fit.weight_decay * w
             )
-            new_speed = fit.momentum * F.col(f"v_{c}") + gradient
-            speed[c] = F.when(active, new_speed).otherwise(F.col(f"v_{c}"))
-            weight[c] = F.when(active, w - fit.lr * new_speed).otherwise(w)
-        state = moved.select(
-            "key", "idx", *[f"{p}_{c}" for p in "gl" for c in classes], *[f"b_{c}" for c in classes],
-            *[weight[c].alias(f"w_{c}") for c in classes], *[speed[c].alias(f"v_{c}") for c in classes],
-            (F.col("loss_sum") + F.coalesce("batch_loss", F.lit(0.0))).alias("loss_sum"),
-            (F.col("seen") + F.coalesce("m", F.lit(0).cast("long"))).alias("seen"),
+            speed[c] = fit.momentum * F.col(f"v_{c}") + gradient
+            weight[c] = w - fit.lr * speed[c]
+        state = cut_lineage(
+            moved.select(
+                "key", "idx", *[f"{p}_{c}" for p in "gl" for c in classes], *[f"b_{c}" for c in classes],
+                *[weight[c].alias(f"w_{c}") for c in classes], *[speed[c].alias(f"v_{c}") for c in classes],
+                (F.col("loss_sum") + F.col("loss")).alias("loss_sum"),
+            )
         )
-        state = cut_lineage(state)
-    moves = [(s, *_untouched(s, fit)) for s in {r[0] for r in counts.select("steps").distinct().collect()}]
-    rules = rows.sparkSession.createDataFrame(moves, "steps long, keep double, drift double")
-    done = state.join(counts.select("key", "n", "steps"), "key").join(rules, "steps")
-    deltas = [
-        (F.col(f"w_{c}") - (F.col("keep") * F.col(f"b_{c}") - F.col("drift") * F.col(f"g_{c}"))).alias(f"d_{c}") for c in classes
-    ]
+    keep, drift = _untouched(steps, fit)
+    deltas = [(F.col(f"w_{c}") - (F.lit(keep) * F.col(f"b_{c}") - F.lit(drift) * F.col(f"g_{c}"))).alias(f"d_{c}") for c in classes]
     interleaved = [col for c in classes for col in (deltas[c], F.col(f"w_{c}"))]
-    return done.select("key", "idx", "n", "steps", (F.col("loss_sum") / F.col("seen")).alias("train_loss"), "keep", "drift", *interleaved)
+    mean_loss = (F.col("loss_sum") / (F.col("n") * steps)).alias("train_loss")
+    return state.join(sizes, "key").select(
+        "key", "idx", "n", F.lit(steps).cast("long").alias("steps"), mean_loss, F.lit(keep).alias("keep"), F.lit(drift).alias("drift"), *interleaved
+    )
 
 
 def train_per_key(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
     """Trains every key from its start weights.
 
     Returns one row per key and used feature: final weights ``w_c``, change ``d_c`` against the rule for unused
-    parameters, and on each row the key's ``n``, ``steps``, ``train_loss``, ``keep`` and ``drift``.
+    parameters, and on each row the key's ``n``, ``steps``, ``train_loss``, ``keep`` and ``drift``. With ``batch_size`` a
+    key of more than ``max_group_rows`` rows is an error, since its steps follow one another.
     """
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    large = cut_lineage(sizes.where(F.col("size") > fit.max_group_rows).select("key"))
-    if large.isEmpty():
-        return _fit_grouped(rows, start, fit)
-    small = _fit_grouped(rows.join(large, "key", "left_anti"), start.join(large, "key", "left_anti"), fit)
-    big = fit_stepwise(rows.join(large, "key", "left_semi"), start.join(large, "key", "left_semi"), fit)
-    return small.unionByName(big)
+    if not fit.batch_size:
+        return fit_stepwise(rows, start, fit)
+    largest = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).agg(F.max("size")).first()[0]
+    if largest is not None and largest > fit.max_group_rows:
+        raise ValueError(f"a key has {largest} feature rows; mini-batches take keys of {fit.max_group_rows} at most, use full batches")
+    return _fit_grouped(rows, start, fit)
 
 
 def per_key_stats(trained: DataFrame) -> DataFrame:
@@ -306,157 +284,30 @@ def train_pooled(
 
 
 def score_own_rows(rows: DataFrame, trained: DataFrame, classes: int) -> DataFrame:
-    """Every document scored by the model of its own key: ``(key, doc, label, logits)``.
+    """Every document of a trained key scored by its key's model: ``(key, doc, label, logits)``.
 
     Features the key never saw in training have weight 0 in a model started from zero.
     """
-    weights = trained.select("key", "idx", *_columns("w", classes))
-    joined = rows.join(weights, ["key", "idx"], "left")
-    sums = joined.groupBy("key", "doc").agg(
-        F.first("label").alias("label"),
-        F.array(*[F.sum(F.col("value") * F.coalesce(f"w_{c}", F.lit(0.0))) for c in range(classes)]).alias("logits"),
-    )
-    known = trained.select("key").distinct()
-    return sums.join(known, "key", "left_semi")
-
+    documents, features = _parted(rows)
+    scored = _logits(documents, features, cut_lineage(trained.select("key", "idx", *_columns("w", classes))), classes)
+    return scored.select("key", "doc", "label", F.array(*[f"x_{c}" for c in range(classes)]).alias("logits"))
 
-def score_by_every_model(rows: DataFrame, trained: DataFrame, classes: int) -> DataFrame:
-    """Every document scored by every key's model: ``(model, doc, label, logits)``; keys times documents by definition."""
-    weights = trained.select(F.col("key").alias("model"), "idx", *_columns("w", classes))
-    joined = rows.select("doc", "label", "idx", "value").join(weights, "idx")
-    return joined.groupBy("model", "doc").agg(
-        F.first("label").alias("label"),
-        F.array(*[F.sum(F.col("value") * F.col(f"w_{c}")) for c in range(classes)]).alias("logits"),
-    )
 
+def train_local_only(train: DataFrame, own_test: DataFrame, fit: Fit) -> tuple[DataFrame, DataFrame]:
+    """An independent model per key, started from zero, tested on the key's own rows: per-key results and their spread.
 
-def train_local_only(train: DataFrame, own_test: DataFrame, fit: Fit, global_test: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """An independent model per key, started from zero: per-key results and their spread.
-
-    ``train`` and the test tables come from :func:`training_rows`. The shared test is optional, since it scores
-    every document with every model.
+    ``train`` and ``own_test`` come from :func:`training_rows`. To test one model on rows of other keys, score them with
+    that model; all rows by all models would be keys times documents.
     """
     trained = cut_lineage(train_per_key(train, start_table(train, None, fit.classes), fit))
     results = per_key_stats(trained).select("key", F.col("n").alias("n_train"), "train_loss")
-    tests = [("client_test", predict(score_own_rows(own_test, trained, fit.classes)))]
-    if global_test is not None:
-        scored = score_by_every_model(global_test, trained, fit.classes).withColumnRenamed("model", "key")
-        tests.append(("global_test", predict(scored)))
+    predicted = predict(score_own_rows(own_test, trained, fit.classes))
+    counts = confusion(predicted, "label", "prediction", fit.classes, ["key"])
+    measured = classification_metrics(counts, fit.classes, ["key"]).select(
+        "key", F.col("accuracy").alias("client_test_accuracy"), F.col("macro_f1").alias("client_test_macro_f1")
+    )
     spreads = None
-    for name, predicted in tests:
-        counts = confusion(predicted, "label", "prediction", fit.classes, ["key"])
-        measured = classification_metrics(counts, fit.classes, ["key"]).select(
-            "key", F.col("accuracy").alias(f"{name}_accuracy"), F.col("macro_f1").alias(f"{name}_macro_f1")
-        )
-        results = results.join(measured, "key", "left")
-        for metric in ("accuracy", "macro_f1"):
-            spread = dispersion(measured, f"{name}_{metric}").withColumn("metric", F.lit(f"{name}_{metric}"))
-            spreads = spread if spreads is None else spreads.unionByName(spread)
-    return results, spreads
-
-
-def _mean_update(trained: DataFrame, params: DataFrame, variates: DataFrame, classes: int, plain: bool) -> DataFrame:
-    """Mean of the clients' models as ``(idx, w_c)``; unused parameters are filled in from the rule."""
-    share = F.lit(1.0) if plain else F.col("n").cast("double")
-    totals = per_key_stats(trained).agg(
-        F.struct(
-            F.sum(share).alias("total"),
-            F.sum(share * F.col("keep")).alias("keep"),
-            F.sum(share * F.col("drift")).alias("drift"),
-        )
-    ).scalar()
-    sums = trained.groupBy("idx").agg(*[F.sum(share * F.col(f"d_{c}")).alias(f"s_{c}") for c in range(classes)])
-    base = params.join(variates, "idx", "full_outer").join(sums, "idx", "full_outer").withColumn("t", totals)
-    value = lambda name: F.coalesce(name, F.lit(0.0))
-    means = [
-        ((value(f"w_{c}") * F.col("t.keep") - value(f"g_{c}") * F.col("t.drift") + value(f"s_{c}")) / F.col("t.total")).alias(f"w_{c}")
-        for c in range(classes)
-    ]
-    return base.where(F.col("t.total").isNotNull()).select("idx", *means)
-
-
-def parameter_mixing(
-    documents: DataFrame, features: DataFrame, doc: str, key: str, label: str, fit: Fit, rounds: int,
-    algorithm: str = "fedavg", fraction: float = 1.0, min_keys: int = 1, server_lr: float = 1.0, lr_decay: float = 1.0,
-    prior_reference: str = "none", adam: dict | None = None, validation: tuple[DataFrame, DataFrame] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Rounds of local training on a sample of keys followed by one server step.
-
-    Returns the parameter table and a history with one row per round: sampled keys, steps, example-weighted loss, and
-    the loss and metrics on ``validation`` (documents, features) if given. A round is a fixed number of Spark jobs; its
-    parameters are written to the checkpoint folder.
-    """
-    if algorithm not in ALGORITHMS:
-        raise ValueError(f"unknown algorithm {algorithm!r}; known: {ALGORITHMS}")
-    if algorithm == "scaffold" and (fit.momentum or fit.weight_decay or fit.mu):
-        raise ValueError("control variates need plain SGD: no momentum, weight decay or proximal term")
-    if algorithm != "fedprox":
-        fit = replace(fit, mu=0.0)
-    classes = fit.classes
-    spark = documents.sparkSession
-    extra = []
-    if algorithm == "fedavg_la":
-        counts = key_label_counts(documents, key, label, classes)
-        reference = global_prior(counts, classes) if prior_reference == "global" else None
-        offsets = label_prior_offset(counts, classes, reference).select(key, "offset")
-        documents, extra = attach(documents, offsets, [key]), ["offset"]
-    rows = cut_lineage(training_rows(documents, features, doc, key, label, extra))
-    keys = rows.select("key").distinct()
-    num_keys = keys.count()
-    sampled = cut_lineage(sample_keys_per_round(keys, "key", fraction, min_keys, fit.seed, rounds))
-    empty = "idx int, " + ", ".join(f"{{0}}_{c} double" for c in range(classes))
-    params = spark.createDataFrame([], empty.format("w"))
-    variates = spark.createDataFrame([], empty.format("g"))
-    local = spark.createDataFrame([], f"key {dict(rows.dtypes)['key']}, " + empty.format("l"))
-    state = spark.createDataFrame([], "layer string, class int, idx int, m double, v double")
-    history = None
-    for number in range(1, rounds + 1):
-        lr = fit.lr * lr_decay ** (number - 1)
-        now = replace(fit, lr=lr, seed=f"{fit.seed}|{number}")
-        chosen = sampled.where(F.col("round") == number).select("key")
-        active = rows.join(chosen, "key", "left_semi")
-        start = start_table(active, params, classes, variates, local)
-        trained = cut_lineage(train_per_key(active, start, now))
-        mean = to_long(_mean_update(trained, params, variates, classes, algorithm == "scaffold"), classes)
-        current = to_long(params, classes)
-        if algorithm == "fedadam":
-            stepped = cut_lineage(step_fedadam(current, mean, state, server_lr, **(adam or {})))
-            state = stepped.select("layer", "class", "idx", "m", "v")
-            new_params = stepped.select("layer", "class", "idx", "value")
-        else:
-            new_params = step_fedavg(current, mean, server_lr)
-        if algorithm == "scaffold":
-            old = start.select("key", "idx", *[f"{p}_{c}" for p in "wgl" for c in range(classes)])
-            old = old.withColumnsRenamed({f"w_{c}": f"b_{c}" for c in range(classes)})
-            ended = trained.select("key", "idx", "steps", *_columns("w", classes)).join(old, ["key", "idx"])
-            fresh = [
-                (F.col(f"l_{c}") - F.col(f"g_{c}") + (F.col(f"b_{c}") - F.col(f"w_{c}")) / (F.col("steps") * lr)) for c in range(classes)
-            ]
-            changed = cut_lineage(
-                ended.select(
-                    "key", "idx", *[fresh[c].alias(f"l_{c}") for c in range(classes)],
-                    *[(fresh[c] - F.col(f"l_{c}")).alias(f"s_{c}") for c in range(classes)],
-                )
-            )
-            local = cut_lineage(
-                local.join(chosen, "key", "left_anti").unionByName(changed.select("key", "idx", *_columns("l", classes)))
-            )
-            sums = changed.groupBy("idx").agg(*[(F.sum(f"s_{c}") / num_keys).alias(f"s_{c}") for c in range(classes)])
-            variates = cut_lineage(
-                variates.join(sums, "idx", "full_outer").select(
-                    "idx", *[(F.coalesce(f"g_{c}", F.lit(0.0)) + F.coalesce(f"s_{c}", F.lit(0.0))).alias(f"g_{c}") for c in range(classes)]
-                )
-            )
-        params = cut_lineage(to_wide(new_params, classes))
-        row = per_key_stats(trained).agg(
-            F.lit(number).alias("round"), F.lit(lr).alias("lr"), F.count(F.lit(1)).alias("reported"),
-            F.sum("steps").alias("steps"), (F.sum(F.col("train_loss") * F.col("n")) / F.sum("n")).alias("train_loss"),
-        )
-        if validation is not None:
-            scored = score_linear(validation[0], validation[1], to_long(params, classes), doc, classes)
-            measured = evaluate(scored, label, classes).select(
-                *[F.col(c).alias(f"val_{c}") for c in ("loss", "accuracy", "macro_f1")]
-            )
-            row = row.withColumn("one", F.lit(1)).join(measured.withColumn("one", F.lit(1)), "one").drop("one")
-        history = row if history is None else history.unionByName(row)
-    return to_long(params, classes), history
+    for metric in ("accuracy", "macro_f1"):
+        spread = dispersion(measured, f"client_test_{metric}").withColumn("metric", F.lit(f"client_test_{metric}"))
+        spreads = spread if spreads is None else spreads.unionByName(spread)
+    return results.join(measured, "key", "left"), spreads

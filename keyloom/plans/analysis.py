@@ -25,16 +25,9 @@ class FlagRule:
 
 
 def flagged_terms(documents: DataFrame, uses: DataFrame, doc: str, key: str, score: str, rule: FlagRule, seed: object) -> DataFrame:
-    """Decomposition, permutation null and flags of every term.
-
-    Only supported terms are put through the null, because unsupported ones are never flagged.
-    """
+    """Decomposition, permutation null and flags of every term."""
     decomposition = cut_lineage(association.association_decomposition(documents, uses, key, score))
-    supported = decomposition.where(
-        (F.col("document_frequency") >= rule.min_document_frequency)
-        & (F.col("client_frequency") >= rule.min_client_frequency)
-    )
-    null = association.permutation_null(documents, uses, supported, doc, key, score, rule.repeats, seed)
+    null = association.permutation_null(documents, uses, decomposition, doc, key, score, rule.repeats, seed)
     return cut_lineage(
         association.flag_terms(
             decomposition, null, rule.repeats, rule.min_document_frequency, rule.min_client_frequency, rule.fdr

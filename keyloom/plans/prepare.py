@@ -28,7 +28,7 @@ class Preparation:
     role_fractions: tuple[float, float, float] = (0.8, 0.1, 0.1)
     role_seed: int = 0
     min_df: int = 2
-    max_features: int | None = 5000
+    max_features: int | None = None
     ngram_low: int = 1
     ngram_high: int = 2
     sublinear: bool = True

@@ -49,12 +49,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Small inputs in few files are dealt out to all cores; a table with enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def ship_with_tasks(module: ModuleType) -> None:
     """Functions of ``module`` travel inside the job, so executors need no installed copy of the package."""
     cloudpickle.register_pickle_by_value(module)

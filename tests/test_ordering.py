@@ -57,7 +57,9 @@ def test_percentiles_and_mid_ranks_match_numpy(spark, values):
 def test_running_totals_cross_block_borders(spark):
     rows = [(i % 2, float((i * 37) % 101), i) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, v double, id int")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # keep eight sort partitions
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     try:
         placed = ordered(df, ["g"], ["v", "id"])
         assert placed.select("__block").distinct().count() > 4
@@ -65,6 +67,7 @@ def test_running_totals_cross_block_borders(spark):
         both = running(up, ["g"], "rank", F.col("v") % 10, "min", "least", backward=True).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
     for g in (0, 1):
         own = sorted((v, i) for k, v, i in rows if k == g)
         mine = sorted([r for r in both if r.g == g], key=lambda r: r["rank"])
