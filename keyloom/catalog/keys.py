@@ -307,13 +307,17 @@ def quantity_skew_assign(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_([KEYED_LABELS, "n AS (SELECT count(*) AS n FROM keyed_labels)"], """
-SELECT n // 70 + 1 AS size, n % 70 AS clients FROM n WHERE n % 70 > 0
-UNION ALL SELECT n // 70, 70 - n % 70 FROM n"""))
+SELECT 'clients' AS part, n // 70 + 1 AS size, n % 70 AS number FROM n WHERE n % 70 > 0
+UNION ALL SELECT 'clients', n // 70, 70 - n % 70 FROM n
+UNION ALL SELECT 'rows of class', label, count(*) FROM keyed_labels GROUP BY label"""))
 def dirichlet_equal_assign(spark: SparkSession, sf: str) -> DataFrame:
-    """Client sizes under strong label skew: equal up to one."""
-    assigned = assign.dirichlet_equal_assign(keyed_labels(spark, sf), "row_id", "label", 70, 0.1, 43)
+    """Client sizes under strong label skew, equal up to one, and the rows of each class that have one client."""
+    rows = keyed_labels(spark, sf)
+    assigned = assign.dirichlet_equal_assign(rows, "row_id", "label", 70, 0.1, 43)
     sizes = assigned.groupBy("client").agg(F.count(F.lit(1)).alias("size"))
-    return sizes.groupBy("size").agg(F.count(F.lit(1)).alias("clients"))
+    clients = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("number")).select(F.lit("clients").alias("part"), "size", "number")
+    classes = assigned.join(rows, "row_id").groupBy("label").agg(F.count_distinct("row_id").alias("number"))
+    return clients.unionByName(classes.select(F.lit("rows of class").alias("part"), F.col("label").cast("long").alias("size"), "number"))
 
 
 NATURAL = [

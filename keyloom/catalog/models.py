@@ -338,15 +338,13 @@ def side_sql(name: str) -> list[str]:
 
 
 @query(with_([KEYED_LABELS, SIDES, *side_sql("pool"), *side_sql("cell"),
-              """spread AS (
-                SELECT side, count(macro_f1) AS count, avg(macro_f1) AS mean, stddev_samp(macro_f1) AS std, min(macro_f1) AS worst,
-                       max(macro_f1) - min(macro_f1) AS spread FROM measured_cell GROUP BY side)""",
+              f"spread AS (SELECT side, {dispersion_sql('macro_f1')} FROM measured_cell GROUP BY side)",
               "s AS (SELECT * FROM measured_pool JOIN spread USING (side) WHERE side = 'seen')",
               "u AS (SELECT * FROM measured_pool JOIN spread USING (side) WHERE side = 'unseen')"],
              "SELECT " + ", ".join(
                  f"{t}.n AS {name}_n, {t}.count AS {name}_key_count, " + ", ".join(
                      f"{r(f'{t}.{c}')} AS {name}_{c}" for c in ("accuracy", "macro_f1")) + ", " + ", ".join(
-                     f"{r(f'{t}.{c}')} AS {name}_key_{c}" for c in ("mean", "std", "worst", "spread"))
+                     f"{r(f'{t}.{c}')} AS {name}_key_{c}" for c in SPREAD)
                  for t, name in (("s", "seen"), ("u", "unseen")))
              + f", {r('s.macro_f1 - u.macro_f1')} AS gap_macro_f1, {r('s.accuracy - u.accuracy')} AS gap_accuracy FROM s, u"))
 def generalization_report(spark: SparkSession, sf: str) -> DataFrame:

@@ -130,9 +130,9 @@ def cleaning_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fingerprint_sql(source: str, columns: list[str]) -> str:
-    cells = ", ".join(f"coalesce('v' || {c}, 'n')" for c in columns)
+    cells = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in columns)
     sums = ", ".join(f"sum({word('d', w)})::VARCHAR AS w{w}" for w in range(4))
-    return f"""WITH rows_ AS (SELECT md5(concat_ws('|', {cells})) AS d FROM {source}),
+    return f"""WITH rows_ AS (SELECT md5({cells}) AS d FROM {source}),
     sums AS (SELECT count(*) AS rows, {sums} FROM rows_)
     SELECT rows, sha256(concat_ws('|', rows, w0, w1, w2, w3)) AS fingerprint FROM sums"""
 

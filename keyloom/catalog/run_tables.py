@@ -133,12 +133,12 @@ def run_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(with_([RUNS, FINISHED], f"""
-SELECT run_dir, 'missing file final.json' AS problem FROM runs WHERE seed = 7 AND condition = 'A'
-UNION ALL SELECT run_dir, 'field ''torch'' is empty' FROM finished WHERE seed = 1
-UNION ALL SELECT run_dir, 'official run without a clean git commit' FROM finished WHERE seed IN (0, 2)
-UNION ALL SELECT run_dir, 'missing file clients.json' FROM finished WHERE {FED} AND seed = 6
-UNION ALL SELECT run_dir, 'alpha not recorded for a Dirichlet partition' FROM finished WHERE {FED} AND cell = 'O' AND seed = 3
-UNION ALL SELECT run_dir, 'realized client class counts not saved' FROM finished WHERE seed = 5"""))
+SELECT run_dir, 'no final.json' AS problem FROM runs WHERE seed = 7 AND condition = 'A'
+UNION ALL SELECT run_dir, 'torch: no value' FROM finished WHERE seed = 1
+UNION ALL SELECT run_dir, 'git: an official run needs a clean commit' FROM finished WHERE seed IN (0, 2)
+UNION ALL SELECT run_dir, 'no clients.json' FROM finished WHERE {FED} AND seed = 6
+UNION ALL SELECT run_dir, 'alpha: needed for this partition' FROM finished WHERE {FED} AND cell = 'O' AND seed = 3
+UNION ALL SELECT run_dir, 'class counts: none for any client' FROM finished WHERE seed = 5"""))
 def validate_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.validate_runs(parsed(spark, sf))
 
@@ -183,11 +183,11 @@ def comparability_checks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_([RUNS, FINISHED, "groups_ AS (SELECT DISTINCT cell, algorithm FROM finished)",
               "seed_counts AS (SELECT cell, algorithm, count(DISTINCT seed) AS n FROM finished GROUP BY ALL)"], """
-SELECT 'exp-' || cell AS experiment_id, algorithm, n || ' seeds; 8 required' AS reason FROM seed_counts WHERE n <> 8
-UNION ALL SELECT 'exp-' || cell, algorithm, 'dataset revision is not pinned' FROM groups_ WHERE cell = 'F'
-UNION ALL SELECT 'exp-' || cell, algorithm, 'no git commit' FROM groups_
-UNION ALL SELECT 'exp-' || cell, algorithm, 'uncommitted changes' FROM groups_
-UNION ALL SELECT 'exp-' || cell, algorithm, 'learning_rate differs from the tuned value' FROM groups_ WHERE algorithm = 'centralized'"""))
+SELECT 'exp-' || cell AS experiment_id, algorithm, 'seeds: ' || n || ' of 8' AS reason FROM seed_counts WHERE n <> 8
+UNION ALL SELECT 'exp-' || cell, algorithm, 'dataset: no revision' FROM groups_ WHERE cell = 'F'
+UNION ALL SELECT 'exp-' || cell, algorithm, 'git: no commit' FROM groups_
+UNION ALL SELECT 'exp-' || cell, algorithm, 'git: dirty' FROM groups_
+UNION ALL SELECT 'exp-' || cell, algorithm, 'learning_rate: not as tuned' FROM groups_ WHERE algorithm = 'centralized'"""))
 def admission_rules(spark: SparkSession, sf: str) -> DataFrame:
     flat = runs.collect_tables(parsed(spark, sf))["runs"]
     return runs.admission_rules(flat, ["experiment_id", "algorithm"], 8, {"learning_rate": 0.1})
@@ -282,8 +282,8 @@ def value_rounds_earlier(spark: SparkSession, sf: str) -> DataFrame:
               "per_key AS (SELECT key AS run, row_number() OVER (PARTITION BY key ORDER BY row_id) AS round, status FROM keyed_labels)",
               "ks AS (SELECT DISTINCT key AS run FROM keyed_labels)",
               "used AS (SELECT DISTINCT key AS run, prediction FROM keyed_labels)"], """
-SELECT DISTINCT key AS run, 'round without reporting client' AS anomaly FROM keyed_labels WHERE status = 'P'
-UNION ALL SELECT run, 'class never predicted' FROM ks WHERE (SELECT count(*) FROM used u WHERE u.run = ks.run) < 5"""))
+SELECT DISTINCT key AS run, 'silent round' AS anomaly FROM keyed_labels WHERE status = 'P'
+UNION ALL SELECT run, 'unused class' FROM ks WHERE (SELECT count(*) FROM used u WHERE u.run = ks.run) < 5"""))
 def anomalies(spark: SparkSession, sf: str) -> DataFrame:
     """A customer is a run, an order a round; pending orders have no reporter, price bands are predictions."""
     rows = keyed_labels(spark, sf).withColumnRenamed("key", "run")

@@ -89,7 +89,7 @@ HOLM = """holm AS (
     FROM {source}))"""
 
 
-@query(with_([*TERM_P, HOLM.format(source="tested", p="p", row="term")], f"SELECT term, {rs('p', 'p_holm')} FROM holm"))
+@query(with_([*TERM_P, HOLM.format(source="tests_", p="p", row="term")], f"SELECT term, {rs('p', 'p_holm')} FROM holm"))
 def holm(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.holm(term_p(spark, sf), "p", ["term"]), "p", "p_holm")
 

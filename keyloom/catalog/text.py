@@ -183,30 +183,6 @@ def permutation_null(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(null, "null_mean", "null_sd")
 
 
-TERM_P = [
-    ALL_WORDS, "tokens AS (SELECT doc_id, unnest(w) AS term FROM words)",
-    f"""tested AS (
-      SELECT term, CASE WHEN count(DISTINCT doc_id) > 1 THEN {word("md5(term)")} / 4294967296.0 END AS p
-      FROM tokens GROUP BY term)""",
-]
-
-
-def term_p(spark: SparkSession, sf: str) -> DataFrame:
-    """Uniform stand-ins for p-values, one per term; NULL for terms of a single document."""
-    stats = term_statistics(spark, sf)
-    return stats.select("term", F.when(F.col("df") > 1, hash_word(F.md5("term")) / 4294967296.0).alias("p"))
-
-
-@query(with_([*TERM_P,
-              "ranked AS (SELECT *, row_number() OVER (ORDER BY p, term) AS k, count(*) OVER () AS m FROM tested WHERE p IS NOT NULL)",
-              """adjusted AS (
-                SELECT term, p, least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q
-                FROM ranked UNION ALL SELECT term, NULL, NULL FROM tested WHERE p IS NULL)"""],
-             f"SELECT term, {rs('p', 'q')} FROM adjusted"))
-def benjamini_hochberg(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(association.benjamini_hochberg(term_p(spark, sf), "p", ["term"]), "p", "q")
-
-
 # twin of ``association.gap_type``: slopes of less than 1e-12 have no sign, and a difference of less than 1e-9 is none
 GAP_TYPE = """CASE WHEN {} THEN ''
   WHEN beta_pooled * beta_within < 0 AND least(abs(beta_pooled), abs(beta_within)) > 1e-12 THEN 'sign_reversed'
@@ -249,6 +225,19 @@ def flag_terms(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(flags, *numbers)
 
 
+# p-values of the structure test; NULL for terms without support
+TERM_P = [*FLAGS, "tests_ AS (SELECT term, gap_p AS p, gap_q AS q FROM flagged)"]
+
+
+def term_p(spark: SparkSession, sf: str) -> DataFrame:
+    return flagged(spark, sf).select("term", F.col("gap_p").alias("p"))
+
+
+@query(with_(TERM_P, f"SELECT term, {rs('p', 'q')} FROM tests_"))
+def benjamini_hochberg(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(association.benjamini_hochberg(term_p(spark, sf), "p", ["term"]), "p", "q")
+
+
 @query(with_([*DECOMPOSITION, f"typed AS (SELECT term, {GAP_TYPE.format('document_frequency < 10')} AS gap_type FROM decomposition)"],
              "SELECT term, gap_type, gap_type IN ('inflated', 'sign_reversed') AS candidate FROM typed"))
 def gap_type(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,12 @@ def seeded_hash(seed: object, *cols: str | Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
 
 
+def sized_cell(value: Column) -> Column:
+    """Length, colon and text of a value, or ``n`` for NULL: cells of different values differ, also when joined."""
+    text = value.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
 def hash_word(digest: Column, word: int = 0) -> Column:
     """The ``word``-th 32-bit word (8 hex digits) of a hex digest as a non-negative long."""
     return F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("long")

@@ -21,8 +21,6 @@ from keyloom.session import cut_lineage
 
 # A group with more rows than this is ranked in several hash ranges.
 ROWS_PER_RANGE = 1_000_000
-# Ranges used when the whole table is one group: 3 hex digits, so the offset table has at most 4096 rows.
-GLOBAL_RANGE_DIGITS = 3
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -60,7 +58,8 @@ def hash_rank(
     order = ["__hash", *row]
     hashed = df.withColumn("__hash", seeded_hash(seed, *row))
     if not by:
-        hashed = hashed.withColumn("__range", F.substring("__hash", 1, GLOBAL_RANGE_DIGITS))
+        wanted = max(1, -(-df.count() // rows_per_range))  # one range for every ``rows_per_range`` rows
+        hashed = hashed.withColumn("__range", F.shiftright(hash_word(F.col("__hash")) * F.lit(wanted), 32))
         ranges = hashed.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
         before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
         ranges = ranges.select(
@@ -69,8 +68,7 @@ def hash_rank(
             F.sum("__n").over(Window.partitionBy(F.lit(1))).alias(size),
         )
         ranked = hashed.withColumn("__pos", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-        # at most 16 ** GLOBAL_RANGE_DIGITS rows
-        ranked = ranked.join(F.broadcast(ranges), "__range")
+        ranked = ranked.join(ranges, "__range")
         return ranked.withColumn(rank, F.col("__pos") + F.col("__before")).drop("__hash", "__range", "__pos", "__before")
 
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__size"))

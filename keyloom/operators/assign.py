@@ -98,27 +98,53 @@ def quantity_skew_assign(
     return _from_cuts(df, row, None, cuts, seed), draws
 
 
+def fitted(preferences: np.ndarray, rows: np.ndarray, columns: np.ndarray, passes: int = 500) -> np.ndarray:
+    """Scales a positive table until its row and column sums are the given ones (iterative proportional fitting)."""
+    table = preferences.astype(float)
+    for _ in range(passes):
+        table *= (columns / table.sum(axis=0))[None, :]
+        table *= (rows / table.sum(axis=1))[:, None]
+    return table
+
+
+def rounded_table(table: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Whole numbers near ``table`` with exactly these row and column sums.
+
+    Everything is rounded down first. Column by column, the one with the most units missing first, units go to the rows that
+    miss most, then to those with the largest remainders.
+    """
+    whole = np.floor(table + 1e-9).astype(np.int64)
+    excess = np.maximum(whole.sum(axis=0) - columns, 0)
+    for j in np.flatnonzero(excess):  # a fit that has not settled: take back from the largest cells
+        for i in np.argsort(-whole[:, j], kind="stable")[: excess[j]]:
+            whole[i, j] -= 1
+    missing, open_rows = columns - whole.sum(axis=0), rows - whole.sum(axis=1)
+    for j in np.argsort(-missing, kind="stable"):
+        while missing[j] > 0:
+            order = np.lexsort((-(table[:, j] - whole[:, j]), -open_rows))
+            served = order[: missing[j]][open_rows[order[: missing[j]]] > 0]
+            whole[served, j] += 1
+            open_rows[served] -= 1
+            missing[j] -= len(served)
+    return whole
+
+
 def equal_size_plan(counts: dict, clients: int, alpha: float, seed: object) -> dict:
     """Rows of each class given to each client, as running edges per class.
 
-    Clients are served in a seeded order from the remaining stock; what a class cannot supply is drawn again
-    from the classes that still have rows.
+    All clients draw their class preferences at once. The table of preferences is fitted to the class totals and to client
+    sizes that differ by one at most, and rounded without changing either.
     """
     rng = np.random.default_rng(derive_seed("assign", seed))
-    stock = np.array(list(counts.values()), dtype=np.int64)
-    total, order = int(stock.sum()), rng.permutation(clients)
-    plan = np.zeros((clients, len(stock)), dtype=np.int64)
-    for position, client in enumerate(order):
-        open_places = total // clients + (position < total % clients)
-        preference = rng.dirichlet(np.full(len(stock), alpha))
-        while open_places:
-            live = stock > 0
-            chance = preference * live
-            chance = chance / chance.sum() if chance.sum() > 0 else live / live.sum()
-            given = np.minimum(stock, rng.multinomial(open_places, chance))
-            plan[client] += given
-            stock = stock - given
-            open_places -= int(given.sum())
+    totals = np.array(list(counts.values()), dtype=np.int64)
+    sizes = np.full(clients, totals.sum() // clients) + (rng.permutation(clients) < totals.sum() % clients)
+    shares = rng.dirichlet(np.full(len(totals), alpha), size=clients) * totals + 1e-9 * totals.sum()
+    held = np.flatnonzero(totals)
+    plan = np.zeros((clients, len(totals)), np.int64)
+    full = sizes > 0
+    if full.any():
+        some = fitted(shares[np.ix_(full, held)], sizes[full], totals[held])
+        plan[np.ix_(full, held)] = rounded_table(some, sizes[full], totals[held])
     return {c: np.concatenate([[0], np.cumsum(plan[:, j])]) for j, c in enumerate(counts)}
 
 
@@ -147,7 +173,7 @@ def describe_assignment(
 
 
 def _digest_sums(digest: Column) -> list[Column]:
-    return [F.sum(hash_word(digest, w)).alias(f"__w{w}") for w in range(4)]
+    return [F.sum(hash_word(digest, w).cast("decimal(38,0)")).alias(f"__w{w}") for w in range(4)]
 
 
 def client_fingerprints(assignment: DataFrame, row: str) -> DataFrame:

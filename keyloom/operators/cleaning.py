@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.hashing import sized_cell
 from keyloom.functions.text import strip
 
 # Fixed value: rules in the order in which they apply.
@@ -54,8 +55,8 @@ def valid_records(classified: DataFrame) -> DataFrame:
 
 
 def duplicate_key(columns: Sequence[str]) -> Column:
-    """Digest that stands for the compared columns, so that long texts are not shuffled."""
-    return F.sha2(F.concat_ws("\x1f", *columns), 256)
+    """Digest that stands for the compared columns, so that long texts are not shuffled; NULL equals NULL only."""
+    return F.sha2(F.concat(*[sized_cell(F.col(c)) for c in columns]), 256)
 
 
 def dedup_keep_first(df: DataFrame, columns: Sequence[str], order: str) -> DataFrame:

@@ -103,7 +103,7 @@ def generalization_report(
     for name in ("seen", "unseen"):
         for column in ("n", "accuracy", "macro_f1"):
             picked.append(F.max(F.when(F.col(side) == name, F.col(column))).alias(f"{name}_{column}"))
-        for column in ("count", "mean", "std", "worst", "spread"):
+        for column in ("count", "mean", "median", "std", "p10", "worst", "best", "iqr", "spread"):
             picked.append(F.max(F.when(F.col(side) == name, F.col(column))).alias(f"{name}_key_{column}"))
     report = joined.groupBy(*models).agg(*picked)
     return report.withColumn("gap_macro_f1", F.col("seen_macro_f1") - F.col("unseen_macro_f1")).withColumn(

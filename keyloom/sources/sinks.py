@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import time
 from collections.abc import Sequence
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.functions.hashing import hash_word
+from keyloom.functions.hashing import hash_word, sized_cell
 from keyloom.session import ship_with_tasks
 
 
@@ -20,22 +21,21 @@ ship_with_tasks(sys.modules[__name__])
 
 
 def row_digest(cols: Sequence[str]) -> Column:
-    """Digest of one row; a NULL differs from every value."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]
-    return F.md5(F.concat_ws("|", *parts))
+    """Digest of one row. Each cell is its length, a colon and its text, or ``n`` for NULL, so different rows never read alike."""
+    return F.md5(F.concat(F.lit(""), *[sized_cell(F.col(c)) for c in cols]))
 
 
 def table_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Row count and content digest, independent of row order and partitioning.
 
-    Row digests are added up word by word, so the aggregation keeps five numbers per task. Include a position
-    column to make the order count.
+    Row digests are added up word by word as decimals, which no number of rows overflows, so the aggregation keeps five
+    numbers per task. Include a position column to make the order count.
     """
     cols = list(cols or df.columns)
     digests = df.select(row_digest(cols).alias("d"))
     sums = digests.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.coalesce(F.sum(hash_word(F.col("d"), w)), F.lit(0)).cast("string").alias(f"w{w}") for w in range(4)],
+        *[F.coalesce(F.sum(hash_word(F.col("d"), w).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"w{w}") for w in range(4)],
     )
     return sums.select("rows", F.sha2(F.concat_ws("|", "rows", "w0", "w1", "w2", "w3"), 256).alias("fingerprint"))
 
@@ -46,16 +46,28 @@ def _file_system(df: DataFrame, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Materialises ``df`` as Parquet unless a complete copy is there; an incomplete copy is set aside, not deleted."""
+def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = (), source: str | None = None) -> DataFrame:
+    """Materialises ``df`` as Parquet unless a complete copy is there; an incomplete copy is set aside, not deleted.
+
+    ``source`` says what the copy was made from (a fingerprint, limits, a version). It is kept in a manifest beside the copy;
+    a complete copy made from something else is refused. Without it, only the columns are compared.
+    """
+    spark = df.sparkSession
     files, target = _file_system(df, path)
-    new_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    made_from = f"{source or ''}\n{', '.join(sorted(f'{name} {kind}' for name, kind in df.dtypes))}"
+    digest = hashlib.sha256(made_from.encode()).hexdigest()
+    manifest = f"{path}.manifest"
     if files.exists(target):
-        if files.exists(new_path(target, "_SUCCESS")):
-            return df.sparkSession.read.parquet(path)
+        if files.exists(new_path(target, "_SUCCESS")) and files.exists(new_path(new_path(manifest), "_SUCCESS")):
+            kept = spark.read.text(manifest).first()[0]
+            if kept != digest:
+                raise RuntimeError(f"{path} was made from another source: its manifest has {kept[:12]}, not {digest[:12]}")
+            return spark.read.parquet(path)
         files.rename(target, new_path(f"{path}.incomplete-{time.time_ns()}"))
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(manifest)
+    return spark.read.parquet(path)
 
 
 def write_bucketed_once(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:

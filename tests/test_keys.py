@@ -165,6 +165,14 @@ def test_equal_size_dirichlet(frame):
     assert sizes_of(odd) == [100] * 7 + [101] * 3
 
 
+@pytest.mark.parametrize("counts, clients, alpha", [({0: 7, 1: 0, 2: 500}, 9, 0.05), ({"a": 3}, 5, 1.0), ({0: 1, 1: 1, 2: 1}, 7, 0.1), ({0: 90, 1: 10, 2: 1000}, 40, 100.0)])
+def test_equal_size_plans_use_every_row_once(counts, clients, alpha):
+    plan = assign.equal_size_plan(counts, clients, alpha, 3)
+    given = np.array([np.diff(edges) for edges in plan.values()])
+    assert (given >= 0).all() and given.sum(axis=1).tolist() == list(counts.values())
+    assert given.sum(axis=0).max() - given.sum(axis=0).min() <= 1
+
+
 def test_quantity_skew(frame):
     assigned, _ = assign.quantity_skew_assign(two_classes(frame), "row", 6, 0.5, 3, min_size=5)
     assert sum(sizes_of(assigned)) == 4000 and sizes_of(assigned)[0] >= 5 and len(set(sizes_of(assigned))) > 3
