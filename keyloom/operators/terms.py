@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.ordering import ordered
 from keyloom.functions.text import ngrams, tokens
+from keyloom.session import cut_lineage
+
+# Rows of a term table that are broadcast at most.
+BROADCAST_TERMS = 1_000_000
 
 
 def _grams(text: str, low: int, high: int):
@@ -56,9 +60,9 @@ def select_vocabulary(stats: DataFrame, min_df: int = 1, max_features: int | Non
         return ordered(kept, [], ["term"], rank="idx").select(
             "term", (F.col("idx") - 1).cast("int").alias("idx"), "tf", "df"
         )
-    top = kept.orderBy(F.desc("tf"), F.asc("term")).limit(max_features)
-    # at most max_features rows
-    return top.withColumn("idx", F.row_number().over(Window.orderBy("term")) - 1).select("term", "idx", "tf", "df")
+    placed = ordered(kept, [], [F.desc("tf"), F.asc("term")], rank="__place")
+    top = placed.where(F.col("__place") <= max_features).select("term", "tf", "df")
+    return ordered(top, [], ["term"], rank="idx").select("term", (F.col("idx") - 1).cast("int").alias("idx"), "tf", "df")
 
 
 def with_idf(vocabulary: DataFrame, documents: DataFrame) -> DataFrame:
@@ -87,18 +91,41 @@ def tfidf_transform(
 ) -> DataFrame:
     """L2-normalised TF-IDF rows ``(doc, idx, value)``; documents without a known term have no row.
 
-    Words are matched to the vocabulary before anything is shuffled; one shuffle on the document then serves
-    both the counts and the norm.
+    Terms are counted per document first, in the shuffle that the norm needs as well. The vocabulary then meets one row per
+    document and term: broadcast if it has at most ``BROADCAST_TERMS`` terms, else the terms that most documents use are
+    broadcast and only the others are shuffled.
     """
-    words = df.select(doc, F.explode_outer(_grams(text, low, high)).alias("term"))
-    known = words.join(vocabulary.select("term", "idx", "idf"), "term").select(doc, "idx", "idf").repartition(doc)
-    counts = known.groupBy(doc, "idx").agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    words = df.select(doc, F.explode_outer(_grams(text, low, high)).alias("term")).where(F.col("term").isNotNull())
+    counts = words.repartition(doc).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
+    known = match_terms(counts, vocabulary.select("term", "idx", "idf", "df"), "term", "df").select(doc, "idx", "tf", "idf")
     weight = (1.0 + F.log("tf")) if sublinear else F.col("tf").cast("double")
-    weighted = counts.select(doc, "idx", (weight * F.col("idf")).alias("value"))
+    weighted = known.select(doc, "idx", (weight * F.col("idf")).alias("value"))
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "idx", (F.col("value") / norm).alias("value"))
 
 
+def match_terms(uses: DataFrame, table: DataFrame, on: str, frequency: str) -> DataFrame:
+    """``uses`` joined with a table of one row per ``on``, without sending a frequent value's uses to one task.
+
+    A small table is broadcast after its rows are counted. Of a larger one, the ``BROADCAST_TERMS`` rows of highest
+    ``frequency`` or fewer are broadcast, down to a power of two; the uses of the rest, each rare, are shuffled.
+    """
+    table = cut_lineage(table)
+    if table.count() <= BROADCAST_TERMS:
+        return uses.join(F.broadcast(table.drop(frequency)), on)
+    sizes = table.groupBy(F.floor(F.log2(F.greatest(frequency, F.lit(1)))).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
+    held, floor = 0, 63
+    for row in sorted(sizes, key=lambda r: -r["level"]):
+        held += row["n"]
+        if held > BROADCAST_TERMS:
+            break
+        floor = row["level"]
+    frequent = F.col(frequency) >= F.lit(2.0) ** floor
+    common, rare = table.where(frequent).drop(frequency), table.where(~frequent).drop(frequency)
+    rest = uses.join(F.broadcast(common.select(on)), on, "left_anti")
+    return uses.join(F.broadcast(common), on).unionByName(rest.join(rare, on))
+
+
 def incidence(features: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Binary presence of each feature; ``features`` has at most one row per document and index."""
     return features.where(F.col("value") != 0).select(doc, "idx", F.lit(1).alias("z"))

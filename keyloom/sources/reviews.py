@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions.ordering import ordered
 from keyloom.sources.sinks import table_fingerprint
 
 
@@ -25,8 +26,8 @@ def read_review_lines(spark: SparkSession, path: str, max_records: int | None =
 
 
 def head_records(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
-    """The first ``n`` records in source order."""
-    return df.orderBy(seq).limit(n)
+    """The first ``n`` records in source order, by their rank in one distributed sort."""
+    return ordered(df, [], [seq], rank="__nth").where(F.col("__nth") <= n).select(*df.columns)
 
 
 def source_fingerprint(spark: SparkSession, path: str) -> DataFrame:
@@ -34,47 +35,38 @@ def source_fingerprint(spark: SparkSession, path: str) -> DataFrame:
     return table_fingerprint(spark.read.text(path), ["value"])
 
 
-def _field(name: str, kind: str) -> Column:
-    return F.try_variant_get("json", f"$.{name}", kind)
+FIELDS = ("rating", "user_id", "parent_asin", "title", "text")
 
 
-def _kind(name: str) -> Column:
-    return F.schema_of_variant(_field(name, "variant"))
+def _number(json: Column) -> Column:
+    return json.rlike("^-?[0-9]")
 
 
-def _number(kind: Column) -> Column:
-    return kind.rlike("^(DECIMAL|BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT)")
-
-
-def _text(name: str) -> Column:
+def _text(json: Column, text: Column) -> Column:
     """The field as text; NULL where it is absent, null, empty, zero, false or an empty list or object."""
-    kind, text = _kind(name), _field(name, "string")
     present = (
-        F.when(kind == "STRING", text != "")
-        .when(kind == "BOOLEAN", _field(name, "boolean"))
-        .when(_number(kind), _field(name, "double") != 0)
-        .when(kind.isNull() | (kind == "VOID"), F.lit(False))
-        .otherwise(~F.to_json(_field(name, "variant")).isin("[]", "{}"))
+        F.when(json.startswith('"'), text != "")
+        .when(_number(json), json.try_cast("double") != 0)
+        .otherwise(~json.isin("null", "false", "[]", "{}"))
     )
-    return F.when(present, F.coalesce(text, F.to_json(_field(name, "variant"))))
+    return F.when(present, F.coalesce(text, json))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Typed fields of each line's ``value``, other columns unchanged. A rating counts by its JSON type: ``"5"`` is none."""
+    """Typed fields of each line's ``value``, other columns unchanged. A rating counts by its JSON type: ``"5"`` is none.
+
+    Each field is taken out of the parsed line once, as JSON and as text; what follows are decisions on plain strings.
+    """
     rest = [c for c in lines.columns if c != "value"]
-    json = lines.withColumn("json", F.try_parse_json("value"))
-    kind = _kind("rating")
-    rating = F.when(_number(kind), _field("rating", "double")).when(
-        kind == "BOOLEAN", _field("rating", "boolean").cast("int").cast("double")
-    )
-    is_object = F.coalesce(F.schema_of_variant("json").startswith("OBJECT"), F.lit(False))
-    return json.select(
-        *rest,
-        is_object.alias("is_object"),
-        rating.alias("rating"),
-        _text("user_id").alias("user_id"),
-        _text("parent_asin").alias("parent_asin"),
-        _text("title").alias("title"),
-        _text("text").alias("text"),
-        _field("timestamp", "long").alias("timestamp"),
-    )
+    parsed = lines.select(*rest, F.try_parse_json("value").alias("json"))
+    fields = [F.try_variant_get("json", f"$.{name}", "variant").alias(f"v_{name}") for name in FIELDS]
+    time = F.try_variant_get("json", "$.timestamp", "long").alias("timestamp")
+    is_object = F.coalesce(F.schema_of_variant("json").startswith("OBJECT"), F.lit(False)).alias("is_object")
+    taken = parsed.select(*rest, is_object, time, *fields)
+    plain = [F.to_json(f"v_{name}").alias(f"j_{name}") for name in FIELDS]
+    plain += [F.try_variant_get(f"v_{name}", "$", "string").alias(f"s_{name}") for name in FIELDS[1:]]
+    cells = taken.select(*rest, "is_object", "timestamp", *plain)
+    number = F.when(_number(F.col("j_rating")), F.col("j_rating").try_cast("double"))
+    rating = F.when(F.col("j_rating") == "true", 1.0).when(F.col("j_rating") == "false", 0.0).otherwise(number)
+    texts = [_text(F.col(f"j_{name}"), F.col(f"s_{name}")).alias(name) for name in FIELDS[1:]]
+    return cells.select(*rest, "is_object", rating.alias("rating"), *texts, "timestamp")
