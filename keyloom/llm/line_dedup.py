@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, ascii_lower, few, keep, text_batches
+from keyloom.llm.common import WORD, few, keep, text_batches
 
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
@@ -26,13 +26,15 @@ CHUNK, ROWS = 1 << 18, 600_000
 PART_ROWS = 300_000
 # A word whose bucket has more occurrences than this meets only together with a second shared word.
 HOT = 5_000_000
-# Earlier candidates that a line sends for each of its words in the first round; the rest follow if none of them matches.
+# Best candidates that a line sends for each of its words in the first round; the rest follow if none of them matches.
 FIRST_CANDIDATES = 8
-# Removed lines whose places are broadcast; if there are more, documents are shuffled to them.
+# Words of 64 parity bits by which candidates are filtered before their texts are fetched.
+WIDE = 4
+# Removed lines whose places, and words of undecided lines that, are broadcast; more of them are shuffled or not singled out.
 MOST_SENT = 1_000_000
 # Pairs that are filtered at once.
 PAIRS = 1 << 20
-INDEX = [("word", np.uint64), ("sid", np.uint64), ("sig", np.uint64), ("oid", np.int64), ("line", np.uint32), ("size", np.uint32), ("pos", np.uint32), ("asks", np.uint8)]
+INDEX = [("word", np.uint64), ("sid", np.uint64), ("sig", np.uint64), ("sig2", np.uint64), ("oid", np.int64), ("line", np.uint32), ("size", np.uint32), ("pos", np.uint32), ("asks", np.uint8)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -63,8 +65,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(line, word hash of 48 bits) of all words: polynomials of their bytes, as differences of one running sum."""
+def _words(text: bytes, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(line, word hash of 48 bits, or of 64) of all words: polynomials of their bytes, as differences of one running sum."""
     data = np.frombuffer(text, np.uint8)
     blank = np.ones(len(data) + 2, bool)
     blank[1:-1] = _SPACE[data]
@@ -73,7 +75,8 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
     inverse = _powers(pow(_BASE, -1, 1 << 64), len(data))
-    hashes = _mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64)) >> np.uint64(16)
+    hashes = _mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
+    hashes = hashes if whole else hashes >> np.uint64(16)
     cuts = np.searchsorted(begins, np.flatnonzero(data == 10))
     lines = np.repeat(np.arange(len(cuts) + 1), np.diff(np.concatenate([[0], cuts, [len(begins)]])))
     return lines, hashes
@@ -144,11 +147,15 @@ def _identified(docs: DataFrame, row: str, text: str) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """One pass over (oid, text): rows (oid, line, sid) of all lines with words, and rows (bucket, n) of words per bucket."""
+    """One pass over (oid, text): rows (oid, line, sid, size, p0..p3) of all lines with words, and rows (bucket, n) of words per bucket.
+
+    p0..p3 are 256 parities: each word flips one bit, so bits that differ between two lines are words that differ.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
-        names = ["oid", "line", "sid", "bucket", "n"]
+        parities = [f"p{i}" for i in range(WIDE)]
+        names = ["oid", "line", "sid", "size", *parities, "bucket", "n"]
         for batch, texts in text_batches(batches, "text"):
             for data, owners, numbers in _chunks(texts, batch.column("oid").to_pylist()):
                 lines, codes = _sets(*_words(data))
@@ -159,13 +166,17 @@ def _lines(docs: DataFrame) -> DataFrame:
                 sizes = np.diff(np.append(begins, len(lines)))
                 at = lines[begins]
                 sid = _set_ids(codes, begins, sizes).view(np.int64)
-                empty = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(owners[at]), pa.array(numbers[at].astype(np.int32)), pa.array(sid), pa.nulls(len(at), pa.int32()), empty], names)
+                bit = np.uint64(1) << (codes & np.uint64(63))
+                group = (codes >> np.uint64(6)) & np.uint64(WIDE - 1)
+                wide = [np.bitwise_xor.reduceat(np.where(group == i, bit, np.uint64(0)), begins).view(np.int64) for i in range(WIDE)]
+                columns = [owners[at], numbers[at].astype(np.int32), sid, sizes.astype(np.int32), *wide]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names)
         some = np.flatnonzero(counts)
-        nulls = pa.nulls(len(some), pa.int64())
-        yield pa.RecordBatch.from_arrays([nulls, pa.nulls(len(some), pa.int32()), nulls, pa.array(some.astype(np.int32)), pa.array(counts[some])], names)
+        nulls = [pa.nulls(len(some), kind) for kind in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * WIDE)]
+        yield pa.RecordBatch.from_arrays([*nulls, pa.array(some.astype(np.int32)), pa.array(counts[some])], names)
 
-    return docs.mapInArrow(run, "oid long, line int, sid long, bucket int, n long")
+    wide = ", ".join(f"p{i} long" for i in range(WIDE))
+    return docs.mapInArrow(run, f"oid long, line int, sid long, size int, {wide}, bucket int, n long")
 
 
 def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.ndarray, by_rarity: np.ndarray, hot: np.ndarray, threshold: float) -> np.ndarray:
@@ -183,7 +194,8 @@ def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.n
     which = np.repeat(np.arange(len(begins)), sizes)
     pos = np.arange(len(lines)) - begins[which]
     sid = _set_ids((by_rarity[(codes >> np.uint64(32)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (codes & np.uint64(0xFFFFFFFF)), begins, sizes)
-    sig = np.bitwise_xor.reduceat(np.uint64(1) << (codes & np.uint64(63)), begins)
+    bit, second = np.uint64(1) << (codes & np.uint64(63)), (codes >> np.uint64(6)) & np.uint64(1) > 0
+    sig, sig2 = (np.bitwise_xor.reduceat(np.where(side, bit, np.uint64(0)), begins) for side in (second, ~second))
     place = np.lexsort((numbers[lines[begins]], owners[lines[begins]], sid))
     once = np.zeros(len(begins), bool)  # the first of lines with the same words
     once[place[np.diff(sid[place], prepend=~sid[place[:1]]) != 0]] = True
@@ -206,7 +218,7 @@ def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.n
     owner = np.concatenate(owner)
     out = np.zeros(len(owner), INDEX)
     at = lines[begins][owner]
-    for name, value in (("word", np.concatenate(words)), ("sid", sid[owner]), ("sig", sig[owner]), ("oid", owners[at]), ("line", numbers[at]), ("size", sizes[owner]), ("pos", np.concatenate(places)), ("asks", asking[owner])):
+    for name, value in (("word", np.concatenate(words)), ("sid", sid[owner]), ("sig", sig[owner]), ("sig2", sig2[owner]), ("oid", owners[at]), ("line", numbers[at]), ("size", sizes[owner]), ("pos", np.concatenate(places)), ("asks", asking[owner])):
         out[name] = value
     return out
 
@@ -244,10 +256,11 @@ def _candidates(rows: np.ndarray, threshold: float, most: int | None) -> tuple[n
 
     Length: the smaller set has ``threshold`` of the larger at least. Position: the words left from here can still make the
     overlap. Parity: bits that differ between the lines' parities are words that differ. Per later row and word the
-    ``most`` earliest stay. ``rows`` come from ``_earliest``, sorted here by word and size.
+    ``most`` that differ least stay, the earliest first. ``rows`` come from ``_earliest``, sorted here by word and size.
     """
     rows_at = np.lexsort((rows["size"], rows["word"]))
     size, pos, sig = rows["size"][rows_at].astype(np.int32), rows["pos"][rows_at].astype(np.int32), rows["sig"][rows_at]
+    sig2 = rows["sig2"][rows_at]
     place = np.empty(len(rows), np.int64)
     place[np.lexsort((rows["line"], rows["oid"]))] = np.arange(len(rows))  # document order
     place, asks = place[rows_at], rows["asks"][rows_at] > 0
@@ -257,15 +270,15 @@ def _candidates(rows: np.ndarray, threshold: float, most: int | None) -> tuple[n
     low = np.searchsorted(key, word * wide + np.ceil(threshold * size - 1e-9).astype(np.int64))
     counts = np.arange(len(rows)) - low
     ends = np.cumsum(counts)
-    later, earlier = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    later, earlier, far = (np.zeros(0, np.int64) for _ in range(3))
     more = np.zeros(len(rows), bool)
 
-    def pruned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((place[b], a))
-        a, b = a[order], b[order]
+    def pruned(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((place[b], far, a))
+        a, b, far = a[order], b[order], far[order]
         nth = np.arange(len(a)) - np.searchsorted(a, a)
         more[a[nth >= most]] = True
-        return a[nth < most], b[nth < most]
+        return a[nth < most], b[nth < most], far[nth < most]
 
     i = 0
     while i < len(rows):
@@ -274,25 +287,46 @@ def _candidates(rows: np.ndarray, threshold: float, most: int | None) -> tuple[n
         a = np.repeat(np.arange(i, j, dtype=np.int32), n)
         b = np.arange(len(a), dtype=np.int32) + np.repeat((low[i:j] - np.cumsum(n) + n).astype(np.int32), n)
         both = size[a] + size[b]
-        ok = np.flatnonzero(np.bitwise_count(sig[a] ^ sig[b]) <= both * ((1 - threshold) / (1 + threshold)) + 1e-6)
-        a, b, both = a[ok].astype(np.int64), b[ok].astype(np.int64), both[ok]
-        ok = np.minimum(size[a] - pos[a], size[b] - pos[b]) >= np.ceil(threshold / (1 + threshold) * both - 1e-9)
-        a, b = a[ok], b[ok]
+        room = both * ((1 - threshold) / (1 + threshold)) + 1e-6
+        ok = np.flatnonzero(np.bitwise_count(sig[a] ^ sig[b]) <= room)
+        a, b, both, room = a[ok].astype(np.int64), b[ok].astype(np.int64), both[ok], room[ok]
+        differ = np.bitwise_count(sig[a] ^ sig[b]).astype(np.int64) + np.bitwise_count(sig2[a] ^ sig2[b])
+        ok = (differ <= room) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= np.ceil(threshold / (1 + threshold) * both - 1e-9))
+        a, b, differ = a[ok], b[ok], differ[ok]
         swap = place[a] < place[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         ok = asks[a]
-        later, earlier = np.concatenate([later, a[ok]]), np.concatenate([earlier, b[ok]])
+        later, earlier, far = (np.concatenate(x) for x in ((later, a[ok]), (earlier, b[ok]), (far, differ[ok])))
         if most is not None and len(later) > PAIRS:
-            later, earlier = pruned(later, earlier)
+            later, earlier, far = pruned(later, earlier, far)
         i = j
     if most is not None:
-        later, earlier = pruned(later, earlier)
+        later, earlier, far = pruned(later, earlier, far)
     return rows_at[later], rows_at[earlier], more[later]
 
 
 def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int, threshold: float, most: int | None) -> DataFrame:
-    """One pass over (oid, text, asked): candidates (oid, line, sid, like_oid, like_line, more). asked: line numbers that ask; null: all."""
-    shared = docs.sparkSession.sparkContext.broadcast((by_rarity.astype(np.uint16), np.packbits(hot)))  # BUCKETS values
+    """One pass over (oid, text, asked): candidates (oid, line, sid, like_oid, like_line, more).
+
+    With ``most`` all lines ask, and send that many candidates per word. Without, only the line numbers in asked do, and send all.
+    """
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast((by_rarity.astype(np.uint16), np.packbits(hot)))  # BUCKETS values
+    only = None
+
+    def asked_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_rarity, hot = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
+        for batch, texts in text_batches(batches, "text"):
+            oids, ask = batch.column("oid").to_pylist(), dict(zip(batch.column("oid").to_pylist(), batch.column("asked").to_pylist(), strict=True))
+            for data, owners, numbers in _chunks(texts, oids):
+                asks = np.array([n in (ask[o] or ()) for o, n in zip(owners.tolist(), numbers.tolist(), strict=True)], np.uint8)
+                rows = _index_rows(data, owners, numbers, asks, by_rarity, hot, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(rows["word"][rows["asks"] > 0]).view(np.int64))], ["word"])
+
+    if most is None:
+        words = keep(docs.where("asked is not null").mapInArrow(asked_words, "word long").distinct(), "asked-words")
+        if words.count() <= MOST_SENT:  # else every word stays in the index
+            only = context.broadcast(np.sort(np.array([r["word"] for r in words.collect()], np.int64).view(np.uint64)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rarity, hot = shared.value[0], np.unpackbits(shared.value[1]).astype(bool)
@@ -317,6 +351,8 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
                 else:
                     asks = np.full(len(owners), most is not None, np.uint8)
                 rows = _index_rows(data, owners, numbers, asks, by_rarity, hot, threshold)
+                if only is not None:
+                    rows = rows[np.isin(rows["word"], only.value)]
                 if len(rows):
                     held.append(rows)
                     size += len(rows)
@@ -338,12 +374,38 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
     schema = "oid long, line int, sid long, like_oid long, like_line int, more boolean"
     found = sent.repartition(parts, "part").mapInArrow(match, schema)
     pairs = found.groupBy("oid", "line", "sid", "like_oid", "like_line").agg(F.count(F.lit(1)).alias("shared"), F.max("more").alias("more"))
+    return keep(pairs, "candidates")
+
+
+def _filtered(pairs: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
+    """Candidates whose wide parities leave room for enough shared words; nth numbers those of a line, the best first."""
+    places = pairs.select("oid", "line").union(pairs.select("like_oid", "like_line")).distinct()
+    columns = ["size", *[f"p{i}" for i in range(WIDE)]]
+    marks = seen.where("bucket is null").select("oid", "line", *columns).join(few(keep(places, "places")), ["oid", "line"], "left_semi").distinct()
+    marks = few(keep(marks, "parities"))
+    likes = marks.withColumnsRenamed({c: f"like_{c}" for c in ["oid", "line", *columns]})
+    both = pairs.join(marks, ["oid", "line"]).join(likes, ["like_oid", "like_line"])
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"like_p{i}"))) for i in range(1, WIDE)), F.bit_count(F.col("p0").bitwiseXOR(F.col("like_p0"))))
+    total = F.col("size") + F.col("like_size")
+    both = both.where(differ <= total * ((1 - threshold) / (1 + threshold)) + 1e-6)
     best = Window.partitionBy("sid").orderBy(F.desc("shared"), "like_oid", "like_line")
-    return keep(pairs.withColumn("nth", F.row_number().over(best)).withColumn("more", F.max("more").over(Window.partitionBy("sid"))), "candidates")
+    return keep(both.select("oid", "line", "sid", "like_oid", "like_line", "shared").withColumn("nth", F.row_number().over(best)), "filtered")
+
 
+def _line_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of line number and word, line) of the different words of each line."""
+    lines, hashes = _words("\n".join(texts).encode(), whole=True)
+    keys = _mix(hashes + _mix(lines.astype(np.uint64)))
+    keys, first = np.unique(keys, return_index=True)
+    return keys, lines[first]
 
-def _word_set(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(ascii_lower(line), r"[\x20\x09-\x0D]+"), ""))
+
+def _similar(texts: list[str], likes: list[str], threshold: float) -> np.ndarray:
+    """Whether the words of two lines, compared as hashes of 64 bits, have the similarity."""
+    (a, at), (b, bt) = _line_words(texts), _line_words(likes)
+    sizes = np.bincount(at, minlength=len(texts)) + np.bincount(bt, minlength=len(texts))
+    shared = np.bincount(at[np.isin(a, b, assume_unique=True)], minlength=len(texts))
+    return shared * (1 + threshold) >= threshold * sizes - 1e-9
 
 
 def _verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
@@ -355,10 +417,22 @@ def _verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataF
     lines = keep(lines.select("oid", "line", F.get("all", F.col("line")).alias("text")), "wanted-texts")
     likes = lines.select(F.col("oid").alias("like_oid"), F.col("line").alias("like_line"), F.col("text").alias("like_text"))
     pairs = candidates.select("oid", "line", "sid", "like_oid", "like_line").join(lines, ["oid", "line"]).join(likes, ["like_oid", "like_line"])
-    pairs = pairs.select("sid", "like_oid", "like_line", _word_set(F.col("text")).alias("a"), _word_set(F.col("like_text")).alias("b"))
-    shared = F.size(F.array_intersect("a", "b"))
-    similar = shared * (1 + threshold) >= threshold * (F.size("a") + F.size("b")) - 1e-9
-    return pairs.where(similar).groupBy("sid").agg(F.min(F.struct("like_oid", "like_line")).alias("like")).select("sid", "like.like_oid", "like.like_line")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts, begin, size = [batch.column(c).to_pylist() for c in ("text", "like_text")], 0, 0
+            for i in range(batch.num_rows + 1):
+                if i == batch.num_rows or size > CHUNK:
+                    good = _similar(texts[0][begin:i], texts[1][begin:i], threshold)
+                    yield batch.slice(begin, i - begin).filter(pa.array(good)).select(["sid", "like_oid", "like_line"])
+                    begin, size = i, 0
+                if i < batch.num_rows:
+                    size += len(texts[0][i]) + len(texts[1][i])
+
+    same = pairs.select("sid", "like_oid", "like_line", "text", "like_text").mapInArrow(check, "sid long, like_oid long, like_line int")
+    return same.groupBy("sid").agg(F.min(F.struct("like_oid", "like_line")).alias("like")).select("sid", "like.like_oid", "like.like_line")
 
 
 def removals(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, first: int = FIRST_CANDIDATES) -> DataFrame:
@@ -375,17 +449,18 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, firs
     by_rarity = np.argsort(counts, kind="stable")
     heat = counts[by_rarity] > hot
     parts = max(8, int(counts.sum() * (1 - threshold) * 1.2) // PART_ROWS)
-    candidates = _search(docs.withColumn("asked", F.lit(None).cast("array<int>")), by_rarity, heat, parts, threshold, first)
+    raw = _search(docs.withColumn("asked", F.lit(None).cast("array<int>")), by_rarity, heat, parts, threshold, first)
+    candidates = _filtered(raw, seen, threshold)
     # most lines match the candidate with which they share the most words; the others try the rest
     found = keep(_verified(docs, candidates.where("nth = 1"), threshold), "matches")
     untried = keep(candidates.where("nth > 1").join(found, "sid", "left_anti"), "untried")
     if not untried.isEmpty():
         found = keep(found.union(_verified(docs, untried, threshold)), "matches")
-    undecided = candidates.where("more").select("oid", "line", "sid").distinct().join(found, "sid", "left_anti")
+    undecided = raw.where("more").select("oid", "line", "sid").distinct().join(found, "sid", "left_anti")
     undecided = keep(undecided.groupBy("oid").agg(F.collect_list("line").alias("asked")), "undecided-lines")
     if not undecided.isEmpty():
         rest = _search(docs.join(few(undecided, 200_000), "oid", "left"), by_rarity, heat, parts, threshold, None)
-        rest = rest.join(candidates.select("sid", "like_oid", "like_line"), ["sid", "like_oid", "like_line"], "left_anti")
+        rest = _filtered(rest.join(raw.select("sid", "like_oid", "like_line"), ["sid", "like_oid", "like_line"], "left_anti"), seen, threshold)
         found = keep(found.union(_verified(docs, rest, threshold)), "matches")
     lines = seen.where("bucket is null").select("oid", "line", "sid")
     place = F.struct("oid", "line")
