@@ -72,13 +72,13 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return left.join(right, ["metric", "seed"]).where("a < b")
 
 
-@query(with_(PAIRS, f"SELECT metric, a, b, {rs('wilcoxon_p', 'rank_biserial')} FROM signed"))
+@query(with_(PAIRS, f"SELECT metric, a, b, 'exact' AS wilcoxon_method, {rs('wilcoxon_p', 'rank_biserial')} FROM signed"))
 def wilcoxon_exact(spark: SparkSession, sf: str) -> DataFrame:
     diffs = pairs(spark, sf).withColumn("d", F.col("value_a") - F.col("value_b"))
     return rounded(stats.wilcoxon(diffs, ["metric", "a", "b"], "d"), "wilcoxon_p", "rank_biserial")
 
 
-@query(with_(PAIRS, f"SELECT metric, a, b, n, {rs(*COMPARED)} FROM compared"))
+@query(with_(PAIRS, f"SELECT metric, a, b, n, 'exact' AS wilcoxon_method, {rs(*COMPARED)} FROM compared"))
 def paired_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.paired_comparison(pairs(spark, sf), ["metric", "a", "b"], "value_a", "value_b"), *COMPARED)
 
@@ -96,7 +96,7 @@ def holm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_([*PAIRS, "taxes AS (SELECT * EXCLUDE (metric) FROM compared WHERE metric = 'tax')",
               HOLM.format(source="taxes", p="wilcoxon_p", row="a, b")],
-             f"SELECT a, b, n, {rs(*COMPARED, 'p_holm')} FROM holm"))
+             f"SELECT a, b, n, 'exact' AS wilcoxon_method, {rs(*COMPARED, 'p_holm')} FROM holm"))
 def all_pairs_comparison(spark: SparkSession, sf: str) -> DataFrame:
     compared = stats.all_pairs_comparison(replicates(spark, sf), "condition", "seed", "tax")
     return rounded(compared, *COMPARED, "p_holm")

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from keyloom.functions.ordering import attach, mid_ranks, ordered, running
 from keyloom.functions.tdist import normal_two_sided_p, quantile_column, two_sided_p
 
-# All sign patterns are counted up to this many differences; without ties up to the second limit.
-EXACT_WITH_TIES = 20
-EXACT_WITHOUT_TIES = 50
+# The exact test counts in doubles, which hold the number of sign patterns of so many differences.
+MOST_EXACT = 1000
 
 
 def summarize(df: DataFrame, by: Sequence[str], value: str, confidence: float = 0.95) -> DataFrame:
@@ -42,12 +41,15 @@ def _sign_pattern_tail(ranks: Column, doubled_total: Column, doubled_plus: Colum
     return F.aggregate(tail, zero, lambda a, b: a + b)
 
 
-def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
+def wilcoxon(df: DataFrame, by: Sequence[str], diff: str, method: str = "exact") -> DataFrame:
     """Two-sided Wilcoxon signed-rank p-value and rank-biserial correlation of each group's differences.
 
-    Zeros are dropped and ties get mid-ranks. Exact up to 20 differences, and up to 50 without ties; the normal
-    approximation with tie correction beyond. Groups with only zeros get NULL.
+    Zeros are dropped and ties get mid-ranks. ``method`` is ``exact`` (all sign patterns, counted by rank sum; an error for a
+    group of more than ``MOST_EXACT`` differences, whose ranks it gathers) or ``normal`` (approximation with tie correction,
+    any size); it comes back as ``wilcoxon_method``. Groups with only zeros get NULL.
     """
+    if method not in ("exact", "normal"):
+        raise ValueError(f"unknown method {method!r}: exact or normal")
     by = list(by)
     moved = df.where(F.col(diff) != 0).select(
         *by, F.col(diff).cast("double").alias("__d"), F.abs(diff).cast("double").alias("__a")
@@ -57,9 +59,8 @@ def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     sizes = ties.groupBy(*by).agg(
         F.sum("t").cast("int").alias("n"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tied")
     )
-    exact = (F.col("n") <= EXACT_WITH_TIES) | ((F.col("n") <= EXACT_WITHOUT_TIES) & (F.col("tied") == 0))
-    # collect_list skips NULL: only groups small enough to be counted exactly gather their ranks
-    gathered = F.collect_list(F.when(exact, (2 * F.col("__rank")).cast("int")))
+    refused = F.raise_error(F.format_string(f"%d differences; the exact test takes {MOST_EXACT} at most", F.col("n"))).cast("int")
+    gathered = F.collect_list(F.when(F.col("n") > MOST_EXACT, refused).otherwise((2 * F.col("__rank")).cast("int")))
     if by:
         joined = attach(ranked, sizes, by, "inner")
     else:
@@ -67,17 +68,20 @@ def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     sums = joined.groupBy(*by).agg(
         F.max("n").alias("n"),
         F.max("tied").alias("tied"),
-        gathered.alias("ranks"),
+        *([gathered.alias("ranks")] if method == "exact" else []),
         F.sum(F.when(F.col("__d") > 0, F.col("__rank")).otherwise(0.0)).alias("plus"),
     )
     n, plus = F.col("n"), F.col("plus")
     total = n * (n + 1) / 2.0
-    tail = _sign_pattern_tail(F.col("ranks"), n * (n + 1), (2 * plus).cast("int"))
-    variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tied") / 48.0
-    normal = normal_two_sided_p((plus - total / 2) / F.sqrt(variance))
+    if method == "exact":
+        p = _sign_pattern_tail(F.col("ranks"), n * (n + 1), (2 * plus).cast("int")) / F.pow(F.lit(2.0), n)
+    else:
+        variance = n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tied") / 48.0
+        p = normal_two_sided_p(F.try_divide(plus - total / 2, F.sqrt(variance)))
     tested = sums.select(
         *by,
-        F.when(exact, tail / F.pow(F.lit(2.0), n)).otherwise(normal).alias("wilcoxon_p"),
+        p.alias("wilcoxon_p"),
+        F.lit(method).alias("wilcoxon_method"),
         ((2 * plus - total) / total).alias("rank_biserial"),
     )
     if not by:
@@ -85,13 +89,13 @@ def wilcoxon(df: DataFrame, by: Sequence[str], diff: str) -> DataFrame:
     return attach(df.select(*by).distinct(), tested, by)
 
 
-def paired_comparison(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:
+def paired_comparison(df: DataFrame, by: Sequence[str], a: str, b: str, method: str = "exact") -> DataFrame:
     """A minus B over paired replicates: interval, effect size, paired t-test and Wilcoxon test per group."""
     by = list(by)
     diffs = df.select(*by, (F.col(a) - F.col(b)).alias("diff"))
     base = summarize(diffs, by, "diff")
     varied = (F.col("n") > 1) & (F.col("std") > 0)
-    t = F.col("mean") / (F.col("std") / F.sqrt("n"))
+    t = F.try_divide(F.col("mean") * F.sqrt("n"), F.col("std"))
     base = base.select(
         *by,
         "n",
@@ -102,7 +106,7 @@ def paired_comparison(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataF
         F.when(varied, two_sided_p(t, F.col("n") - 1)).alias("t_p"),
         (2.0 / F.pow(F.lit(2.0), F.col("n"))).alias("wilcoxon_min_p"),
     )
-    return attach(base, wilcoxon(diffs, by, "diff"), by)
+    return attach(base, wilcoxon(diffs, by, "diff", method), by)
 
 
 def holm(df: DataFrame, p: str, row: Sequence[str], family: Sequence[str] = (), out: str = "p_holm") -> DataFrame:
@@ -116,15 +120,16 @@ def holm(df: DataFrame, p: str, row: Sequence[str], family: Sequence[str] = (),
     return adjusted.withColumn(out, F.least(F.lit(1.0), "__most")).drop("__p", "__rank", "__m", "__block", "__most")
 
 
-def all_pairs_comparison(runs: DataFrame, condition: str, seed: str, value: str) -> DataFrame:
+def all_pairs_comparison(runs: DataFrame, condition: str, seed: str, value: str, method: str = "exact") -> DataFrame:
     """Every unordered pair of conditions with at least two shared seeds, Holm-adjusted over the pairs.
 
-    ``runs`` has one row per condition and seed; pairs are formed between conditions of the same seed.
+    ``runs`` has one row per condition and seed; pairs are formed between conditions of the same seed, so a seed gives
+    the square of its conditions, which are few.
     """
     left = runs.select(seed, F.col(condition).alias("a"), F.col(value).alias("value_a"))
     right = runs.select(seed, F.col(condition).alias("b"), F.col(value).alias("value_b"))
     pairs = left.join(right, seed).where(F.col("a") < F.col("b"))
-    compared = paired_comparison(pairs, ["a", "b"], "value_a", "value_b").where(F.col("n") >= 2)
+    compared = paired_comparison(pairs, ["a", "b"], "value_a", "value_b", method).where(F.col("n") >= 2)
     return holm(compared, "wilcoxon_p", ["a", "b"])
 
 

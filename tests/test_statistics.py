@@ -110,7 +110,11 @@ def test_wilcoxon_of_larger_groups(frame):
     rng = np.random.default_rng(0)
     groups = {"exact": rng.normal(0.3, 1, 40), "ties": np.round(rng.normal(0.3, 1, 40), 0), "large": rng.normal(0.2, 1, 200)}
     df = frame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, d double")
-    got = {r.g: r for r in stats.wilcoxon(df, ["g"], "d").collect()}
+    got = {r.g: r for r in stats.wilcoxon(df.where("g = 'exact'"), ["g"], "d").collect()}
+    got |= {r.g: r for r in stats.wilcoxon(df.where("g <> 'exact'"), ["g"], "d", "normal").collect()}
+    assert {r.wilcoxon_method for r in got.values()} == {"exact", "normal"}
+    with pytest.raises(Exception, match="1200 differences"):
+        stats.wilcoxon(frame([(0, float(i + 1)) for i in range(1200)], "g int, d double"), ["g"], "d").collect()
     from statistics import NormalDist
 
     for name, values in groups.items():
@@ -169,3 +173,15 @@ def test_ledger_hand_values(frame):
     assert (totals.training_total_bytes, totals.evaluation_downlink_bytes, totals.setup_downlink_bytes, totals.setup_uplink_bytes) == (670, 50, 1, 0)
     silent = ledger.round_ledger(messages.where("direction = 'down'"), ["run"], "round").first()
     assert silent.uplink_bytes_per_client == 0.0
+
+
+def test_tails(spark):
+    from keyloom.functions import tdist
+
+    assert tdist.quantile(7) == pytest.approx(2.364624251592785) and tdist.quantile(10**6) == pytest.approx(1.9599663568, abs=1e-8)
+    rows = spark.createDataFrame([(0.0, 3), (2.0, 1), (1.5, 4), (60.0, 30), (-2.0, 10**7), (None, 3), (1.0, 0)], "t double, v long")
+    p = [r.p for r in rows.select(tdist.two_sided_p(F.col("t"), F.col("v")).alias("p")).collect()]
+    assert p[:3] == pytest.approx([1.0, 1 - 2 / np.pi * np.arctan(2.0), 0.208], abs=1e-9)
+    assert 0 < p[3] < 1e-30 and p[4] == pytest.approx(0.0455003, abs=1e-6) and p[5:] == [None, None]
+    z = [r.p for r in spark.createDataFrame([(0.0,), (-1.96,), (20.0,), (None,)], "z double").select(tdist.normal_two_sided_p(F.col("z")).alias("p")).collect()]
+    assert z[:2] == pytest.approx([1.0, 0.04999579]) and 0 < z[2] < 1e-80 and z[3] is None
