@@ -16,7 +16,7 @@ from keyloom.llm.common import text_batches
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Lengths are summed in blocks of so many values, so that no task reads the whole histogram.
-BLOCK = 1024
+BLOCK = 64
 
 
 def _encoder(path: str):
