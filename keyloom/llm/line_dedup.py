@@ -231,10 +231,15 @@ def _earliest(rows: np.ndarray) -> np.ndarray:
     begins = np.flatnonzero((np.diff(word, prepend=~word[:1]) != 0) | (np.diff(sid, prepend=~sid[:1]) != 0))
     sizes = np.diff(np.append(begins, len(rows)))
     out = rows[order[begins]]
-    for k in np.flatnonzero(sizes > 1):
-        same = rows[order[begins[k] : begins[k] + sizes[k]]]
-        out[k] = same[np.lexsort((same["line"], same["oid"]))[0]]
-        out["asks"][k] = same["asks"].max()
+    many = np.flatnonzero(sizes > 1)
+    if len(many):
+        group = np.repeat(np.arange(len(many)), sizes[many])
+        same = order[np.repeat(sizes > 1, sizes)]
+        out["asks"][many] = np.maximum.reduceat(rows["asks"][same], np.cumsum(sizes[many]) - sizes[many])
+        ordered = np.lexsort((rows["line"][same], rows["oid"][same], group))
+        first = same[ordered[np.flatnonzero(np.diff(group, prepend=-1))]]
+        for name in ("oid", "line"):
+            out[name][many] = rows[name][first]
     return out
 
 
