@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.catalog import query
 from keyloom.catalog.tables import (
-    CENTROIDS, CLASSES, FEATURES, KEYED_EVENTS, KEYED_LABELS, KEYED_TEXT, MESSAGES, UPDATES, features, keyed_events,
+    CENTROIDS, CLASSES, FEATURES, KEYED_EVENTS, KEYED_LABELS, MESSAGES, UPDATES, features, keyed_events,
     keyed_labels, keyed_text, messages, model_inputs, r, rounded, rs, updates, with_,
 )
 from keyloom.operators import metrics, params, scoring, training

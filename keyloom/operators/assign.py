@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import derive_seed, hash_word, seeded_hash
-from keyloom.functions.ordering import attach, hash_rank, sorted_codes
+from keyloom.functions.ordering import hash_rank, sorted_codes
 from keyloom.sources.sinks import write_once
 
 
