@@ -168,6 +168,17 @@ def train_per_key(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(trained.select("key", "idx", "n", "steps", "train_loss", "w_0", "w_1"), "train_loss", "w_0", "w_1")
 
 
+@query(with_([*FEATURES, *start_sql("k.key"), *step_sql(1, decay=0.01), *step_sql(2, decay=0.01)], f"""
+SELECT g AS key, idx::INTEGER AS idx, {r('a')} AS w_0, {r('b')} AS w_1 FROM w2"""))
+def train_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """The weights after two steps, in the form of training that has no limit on the size of a key."""
+    documents, values = training_inputs(spark, sf)
+    rows = cut_lineage(training.training_rows(documents, values, "doc_id", "key", "label"))
+    fit = training.Fit(classes=CLASSES, lr=LR, epochs=2, weight_decay=0.01)
+    trained = training.fit_stepwise(rows, training.start_table(rows, None, CLASSES), fit)
+    return rounded(trained.select("key", "idx", "w_0", "w_1"), "w_0", "w_1")
+
+
 @query()
 def train_per_key_in_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Mini-batches in seeded order; checked against brute force in the tests."""
