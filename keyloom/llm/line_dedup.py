@@ -21,7 +21,7 @@ from keyloom.llm.common import WORD, few, keep, text_batches
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 # Bytes of text whose words are hashed at once, and index rows that a task collects before it sends them.
-CHUNK, ROWS = 1 << 18, 600_000
+CHUNK, ROWS = 1 << 18, 300_000
 # Index rows of a part; a task reads a few parts.
 PART_ROWS = 300_000
 # A word whose bucket has more occurrences than this meets only together with a second shared word.
@@ -33,7 +33,7 @@ WIDE = 4
 # Removed lines whose places, and words of undecided lines that, are broadcast; more of them are shuffled or not singled out.
 MOST_SENT = 1_000_000
 # Pairs that are filtered at once.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 INDEX = [("word", np.uint64), ("sid", np.uint64), ("sig", np.uint64), ("sig2", np.uint64), ("oid", np.int64), ("line", np.uint32), ("size", np.uint32), ("pos", np.uint32), ("asks", np.uint8)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
