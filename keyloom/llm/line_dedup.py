@@ -21,7 +21,7 @@ from keyloom.llm.common import WORD, few, keep, text_batches
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 # Bytes of text whose words are hashed at once, and index rows that a task collects before it sends them.
-CHUNK, ROWS = 1 << 18, 300_000
+CHUNK, ROWS = 1 << 18, 150_000
 # Index rows of a part; a task reads a few parts.
 PART_ROWS = 300_000
 # A word whose bucket has more occurrences than this meets only together with a second shared word.
@@ -370,7 +370,9 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [_unpack(b, n) for batch in batches for n, b in zip(batch.column("n").to_pylist(), batch.column("rows").to_pylist(), strict=True)]
         if held:
-            rows = _earliest(np.concatenate(held))
+            rows = np.concatenate(held)
+            held.clear()
+            rows = _earliest(rows)
             later, earlier, more = _candidates(rows, threshold, most)
             arrays = [rows["oid"][later], rows["line"][later].astype(np.int32), rows["sid"][later].view(np.int64), rows["oid"][earlier], rows["line"][earlier].astype(np.int32), more]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["oid", "line", "sid", "like_oid", "like_line", "more"])
