@@ -189,6 +189,36 @@ def test_first_of_each_group_keeps_columns(spark, frame):
     assert simhash.first_of_each_group(docs.limit(0)).count() == 0
 
 
+def shingles_of(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+@pytest.mark.parametrize("share", [8, 1])
+def test_first_of_each_group_equals_brute_force_jaccard(spark, frame, monkeypatch, share):
+    monkeypatch.setattr(simhash, "RARITY_SHARE", share)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    passage = rng.choices(words, k=25)
+    texts = [t for i in range(30) if (t := rng.choices(words, k=rng.choice([3, 100, 200, 400])) + passage * (i % 2))]
+    for base in texts[:20]:
+        for changed in (1, 2, 3, 4):
+            copy = list(base)
+            for _ in range(changed):
+                copy[rng.randrange(len(copy))] = "new"
+            texts.append(copy + rng.choices(words, k=rng.choice([0, 0, 9])))
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [shingles_of(t) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    at = grouped(pairs, range(len(rows)))
+    first = {}
+    for k in range(len(rows)):
+        first.setdefault(at[k], k)
+    assert len(pairs) > 40
+    got = simhash.first_of_each_group(frame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(first.values())
+
+
 # lines
 
 
