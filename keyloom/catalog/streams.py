@@ -21,10 +21,43 @@ STATS = with_([ALL_WORDS, "tokens AS (SELECT doc_id, unnest(w) AS term FROM word
               "SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tokens GROUP BY term")
 
 
-def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A given table as a stream of files."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+# Micro-batches in which a table arrives, and rows of a file of a written copy.
+BATCHES, FILE_ROWS = 4, 1_000_000
+
+
+def stream(spark: SparkSession, sf: str, name: str, time: str | None = None) -> DataFrame:
+    """A given table as a stream of files in about ``BATCHES`` micro-batches.
+
+    A folder of part files is streamed itself, a single file from a copy of several files. With ``time`` it is a copy that
+    arrives in order of that column, since rows older than the watermark would be dropped; nulls come first.
+    """
+    given = table(spark, sf, name)
+    files = given.inputFiles()
+    if time is None and len(files) >= BATCHES:
+        return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", -(-len(files) // BATCHES)).parquet(f"{sf}/{name}.parquet")
+    folder = f"{ensure_checkpoint_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    each = max(1, given.count() // (BATCHES * FILE_ROWS))
+    if time is None:
+        given.repartition(BATCHES * each).write.parquet(folder)
+        return spark.readStream.schema(given.schema).option("maxFilesPerTrigger", each).parquet(folder)
+    at = F.unix_micros(utc(time))
+    shares = F.array(*[F.lit(k / BATCHES) for k in range(1, BATCHES)])
+    cuts = sorted(set(given.agg(F.percentile_approx(at, shares)).first()[0] or []))
+    place = sum((F.coalesce(at > c, F.lit(False)).cast("int") for c in cuts), F.lit(0))
+    written = 0
+    whole = True
+    for k in range(len(cuts) + 1):  # one after another: a file stream reads files in order of the time they were written
+        given.where(place == k).repartition(each).write.mode("append").parquet(folder)
+        now = len(spark.read.schema(given.schema).parquet(folder).inputFiles())
+        whole, written = whole and now - written in (0, each), now
+    ordered = spark.readStream.schema(given.schema)
+    # files that do not part at the cuts arrive at once
+    return (ordered.option("maxFilesPerTrigger", each) if whole else ordered).parquet(folder)
+
+
+def drained(spark: SparkSession, sf: str, name: str, result: DataFrame, mode: str) -> DataFrame:
+    """The drained result of a stream over a given table; an error if the table has rows and none arrived."""
+    return incremental.drain(result, mode, some=not table(spark, sf, name).isEmpty())
 
 
 def utc(column: str):
@@ -38,32 +71,32 @@ def stream_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_([RAW, FIELDS, STATUS], "SELECT status, count(*) AS n FROM classified WHERE is_object GROUP BY status"))
 def stream_cleaning_report(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.drain(incremental.stream_cleaning_report(stream_lines(spark, sf)), "complete")
+    return drained(spark, sf, "documents", incremental.stream_cleaning_report(stream_lines(spark, sf)), "complete")
 
 
 @query(with_([RAW, FIELDS, STATUS, VALID], "SELECT seq, label, md5(text) AS digest FROM valid"))
 def stream_clean(spark: SparkSession, sf: str) -> DataFrame:
     clean = incremental.stream_clean(stream_lines(spark, sf)).select("seq", "label", F.md5("text").alias("digest"))
-    return incremental.drain(clean, "append")
+    return drained(spark, sf, "documents", clean, "append")
 
 
 @query("SELECT DISTINCT lang, md5(text) AS digest FROM documents")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     first = incremental.stream_dedup(stream(spark, sf, "documents"), ["lang", "text"])
-    return incremental.drain(first.select("lang", F.md5("text").alias("digest")), "append")
+    return drained(spark, sf, "documents", first.select("lang", F.md5("text").alias("digest")), "append")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup_within_watermark(spark: SparkSession, sf: str) -> DataFrame:
     """First event of each user and type; the horizon spans the whole table."""
-    events = stream(spark, sf, "events").withColumn("ts", utc("ts"))
+    events = stream(spark, sf, "events", "ts").withColumn("ts", utc("ts"))
     first = incremental.stream_dedup(events, ["user_id", "event_type"], "ts", "60 days")
-    return incremental.drain(first.select("user_id", "event_type"), "append")
+    return drained(spark, sf, "events", first.select("user_id", "event_type"), "append")
 
 
 @query(STATS)
 def stream_term_statistics(spark: SparkSession, sf: str) -> DataFrame:
-    return incremental.drain(incremental.stream_term_statistics(stream(spark, sf, "documents"), "text"), "complete")
+    return drained(spark, sf, "documents", incremental.stream_term_statistics(stream(spark, sf, "documents"), "text"), "complete")
 
 
 @query(STATS)
@@ -83,11 +116,11 @@ SELECT date_diff('day', TIMESTAMP '2024-01-01', day)::INTEGER AS round, * EXCLUD
        (sum(downlink_bytes + uplink_bytes) OVER (ORDER BY day))::BIGINT AS cum_total_bytes FROM closed"""))
 def stream_round_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """Daily windows that the watermark has closed, with running totals added in batch."""
-    sent = stream(spark, sf, "events").select(
+    sent = stream(spark, sf, "events", "ts").select(
         utc("ts").alias("ts"), F.when(F.col("event_type") == "purchase", "up").otherwise("down").alias("direction"),
         F.rint(F.col("value") * 100).cast("long").alias("bytes"),
     )
-    days = incremental.drain(incremental.stream_round_sums(sent, "ts"), "append")
+    days = drained(spark, sf, "events", incremental.stream_round_sums(sent, "ts"), "append")
     first_day = 19723  # 2024-01-01 in days since 1970-01-01
     days = days.withColumn("round", (F.floor(F.unix_seconds("round") / 86400) - first_day).cast("int"))
     return rounded(with_cumulative(days, [], "round"), "downlink_bytes_per_client", "uplink_bytes_per_client")
@@ -96,4 +129,4 @@ def stream_round_ledger(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_(EVENT_COUNTS, "SELECT * FROM counts"))
 def stream_key_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     events = stream(spark, sf, "events").select(F.col("user_id").alias("key"), position("event_type", EVENT_TYPES).alias("label"))
-    return incremental.drain(incremental.stream_key_label_counts(events, "key", "label", C), "complete")
+    return drained(spark, sf, "events", incremental.stream_key_label_counts(events, "key", "label", C), "complete")

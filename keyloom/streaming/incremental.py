@@ -77,10 +77,10 @@ def stream_key_label_counts(records: DataFrame, key: str, label: str, classes: i
     return key_label_counts(records, key, label, classes)
 
 
-def drain(stream: DataFrame, mode: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def drain(stream: DataFrame, mode: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df, some: bool = False) -> DataFrame:
     """Processes all input there is now and returns the result table, kept in the shared checkpoint folder.
 
-    ``complete`` keeps the last result, ``append`` the union of all.
+    ``complete`` keeps the last result, ``append`` the union of all. ``some``: it is an error if no batch arrives.
     """
     spark = stream.sparkSession
     folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -99,6 +99,8 @@ def drain(stream: DataFrame, mode: str, prepare: Callable[[DataFrame], DataFrame
     )
     query.awaitTermination()
     if not written:
+        if some:
+            raise RuntimeError("no batch arrived, although the input is not empty")
         return prepare(spark.createDataFrame([], stream.schema))
     if mode == "complete":
         return spark.read.parquet(f"{folder}/result/batch={max(written)}")

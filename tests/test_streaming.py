@@ -65,3 +65,23 @@ def test_key_label_counts(spark, folder):
 
 def test_an_empty_source_gives_an_empty_table(spark, tmp_path):
     assert incremental.drain(incremental.stream_clean(incremental.stream_lines(spark, str(tmp_path))), "append").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_given_tables_stream_whole_in_several_batches(spark, tmp_path, monkeypatch, parts):
+    """A folder of part files, or one file; days in order although files are not."""
+    from keyloom.catalog import streams
+
+    events = spark.range(400).selectExpr(
+        "id % 7 as user_id", "if(id % 3 = 0, 'purchase', 'view') as event_type", "cast(id as double) as value",
+        "cast(timestamp'2024-01-01' + make_dt_interval(0, cast((id * 37) % 400 as int)) as timestamp_ntz) as ts",
+    )
+    events.repartition(parts).write.parquet(f"{tmp_path}/events.parquet")
+    batches = []
+    monkeypatch.setattr(incremental, "drain", lambda df, mode, some=False, drain=incremental.drain: drain(df, mode, lambda b: batches.append(b) or b, some=some))
+    counts = streams.stream_key_label_counts(spark, str(tmp_path))
+    assert counts.count() > 0 and len(batches) > 1
+    days = streams.stream_round_ledger(spark, str(tmp_path)).agg(F.count("*"), F.max("cum_total_bytes")).first()
+    closed = events.where("ts < date_trunc('day', timestamp_ntz'2024-01-17 15:00:00' - interval 1 day)")
+    want = closed.agg(F.count_distinct(F.to_date("ts")), F.sum(F.col("value") * 100).cast("long")).first()
+    assert tuple(days) == tuple(want)
