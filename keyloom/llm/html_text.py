@@ -27,6 +27,8 @@ NEVER_TEXT = {
 }
 INVISIBLE = {"script", "style"}
 REGIONS = {"article", "main", "section", "div", "td", "body", "blockquote", "table", "tr", "tbody", "center", "li", "ul", "ol", "dl", "dd"}
+# Regions that part a page into pieces; lists, tables and quotes are part of the piece around them.
+SECTIONS = {"article", "main", "section", "div", "body", "center"}
 MAIN_ROLES = {"main", "article"}
 # Words in class, id or role that mark what surrounds an article.
 CLUTTER = {
@@ -69,6 +71,7 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, tuple[int, ...]]] = []
         self.main: list[int] = []  # regions that say they hold the main text
+        self.sections: set[int] = set()  # regions that part the page
         self.open: list[tuple[str, bool, int]] = []  # element, hides its text, region or 0
         self.hidden = self.regions = self.tags = 0
         self.held: list[str] = []
@@ -125,6 +128,8 @@ class _Lines(HTMLParser):
         if tag in REGIONS or tag == "header":
             self.regions += 1
             region = self.regions
+            if tag in SECTIONS:
+                self.sections.add(region)
             role = dict(attrs).get("role")
             if (tag in MAIN_ROLES or role in MAIN_ROLES) and not self.hidden:
                 self.main.append(region)
@@ -171,9 +176,10 @@ def main_text(html: str | None) -> str:
     """The article of one page, blocks in page order joined by one space; empty if there is none.
 
     Lines outside of clutter get the ratio of their characters to their tags. Lines whose smoothed ratio is over half the
-    spread of all ratios are content. If the page marks an article or main region that holds text, the content lies in
-    those regions; otherwise the region is the innermost one around at least nine tenths of the content's characters. All
-    lines of the region are kept, short ones too.
+    spread of all ratios are content. If the page marks article or main regions that hold text, only their lines are
+    looked at. All content is kept, and with it the other lines of a section whose own lines are content by half of their
+    characters or more: short ones, and those of its lists, tables and quotes. Of other sections, such as teasers or lists
+    of links, only content is kept.
     """
     if not html:
         return ""
@@ -188,26 +194,15 @@ def main_text(html: str | None) -> str:
     inside = [bool(marked.intersection(regions)) for _, _, regions in lines]
     if any(inside):
         lines = [x for x, own in zip(lines, inside, strict=True) if own]
-        outer = {r for _, _, regions in lines for r in regions if r in marked}
-        # of several articles, as in a list of teasers, those around no content go
-        keep_all = len(outer) == 1
-    else:
-        keep_all = False
-    if keep_all:
-        return " ".join(text for text, _, _ in lines)
     chars = np.array([len(text) for text, _, _ in lines], float)
     ratios = smoothed(chars / np.maximum(1, [tags for _, tags, _ in lines]))
     content = ratios >= 0.5 * ratios.std()
-    if any(inside):
-        wanted = {next(r for r in regions if r in marked) for (_, _, regions), c in zip(lines, content, strict=True) if c}
-        return " ".join(text for text, _, regions in lines if wanted.intersection(regions))
-    held: dict[int, float] = {}
-    for (_, _, regions), n, c in zip(lines, chars, content, strict=True):
-        for r in regions if c else ():
-            held[r] = held.get(r, 0) + n
-    most = chars[content].sum()
-    best = max((r for r, n in held.items() if n >= 0.9 * most), default=0)  # regions are numbered in page order: the last is the innermost
-    return " ".join(text for text, _, regions in lines if not best or best in regions)
+    parting = parser.sections | marked
+    section = [next((r for r in reversed(regions) if r in parting), 0) for _, _, regions in lines]
+    balance: dict[int, float] = {}
+    for at, n, c in zip(section, chars, content, strict=True):
+        balance[at] = balance.get(at, 0.0) + (n if c else -n)
+    return " ".join(text for (text, _, _), at, c in zip(lines, section, content, strict=True) if c or balance[at] >= 0)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

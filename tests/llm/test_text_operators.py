@@ -219,6 +219,22 @@ def test_main_text(html, text):
         assert found == text
 
 
+LONG = "Many words in one line make it a line of content on any page, whatever stands around it. " * 4
+LINKS = "".join(f'<p><a href="/{i}">Go</a> <a href="/x{i}">x{i}</a></p>' for i in range(12))
+
+
+@pytest.mark.parametrize("html, kept, gone", [
+    (f"<body><div><p>The intro.</p><ul>{f'<li>{LONG}' * 9}</ul><p>The end.</p></div></body>", ["The intro.", "The end.", LONG], []),
+    (f"<body><div>{f'<p>{LONG}</p>' * 12}</div><div><p>Last section, short but with {LONG}</p></div></body>", ["Last section"], []),
+    (f"<body><div><blockquote>{f'<p>{LONG}</p>' * 12}</blockquote><p>Said by me.</p></div></body>", ["Said by me."], []),
+    (f"<body><div>{f'<p>{LONG}</p>' * 3}</div><div>{LINKS}</div></body>", [LONG], ["x7"]),
+    (f"<article><p>{LONG}</p><p>{LONG}</p><div>{LINKS}</div><p>{LONG}</p><p>Bye.</p></article>", [LONG, "Bye."], ["x7"]),
+])
+def test_all_content_of_unmarked_and_marked_pages(html, kept, gone):
+    found = html_text.main_text(html)
+    assert all(x.strip() in found for x in kept) and not any(x in found for x in gone)
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html_text.smoothed(np.full(9, 3.0)), 3)
 
