@@ -16,9 +16,6 @@ from keyloom.llm.common import keep, text_batches
 ORDER = 4
 UNKNOWN = "und"
 SLICE = 1 << 19  # characters worked on at once
-# Cells of the whole model, one per n-gram and language: grams of the lowest counts are left out beyond it.
-MOST_CELLS = 6_000_000
-MOST_LANGUAGES = 256
 SPACE = 32
 # Letters that a character not seen in learning could be.
 LETTERS = 1 << 16
@@ -272,26 +269,15 @@ def _kneser_ney(grams: np.ndarray, counts: np.ndarray, alphabet: int) -> tuple[d
     return probabilities, backs, lowest
 
 
-def build(counts: DataFrame, most_cells: int = MOST_CELLS) -> Model | None:
+def build(counts: DataFrame) -> Model | None:
     """The models of all languages from complete counts; None if there is no text at all.
 
-    Languages (``MOST_LANGUAGES`` at most, else an error) stand in code point order. The number of kept grams times
-    languages is bounded by ``most_cells``: the lowest count that fits is found from a histogram of counts.
+    Languages stand in code point order. No gram and no language is left out, so discounts and continuation counts are
+    those of all counts. The model has one number per n-gram and language, and the driver and every task hold it whole.
     """
-    counts = counts.where("n > 0")
-    histogram = counts.groupBy(F.least(F.floor(F.log2("n") * 4), F.lit(250)).alias("level")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).collect()
-    names = [r["lang"] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if not names:
+    table = counts.where("n > 0").toPandas()
+    if not len(table):
         return None
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    rows, least = 0, 1
-    for r in sorted(histogram, key=lambda r: -r["level"]):
-        rows += r["rows"]
-        if rows * len(names) > most_cells:
-            break
-        least = r["least"]
-    table = counts.where(F.col("n") >= least).toPandas()  # most_cells / languages rows at most
     names = sorted(set(table["lang"]))
     parts = {}
     for name, mine in table.groupby("lang"):
@@ -339,7 +325,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row: str = "doc
         return None
     chosen = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(row).alias("row"), F.col(lang).alias("lang"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("calibrate"), "row"), "row").limit(calibration_rows).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # most_cells values
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams times languages
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -383,7 +369,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", new: tuple
     others = [c for c in docs.columns if c not in new and (keep_text or c != text)]
     source = docs.select(*others, F.col(text).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # most_cells values
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams times languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -219,6 +219,18 @@ def test_main_text(html, text):
         assert found == text
 
 
+def test_hot_language_leaves_small_ones_their_grams(spark):
+    hot = [("aa", (97 << 48) + (i << 16) + 98, 9 if i < 9000 else 5) for i in range(97, 25_097)]
+    small = [(f"l{k}", (99 << 48) + (100 << 32) + (101 << 16) + 500 + k, 1) for k in range(299)]
+    model = langid.build(spark.createDataFrame(hot + small, "lang string, gram long, n long"))
+    assert model.languages == sorted({r[0] for r in hot + small})
+    for k in (0, 150, 298):
+        found = model.log_p(np.array([small[k][1]], np.uint64))[0]
+        assert model.languages[int(found.argmax())] == f"l{k}"
+    tops = len(model.logs[langid.ORDER].grams)
+    assert tops == len(hot) + len(small)
+
+
 LONG = "Many words in one line make it a line of content on any page, whatever stands around it. " * 4
 LINKS = "".join(f'<p><a href="/{i}">Go</a> <a href="/x{i}">x{i}</a></p>' for i in range(12))
 
