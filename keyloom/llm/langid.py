@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ ORDER = 4
 UNKNOWN = "und"
 SLICE = 1 << 19  # characters worked on at once
 SPACE = 32
+# Share of a language's documents that its rejection limit starts from, and steps of its histogram per nat.
+USUAL, STEPS = 0.9, 100
 # Letters that a character not seen in learning could be.
 LETTERS = 1 << 16
 
@@ -313,12 +316,34 @@ def build(counts: DataFrame) -> Model | None:
     return Model(names, logs, backs, floor)
 
 
+def _usual(docs: DataFrame, shared: Broadcast[Model]) -> dict[int, float]:
+    """Per language with documents of 20 letters or more whose label is predicted: the entropy that ``USUAL`` of them stay below."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(shared.value.languages, object)
+        for batch, texts in text_batches(batches, "text"):
+            nats, n = shared.value.entropies(texts)
+            choice = nats.argmin(axis=1)
+            agree = (n >= 20) & (names[choice] == np.array(batch.column("lang").to_pylist(), object))
+            steps = np.floor(nats.min(axis=1)[agree] * STEPS).astype(np.int64)
+            found, times = np.unique(np.stack([choice[agree], steps], axis=1), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(times)], ["k", "step", "n"])
+
+    histogram = docs.mapInArrow(count, "k long, step long, n long").groupBy("k", "step").agg(F.sum("n").alias("n")).toPandas().sort_values(["k", "step"])
+    usual = {}
+    for k, mine in histogram.groupby("k"):
+        below = mine["n"].to_numpy().cumsum()
+        usual[int(k)] = float(mine["step"].to_numpy()[np.searchsorted(below, USUAL * below[-1])] + 1) / STEPS
+    return usual
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row: str = "doc_id", calibration_rows: int = 4000, slack: float = 2.0) -> Model | None:
-    """Counts all of ``docs``, builds the models and calibrates them on ``calibration_rows`` documents of lowest hash.
+    """Counts all of ``docs``, builds the models and calibrates them, scores on ``calibration_rows`` documents of lowest hash.
 
-    Calibration sets, per language, the entropy above which a text is rejected: the highest of the language's sample
-    documents with 20 letters or more, plus ``slack`` nats; and how sharply scores follow differences of entropy: the
-    sharpness of highest likelihood on the sample. Null and empty texts and null languages are not learned from.
+    The entropy above which a text is rejected is, per language, that which ``USUAL`` of all documents of 20 letters or more
+    stay below, plus ``slack`` nats; documents count if their label is the language predicted for them. So wrongly labelled
+    junk does not set it. How sharply scores follow differences of entropy is the sharpness of highest likelihood on the
+    sample. Null and empty texts and null languages are not learned from.
     """
     model = build(keep(gram_counts(docs, text, lang), "langid-grams"))
     if model is None:
@@ -339,10 +364,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row: str = "doc
     nats = np.array([r["nats"] for r in rows]).reshape(len(rows), len(known))
     truth = np.array([known.get(r["lang"], -1) for r in rows], int)
     n = np.array([r["n"] for r in rows], int)
-    long = n >= 20
-    best, owner = nats[long].min(axis=1), truth[long]
-    fallback = float(best.max()) if len(best) else np.log(2**16)
-    model.limits = np.array([(best[owner == k].max() if (owner == k).any() else fallback) + slack for k in range(len(known))])
+    usual = _usual(docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null"), shared)
+    fallback = max(usual.values(), default=np.log(2**16))
+    model.limits = np.array([usual.get(k, fallback) + slack for k in range(len(known))])
     levels = 2.0 ** np.arange(-2, 9)
     if len(rows):
         inside = truth >= 0

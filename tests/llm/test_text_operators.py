@@ -231,6 +231,20 @@ def test_hot_language_leaves_small_ones_their_grams(spark):
     assert tops == len(hot) + len(small)
 
 
+def test_labelled_junk_does_not_raise_the_limit(spark):
+    import random
+
+    rng = random.Random(2)
+    junk = lambda: " ".join("".join(rng.choices("qxzjkwvyhbfgpm", k=rng.randrange(3, 9))) for _ in range(100))
+    given = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'fr'").collect()]
+    rows = [*given, (10**7, junk(), "fr")]
+    schema = "doc_id long, text string, lang string"
+    model = langid.fit(spark.createDataFrame(rows, schema).repartition(3))
+    unseen = [(-1 - i, junk(), None) for i in range(20)] + given[:20]
+    out = {r["doc_id"]: r["rejected"] for r in langid.predict(spark.createDataFrame(unseen, schema).select("doc_id", "text"), model).collect()}
+    assert all(out[i] for i, _, lang in unseen if lang is None) and not any(out[i] for i, _, _ in given[:20])
+
+
 LONG = "Many words in one line make it a line of content on any page, whatever stands around it. " * 4
 LINKS = "".join(f'<p><a href="/{i}">Go</a> <a href="/x{i}">x{i}</a></p>' for i in range(12))
 
