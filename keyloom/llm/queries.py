@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontamination, html_text, langid, line_dedup, mixing, simhash, token_counts, topk, toxicity, warc
+from keyloom.llm import decontamination, html_text, infilling, langid, line_dedup, mixing, simhash, token_counts, topk, toxicity, vector_codes, warc
 from keyloom.llm.common import fold, keep, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -65,6 +65,35 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("row") % 20 == 0), 20)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are rotated, and rotated back from output and form; both are reported as digests."""
+    moved = infilling.infill(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = infilling.restored(moved.withColumn("output_sha256", F.sha2(F.col("output").cast("binary"), 256)))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, book = vector_codes.codes(vector_codes.prepared(table(spark, sf_dir, "embeddings")))
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(book)).alias("codebooks_sha256"))
+
+
+_ASSIGNED = """SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT vec_id, p.part, entry,
+            CAST(coalesce(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.v, c.v)]), 0) AS BIGINT) AS d FROM p JOIN {book} c ON p.part = c.part) GROUP BY vec_id, part"""
+_MOVED = """SELECT part, entry, coalesce(m.v, b.v) AS v FROM {book} b LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v
+            FROM (SELECT part, entry, i, CAST(floor(sum(v[i + 1]) / count(*)) AS BIGINT) AS x FROM {assigned} JOIN p USING (vec_id, part), range(len(v)) t(i) GROUP BY ALL)
+            GROUP BY part, entry) m USING (part, entry)"""
+VECTOR_CODES = f"""
+        WITH k AS (SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        p AS (SELECT vec_id, part, e[part * len(e) // 16 + 1 : (part + 1) * len(e) // 16] AS v FROM k, range(16) t(part)),
+        c0 AS (SELECT part, entry, v FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM k) JOIN p USING (vec_id) WHERE entry < 64),
+        a0 AS ({_ASSIGNED.format(book="c0")}), c1 AS ({_MOVED.format(book="c0", assigned="a0")}),
+        a1 AS ({_ASSIGNED.format(book="c1")}), c2 AS ({_MOVED.format(book="c1", assigned="a1")}),
+        a2 AS ({_ASSIGNED.format(book="c2")}),
+        s AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN s USING (vec_id), h"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_toxicity": op2_toxicity,
@@ -76,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_top_k": op10_top_k,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op10_top_k": """
@@ -85,4 +116,14 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
         SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20""",
+    "op11_fill_in_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        n AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS h FROM d),
+        f AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+            CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+        p AS (SELECT *, '<P>' || substr(t, 1, a) AS p, '<M>' || substr(t, a + 1, b - a) AS m, '<S>' || substr(t, b + 1) AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_vector_codes": VECTOR_CODES,
 }
