@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import decontamination, html_text, infilling, langid, line_dedup, mixing, simhash, token_counts, topk, toxicity, vector_codes, warc
+from keyloom.llm import decontamination, html_text, infilling, langid, line_dedup, mixing, set_join, simhash, token_counts, topk, toxicity, vector_codes, warc
 from keyloom.llm.common import fold, keep, table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -77,6 +77,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(book)).alias("codebooks_sha256"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _ASSIGNED = """SELECT vec_id, part, arg_min(entry, d * 64 + entry) AS entry, min(d) AS d FROM (SELECT vec_id, p.part, entry,
             CAST(coalesce(list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.v, c.v)]), 0) AS BIGINT) AS d FROM p JOIN {book} c ON p.part = c.part) GROUP BY vec_id, part"""
 _MOVED = """SELECT part, entry, coalesce(m.v, b.v) AS v FROM {book} b LEFT JOIN (SELECT part, entry, list(x ORDER BY i) AS v
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_top_k": op10_top_k,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_vector_codes": op12_vector_codes,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op10_top_k": """
@@ -126,4 +131,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
             sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN p || s || m ELSE s || p || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
     "op12_vector_codes": VECTOR_CODES,
+    "op13_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE [array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.reached = e.a)
+        SELECT node AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(reached) AS component_id
+        FROM r LEFT JOIN n ON n.doc_id = node GROUP BY node""",
 }
