@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,14 +181,55 @@ def train_hot_keys(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(trained.select("key", "idx", "w_0", "w_1"), "w_0", "w_1")
 
 
-@query()
-def train_per_key_in_batches(spark: SparkSession, sf: str) -> DataFrame:
-    """Mini-batches in seeded order; checked against brute force in the tests."""
+SIZE, PASSES, MOMENTUM = 8, 1.5, 0.9
+# mini-batches in hash order, one recursion per step; a key without a batch in a step has ended
+BATCHES = [
+    *FEATURES, *start_sql("k.key"),
+    f"plan AS (SELECT g, n, greatest(1, round_even({PASSES} * ceil(n / {SIZE}), 0))::BIGINT AS steps, ceil(n / {SIZE})::BIGINT AS batches FROM sizes)",
+    f"""read AS (
+      SELECT g, doc_id, p * batches + (place - 1) // {SIZE} AS step FROM (
+        SELECT k.key AS g, k.doc_id, p, row_number() OVER (PARTITION BY k.key, p ORDER BY md5('3|' || p || '|' || k.doc_id), k.doc_id) AS place
+        FROM keyed_text k, range({math.ceil(PASSES)}) t(p)) JOIN plan USING (g) WHERE p * batches + (place - 1) // {SIZE} < steps)""",
+    "feed AS (SELECT t.*, r.step FROM train t JOIN read r ON r.g = t.g AND r.doc_id = t.doc_id)",
+    f"""state AS (
+      SELECT 0::BIGINT AS step, g, idx, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS va, 0.0::DOUBLE AS vb, 0.0::DOUBLE AS loss FROM w0
+      UNION ALL
+      SELECT s.step + 1, s.g, s.idx, s.a - {LR} * ({MOMENTUM} * s.va + coalesce(d.a, 0) / l.m), s.b - {LR} * ({MOMENTUM} * s.vb + coalesce(d.b, 0) / l.m),
+             {MOMENTUM} * s.va + coalesce(d.a, 0) / l.m, {MOMENTUM} * s.vb + coalesce(d.b, 0) / l.m, s.loss + l.loss
+      FROM state s
+      JOIN (SELECT g, count(*) AS m, sum(CASE WHEN label = 0 THEN ln(1 + exp(xb - xa)) ELSE ln(1 + exp(xa - xb)) END) AS loss
+            FROM (SELECT f.g, f.doc_id, any_value(f.label) AS label, sum(value * a) AS xa, sum(value * b) AS xb
+                  FROM feed f JOIN state w ON w.g = f.g AND w.idx = f.idx AND w.step = f.step GROUP BY f.g, f.doc_id) GROUP BY g) l ON l.g = s.g
+      LEFT JOIN (SELECT f.g, f.idx, sum(f.value * (1 / (1 + exp(xb - xa)) - (label = 0)::INTEGER)) AS a, sum(f.value * (1 / (1 + exp(xa - xb)) - (label = 1)::INTEGER)) AS b
+            FROM (SELECT f.g, f.doc_id, f.step, sum(value * a) AS xa, sum(value * b) AS xb
+                  FROM feed f JOIN state w ON w.g = f.g AND w.idx = f.idx AND w.step = f.step GROUP BY f.g, f.doc_id, f.step) x
+            JOIN feed f ON f.g = x.g AND f.doc_id = x.doc_id AND f.step = x.step GROUP BY f.g, f.idx) d ON d.g = s.g AND d.idx = s.idx)""",
+    "trained AS (SELECT s.*, plan.n, plan.steps FROM state s JOIN plan ON plan.g = s.g AND plan.steps = s.step)",
+    "seen AS (SELECT g, count(*) AS seen FROM read GROUP BY g)",
+]
+
+
+def trained_in_batches(spark: SparkSession, sf: str, **options: int) -> DataFrame:
     documents, values = training_inputs(spark, sf)
     rows = cut_lineage(training.training_rows(documents, values, "doc_id", "key", "label"))
-    fit = training.Fit(classes=CLASSES, lr=LR, epochs=1.5, batch_size=8, momentum=0.9, seed=3)
-    trained = training.train_per_key(rows, training.start_table(rows, None, CLASSES), fit)
-    return rounded(training.per_key_stats(trained), "train_loss", "keep", "drift")
+    fit = training.Fit(classes=CLASSES, lr=LR, epochs=PASSES, batch_size=SIZE, momentum=MOMENTUM, seed=3, **options)
+    return training.train_per_key(rows, training.start_table(rows, None, CLASSES), fit)
+
+
+@query(with_(BATCHES, f"""
+SELECT g AS key, n, steps, {r('loss / seen')} AS train_loss, 1.0::DOUBLE AS keep,
+       {r(f'list_sum([{LR} * (1 - pow({MOMENTUM}, t)) / (1 - {MOMENTUM}) FOR t IN range(1, steps + 1)])')} AS drift
+FROM trained JOIN seen USING (g) WHERE idx = -1""").replace("WITH ", "WITH RECURSIVE ", 1))
+def train_per_key_in_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Mini-batches in seeded order."""
+    return rounded(training.per_key_stats(trained_in_batches(spark, sf)), "train_loss", "keep", "drift")
+
+
+@query(with_(BATCHES, f"SELECT g AS key, idx::INTEGER AS idx, steps, {r('a')} AS w_0, {r('b')} AS w_1 FROM trained").replace("WITH ", "WITH RECURSIVE ", 1))
+def train_large_keys_in_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The weights, in the form of training that takes keys of any size: rows in the order of their steps."""
+    trained = trained_in_batches(spark, sf, max_group_rows=0)
+    return rounded(trained.select("key", "idx", "steps", "w_0", "w_1"), "w_0", "w_1")
 
 
 @query(with_([*FEATURES, *start_sql("0"), *step_sql(1), *step_sql(2)], long_sql("w2")))

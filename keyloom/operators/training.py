@@ -5,22 +5,29 @@ lists only the features the key uses. Every other parameter follows a rule witho
 moves by ``drift`` times the control variate), so it is never written out per key.
 
 Full batches (the default) are trained by Spark aggregations over all keys at once, a fixed number of jobs per step however
-large a key is. Mini-batches need a key's rows in order, so they are trained in grouped maps and refused for keys beyond
-``max_group_rows``.
+large a key is. Mini-batches are numbered by the hash order of a key's documents in Spark: the step table says which
+document is read in which step. Batches of many documents are Spark steps as well. The small steps of a key follow one
+another, so they run in one task: in a grouped map if the key's rows are few; otherwise the rows arrive sorted by step and
+the task holds weights and one gradient of the key, never its rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from keyloom.functions.ordering import attach, hash_rank
 from keyloom.operators.metrics import classification_metrics, confusion, dispersion
 from keyloom.operators.scoring import predict
 from keyloom.session import cut_lineage, ship_with_tasks
@@ -34,7 +41,8 @@ BIAS = -1
 class Fit:
     """Settings of local training; ``batch_size=None`` takes all rows of the key in every step.
 
-    ``max_group_rows``: feature rows of a key that one task may hold when ``batch_size`` is set.
+    ``max_group_rows``: feature rows of a key that one task may hold when ``batch_size`` is set; larger keys are streamed.
+    ``wide_batch``: batches of at least so many documents are computed by Spark, one step at a time for all keys.
     """
 
     classes: int
@@ -46,6 +54,7 @@ class Fit:
     mu: float = 0.0
     seed: object = 0
     max_group_rows: int = 2_000_000
+    wide_batch: int = 100_000
 
 
 def _columns(prefix: str, classes: int) -> list[str]:
@@ -194,20 +203,45 @@ def _logits(documents: DataFrame, features: DataFrame, weights: DataFrame, class
     return scored.select(*documents.columns, *totals)
 
 
+def step_table(documents: DataFrame, fit: Fit) -> DataFrame:
+    """``(key, doc, step)``: the step, counted from 0, in which a key reads a document; one row for each pass that reads it.
+
+    A pass takes the key's documents in the hash order of seed, pass and document, ``batch_size`` at a time, the last batch
+    with what is left. A key has ``round(epochs * batches)`` steps, one at least, so that its last pass may be cut short.
+    """
+    narrow, tables = documents.select("key", "doc"), []
+    for number in range(max(1, math.ceil(fit.epochs))):
+        ranked = hash_rank(narrow, ["key"], ["doc"], f"{fit.seed}|{number}", "__rank", "__n")
+        batches = F.ceil(F.col("__n") / fit.batch_size)
+        step = (F.floor((F.col("__rank") - 1) / fit.batch_size) + number * batches).cast("long")
+        total = F.greatest(F.lit(1), F.rint(F.lit(float(fit.epochs)) * batches)).cast("long")
+        tables.append(ranked.select("key", "doc", step.alias("step"), total.alias("total")).where("step < total").drop("total"))
+    return cut_lineage(reduce(DataFrame.unionByName, tables))
+
+
 def fit_stepwise(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
-    """Full-batch steps for all keys at once; same result as the grouped map.
+    """Steps for all keys at once, full batches or those of :func:`step_table`; same result as the grouped map.
 
     A step scores documents, writes their residuals, and adds up one gradient per key and feature from partial sums. Its
-    number of jobs does not depend on the data, and weights are written after every step.
+    number of jobs does not depend on the data, and weights are written after every step. A key that has no more
+    batches keeps its weights.
     """
     classes = range(fit.classes)
-    steps = max(1, int(round(fit.epochs)))
     documents, features = _parted(rows)
     state = start.withColumns({f"b_{c}": F.col(f"w_{c}") for c in classes}).withColumns({f"v_{c}": F.lit(0.0) for c in classes})
     state = cut_lineage(state.withColumn("loss_sum", F.lit(0.0)))
-    sizes = cut_lineage(documents.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    for _ in range(steps):
-        scored = _logits(documents, features, state, fit.classes)
+    sizes = documents.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    if fit.batch_size:
+        turns = step_table(documents, fit)
+        taken = turns.groupBy("key").agg(F.count(F.lit(1)).alias("seen"), (F.max("step") + 1).alias("steps"))
+        sizes = cut_lineage(attach(sizes, taken, ["key"], "inner"))
+        steps = sizes.agg(F.max("steps")).first()[0] or 0
+    else:
+        steps = max(1, int(round(fit.epochs)))
+        sizes = cut_lineage(sizes.withColumns({"seen": F.col("n") * steps, "steps": F.lit(steps).cast("long")}))
+    for step in range(steps):
+        members = attach(documents, turns.where(F.col("step") == step).drop("step"), ["key", "doc"], "left_semi") if fit.batch_size else documents
+        scored = _logits(members, features, state, fit.classes)
         if "offset" in documents.columns:
             scored = scored.withColumns({f"x_{c}": F.col(f"x_{c}") + F.col("offset")[c] for c in classes})
         odds = [F.exp(F.col(f"x_{c}") - F.greatest(*[f"x_{d}" for d in classes])) for c in classes]
@@ -218,48 +252,192 @@ def fit_stepwise(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
         pulls = features.join(residual, ["key", "doc"]).groupBy("key", "idx").agg(
             *[F.sum(F.col("value") * F.col(f"r_{c}")).alias(f"p_{c}") for c in classes]
         )
-        per_key = residual.groupBy("key").agg(*[F.sum(f"r_{c}").alias(f"p_{c}") for c in classes], F.sum("loss").alias("loss"))
+        per_key = residual.groupBy("key").agg(*[F.sum(f"r_{c}").alias(f"p_{c}") for c in classes], F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("m"))
         biases = per_key.select("key", F.lit(BIAS).alias("idx"), *[f"p_{c}" for c in classes])
-        losses = per_key.select("key", "loss").join(sizes, "key")
-        moved = state.join(pulls.unionByName(biases), ["key", "idx"], "left").join(losses, "key")
+        moved = state.join(pulls.unionByName(biases), ["key", "idx"], "left").join(per_key.select("key", "loss", "m"), "key", "left")
         speed, weight = {}, {}
         for c in classes:
-            w = F.col(f"w_{c}")
+            w, v = F.col(f"w_{c}"), F.col(f"v_{c}")
             gradient = (
-                F.coalesce(f"p_{c}", F.lit(0.0)) / F.col("n") + fit.mu * (w - F.col(f"b_{c}"))
+                F.coalesce(f"p_{c}", F.lit(0.0)) / F.col("m") + fit.mu * (w - F.col(f"b_{c}"))
                 + (F.col(f"g_{c}") - F.col(f"l_{c}")) + fit.weight_decay * w
             )
-            speed[c] = fit.momentum * F.col(f"v_{c}") + gradient
-            weight[c] = w - fit.lr * speed[c]
+            active = F.col("m").isNotNull()
+            speed[c] = F.when(active, fit.momentum * v + gradient).otherwise(v)
+            weight[c] = F.when(active, w - fit.lr * speed[c]).otherwise(w)
         state = cut_lineage(
             moved.select(
                 "key", "idx", *[f"{p}_{c}" for p in "gl" for c in classes], *[f"b_{c}" for c in classes],
                 *[weight[c].alias(f"w_{c}") for c in classes], *[speed[c].alias(f"v_{c}") for c in classes],
-                (F.col("loss_sum") + F.col("loss")).alias("loss_sum"),
+                (F.col("loss_sum") + F.coalesce("loss", F.lit(0.0))).alias("loss_sum"),
             )
         )
-    keep, drift = _untouched(steps, fit)
-    deltas = [(F.col(f"w_{c}") - (F.lit(keep) * F.col(f"b_{c}") - F.lit(drift) * F.col(f"g_{c}"))).alias(f"d_{c}") for c in classes]
+    closed = sizes.select("steps").distinct().collect()  # numbers of steps, not keys
+    keep = _lookup("steps", {r["steps"]: _untouched(r["steps"], fit)[0] for r in closed})
+    drift = _lookup("steps", {r["steps"]: _untouched(r["steps"], fit)[1] for r in closed})
+    done = state.join(sizes, "key").withColumns({"keep": keep, "drift": drift})
+    deltas = [(F.col(f"w_{c}") - (F.col("keep") * F.col(f"b_{c}") - F.col("drift") * F.col(f"g_{c}"))).alias(f"d_{c}") for c in classes]
     interleaved = [col for c in classes for col in (deltas[c], F.col(f"w_{c}"))]
-    mean_loss = (F.col("loss_sum") / (F.col("n") * steps)).alias("train_loss")
-    return state.join(sizes, "key").select(
-        "key", "idx", "n", F.lit(steps).cast("long").alias("steps"), mean_loss, F.lit(keep).alias("keep"), F.lit(drift).alias("drift"), *interleaved
-    )
+    return done.select("key", "idx", "n", "steps", (F.col("loss_sum") / F.col("seen")).alias("train_loss"), "keep", "drift", *interleaved)
+
+
+def _lookup(column: str, values: dict) -> Column:
+    cells = [F.lit(x) for pair in values.items() for x in pair]
+    return F.element_at(F.create_map(*cells), F.col(column).cast("int")) if cells else F.lit(None).cast("double")
+
+
+class _InOrder:
+    """Training of one key whose rows come in the order of steps: weights, and the gradient of the step at hand."""
+
+    def __init__(self, key: object, fit: Fit):
+        self.key, self.fit = key, fit
+        self.idx: np.ndarray = np.zeros(0, np.int64)
+        self.begin = self.variate = self.own = np.zeros((0, fit.classes))
+        self.step, self.members = -1, 0
+        self.loss, self.seen = 0.0, 0
+
+    def open(self, idx: np.ndarray, values: np.ndarray) -> None:
+        """More start rows, with begin, variate and own variate for each class; they come before all steps, by idx."""
+        c = self.fit.classes
+        self.idx = np.concatenate([self.idx, idx])
+        self.begin, self.variate, self.own = (np.concatenate([old, values[:, k * c : (k + 1) * c]]) for k, old in enumerate((self.begin, self.variate, self.own)))
+        self.weights, self.speed, self.pull = self.begin.copy(), np.zeros_like(self.begin), np.zeros_like(self.begin)
+
+    def _move(self) -> None:
+        if not self.members:
+            return
+        gradient = self.pull / self.members + self.fit.mu * (self.weights - self.begin) + self.variate - self.own + self.fit.weight_decay * self.weights
+        self.speed = self.fit.momentum * self.speed + gradient
+        self.weights = self.weights - self.fit.lr * self.speed
+        self.pull[:] = 0.0
+        self.members = 0
+
+    def read(self, step: int, doc: np.ndarray, label: np.ndarray, idx: np.ndarray, value: np.ndarray, offset: np.ndarray) -> None:
+        """Whole documents of one step; ``doc`` numbers them from 0."""
+        if step != self.step:
+            self._move()
+            self.step = step
+        n, at = doc[-1] + 1, np.searchsorted(self.idx, idx)
+        contribution = value[:, None] * self.weights[at]
+        first = np.flatnonzero(np.diff(doc, prepend=-1))
+        logits = np.stack([np.bincount(doc, contribution[:, c], n) for c in range(self.fit.classes)], axis=1) + offset[first]
+        logits -= logits.max(axis=1, keepdims=True)
+        share = np.exp(logits)
+        share /= share.sum(axis=1, keepdims=True)
+        own = label[first]
+        self.loss -= float(np.log(share[np.arange(n), own]).sum())
+        share[np.arange(n), own] -= 1.0
+        np.add.at(self.pull, at, value[:, None] * share[doc])
+        self.members += n
+        self.seen += n
+
+    def result(self, sizes: int) -> dict[str, object]:
+        self._move()
+        total = self.step + 1
+        keep, drift = _untouched(total, self.fit)
+        out = {"key": [self.key] * len(self.idx), "idx": self.idx, "n": sizes, "steps": total, "train_loss": self.loss / self.seen, "keep": keep, "drift": drift}
+        for c in range(self.fit.classes):
+            out[f"d_{c}"] = self.weights[:, c] - (keep * self.begin[:, c] - drift * self.variate[:, c])
+            out[f"w_{c}"] = self.weights[:, c]
+        return out
+
+
+def fit_in_order(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
+    """Mini-batch steps of keys of any size: rows sorted by key and step pass through tasks that hold one key's weights.
+
+    Same result as the grouped map. A task reads each of its keys' rows once per pass, in Arrow batches; of the rows it
+    holds one batch and the document that goes on in the next.
+    """
+    classes = fit.classes
+    documents = cut_lineage(rows.where(F.col("idx") == BIAS).select("key", "doc"))
+    counts = documents.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    begin = F.array(*[F.col(f"{p}_{c}") for p in "wgl" for c in range(classes)])
+    offset = F.col("offset") if "offset" in rows.columns else F.array(*[F.lit(0.0)] * classes)
+    doc_type = dict(rows.dtypes)["doc"]
+    read = attach(rows, step_table(documents, fit), ["key", "doc"], "inner")
+    read = read.select("key", "step", "doc", F.col("label").cast("int").alias("label"), F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"),
+                       offset.alias("numbers"), F.lit(0).cast("long").alias("n"))
+    opened = attach(start, counts, ["key"], "inner").select(
+        "key", F.lit(-1).cast("long").alias("step"), F.lit(None).cast(doc_type).alias("doc"), F.lit(0).alias("label"), F.col("idx").cast("long").alias("idx"),
+        F.lit(0.0).alias("value"), begin.alias("numbers"), "n")
+    ordered = read.unionByName(opened).repartition("key").sortWithinPartitions("key", "step", "doc", "idx")
+    schema = _result_schema(rows, classes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: _InOrder | None = None
+        size, carried = 0, None
+
+        def parts(last: bool, table: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            """Rows of one key and step each, whole documents only; what may go on is carried over."""
+            nonlocal carried
+            if carried is not None:
+                table = pd.concat([carried, table], ignore_index=True)
+                carried = None
+            if not len(table):
+                return
+            same = [(table[c] == table[c].shift()) | (table[c].isna() & table[c].shift().isna()) for c in ("key", "step", "doc")]
+            same[0].iloc[0] = False
+            block = (~(same[0] & same[1])).cumsum().to_numpy()
+            table["__doc"] = (~(same[0] & same[1] & same[2])).cumsum().to_numpy()
+            whole = len(table)
+            if not last and table["step"].iloc[-1] >= 0:
+                whole = int(np.searchsorted(table["__doc"].to_numpy(), table["__doc"].iloc[-1]))
+                carried = table.iloc[whole:].drop(columns="__doc")
+            for places in np.split(np.arange(whole), np.flatnonzero(np.diff(block[:whole])) + 1):
+                if len(places):
+                    yield table.iloc[places[0] : places[-1] + 1]
+
+        def answer() -> pa.RecordBatch:
+            made = pd.DataFrame(state.result(size))
+            return pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type, from_pandas=f.name == "key") for f in result], [f.name for f in result])
+
+        def feed(part: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+            nonlocal state, size
+            key, step = part["key"].iloc[0], int(part["step"].iloc[0])
+            fresh = state is None or not (key == state.key or (pd.isna(key) and pd.isna(state.key)))
+            if fresh:
+                if state is not None:
+                    yield answer()
+                state = _InOrder(None if pd.isna(key) else key, fit)
+            numbers = np.stack(part["numbers"].to_numpy())
+            if step < 0:
+                size = int(part["n"].iloc[0])
+                state.open(part["idx"].to_numpy(), numbers)
+                return
+            doc = part["__doc"].to_numpy()
+            state.read(step, doc - doc[0], part["label"].to_numpy(), part["idx"].to_numpy(), part["value"].to_numpy(), numbers)
+
+        names = None
+        for batch in batches:
+            names = batch.schema
+            for part in parts(False, batch.to_pandas()):
+                yield from feed(part)
+        if names is not None:
+            for part in parts(True, names.empty_table().to_pandas()):
+                yield from feed(part)
+        if state is not None:
+            yield answer()
+
+    result = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+    return ordered.mapInArrow(run, schema)
 
 
 def train_per_key(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
     """Trains every key from its start weights.
 
     Returns one row per key and used feature: final weights ``w_c``, change ``d_c`` against the rule for unused
-    parameters, and on each row the key's ``n``, ``steps``, ``train_loss``, ``keep`` and ``drift``. With ``batch_size`` a
-    key of more than ``max_group_rows`` rows is an error, since its steps follow one another.
+    parameters, and on each row the key's ``n``, ``steps``, ``train_loss``, ``keep`` and ``drift``. Keys of any size are
+    trained: in Spark steps (no ``batch_size``, or at least ``wide_batch``), in a grouped map (keys of ``max_group_rows``
+    rows at most), or in order of their steps.
     """
-    if not fit.batch_size:
+    if not fit.batch_size or fit.batch_size >= fit.wide_batch:
         return fit_stepwise(rows, start, fit)
-    largest = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).agg(F.max("size")).first()[0]
-    if largest is not None and largest > fit.max_group_rows:
-        raise ValueError(f"a key has {largest} feature rows; mini-batches take keys of {fit.max_group_rows} at most, use full batches")
-    return _fit_grouped(rows, start, fit)
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > fit.max_group_rows).select("key")
+    large = cut_lineage(large)
+    if large.isEmpty():
+        return _fit_grouped(rows, start, fit)
+    grouped = _fit_grouped(attach(rows, large, ["key"], "left_anti"), attach(start, large, ["key"], "left_anti"), fit)
+    return grouped.unionByName(fit_in_order(attach(rows, large, ["key"], "left_semi"), attach(start, large, ["key"], "left_semi"), fit))
 
 
 def per_key_stats(trained: DataFrame) -> DataFrame:

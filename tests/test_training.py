@@ -91,6 +91,10 @@ FITS = [
     Fit(C, 0.3, epochs=3, momentum=0.9, weight_decay=0.05),
     Fit(C, 0.3, epochs=2, batch_size=7, mu=0.4, seed=5),
     Fit(C, 0.2, epochs=1.5, batch_size=5, momentum=0.5, weight_decay=0.02, mu=0.1, seed=9),
+    Fit(C, 0.2, epochs=1.5, batch_size=5, momentum=0.5, weight_decay=0.02, mu=0.1, seed=9, max_group_rows=0),
+    Fit(C, 0.3, epochs=2.5, batch_size=9, momentum=0.9, seed=2, max_group_rows=30),
+    Fit(C, 0.3, epochs=2, batch_size=100, mu=0.4, seed=5, max_group_rows=0),
+    Fit(C, 0.2, epochs=1.5, batch_size=5, momentum=0.5, weight_decay=0.02, mu=0.1, seed=9, wide_batch=1),
 ]
 
 
@@ -140,11 +144,23 @@ def test_prior_offsets(data, frame_module):
     assert np.allclose(np.exp(offset), [4 / 7, 2 / 7, 1 / 7])
 
 
-def test_large_keys_refuse_mini_batches(data):
+@pytest.mark.parametrize("records", [1, 3, 1000])
+def test_documents_may_go_on_in_the_next_arrow_batch(spark, data, records):
+    """Keys that are streamed equal keys that are grouped, however rows are cut into batches."""
     _, _, _, documents, features = data
     rows = training.training_rows(documents, features, "doc", "key", "label")
-    with pytest.raises(ValueError, match="full batches"):
-        training.train_per_key(rows, training.start_table(rows, None, C), Fit(C, 0.1, batch_size=4, max_group_rows=5))
+    fit = Fit(C, 0.3, epochs=2, batch_size=3, momentum=0.5, seed=4)
+    start = training.start_table(rows, None, C)
+    grouped = training._fit_grouped(rows, start, fit).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        streamed = training.fit_in_order(rows, start, fit).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    known = {(r.key, r.idx): r for r in grouped}
+    assert len(streamed) == len(known)
+    for r in streamed:
+        assert tuple(r)[4:] == pytest.approx(tuple(known[r.key, r.idx])[4:]) and r.steps == known[r.key, r.idx].steps
 
 
 def test_local_only_models(data):
