@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.ordering import attach, hash_rank, percentiles, sorted_codes
+from keyloom.functions.selection import first_by_hash
 
 # Percentiles of a profile, default retention thresholds, role codes.
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99)
@@ -120,8 +121,8 @@ def sample_keys(keys: DataFrame, key: str, max_keys: int, seed: object) -> DataF
 
 def cap_per_key(df: DataFrame, key: str, row: str, cap: int, seed: object, **options: int) -> DataFrame:
     """Keys with more than ``cap`` records keep a seeded subset of exactly ``cap``; others keep all."""
-    ranked = hash_rank(df, [key], [row], seed, "__rank", "__size", **options)
-    return ranked.where(F.col("__rank") <= cap).drop("__rank", "__size")
+    chosen = first_by_hash(df, [key], row, seed, ["__kept"], lambda sizes: sizes.withColumn("__kept", F.lit(cap)), **options)
+    return chosen.where("__kept").drop("__kept")
 
 
 def retained_keys(
@@ -181,17 +182,13 @@ def roles_within_keys(
     ``fractions`` are the shares of train, validation and test.
     """
     seen = attach(df, split.select(key, "unseen"), [key], "inner")
-    ranked = hash_rank(seen, [key], [row], seed, "__rank", "__n", **options)
     n = F.col("__n")
     n_test = F.when(n >= 2, F.greatest(F.lit(1), F.rint(F.lit(fractions[2]) * n).cast("long"))).otherwise(0)
     n_val = F.when(n - n_test >= 2, F.rint(F.lit(fractions[1]) * n).cast("long")).otherwise(0)
-    role = (
-        F.when(F.col("unseen"), UNSEEN)
-        .when(F.col("__rank") <= n - n_val - n_test, TRAIN)
-        .when(F.col("__rank") <= n - n_test, VAL)
-        .otherwise(CLIENT_TEST)
-    )
-    return ranked.withColumn("role", role).drop("unseen", "__rank", "__n")
+    quotas = {"__train": n - n_val - n_test, "__val": n - n_test}
+    ranked = first_by_hash(seen, [key], row, seed, list(quotas), lambda sizes: sizes.withColumns(quotas), **options)
+    role = F.when(F.col("unseen"), UNSEEN).when(F.col("__train"), TRAIN).when(F.col("__val"), VAL).otherwise(CLIENT_TEST)
+    return ranked.withColumn("role", role).drop("unseen", *quotas)
 
 
 def key_overlap(df: DataFrame, key: str, role: str = "role") -> DataFrame:

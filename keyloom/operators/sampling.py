@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import hash_word, seeded_hash
 from keyloom.functions.ordering import attach, hash_rank
+from keyloom.functions.selection import first_by_hash
 from keyloom.operators.keys import CLIENT_TEST, TRAIN, VAL
 
 
@@ -18,30 +19,29 @@ def assign_roles_stratified(
     """Adds ``role``: the rounded shares of every class go to train and validation, the rest to test."""
     if abs(sum(fractions) - 1.0) > 1e-9:
         raise ValueError("role fractions must sum to 1")
-    ranked = hash_rank(df, [label], [row], seed, "__rank", "__n", **options)
     train = F.rint(F.lit(fractions[0]) * F.col("__n")).cast("long")
     val = F.rint(F.lit(fractions[1]) * F.col("__n")).cast("long")
-    role = F.when(F.col("__rank") <= train, TRAIN).when(F.col("__rank") <= train + val, VAL).otherwise(CLIENT_TEST)
-    return ranked.withColumn("role", role).drop("__rank", "__n")
+    quotas = {"__train": train, "__val": train + val}
+    marked = first_by_hash(df, [label], row, seed, list(quotas), lambda sizes: sizes.withColumns(quotas), **options)
+    role = F.when(F.col("__train"), TRAIN).when(F.col("__val"), VAL).otherwise(CLIENT_TEST)
+    return marked.withColumn("role", role).drop(*quotas)
 
 
-def class_quotas(df: DataFrame, label: str, size: int) -> DataFrame:
-    """Rows of each class in a subset of ``size``: the floor of its share, remainders to the largest classes."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+def class_quotas(counts: DataFrame, label: str, size: int) -> DataFrame:
+    """Adds ``__quota`` to the sizes ``__n`` of classes: the floor of its share of ``size``, remainders to the largest classes."""
     everything = Window.partitionBy(F.lit(1))  # one row per class
     floors = counts.withColumn(
         "__floor", F.floor(F.col("__n") / F.sum("__n").over(everything) * F.lit(size)).cast("long")
     )
     missing = F.lit(size) - F.sum("__floor").over(everything)
     place = F.row_number().over(everything.orderBy(F.desc("__n"), F.asc(label)))
-    return floors.select(label, (F.col("__floor") + F.when(place <= missing, 1).otherwise(0)).alias("__quota"))
+    return floors.select(label, "__n", (F.col("__floor") + F.when(place <= missing, 1).otherwise(0)).alias("__quota"))
 
 
 def stratified_subset(df: DataFrame, label: str, row: str, size: int, seed: object, **options: int) -> DataFrame:
     """Seeded class-proportional subset of exactly ``size`` rows."""
-    ranked = hash_rank(df, [label], [row], seed, "__rank", "__n", **options)
-    chosen = attach(ranked, class_quotas(df, label, size), [label], "inner").where(F.col("__rank") <= F.col("__quota"))
-    return chosen.drop("__rank", "__n", "__quota")
+    chosen = first_by_hash(df, [label], row, seed, ["__quota"], lambda sizes: class_quotas(sizes, label, size), **options)
+    return chosen.where("__quota").drop("__quota")
 
 
 def flip_labels(
