@@ -219,13 +219,13 @@ def trained_in_batches(spark: SparkSession, sf: str, **options: int) -> DataFram
 @query(with_(BATCHES, f"""
 SELECT g AS key, n, steps, {r('loss / seen')} AS train_loss, 1.0::DOUBLE AS keep,
        {r(f'list_sum([{LR} * (1 - pow({MOMENTUM}, t)) / (1 - {MOMENTUM}) FOR t IN range(1, steps + 1)])')} AS drift
-FROM trained JOIN seen USING (g) WHERE idx = -1""").replace("WITH ", "WITH RECURSIVE ", 1))
+FROM trained JOIN seen USING (g) WHERE idx = -1"""))
 def train_per_key_in_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Mini-batches in seeded order."""
     return rounded(training.per_key_stats(trained_in_batches(spark, sf)), "train_loss", "keep", "drift")
 
 
-@query(with_(BATCHES, f"SELECT g AS key, idx::INTEGER AS idx, steps, {r('a')} AS w_0, {r('b')} AS w_1 FROM trained").replace("WITH ", "WITH RECURSIVE ", 1))
+@query(with_(BATCHES, f"SELECT g AS key, idx::INTEGER AS idx, steps, {r('a')} AS w_0, {r('b')} AS w_1 FROM trained"))
 def train_large_keys_in_batches(spark: SparkSession, sf: str) -> DataFrame:
     """The weights, in the form of training that takes keys of any size: rows in the order of their steps."""
     trained = trained_in_batches(spark, sf, max_group_rows=0)

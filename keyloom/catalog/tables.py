@@ -33,7 +33,7 @@ def rs(*columns: str) -> str:
 
 
 def with_(ctes: Sequence[str], select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + select
 
 
 def hash_order(seed: object, *columns: str) -> str:

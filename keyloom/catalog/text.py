@@ -152,16 +152,29 @@ def association_decomposition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REPEATS = 5
+
+
+def drawn(k: int, fixed: str) -> str:
+    """The hash by which round ``k`` of a permutation moves one half."""
+    return word(f"md5(concat_ws('|', '11', rep, label, {k}, {fixed}))")
+
+
 NULL = [
     *DECOMPOSITION,
     f"""places AS (
-      SELECT label, key AS to_key, row_number() OVER (PARTITION BY label ORDER BY {hash_order('11|base', 'doc_id')}, doc_id) AS i
-      FROM keyed_text)""",
-    f"""draws AS (
-      SELECT rep, doc_id, label, row_number() OVER (
-               PARTITION BY rep, label ORDER BY {hash_order(11, 'rep', 'doc_id')}, rep, doc_id) AS i
-      FROM keyed_text, (SELECT unnest(range(1, {REPEATS + 1})) AS rep))""",
-    "moves AS (SELECT d.rep, d.doc_id, p.to_key FROM draws d JOIN places p ON p.label = d.label AND p.i = d.i)",
+      SELECT doc_id, label, key AS to_key, count(*) OVER (PARTITION BY label) AS n,
+             row_number() OVER (PARTITION BY label ORDER BY {hash_order('11|base', 'doc_id')}, doc_id) - 1 AS i FROM keyed_text)""",
+    # twin of ``permuted``: four rounds over a rectangle of positions, again for those that fall outside
+    f"""walks AS (
+      SELECT 0 AS step, rep, doc_id, label, n, ceil(sqrt(n))::BIGINT AS a, ((n + ceil(sqrt(n))::BIGINT - 1) // ceil(sqrt(n))::BIGINT) AS b, i AS x
+      FROM places, (SELECT unnest(range(1, {REPEATS + 1})) AS rep)
+      UNION ALL
+      SELECT step + 1, rep, doc_id, label, n, a, b, h * a + l AS x FROM (
+        SELECT * REPLACE ((h + {drawn(3, 'l')}) % b AS h) FROM (SELECT * REPLACE ((l + {drawn(2, 'h')}) % a AS l) FROM (
+          SELECT * REPLACE ((h + {drawn(1, 'l')}) % b AS h) FROM (SELECT * REPLACE ((l + {drawn(0, 'h')}) % a AS l) FROM (
+            SELECT *, x % a AS l, x // a AS h FROM walks WHERE step = 0 OR x >= n))))))""",
+    """moves AS (
+      SELECT w.rep, w.doc_id, p.to_key FROM walks w JOIN places p ON p.label = w.label AND p.i = w.x WHERE w.step > 0 AND w.x < w.n)""",
     """moved AS (
       SELECT m.rep, m.to_key AS key, u.term, count(*) AS c, sum(u.label) AS zs
       FROM uses u JOIN moves m ON m.doc_id = u.doc_id GROUP BY ALL)""",

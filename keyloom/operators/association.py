@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.numeric import correlation
 from keyloom.functions.ordering import attach, hash_rank, mid_ranks, ordered, running
+from keyloom.functions.permutation import permuted
 from keyloom.functions.tdist import two_sided_p
+from keyloom.operators.terms import match_terms
 from keyloom.session import cut_lineage
 
 GAP_TYPES = ("inflated", "sign_reversed", "attenuated")
 NO_SLOPE, NO_DIFFERENCE = 1e-12, 1e-9
 # Digits after the point to which values are compared in rank correlations.
 RANK_DIGITS = 9
+# Documents whose places are sent to all tasks.
+MOST_PLACES = 1_000_000
 
 
 def key_term_counts(uses: DataFrame, key: str, term: str = "term") -> DataFrame:
@@ -72,14 +76,18 @@ def association_decomposition(
 def shuffled_keys(documents: DataFrame, doc: str, key: str, score: str, repeats: int, seed: object) -> DataFrame:
     """For every document, the keys its text is moved to: ``repeats`` seeded shuffles among equal scores.
 
-    Document a with hash rank i in draw r takes the place of the document with rank i in the base order of the
-    same score. Ranks are per (draw, score), cut into hash ranges, so a score that half the rows share is fine.
+    Documents of one score are ranked once, in hash order. In draw r the document of rank i takes the place of rank p(i),
+    p being the permutation keyed by seed, draw and score. The places are few numbers per document: they are broadcast up to
+    ``MOST_PLACES`` documents and shuffled beyond.
     """
-    narrow = documents.select(doc, key, score)
-    places = hash_rank(narrow, [score], [doc], f"{seed}|base", rank="__i").select(score, "__i", F.col(key).alias("__to"))
-    draws = documents.select(doc, score, F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
-    ranked = hash_rank(draws, ["rep", score], ["rep", doc], seed, rank="__i").select(doc, "rep", score, "__i")
-    moved = attach(ranked, places, [score, "__i"], "inner")
+    ranked = hash_rank(documents.select(doc, key, score), [score], [doc], f"{seed}|base", rank="__i", size="__n")
+    ranked = cut_lineage(ranked.withColumn("__i", F.col("__i") - 1))
+    places = ranked.select(score, "__i", F.col(key).alias("__to"))
+    if ranked.count() <= MOST_PLACES:
+        places = F.broadcast(places)
+    draws = ranked.select(doc, score, "__i", "__n", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("rep"))
+    draws = draws.select(doc, score, "rep", permuted(F.col("__i"), F.col("__n"), F.lit(str(seed)), F.col("rep"), F.col(score)).alias("__i"))
+    moved = attach(draws, places, [score, "__i"], "inner")
     return moved.groupBy(doc).agg(F.collect_list(F.struct("rep", F.col("__to").alias("to"))).alias("moves"))
 
 
@@ -93,7 +101,7 @@ def permutation_gaps(
     within-key sums are recomputed.
     """
     moves = shuffled_keys(documents, doc, key, score, repeats, seed)
-    wanted = uses.select(doc, term).join(decomposition.select(term), term, "left_semi")
+    wanted = match_terms(uses.select(doc, term), decomposition.select(term, "document_frequency"), term, "document_frequency").select(doc, term)
     cells = (
         attach(wanted, moves, [doc], "inner")
         .select(term, F.explode("moves").alias("m"))
