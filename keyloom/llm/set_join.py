@@ -29,14 +29,16 @@ from keyloom.llm.line_dedup import _mix, _words
 CHUNK = 1 << 18
 # A token is listed if it occurs so often in a task's batch and over all; the most frequent ones are listed. The list sets the order only.
 LOCAL, TOTAL, LISTED = 4, 16, 1 << 18
-# Sets that one task compares under a key with each other; pairs of different classes per set beyond which a token is frequent.
-GROUP = 512
+# Sets that one task compares under a key with each other; half the pairs of different classes per set beyond which a token is frequent.
+GROUP = 2048
 # Tokens of a combination at most; what still meets too often is compared in blocks.
 MOST_TOKENS = 3
+# Random orders of sets, which give a set so many pivots or fewer.
+ORDERS = 8
 # Sets under a listed token that share a pivot; pairs verified together with one set.
-PIVOT_ROWS, STAR = 100_000, 2_000
-# Parity bits: at least these many, and as many as a set has tokens.
-LEAST_BITS = 256
+PIVOT_ROWS, STAR = 100_000, 256
+# Parity bits: at least these many, and this many for each token; groups are compared by the least number.
+LEAST_BITS, BITS_PER_TOKEN = 512, 4
 # Candidates that a task collects before it sends them.
 PAIRS = 100_000
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -119,7 +121,7 @@ def _once(values: np.ndarray) -> np.ndarray:
 
 def parities(tokens: np.ndarray) -> bytes:
     """One bit for each class of tokens: whether their number is odd. Sets that differ in d tokens differ in d bits at most."""
-    bits = max(LEAST_BITS, 1 << (max(1, len(tokens)) - 1).bit_length())
+    bits = max(LEAST_BITS, 1 << (max(1, BITS_PER_TOKEN * len(tokens)) - 1).bit_length())
     odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").tobytes()
 
@@ -228,14 +230,18 @@ def meetings(sets: DataFrame, rule: Rule, listed: tuple[np.ndarray, np.ndarray])
             if shown.any():
                 yield _batch(names, [x[shown] for x in (key, sid, n, last, first[run_of])])
 
-    dealt = rows.select("key", salt.alias("salt"), "sid", "n", "last").repartition("key", "salt").sortWithinPartitions("key", "salt", "sid")
+    order = F.xxhash64("sid", F.pmod("key", F.lit(ORDERS)))
+    dealt = rows.select("key", salt.alias("salt"), "sid", "n", "last").repartition("key", "salt").sortWithinPartitions("key", "salt", order, "sid")
     return keep(dealt.mapInArrow(run, "key long, sid long, n long, last long, pivot long"), "meetings")
 
 
-def pivot_pairs(met: DataFrame, salted: bool) -> DataFrame:
-    """(a, b): each set and the pivot that it meets most often, and the pivots of one token."""
-    votes = met.where("sid <> pivot").groupBy("sid", "pivot").agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("sid").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot")).select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+def pivot_pairs(met: DataFrame, rule: Rule, salted: bool) -> DataFrame:
+    """(a, b): each set and its pivots, those of enough of its tokens, and the pivots of one token. A hint only: no pair of
+    similar sets need be among them."""
+    votes = met.where("sid <> pivot").groupBy("sid", "n", "pivot").agg(F.count(F.lit(1)).alias("votes"))
+    often = F.col("votes") * 2 * ORDERS >= rule.prefix(F.col("n"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("votes", "pivot")), asc=False), 1, ORDERS)  # of a set's own tokens
+    best = votes.where(often).groupBy("sid").agg(best.alias("best")).select(F.explode("best.pivot").alias("a"), F.col("sid").alias("b"))
     if not salted:
         return best
     pivots = met.select("key", "pivot").distinct()
@@ -397,7 +403,7 @@ def crossing_pairs(met: DataFrame, classes: DataFrame, sets: DataFrame, rule: Ru
         many = rows.where(F.col("sets") > GROUP)
         if many.isEmpty():
             break
-        often = (F.col("crossing") > GROUP * F.col("sets")) if k < MOST_TOKENS else F.lit(False)
+        often = (F.col("crossing") > 2 * GROUP * F.col("sets")) if k < MOST_TOKENS else F.lit(False)
         blocked = many.where(~often)
         if not blocked.isEmpty():
             found.append(keep(_crossing(_blocks(blocked), sets, rule, k), "crossing"))
@@ -419,7 +425,7 @@ def joined(docs: DataFrame, rule: Rule, row: str, text: str, mark: Callable[[np.
     documents = keep(signed(keyed.select(place, "text"), "text", rule, listed, mark), "documents")
     sets = distinct_sets(documents)
     met = meetings(sets, rule, listed)
-    first = pivot_pairs(met, bool((listed[1] > PIVOT_ROWS).any()))
+    first = pivot_pairs(met, rule, bool((listed[1] > PIVOT_ROWS).any()))
     links = verified(first.union(hints(sets)) if hints else first, sets, keyed, "text", rule)
     more = verified(crossing_pairs(met, _classes(sets, links), sets, rule), sets, keyed, "text", rule)
     return documents, sets, _classes(sets, links.union(more))
