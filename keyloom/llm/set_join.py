@@ -31,6 +31,8 @@ CHUNK = 1 << 18
 LOCAL, TOTAL, LISTED = 4, 16, 1 << 18
 # Sets that one task compares under a key with each other; half the pairs of different classes per set beyond which a token is frequent.
 GROUP = 2048
+# Sets under a key that are paired without a look at their parities; keys of more are marked when sets meet.
+LARGE = 16
 # Tokens of a combination at most; what still meets too often is compared in blocks.
 MOST_TOKENS = 3
 # Random orders of sets, which give a set so many pivots or fewer.
@@ -192,6 +194,7 @@ def _batch(names: list[str], columns: list[np.ndarray]) -> pa.RecordBatch:
 
 def meetings(sets: DataFrame, rule: Rule, listed: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(key, sid, n, last, pivot): tokens of 1-prefixes that several sets share, last their place, pivot one of these sets.
+    A row of sid -1 says that over ``LARGE`` sets share the token.
 
     Sets under a token that is known to be very frequent are dealt to several pivots, whose own meeting is kept as well.
     """
@@ -205,7 +208,7 @@ def meetings(sets: DataFrame, rule: Rule, listed: tuple[np.ndarray, np.ndarray])
     names = ["key", "sid", "n", "last", "pivot"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, pivot = None, 0  # the last row, if it is its key's only one so far; else its key's pivot
+        waiting, pivot, count = None, 0, 0  # the last row, if it is its key's only one so far; else its key's pivot and rows
         before = None
         for batch in batches:
             if not batch.num_rows:
@@ -218,17 +221,19 @@ def meetings(sets: DataFrame, rule: Rule, listed: tuple[np.ndarray, np.ndarray])
             goes_on = waiting is None and before == (key[0], salt[0])
             starts = np.flatnonzero(new)
             run_of = np.cumsum(new) - 1
-            sizes = np.bincount(run_of)
+            sizes, earlier = np.bincount(run_of), np.zeros(len(starts), np.int64)
             first = sid[starts]
             if goes_on:
-                first[0] = pivot
-            several = (sizes > 1) | (salt[starts] > 0)
-            several[0] |= goes_on
+                first[0], earlier[0] = pivot, count
+            several = (sizes + earlier > 1) | (salt[starts] > 0)
+            large = ((sizes + earlier > LARGE) & (earlier <= LARGE)) | ((salt[starts] > 0) & (earlier == 0))
             shown = several[run_of]
             waiting = None if several[-1] else tuple(x[-1] for x in (key, salt, sid, n, last))
-            before, pivot = (key[-1], salt[-1]), first[-1]
+            before, pivot, count = (key[-1], salt[-1]), first[-1], sizes[-1] + earlier[-1]
             if shown.any():
-                yield _batch(names, [x[shown] for x in (key, sid, n, last, first[run_of])])
+                marks = np.zeros(int(large.sum()), np.int64)
+                rows = (key[shown], sid[shown], n[shown], last[shown], first[run_of][shown])
+                yield _batch(names, [np.concatenate(x) for x in zip(rows, (key[starts[large]], marks - 1, marks, marks, marks - 1), strict=True)])
 
     order = F.xxhash64("sid", F.pmod("key", F.lit(ORDERS)))
     dealt = rows.select("key", salt.alias("salt"), "sid", "n", "last").repartition("key", "salt").sortWithinPartitions("key", "salt", order, "sid")
@@ -238,13 +243,13 @@ def meetings(sets: DataFrame, rule: Rule, listed: tuple[np.ndarray, np.ndarray])
 def pivot_pairs(met: DataFrame, rule: Rule, salted: bool) -> DataFrame:
     """(a, b): each set and its pivots, those of enough of its tokens, and the pivots of one token. A hint only: no pair of
     similar sets need be among them."""
-    votes = met.where("sid <> pivot").groupBy("sid", "n", "pivot").agg(F.count(F.lit(1)).alias("votes"))
+    votes = met.where("sid >= 0 and sid <> pivot").groupBy("sid", "n", "pivot").agg(F.count(F.lit(1)).alias("votes"))
     often = F.col("votes") * 2 * ORDERS >= rule.prefix(F.col("n"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("votes", "pivot")), asc=False), 1, ORDERS)  # of a set's own tokens
     best = votes.where(often).groupBy("sid").agg(best.alias("best")).select(F.explode("best.pivot").alias("a"), F.col("sid").alias("b"))
     if not salted:
         return best
-    pivots = met.select("key", "pivot").distinct()
+    pivots = met.where("sid >= 0").select("key", "pivot").distinct()
     least = pivots.groupBy("key").agg(F.min("pivot").alias("a"))
     return best.union(pivots.join(least, "key").select("a", F.col("pivot").alias("b")).where("a <> b").distinct())
 
@@ -253,6 +258,8 @@ def verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, text: str, rul
     """Those of the pairs (a, b) that the rule links. Parities rule most others out; then each set is sent once to the
     pairs that it is the second of, and once to each star of ``STAR`` pairs that it is the first of."""
     pairs = keep(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    asked = few(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    some = sets.select("sid", "n", "odd").join(asked, "sid", "left_semi")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,8 +269,8 @@ def verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, text: str, rul
                 good.append((folded(x, size) ^ folded(y, size)).bit_count() <= n + m - 2 * rule.shared(n + m))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = sets.select(F.col("sid").alias("a"), F.col("n"), F.col("odd").alias("x"))
-    other = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
+    one = some.select(F.col("sid").alias("a"), F.col("n"), F.col("odd").alias("x"))
+    other = some.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("odd").alias("y"))
     left = keep(pairs.join(one, "a").join(other, "b").mapInArrow(possible, "a long, b long"), "possible")
     stars = left.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("stars"))
     dealt = keep(left.join(stars, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("stars")).cast("int").alias("star")), "stars")
@@ -300,7 +307,18 @@ def verified(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, text: str, rul
 def _classes(sets: DataFrame, links: DataFrame) -> DataFrame:
     """(sid, group) of all sets."""
     found = components(links).withColumnRenamed("node", "sid")
-    return keep(sets.select("sid").join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("group")), "classes")
+    return sets.select("sid").join(found, "sid", "left").select("sid", F.coalesce("component", "sid").alias("group"))
+
+
+def _close_by(links: DataFrame, rounds: int = 2) -> DataFrame:
+    """(sid, group) of linked sets: the smallest set reachable over ``rounds`` + 1 links. Sets of one group are connected, but what
+    is connected may have several groups: enough to know which pairs need not be looked at."""
+    both = keep(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    group = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("group"))
+    for _ in range(rounds):
+        group = keep(group.select(F.col("a").alias("b"), "group"), "close-by")
+        group = both.join(few(group), "b").groupBy("a").agg(F.min("group").alias("group"))
+    return keep(group.withColumnRenamed("a", "sid"), "close-by")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -332,9 +350,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return placed.join(sides, ["key", "block"]).select("key", "x", "y", "side", "sid", "n", "last", "group")
 
 
-def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int) -> DataFrame:
-    """(a, b) of different groups that meet in (key, x, y) and that sizes, places and folded parities do not rule out."""
-    width = LEAST_BITS // 64
+def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int, signs: bool = True) -> DataFrame:
+    """(a, b) of different groups that meet in (key, x, y) and that sizes, places and, with ``signs``, folded parities do not rule out."""
+    width = LEAST_BITS // 64 if signs else 0
+    columns = ["key", "x", "y", "side", "sid", "n", "last", "group", *(f"p{i}" for i in range(width))]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,8 +361,10 @@ def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int) -> DataFrame
             made = np.array([[x >> (64 * i) & (2**64 - 1) for i in range(width)] for x in bits], np.uint64).reshape(-1, width).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("sid")] + [pa.array(made[:, i]) for i in range(width)], ["sid", *(f"p{i}" for i in range(width))])
 
-    odd = sets.select("sid", "odd").mapInArrow(fold, "sid long, " + ", ".join(f"p{i} long" for i in range(width)))
-    columns = ["key", "x", "y", "side", "sid", "n", "last", "group", *(f"p{i}" for i in range(width))]
+    if signs:
+        asked = few(keep(rows.select("sid").distinct(), "asked"))
+        odd = sets.select("sid", "odd").join(asked, "sid", "left_semi")
+        rows = rows.join(odd.mapInArrow(fold, "sid long, " + ", ".join(f"p{i} long" for i in range(width))), "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -362,10 +383,12 @@ def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int) -> DataFrame
                 both = n[a] + n[b]
                 good = k + np.minimum(n[a] - 1 - last[a], n[b] - 1 - last[b]) >= rule.shared(both)
                 a, b, both = a[good], b[good], both[good]
-                differ = sum(np.bitwise_count(q[a].view(np.uint64) ^ q[b].view(np.uint64)).astype(np.int64) for q in p)
-                good = differ <= both - 2 * rule.shared(both)
-                if good.any():
-                    u, v = sid[a[good]], sid[b[good]]
+                if p:
+                    differ = sum(np.bitwise_count(q[a].view(np.uint64) ^ q[b].view(np.uint64)).astype(np.int64) for q in p)
+                    good = differ <= both - 2 * rule.shared(both)
+                    a, b = a[good], b[good]
+                if len(a):
+                    u, v = sid[a], sid[b]
                     out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
 
         def sent(least: int) -> Iterator[pa.RecordBatch]:
@@ -389,17 +412,19 @@ def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int) -> DataFrame
             pairs(*[np.concatenate(z) for z in zip(*held, strict=True)])
         yield from sent(0)
 
-    dealt = rows.join(odd, "sid").select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "sid")
+    dealt = rows.select(*columns).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n", "sid")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def crossing_pairs(met: DataFrame, classes: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): all candidates of different classes, by single tokens, by combinations of frequent ones, then in blocks."""
-    rows = _mixed(met.select("key", "sid", "n", "last").join(classes, "sid"))
-    found = []
+def crossing_pairs(met: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): all candidates of different groups, by single tokens, by combinations of frequent ones, then in blocks."""
+    large = few(met.where("sid < 0").select("key").distinct())
+    rows = met.where("sid >= 0").select("key", "sid", "n", "last").join(few(groups), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
+    whole = {"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "side": F.lit(2)}
+    found = [keep(_crossing(rows.join(large, "key", "left_anti").withColumns(whole), sets, rule, 1, signs=False), "crossing")]
+    rows = _mixed(rows.join(large, "key", "left_semi"))
     for k in range(1, MOST_TOKENS + 1):
-        small = rows.where(F.col("sets") <= GROUP)
-        found.append(keep(_crossing(small.withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "side": F.lit(2)}), sets, rule, k), "crossing"))
+        found.append(keep(_crossing(rows.where(F.col("sets") <= GROUP).withColumns(whole), sets, rule, k), "crossing"))
         many = rows.where(F.col("sets") > GROUP)
         if many.isEmpty():
             break
@@ -427,7 +452,7 @@ def joined(docs: DataFrame, rule: Rule, row: str, text: str, mark: Callable[[np.
     met = meetings(sets, rule, listed)
     first = pivot_pairs(met, rule, bool((listed[1] > PIVOT_ROWS).any()))
     links = verified(first.union(hints(sets)) if hints else first, sets, keyed, "text", rule)
-    more = verified(crossing_pairs(met, _classes(sets, links), sets, rule), sets, keyed, "text", rule)
+    more = verified(crossing_pairs(met, _close_by(links), sets, rule), sets, keyed, "text", rule)
     return documents, sets, _classes(sets, links.union(more))
 
 

@@ -79,7 +79,7 @@ def test_join_equals_all_pairs(spark, frame, seed, rule):
 
 @pytest.mark.parametrize("tokens, group", [(1, 3), (3, 3), (2, 6)])
 def test_frequent_tokens_and_blocks_lose_nothing(spark, frame, monkeypatch, tokens, group):
-    for name, value in (("MOST_TOKENS", tokens), ("GROUP", group), ("PIVOT_ROWS", 2), ("STAR", 2), ("LOCAL", 1), ("TOTAL", 2), ("PAIRS", 5)):
+    for name, value in (("MOST_TOKENS", tokens), ("GROUP", group), ("LARGE", 2), ("PIVOT_ROWS", 2), ("STAR", 2), ("LOCAL", 1), ("TOTAL", 2), ("PAIRS", 5)):
         monkeypatch.setattr(set_join, name, value)
     # pivots that are linked with nothing leave all pairs to the tokens and their combinations
     monkeypatch.setattr(set_join, "pivot_pairs", lambda met, rule, salted: met.select(F.col("sid").alias("a"), F.col("pivot").alias("b")).where("false"))
