@@ -12,14 +12,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import WORD, keep, row_key
+from keyloom.functions.ordering import ordered
+from keyloom.llm.common import WORD, few, keep, row_key
 
 # Units of a bucket, on average.
 FAN = 64
+# Repeated rows that one task writes at a time.
+PIECE = 10_000
 TINY = 1e-9
 
 
@@ -29,13 +33,14 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, source: str = "source", size: str = "size") -> DataFrame:
-    """One row per source: source_size, target, n (documents with words).
+    """One row per source: source_size, target, n (rows with words; each stands for ``rows`` documents, if there is such a column).
 
     Sources in code point order, null last, weigh ``weights`` in turn and divide ``share`` of all words; a target stops at
     ``most`` times its source's size and the excess goes to the others by weight. With caps c and weights w, targets are
     min(c, w * level); in order of c / w, the level is the highest of (words left) / (weight left) before each source.
     """
-    totals = sizes.groupBy(source).agg(F.sum(size).alias("source_size"), F.count_if(F.col(size) > 0).alias("n"))
+    each = F.col("rows") if "rows" in sizes.columns else F.lit(1)
+    totals = sizes.groupBy(source).agg(F.sum(F.col(size) * each).alias("source_size"), F.count_if(F.col(size) > 0).alias("n"))
     place = Window.orderBy(F.col(source).asc_nulls_last())  # one row per source
     totals = totals.withColumn("__w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(place) - 1) % len(weights) + 1))
     totals = totals.withColumn("__cap", F.col("source_size") * F.lit(float(most))).withColumn("__r", F.col("__cap") / F.col("__w"))
@@ -97,25 +102,27 @@ def _level(units: DataFrame, carried: Sequence[str], seed: int, level: int) -> D
     return done.select("__source", "__bucket", *columns, F.col("u.out").alias("__out"))
 
 
-def mix(sizes: DataFrame, row: Sequence[str] = ("doc_id",), weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
-    """From (row..., source, size): row..., source, size, source_size, target, copies, taken.
+def decisions(sizes: DataFrame, row: Sequence[str], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """(row..., source, size, source_size, target, rows, base, extra), one row for documents that agree in all of row, source
+    and size: each of its ``rows`` documents is copied ``base`` times, and ``extra`` of them once more.
 
-    ``row`` columns identify a document and drive the draws, so that reruns agree. Every row is a document of its own, also
-    when rows repeat or ids are null. Documents without words are never taken; a null source is a source like any other.
-    copies is floor(x) or one more, hence at most ``most``, rounded up; taken is copies * size. A source's taken words miss
-    its target by half of one document at most, as a rule a small one. Each level is written to the shared folder once.
+    Of the expected number of further copies the whole ones are given, and only the rest is rounded. So documents that
+    repeat are one unit, however many there are, and a bucket's units are different. Each level is written once.
     """
     row = list(row)
-    sizes = keep(sizes.select(*row, F.col("source").alias("__source"), F.coalesce("size", F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sizes = sizes.select(*row, F.col("source").alias("__source"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    sizes = keep(sizes.groupBy(*row, "__source", "size").agg(F.count(F.lit(1)).alias("rows")), "mix-sizes")
     sources = keep(source_targets(sizes, weights, share, most, "__source"), "mix-sources")
     largest = sources.agg(F.max("n")).first()[0] or 0
     x = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = sizes.join(sources.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    joined = joined.withColumn("__x", x).withColumn("__base", F.floor("__x").cast("long")).withColumn("__p", F.col("__x") - F.col("__base"))
-    carried = [*row, "size", "source_size", "target", "__base"]
-    empty = joined.where("size = 0").select("__source", *carried, F.lit(0).alias("__out")).withColumn("__base", F.lit(0).cast("long"))
+    joined = joined.withColumn("__x", x).withColumn("base", F.floor("__x").cast("long"))
+    further = F.col("rows") * (F.col("__x") - F.col("base"))
+    joined = joined.withColumn("__further", further).withColumn("__given", F.floor("__further").cast("long")).withColumn("__p", F.col("__further") - F.col("__given"))
+    carried = [*row, "size", "source_size", "target", "rows", "base", "__given"]
+    empty = joined.where("size = 0").withColumns({"base": F.lit(0).cast("long"), "__given": F.lit(0).cast("long")}).select("__source", *carried, F.lit(0).alias("__out"))
     buckets = F.ceil(F.col("n") / FAN)
-    units = joined.where("size > 0").select("__source", F.pmod(F.xxhash64(F.lit(seed + 2), *row), buckets).alias("__bucket"), F.col("size").cast("double").alias("__w"), "__p", *carried)
+    units = joined.where("size > 0").select("__source", F.pmod(F.xxhash64(F.lit(seed + 2), *row, "size"), buckets).alias("__bucket"), F.col("size").cast("double").alias("__w"), "__p", *carried)
     parts, left = [empty], math.ceil(largest / FAN)
     level = 0
     while True:
@@ -128,25 +135,45 @@ def mix(sizes: DataFrame, row: Sequence[str] = ("doc_id",), weights: Sequence[fl
         units = units.withColumn("__bucket", F.expr(f"__bucket div {FAN}"))
     last = (F.col("__p") >= 0.5).cast("int")
     parts.append(units.select("__source", *carried, last.alias("__out")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    whole = whole.withColumn("copies", F.col("__base") + F.col("__out"))
-    return whole.select(*row, F.col("__source").alias("source"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    whole = reduce(DataFrame.unionByName, parts)
+    return whole.select(*row, F.col("__source").alias("source"), "size", "source_size", "target", "rows", "base", (F.col("__given") + F.col("__out")).alias("extra"))
+
+
+def mix(sizes: DataFrame, row: Sequence[str] = ("doc_id",), weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+    """From (row..., source, size): row..., source, size, source_size, target, copies, taken.
+
+    ``row`` columns identify a document and drive the draws, so that reruns agree. Every row is a document of its own, also
+    when rows repeat or ids are null. Documents without words are never taken; a null source is a source like any other.
+    copies is floor(x) or one more, hence at most ``most``, rounded up; taken is copies * size. A source's taken words miss
+    its target by half of one document at most, as a rule a small one.
+    """
+    decided = decisions(sizes, row, weights, share, most, seed)
+    columns = [*row, "source", "size", "source_size", "target"]
+    single = decided.where("rows = 1").select(*columns, (F.col("base") + F.col("extra")).alias("copies"))
+    # rows that repeat: first their pieces, dealt out to tasks, then the rows of each piece
+    begins = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"), F.lit(PIECE).cast("long"))).alias("__from")
+    pieces = decided.where("rows > 1").select(*columns, "rows", "base", "extra", begins).repartition(*row, "size", "__from")
+    nth = F.explode(F.sequence(F.col("__from"), F.least("rows", F.col("__from") + PIECE - 1))).alias("__nth")
+    many = pieces.select(*columns, "base", "extra", nth).select(*columns, (F.col("base") + (F.col("__nth") <= F.col("extra")).cast("long")).alias("copies"))
+    return single.union(many).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mixed(docs: DataFrame, row: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
     """The mix itself: every taken document once per copy, with all its columns and copy (from 1; a column of that name is replaced).
 
-    Rows that agree in id, text and source are documents of their own with the same chances; which of them is which does not matter.
+    Rows that agree in id, text and source are documents of their own with the same chances. Which of them are taken once
+    more follows from their places in one sorted order, so that no task holds all of them.
     """
     own = [c for c in docs.columns if c != "copy"]
+    key = ["__k1", "__k2"]
     k1, k2 = row_key(F.col(row), F.col(text), F.col(source))
-    decided = mix(sizes_of(docs, [k1, k2], text, source), ("__k1", "__k2"), weights, share, most, seed)
-    per_key = decided.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
-    keyed = docs.select(*own, k1, k2).join(keep(per_key, "mix-copies"), ["__k1", "__k2"])
-    nth = F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("__k1"))
-    chosen = keyed.withColumn("__n", F.element_at("__copies", nth)).where("__n > 0")
+    decided = keep(decisions(sizes_of(docs, [k1, k2], text, source), key, weights, share, most, seed).select(*key, "rows", "base", "extra"), "mix-copies")
+    keyed = docs.select(*own, k1, k2)
+    single = keyed.join(decided.where("rows = 1"), key).withColumn("__n", F.col("base") + F.col("extra"))
+    several = keyed.join(few(decided.where("rows > 1")), key).withColumn("__tie", F.monotonically_increasing_id())
+    placed = ordered(several, key, ["__tie"], "__nth")
+    repeated = placed.withColumn("__n", F.col("base") + (F.col("__nth") <= F.col("extra")).cast("long"))
+    chosen = single.select(*own, "__n").union(repeated.select(*own, "__n")).where("__n > 0")
     return chosen.select(*own, F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("copy"))
 
 

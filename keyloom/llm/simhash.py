@@ -6,9 +6,7 @@ stays within its proportional share of the three. So the start agrees whole, and
 These 24 bits, for each start and half, are the keys under which fingerprints meet.
 
 ``first_of_each_group`` asks for shingle sets of Jaccard similarity 0.8, of which near fingerprints are only a hint. Links of
-fingerprints are verified on the sets first, which joins large groups cheaply. Then an exact set-similarity join finds the
-rest: shingles are ordered by rarity, similar sets share one of the n - ceil(0.8 n) + 1 rarest of either, and pairs that meet
-there, in different groups and not ruled out by size and position, are verified as well.
+fingerprints are verified on the sets first, which joins large groups cheaply; an exact set join finds the rest.
 """
 
 from __future__ import annotations
@@ -21,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm import set_join
 from keyloom.llm.common import few, keep, row_key, text_batches
 from keyloom.llm.components import components
 
@@ -31,10 +30,6 @@ WIDTH = BITS // SEGMENTS
 AT_ONCE = 1 << 16
 # Fingerprints under one key that are compared with each other; more of them meet again under longer keys.
 BUCKET = 4096
-# Shingles of one leading hash part have one rarity, counted on every ``RARITY_SHARE``-th text: it is an order only, any order is right.
-RARITY_BITS, RARITY_SHARE = 16, 8
-# Candidates that a task collects before it sends them.
-PAIRS = 100_000
 
 
 def shingle_hashes(text: str | None, words: int = 3) -> Iterator[np.ndarray]:
@@ -68,12 +63,6 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return _majorities(shingle_hashes(text, words))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """The different shingles' hashes, sorted."""
-    parts = list(shingle_hashes(text, words))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
 def fingerprints(docs: DataFrame, text: str = "text", words: int = 3) -> DataFrame:
     """All columns of ``docs`` but the text, and fp: the fingerprint as a signed long."""
     others = [c for c in docs.columns if c not in (text, "fp")]
@@ -229,146 +218,35 @@ def near_duplicates(docs: DataFrame, row: str = "doc_id", text: str = "text", wo
     return fps.join(named, "fp").select(F.col("row").alias(row), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def rarity(docs: DataFrame, text: str, words: int) -> np.ndarray:
-    """Place of each leading hash part in the order of rarity."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << RARITY_BITS, np.int64)
-        for _, texts in text_batches(batches, "text"):
-            for t in texts:
-                held += np.bincount((shingle_set(t, words) >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(held))
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some], pa.int64())], ["part", "n"])
-
-    some = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(RARITY_SHARE)) == 0)
-    counted = some.mapInArrow(count, "part int, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()
-    n = np.zeros(1 << RARITY_BITS, np.int64)
-    n[[r["part"] for r in counted]] = [r["n"] for r in counted]
-    place = np.empty(len(n), np.int64)
-    place[np.argsort(n, kind="stable")] = np.arange(len(n))
-    return place
-
-
-def shingled(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """All columns but the text, and fp, sid (a hash of the shingle set), size of the set, prefix: its rarest shingles, rarest first."""
-    place = docs.sparkSession.sparkContext.broadcast(rarity(docs, text, words))
-    others = [c for c in docs.columns if c != text]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches, text):
-            fps, sids, sizes, prefixes = [], [], [], []
-            for t in texts:
-                parts = list(shingle_hashes(t, words))
-                fps.append(_majorities(parts))
-                mine = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-                n = len(mine)
-                sids.append(xxhash.xxh64_intdigest(mine.tobytes(), SEED))
-                sizes.append(n)
-                order = np.lexsort((mine, place.value[(mine >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]))
-                prefixes.append(mine[order[: n - -(-4 * n // 5) + 1]].view(np.int64))
-            made = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sids)] + [pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + made, names=[*others, "fp", "sid", "size", "prefix"])
-
-    return docs.select(*others, text).mapInArrow(run, ", ".join([*fields, "fp long", "sid long", "size int", "prefix array<long>"]))
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """From (sid, group, size, prefix) the pairs (a, b) of different groups that may have similarity 0.8: they share a rare
-    shingle, and neither sizes nor the shingle's places rule it out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(word, sid, group, size, pos):
-            at, d = np.arange(len(word)), 0
-            while len(at):  # rows of a shingle stand in order of size: once a row's partner is too large, so are all after it
-                d += 1
-                at = at[at + d < len(word)]
-                at = at[(word[at] == word[at + d]) & (4 * size[at + d] <= 5 * size[at])]
-                a, b = at, at + d
-                shared = np.minimum(pos[a], pos[b]) + 1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1
-                good = (group[a] != group[b]) & (9 * shared >= 4 * (size[a] + size[b]))
-                if good.any():
-                    x, y = sid[a[good]], sid[b[good]]
-                    yield np.minimum(x, y), np.maximum(x, y)
-
-        def sent(found):
-            out, n = [], 0
-            for pair in found:
-                out.append(pair)
-                n += len(pair[0])
-                if n >= PAIRS:
-                    yield batch_of(out)
-                    out, n = [], 0
-            if out:
-                yield batch_of(out)
-
-        def batch_of(out):
-            both = np.unique(np.stack([np.concatenate([x[k] for x in out]) for k in (0, 1)], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("word", "sid", "group", "size", "pos")]
-            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last shingle may go on in the next batch
-            if cut or (held and held[-1][0][-1] != rows[0][0]):
-                yield from sent(pairs(*[np.concatenate(x) for x in zip(*held, [x[:cut] for x in rows], strict=True)]))
-                held = []
-            held.append([x[cut:] for x in rows])
-        if held:
-            yield from sent(pairs(*[np.concatenate(x) for x in zip(*held, strict=True)]))
-
-    rows = sets.select("sid", "group", F.col("size").cast("long").alias("size"), F.posexplode("prefix").alias("pos", "word"))
-    rows = rows.select("word", "sid", "group", "size", F.col("pos").cast("long").alias("pos"))
-    return rows.repartition("word").sortWithinPartitions("word", "size", "sid").mapInArrow(run, "a long, b long").distinct()
-
-
-def similar(pairs: DataFrame, sets: DataFrame, keyed: DataFrame, text: str, words: int) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have Jaccard similarity 0.8 or more. Only texts that occur in pairs are read again."""
-    pairs = keep(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    places = keep(sets.join(ids, "sid").select("sid", "least.__k1", "least.__k2"), "places")
-    texts = keyed.select("__k1", "__k2", F.col(text).alias("text")).join(few(places), ["__k1", "__k2"]).select("sid", "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in text_batches(batches, "text"):
-            made = [shingle_set(t, words).view(np.int64) for t in found]
-            yield pa.RecordBatch.from_arrays([batch.column("sid"), pa.array(made, pa.list_(pa.int64()))], ["sid", "shingles"])
-
-    made = keep(texts.mapInArrow(run, "sid long, shingles array<long>").dropDuplicates(["sid"]), "shingles")
-    one = made.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-    other = made.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    enough = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
-    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
-
-
-def first_of_each_group(docs: DataFrame, row: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
+def first_of_each_group(docs: DataFrame, row: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near-duplicates: the one of smallest id, nulls last.
 
-    Documents are near-duplicates if their sets of ``words``-word shingles have Jaccard similarity 0.8 or more; a group is
-    what such pairs connect. All pairs are found: shingles are compared as 64-bit hashes, and no pair is left out otherwise.
+    Documents are near-duplicates if their sets of ``words``-word shingles have Jaccard similarity of ``percent`` per cent or
+    more; a group is what such pairs connect. Near fingerprints are verified on the sets first; what they leave is found by
+    the exact join of :mod:`set_join`. Shingles are compared as 64-bit hashes, and no pair is left out otherwise.
     Documents without words stay, each of them. Of rows that agree in id and text one stays. Columns stay as they are.
     """
-    mine = [c for c in docs.columns]
+
+    def mark(hashes: np.ndarray) -> int:
+        value = _majorities(hashes[i : i + AT_ONCE] for i in range(0, len(hashes), AT_ONCE))
+        return value - (1 << BITS) if value >> (BITS - 1) else value
+
+    def hints(sets: DataFrame) -> DataFrame:
+        named = keep(sets.groupBy("mark").agg(F.min("sid").alias("rep")), "marks")
+        near = links(named.select(F.col("mark").alias("fp")))
+        near = near.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        same = sets.select("mark", "sid").join(named, "mark").where("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+        return near.union(same)
+
+    documents, sets, classes = set_join.joined(docs, set_join.Rule(words, percent), row, text, mark, hints)
+    named = sets.select("sid", "h1", "h2", "least").join(classes, "sid")
+    least = named.groupBy("group").agg(F.min("least").alias("first"))
+    named = named.join(least, "group").select("h1", "h2", "first")
+    others = documents.where("n > 0").select("place", "h1", "h2").join(named, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
+    others = keep(others.select("place.__k1", "place.__k2").distinct(), "others")
     keyed = docs.withColumns({"__k1": row_key(F.col(row), F.col(text))[0], "__k2": row_key(F.col(row), F.col(text))[1]})
-    wordy = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    fps = keep(shingled(keyed.where(wordy).select("__k1", "__k2", F.col(row).alias("row"), F.col(text).alias("text")), "text", words), "shingled")
-    place = F.struct(F.col("row").isNull().alias("n"), "row", "__k1", "__k2")
-    sets = keep(fps.groupBy("sid").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(place).alias("least"), F.first("prefix").alias("prefix")), "sets")
-    named = sets.groupBy("fp").agg(F.min("sid").alias("rep"))
-    near = links(sets).join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = sets.select("fp", "sid").join(named, "fp").where("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
-    edges = keep(similar(near.union(same), sets, keyed.where(wordy), text, words), "near-edges")
-
-    def grouped(linked: DataFrame) -> DataFrame:
-        found = components(linked).withColumnRenamed("node", "sid")
-        return sets.join(found, "sid", "left").withColumn("group", F.coalesce("component", "sid"))
-
-    more = similar(candidates(grouped(edges)), sets, keyed.where(wordy), text, words)
-    kept = grouped(edges.union(more)).groupBy("group").agg(F.min("least").alias("least")).select(F.col("least.__k1").alias("__k1"), F.col("least.__k2").alias("__k2"))
-    chosen = keyed.where(wordy).join(kept, ["__k1", "__k2"], "left_semi")
-    repeated = keep(fps.groupBy("__k1", "__k2").count().where("count > 1").select("__k1", "__k2"), "repeated")
-    once = chosen.join(repeated, ["__k1", "__k2"], "left_anti").select(*mine)
-    many = chosen.join(repeated, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*mine)
-    return once.unionByName(many).unionByName(docs.where(~wordy))
+    left = keyed.join(few(others), ["__k1", "__k2"], "left_anti")
+    repeated = documents.where("n > 0").groupBy("place.__k1", "place.__k2").count().where("count > 1").select("__k1", "__k2")
+    repeated = few(keep(repeated.join(others, ["__k1", "__k2"], "left_anti"), "repeated"))
+    once = left.join(repeated, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    return once.unionByName(left.join(repeated, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*docs.columns))

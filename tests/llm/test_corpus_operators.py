@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from keyloom.llm import components, decontamination, line_dedup, mixing, simhash, topk, warc
+from keyloom.llm import components, decontamination, line_dedup, mixing, set_join, simhash, topk, warc
 from keyloom.llm.common import table
 from keyloom.llm.queries import op6_mixing, op8_decontamination
 
@@ -194,9 +195,9 @@ def shingles_of(text, n=5):
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
-@pytest.mark.parametrize("share", [8, 1])
-def test_first_of_each_group_equals_brute_force_jaccard(spark, frame, monkeypatch, share):
-    monkeypatch.setattr(simhash, "RARITY_SHARE", share)
+@pytest.mark.parametrize("local", [4, 1])
+def test_first_of_each_group_equals_brute_force_jaccard(spark, frame, monkeypatch, local):
+    monkeypatch.setattr(set_join, "LOCAL", local)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     passage = rng.choices(words, k=25)
@@ -375,6 +376,32 @@ def test_mixed_repeats_documents(spark, frame):
     assert mixing.mix(mixing.sizes_of(docs.limit(0), [F.col("doc_id")])).count() == 0
 
 
+def test_repeated_rows_share_whole_copies(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE", 7)
+    rows = [(None, "a", 10)] * 1001 + [(i, "a", 10) for i in range(50)] + [(3, "b", 5)] * 30 + [(4, "b", 0)] * 9
+    sizes = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    out = mixing.mix(sizes)
+    got = out.collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter(rows)
+    x = {r["source"]: r["target"] / r["source_size"] for r in got}
+    for key, n in Counter(rows).items():
+        mine = [r["copies"] for r in got if (r["doc_id"], r["source"], r["size"]) == key]
+        expected = n * x[key[1]] if key[2] else 0
+        assert abs(sum(mine) - expected) <= 1 and max(mine) - min(mine) <= 1
+    assert Counter(map(tuple, mixing.mix(sizes.repartition(7)).collect())) == Counter(map(tuple, got))
+
+
+def test_many_rows_without_ids_take_no_longer(spark):
+    def seconds(sizes):
+        begin = time.perf_counter()
+        mixing.mix(sizes).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begin
+
+    distinct = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(20).cast("long").alias("size"))
+    seconds(distinct.limit(100))
+    assert seconds(distinct.withColumn("doc_id", F.lit(None).cast("long"))) < 2 * seconds(distinct) + 2
+
+
 def test_mixing_query_takes_near_the_targets(spark):
     rows = op6_mixing(spark, "/root/testdata/sf0.01").collect()
     words = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
@@ -462,6 +489,32 @@ def test_proximity_matches_allow_small_shifts(spark, frame):
     assert {r["k"] for r in decontamination.occurrences(docs, ["k"], "text", wanted).collect()} == {"a"}
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_matches_look_at_all_words(spark, frame, slop):
+    rng = random.Random(slop)
+    item = "one two three four five six seven eight two ten".split()
+    texts = [item, [*item[:4], "x", *item[4:]], [*item[:1], *["x"] * 7, *item[8:]], ["one", "two"], [*item[:5], "seven", "six", *item[7:]], item[::-1], ["x", *item[1:]]]
+    for _ in range(25):
+        near = list(item)
+        for _ in range(rng.randrange(4)):
+            near.insert(rng.randrange(len(near)), rng.choice(["x", *item]))
+            near.pop(rng.randrange(len(near)))
+        texts.append(["x"] * rng.randrange(3) + near)
+    docs = frame([(str(k), " ".join(t)) for k, t in enumerate(texts)], "k string, text string")
+    wanted, _ = decontamination.windows(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    found = {r["k"] for r in decontamination.occurrences(docs, ["k"], "text", wanted, slop=slop).collect()}
+    for k, t in enumerate(texts):
+        close = any(all(word in t[max(0, b + o - slop) : max(0, b + o + slop + 1)] for o, word in enumerate(item)) for b in range(-slop, len(t)))
+        assert (str(k) in found) == close, t
+    assert "2" not in found and "3" not in found and "0" in found
+
+
+def test_long_repetitive_texts_and_windows(spark, frame):
+    docs = frame([(1, "a " * 60_000), (2, "a " * 9), (3, "b " + "a " * 10)], "doc_id long, text string")
+    rows = decontamination.contamination(docs, frame([(7, "a " * 10), (8, "c d")], "item_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in rows} == {1: (60_000, 60_000, 1), 2: (9, 0, 0), 3: (11, 10, 1)}
+
+
 def test_decontamination_query_equals_brute_force(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
