@@ -65,8 +65,8 @@ def anchors(found: DataFrame, frequencies: DataFrame, lists: int = LISTS) -> Dat
 def occurrences(docs: DataFrame, key: list[str], text: str, wanted: DataFrame, slop: int | None = None) -> DataFrame:
     """(key..., window, start, length): where each window stands in ``docs``, from 0; ``key`` tells texts apart and is not null.
 
-    With ``slop``, proximity matches (key..., window, start) instead: places at which each of the window's rarest terms is at most ``slop`` words
-    from where the rarest one would have it.
+    With ``slop``, proximity matches (key..., window, start) instead: places at which each word of the window, repeats included, is found at most
+    ``slop`` words from where the first use of the rarest one would have it.
     Terms that the corpus does not have rule their windows out at once. Frequencies come from partial counts of the
     windows' terms alone, and only the rarest terms' postings are kept, so frequent words are never shuffled.
     """
@@ -84,14 +84,30 @@ def occurrences(docs: DataFrame, key: list[str], text: str, wanted: DataFrame, s
         near = F.explode(F.sequence(F.col("start") - slop, F.col("start") + slop)).alias("start")
         around = first.select(*key, "window", F.col("start").alias("begin"), near)
         met = around.join(shifted, [*key, "window", "start"]).groupBy(*key, "window", "begin").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
-        return met.join(lists, "window").where("met = lists").select(*key, "window", F.col("begin").alias("start"))
-    met = shifted.where("start >= 0").groupBy(*key, "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
-    candidates = keep(met.join(lists, "window").where("met = lists").select(*key, "window", "start"), "candidates")
+        candidates = met.join(lists, "window").where("met = lists").select(*key, "window", F.col("begin").alias("start"))
+    else:
+        met = shifted.where("start >= 0").groupBy(*key, "window", "start").agg(F.bit_or(F.expr("shiftleft(1, rank)")).alias("met"))
+        candidates = met.join(lists, "window").where("met = lists").select(*key, "window", "start")
+    candidates = keep(candidates, "candidates")
     texts = docs.select(*key, F.col(text).alias("__text")).join(few(candidates.select(*key).distinct()), key, "left_semi")
-    lined = candidates.join(few(wanted), "window").groupBy(*key).agg(F.collect_list(F.struct("window", "start", "terms")).alias("c"))
-    exact = texts.select(*key, words(F.col("__text")).alias("w")).join(lined, key)
-    exact = exact.select(*key, F.explode(F.filter("c", lambda c: F.slice(F.col("w"), c.start + 1, F.size(c.terms)) == c.terms)).alias("c"))
-    return exact.select(*key, "c.window", "c.start", F.size("c.terms").alias("length")).distinct()
+    starts = candidates.groupBy(*key).agg(F.collect_list(F.struct("window", "start")).alias("c"))  # places in one text
+    terms = candidates.select(*key, "window").distinct().join(few(wanted), "window")
+    terms = terms.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("window", "terms"))).alias("t"))
+    lined = texts.select(*key, words(F.col("__text")).alias("w")).join(starts, key).join(terms, key)
+
+    def holds(c: Column) -> Column:
+        mine = F.element_at("t", c.window)
+        if slop is None:
+            return F.slice(F.col("w"), c.start + 1, F.size(mine)) == mine
+
+        def found(term: Column, k: Column) -> Column:
+            begin = F.greatest(F.lit(1), c.start + k + 1 - slop)
+            return F.array_contains(F.slice(F.col("w"), begin, F.greatest(F.lit(0), c.start + k + 2 + slop - begin)), term)
+
+        return F.forall(F.transform(mine, found), lambda x: x)
+
+    held = lined.select(*key, F.explode(F.filter("c", holds)).alias("c"), "t").select(*key, "c.window", "c.start", F.size(F.element_at("t", F.col("c.window"))).alias("length"))
+    return (held if slop is None else held.drop("length")).distinct()
 
 
 def hits(found: DataFrame, key: list[str], items: DataFrame) -> DataFrame:

@@ -21,11 +21,16 @@ INLINE = {
     "time", "tt", "u", "var", "wbr",
 }
 NEVER_TEXT = {
-    "applet", "aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "form", "frameset", "head",
-    "iframe", "input", "map", "math", "menu", "nav", "noembed", "noframes", "noscript", "object", "option", "script",
+    "applet", "aside", "audio", "button", "canvas", "datalist", "dialog", "embed", "footer", "frameset", "head",
+    "iframe", "input", "map", "menu", "nav", "noembed", "noframes", "noscript", "object", "option", "script",
     "select", "style", "svg", "template", "textarea", "title", "video",
 }
 INVISIBLE = {"script", "style"}
+# Elements of formulas: part of the text around them, and no mark-up that a line has too much of.
+FORMULA = {
+    "math", "semantics", "annotation", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "mfrac", "msqrt", "mroot", "msub", "msup",
+    "msubsup", "munder", "mover", "munderover", "mtable", "mtr", "mtd", "mpadded", "mphantom", "mfenced", "menclose", "merror", "mmultiscripts",
+}
 REGIONS = {"article", "main", "section", "div", "td", "body", "blockquote", "table", "tr", "tbody", "center", "li", "ul", "ol", "dl", "dd"}
 # Regions that part a page into pieces; lists, tables and quotes are part of the piece around them.
 SECTIONS = {"article", "main", "section", "div", "body", "center"}
@@ -40,6 +45,16 @@ CLUTTER = {
 }
 # First parts of names that tell how a page is laid out, as in "no-sidebar".
 LAYOUT = {"no", "has", "with", "without"}
+# Last parts of names that only say what holds something, or where: "comment-list" holds comments, "comment-open" does not.
+HOLDERS = {
+    "area", "banner", "bar", "block", "bottom", "box", "boxes", "button", "buttons", "column", "container", "content", "dialog", "form", "group", "icons", "inner",
+    "item", "items", "left", "link", "links", "list", "main", "outer", "overlay", "panel", "posts", "primary", "right", "row", "secondary", "section", "side",
+    "slot", "stories", "top", "unit", "widget", "widgets", "wrap", "wrapper", "zone",
+}
+# The header of one of these belongs to it.
+WORKS = {"article", "entry", "post", "story", "chapter", "section", "page", "content"}
+# Elements whose id names a part of the page, and not a place to link to.
+PARTS = {"div", "section", "ul", "ol", "dl", "table", "td", "center", "form"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # Opening one of these closes an open one of the same set, up to the next region.
 CLOSES = [{"p", *HEADINGS}, {"li"}, {"dt", "dd"}, {"tr"}, {"td", "th"}, {"option"}]
@@ -47,69 +62,116 @@ ENDS_PARAGRAPH = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
     "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", *HEADINGS,
 }
-NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[a-z]+")
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def _names_clutter(word: str) -> bool:
+    """Whether a class, id or role is one of ``CLUTTER``, or something that holds it; what it says last decides."""
+    if word.lower() in CLUTTER:
+        return True
+    parts = [p.lower() for p in NAME_PARTS.findall(word)]
+    if len(parts) < 2 or parts[0] in LAYOUT:
+        return bool(parts) and parts[0] in CLUTTER and len(parts) == 1
+    while len(parts) > 1 and parts[-1] in HOLDERS and parts[-1] not in CLUTTER:
+        parts.pop()
+    if parts[-1] in ("header", "footer") and not WORKS.isdisjoint(parts[:-1]):
+        return False
+    return parts[-1] in CLUTTER or "-".join(parts) in CLUTTER or (len(parts) == 1 and parts[0] in ("comment", "related"))
 
 
-def _is_clutter(attributes: list[tuple[str, str | None]]) -> bool:
+def _is_hidden(attributes: list[tuple[str, str | None]]) -> bool:
     for name, value in attributes:
-        if name in ("class", "id", "role") and value:
-            for word in value.split():
-                parts = [p.lower() for p in NAME_PARTS.findall(word)]
-                if word.lower() in CLUTTER or (parts and parts[0] not in LAYOUT and not CLUTTER.isdisjoint(parts)):
-                    return True
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        elif name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+        if name == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def _is_clutter(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """An element that by its names surrounds an article. Ids count on parts of the page only."""
+    return any(
+        value and (name in ("class", "role") or (name == "id" and tag in PARTS)) and any(map(_names_clutter, value.split()))
+        for name, value in attributes
+    )
+
+
 class _Lines(HTMLParser):
-    """Turns parser events into lines, one per block: text, tags inside it, and the chain of regions around it."""
+    """Turns parser events into lines, one per block: text, tags inside it, and the region and the clutter it stands in.
+
+    Regions and pieces of clutter are numbered as they open and know the one around them. Text in clutter is held until the
+    page has ended, when its share of the page is known.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.main: list[int] = []  # regions that say they hold the main text
-        self.sections: set[int] = set()  # regions that part the page
-        self.open: list[tuple[str, bool, int]] = []  # element, hides its text, region or 0
+        self.lines: list[tuple[str, int, int, int, int]] = []  # text, tags, nearest section, marked region, clutter
+        self.clutter_in: list[int] = [0]  # for each piece of clutter, the one around it
+        self.clutter_at: list[int] = [0]  # open ones
+        self.sections: list[int] = [0]  # open regions that part the page, by number
+        self.marked: list[tuple[int, int]] = []  # open regions that say they hold the main text, and the clutter they stand in
+        self.open: list[tuple[str, bool, bool, int, bool]] = []  # element, hides its text, is clutter, section or 0, marked
+        self.places: dict[str, list[int]] = {}  # where in ``open`` an element is open
         self.hidden = self.regions = self.tags = 0
         self.held: list[str] = []
 
     def flush(self) -> None:
-        if text := " ".join("".join(self.held).split()):
-            self.lines.append((text, self.tags, tuple(r for _, _, r in self.open if r)))
+        if self.held and (text := " ".join("".join(self.held).split())):
+            self.lines.append((text, self.tags, self.sections[-1], self.marked[-1][0] if self.marked else 0, self.clutter_at[-1]))
         self.held, self.tags = [], 0
 
+    def push(self, tag: str, hides: bool, clutter: bool = False, section: int = 0, marked: bool = False) -> None:
+        if clutter:
+            self.clutter_in.append(self.clutter_at[-1])
+            self.clutter_at.append(len(self.clutter_in) - 1)
+        if section:
+            self.sections.append(section)
+        if marked:
+            self.marked.append((section, self.clutter_at[-1]))
+        self.hidden += hides
+        self.places.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, hides, clutter, section, marked))
+
+    def pop(self) -> None:
+        tag, hides, clutter, section, marked = self.open.pop()
+        self.places[tag].pop()
+        self.hidden -= hides
+        if clutter:
+            self.clutter_at.pop()
+        if section:
+            self.sections.pop()
+        if marked:
+            self.marked.pop()
+
     def close_from(self, k: int) -> None:
         self.flush()
-        self.hidden -= sum(h for _, h, _ in self.open[k:])
-        del self.open[k:]
+        while len(self.open) > k:
+            self.pop()
+
+    def last(self, tags: set[str]) -> int:
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
 
     def find(self, tags: set[str], within: set[str]) -> int | None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] in tags:
-                return k
-            if self.open[k][0] in within:
-                return None
-        return None
+        """The innermost open element of ``tags``, unless one of ``within`` is open inside it."""
+        k = self.last(tags)
+        return k if k >= 0 and k >= self.last(within) else None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE or tag == "br":
             self.tags += 1
             if tag == "br":
                 self.held.append(" ")
-            if tag in VOID:
+            if tag in VOID or not attrs:
                 return
-            hides = tag not in NEVER_TEXT and _is_clutter(attrs) if attrs else False
-            if hides:  # other inline elements need no place: they neither hide nor part text
+            hides, clutter = _is_hidden(attrs), _is_clutter(tag, attrs)
+            if hides or clutter:  # other inline elements need no place: they neither hide nor part text
                 self.flush()
-                self.open.append((tag, True, 0))
-                self.hidden += 1
+                self.push(tag, hides, clutter)
+            return
+        if tag in FORMULA:
             return
         if tag in INVISIBLE:  # does not part the text around it
-            self.open.append((tag, True, 0))
-            self.hidden += 1
+            self.push(tag, True)
             return
         if tag in ENDS_PARAGRAPH and (k := self.find({"p"}, REGIONS)) is not None:
             self.close_from(k)
@@ -122,19 +184,15 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        inside_main = any(r in self.main for _, _, r in self.open if r)
-        hides = tag in NEVER_TEXT or (tag == "header" and not inside_main) or (tag not in ("html", "body", "article", "main") and _is_clutter(attrs))
-        region = 0
-        if tag in REGIONS or tag == "header":
+        hides = tag in NEVER_TEXT or _is_hidden(attrs)
+        clutter = tag == "form" or (tag == "header" and not self.marked) or (tag not in ("html", "body", "article", "main") and bool(attrs) and _is_clutter(tag, attrs))
+        role = dict(attrs).get("role")
+        marked = (tag in MAIN_ROLES or (tag in REGIONS and role in MAIN_ROLES)) and not self.hidden
+        section = 0
+        if tag in SECTIONS or marked:
             self.regions += 1
-            region = self.regions
-            if tag in SECTIONS:
-                self.sections.add(region)
-            role = dict(attrs).get("role")
-            if (tag in MAIN_ROLES or role in MAIN_ROLES) and not self.hidden:
-                self.main.append(region)
-        self.open.append((tag, hides, region))
-        self.hidden += hides
+            section = self.regions
+        self.push(tag, hides, clutter and not hides, section, marked)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -142,8 +200,9 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in INVISIBLE:
             if self.open and self.open[-1][0] == tag:
-                self.open.pop()
-                self.hidden -= 1
+                self.pop()
+            return
+        if tag in FORMULA:
             return
         if tag in INLINE:
             self.tags += 1
@@ -164,6 +223,18 @@ class _Lines(HTMLParser):
         if not self.hidden:
             self.held.append(data)
 
+    def shown(self) -> list[tuple[str, int, int, int]]:
+        """Lines outside of clutter: text, tags, nearest section, marked region. What holds more than half of the page's text is no clutter."""
+        own = [0] * len(self.clutter_in)
+        for text, _, _, _, clutter in self.lines:
+            own[clutter] += len(text)
+        total, away = sum(own), [False] * len(own)
+        for k in range(len(own) - 1, 0, -1):  # what is inside opened later
+            own[self.clutter_in[k]] += own[k]
+        for k in range(1, len(own)):
+            away[k] = away[self.clutter_in[k]] or 2 * own[k] <= total
+        return [line[:4] for line in self.lines if not away[line[4]]]
+
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     """Gaussian smoothing; at the ends the weights of missing lines go to those that are there."""
@@ -179,7 +250,9 @@ def main_text(html: str | None) -> str:
     spread of all ratios are content. If the page marks article or main regions that hold text, only their lines are
     looked at. All content is kept, and with it the other lines of a section whose own lines are content by half of their
     characters or more: short ones, and those of its lists, tables and quotes. Of other sections, such as teasers or lists
-    of links, only content is kept.
+    of links, only content is kept. So on a page without marked regions the clusters alone tell the article from the rest;
+    if all lines are alike, all are content. Elements whose names say that they surround an article are left out unless
+    they hold over half of the page's text.
     """
     if not html:
         return ""
@@ -187,22 +260,18 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines = parser.shown()
+    if any(marked for _, _, _, marked in lines):
+        lines = [line for line in lines if line[3]]
     if not lines:
         return ""
-    marked = set(parser.main)
-    inside = [bool(marked.intersection(regions)) for _, _, regions in lines]
-    if any(inside):
-        lines = [x for x, own in zip(lines, inside, strict=True) if own]
-    chars = np.array([len(text) for text, _, _ in lines], float)
-    ratios = smoothed(chars / np.maximum(1, [tags for _, tags, _ in lines]))
+    chars = np.array([len(text) for text, *_ in lines], float)
+    ratios = smoothed(chars / np.maximum(1, [tags for _, tags, *_ in lines]))
     content = ratios >= 0.5 * ratios.std()
-    parting = parser.sections | marked
-    section = [next((r for r in reversed(regions) if r in parting), 0) for _, _, regions in lines]
     balance: dict[int, float] = {}
-    for at, n, c in zip(section, chars, content, strict=True):
+    for (_, _, at, _), n, c in zip(lines, chars, content, strict=True):
         balance[at] = balance.get(at, 0.0) + (n if c else -n)
-    return " ".join(text for (text, _, _), at, c in zip(lines, section, content, strict=True) if c or balance[at] >= 0)
+    return " ".join(text for (text, _, at, _), c in zip(lines, content, strict=True) if c or balance[at] >= 0)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

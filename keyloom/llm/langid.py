@@ -166,6 +166,17 @@ class Model:
     limits: np.ndarray = field(default_factory=lambda: np.zeros(0))
     sharpness: float = 1.0
 
+    def parts(self) -> tuple:
+        """Plain arrays that a broadcast can hold; a class would have to be installed where they are read."""
+        tables = [{n: (t.grams, t.values) for n, t in held.items()} for held in (self.logs, self.backs)]
+        return self.languages, *tables, self.floor, self.limits, self.sharpness
+
+    @staticmethod
+    def of(parts: tuple) -> Model:
+        languages, logs, backs, floor, limits, sharpness = parts
+        tables = [{n: HashArray(*t) for n, t in held.items()} for held in (logs, backs)]
+        return Model(languages, *tables, floor, limits, sharpness)
+
     def log_p(self, grams: np.ndarray) -> np.ndarray:
         """One row per gram, one column per language, by backing off from four characters to one and to none."""
         out = np.empty((len(grams), len(self.languages)), np.float32)
@@ -316,13 +327,14 @@ def build(counts: DataFrame) -> Model | None:
     return Model(names, logs, backs, floor)
 
 
-def _usual(docs: DataFrame, shared: Broadcast[Model]) -> dict[int, float]:
+def _usual(docs: DataFrame, shared: Broadcast[tuple]) -> dict[int, float]:
     """Per language with documents of 20 letters or more whose label is predicted: the entropy that ``USUAL`` of them stay below."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(shared.value.languages, object)
+        model = Model.of(shared.value)
+        names = np.array(model.languages, object)
         for batch, texts in text_batches(batches, "text"):
-            nats, n = shared.value.entropies(texts)
+            nats, n = model.entropies(texts)
             choice = nats.argmin(axis=1)
             agree = (n >= 20) & (names[choice] == np.array(batch.column("lang").to_pylist(), object))
             steps = np.floor(nats.min(axis=1)[agree] * STEPS).astype(np.int64)
@@ -350,11 +362,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", row: str = "doc
         return None
     chosen = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(row).alias("row"), F.col(lang).alias("lang"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("calibrate"), "row"), "row").limit(calibration_rows).distinct()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams times languages
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())  # n-grams times languages
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = Model.of(shared.value)
         for frame in frames:
-            nats, n = shared.value.entropies(frame["text"].tolist())
+            nats, n = held.entropies(frame["text"].tolist())
             yield pd.DataFrame({"lang": frame["lang"], "n": n, "nats": list(nats)})
 
     texts = docs.select(F.col(row).alias("row"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(chosen), ["row", "lang"])
@@ -393,10 +406,10 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", new: tuple
     others = [c for c in docs.columns if c not in new and (keep_text or c != text)]
     source = docs.select(*others, F.col(text).alias("__text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams times languages
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts() if model else None)  # n-grams times languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.of(shared.value) if shared.value else None
         for batch, texts in text_batches(batches, "__text"):
             if model is None:
                 names, score, best, out = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,31 +16,46 @@ from keyloom.llm.common import text_batches
 
 # Fixed value: how byte-level BPE vocabularies of this kind cut a text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# White space as the pattern has it, in runs that are cut beforehand.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 # Lengths are summed in blocks of so many values, so that no task reads the whole histogram.
 BLOCK = 64
 
 
-def _encoder(path: str):
-    import tiktoken
+class Encoder:
+    """Token counts of texts of any length. Long runs of white space, on which the pattern would backtrack too deeply, are
+    cut as the pattern cuts them: the run without its last character is one piece, unless nothing follows."""
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.piece = tiktoken.Encoding("piece", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def length(self, text: str | None) -> int:
+        total, at = 0, 0
+        for run in LONG_BLANK.finditer(text or ""):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(self.own.encode_ordinary(text[at : run.start()])) + len(self.piece.encode_ordinary(text[run.start() : end]))
+            at = end
+        return total + len(self.own.encode_ordinary(text[at:])) if text else 0
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Documents by encoded length: (n_tokens, n_docs).
 
     ``vocabulary`` is a file of byte-level BPE ranks that every executor can read at that path. Whole texts are
-    encoded as ordinary text; null and empty texts have zero tokens; repeated rows count as often as they occur.
+    encoded as ordinary text, long runs of one kind of character too; null and empty texts have zero tokens; repeated rows count as often as they occur.
     Each task sends one row per distinct length.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, found = None, {}
         for _, texts in text_batches(batches, "text"):
-            encoder = encoder or _encoder(vocabulary)
-            lengths = np.array([len(encoder.encode_ordinary(t)) if t else 0 for t in texts], np.int64)
+            encoder = encoder or Encoder(vocabulary)
+            lengths = np.array([encoder.length(t) for t in texts], np.int64)
             for n, c in zip(*np.unique(lengths, return_counts=True), strict=True):
                 found[int(n)] = found.get(int(n), 0) + int(c)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["n_tokens", "n_docs"])

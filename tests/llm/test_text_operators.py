@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import math
+import os
+import subprocess
+import sys
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +19,7 @@ from keyloom.llm import html_text, langid, token_counts, toxicity
 from keyloom.llm.queries import TOKENIZER, op2_toxicity, op4_language_id
 
 SF = "/root/testdata/sf0.001"
+REPO = Path(__file__).resolve().parents[2]
 DOCS = "doc_id long, text string, lang string, source string, score string"
 ODD = [(1, None, None, None, "x"), (2, "", "en", "a", None), (2, "", "en", "a", None), (None, "one. two", None, "a", "y"), (5, "  \n ", "en", None, "z"), (6, "word " * 200_000, "en", "a", "w")]
 
@@ -22,7 +28,7 @@ ODD = [(1, None, None, None, "x"), (2, "", "en", "a", None), (2, "", "en", "a",
 
 
 def test_suffix_sums_equal_a_count_per_document(spark, frame):
-    encoder = token_counts._encoder(TOKENIZER)
+    encoder = token_counts.Encoder(TOKENIZER).own
     texts = [None, "", "a b c", "a b c", "Größe 12", "x" * 5000, "line\nline " * 3000]
     docs = frame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     lengths = [len(encoder.encode_ordinary(t)) if t else 0 for t in texts]
@@ -38,6 +44,19 @@ def test_suffix_sums_equal_a_count_per_document(spark, frame):
     assert asked == {c: (sum(min(x, c) for x in lengths), sum(x > c for x in lengths)) for c in (0, 1, 4, 700, 10**6)}
 
 
+def test_long_runs_are_encoded_whole(spark, frame):
+    encoder = token_counts.Encoder(TOKENIZER)
+    for blank in (" ", "\n", "\t ", "\u3000", "\x85\n"):
+        for after in ("", "a", "7 x", "!", "\x1c"):
+            for n in (9_999, 10_000, 10_001, 25_000):
+                text = "b c" + (blank * n)[:n] + after
+                assert encoder.length(text) == len(encoder.own.encode_ordinary(text))
+    assert encoder.length("a" + " " * 12_000 + "b" + "\n" * 11_000 + "c " * 3) == len(encoder.own.encode_ordinary("a" + " " * 12_000 + "b" + "\n" * 11_000 + "c " * 3))
+    docs = frame([(i, c * 2_000_000) for i, c in enumerate(" \na7!")], "doc_id long, text string")
+    rows = token_counts.length_histogram(docs, TOKENIZER).collect()
+    assert sum(r["n_docs"] for r in rows) == 5 and max(r["n_tokens"] for r in rows) == len(encoder.piece.encode_ordinary(" " * 2_000_000))
+
+
 def test_no_documents_have_no_lengths(spark):
     docs = spark.createDataFrame([], "text string")
     sums = token_counts.suffix_sums(token_counts.length_histogram(docs, TOKENIZER))
@@ -186,6 +205,23 @@ def test_language_of_odd_rows(spark, frame):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} >= {9} and kept.where("doc_id in (1, 2, 5, 7, 8)").count() == 0
 
 
+def test_workers_need_no_installed_package(tmp_path):
+    """From another folder, with the package on the driver's path only."""
+    code = f"""
+import sys
+sys.path.insert(0, {str(REPO)!r})
+from keyloom.session import local_session
+from keyloom.llm.queries import QUERIES
+spark = local_session(2)
+for name in ("op4_language_id", "op11_fill_in_middle", "op12_vector_codes"):
+    print(name, QUERIES[name](spark, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert said.returncode == 0, said.stderr[-2000:]
+    assert len(said.stdout.splitlines()) == 3
+
+
 def test_nothing_learned_gives_und(spark, frame):
     docs = frame([(1, "abc", None), (2, None, "en")], "doc_id long, text string, lang string")
     model = langid.fit(docs)
@@ -261,6 +297,43 @@ def test_all_content_of_unmarked_and_marked_pages(html, kept, gone):
     assert all(x.strip() in found for x in kept) and not any(x in found for x in gone)
 
 
+LONG = "A long sentence of an article that goes on and on for quite a while, it seems. " * 4
+
+
+@pytest.mark.parametrize("html, times", [
+    ('<div class="post type-post comment-open"><p>{0}</p><p>{0}</p></div>', 2),
+    ('<div class="content share-enabled"><p>{0}</p></div>', 1),
+    ('<article><h2 id="search">S</h2><div id="search-algorithms"><p>{0}</p></div><div id="share-prices"><p>{0}</p></div></article>', 2),
+    ('<form id="aspnetForm"><div><p>{0}</p></div></form>', 1),
+    ('<div><p>{0}</p><p>{0}</p></div><div class="comments-area"><p>{0}</p></div><div class="comment-list"><p>{0}</p></div>', 2),
+    ('<div class="no-sidebar"><p>{0}</p><p>{0}</p></div><div class="sidebar-left"><p>{0}</p></div><div id="related-posts"><p>{0}</p></div>', 2),
+    ('<p>{0}</p><p>{0}</p><form><p>{0}</p></form><div class="siteHeader"><p>{0}</p></div>', 2),
+    ('<div class="sidebar"><main><p>{0}</p></main></div><p>short</p>', 1),
+])
+def test_names_of_elements_do_not_hide_an_article(html, times):
+    assert html_text.main_text(html.format(LONG)).count("A long sentence") == 4 * times
+
+
+def test_titles_and_formulas_belong_to_the_article():
+    page = f'<div class="article-header"><h1>The title of it</h1></div><article><div class="entry-header"><h2>Part one</h2></div><p>{LONG}</p>'
+    text = html_text.main_text(page + "<p>Mass is <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> as all of us know by now, I think.</p></article>")
+    assert "Part one" in text and "Mass is E=mc2 as all" in text
+
+
+def test_unmarked_pages_of_equal_lines_are_all_content():
+    page = "".join(f"<div><p>{LONG}</p></div>" for _ in range(6))
+    assert html_text.main_text(page).count("A long sentence") == 24
+    links = "".join("<li><a href='#'>go</a></li>" for _ in range(30))
+    assert html_text.main_text(f"<div>{links}</div><div><p>{LONG}</p><p>{LONG}</p></div>").count("go") <= 12
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "<p>x</p>", "<div><figure>" + "<figure><form>x</form2></form>" * 20_000, "<main><div class='ad'>x" * 20_000, "<span class='ad'>x" * 20_000])
+def test_deeply_nested_pages_take_linear_time(page):
+    begin = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - begin < 6
+
+
 def test_smoothing_keeps_a_constant():
     assert np.allclose(html_text.smoothed(np.full(9, 3.0)), 3)
 
