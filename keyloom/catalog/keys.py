@@ -306,6 +306,48 @@ def quantity_skew_assign(spark: SparkSession, sf: str) -> DataFrame:
     return covered(rows, assign.quantity_skew_assign(rows, "row_id", 20, 0.5, 41, min_size=1)[0])
 
 
+def drawn_sql(counts: str, clients: int, alpha: float, seed: object, min_size: int) -> list[str]:
+    """Twin of the Dirichlet draws: ``edges(label, client, lo, hi)`` of the first of 16 draws without a small client."""
+    d = (alpha if alpha >= 1 else alpha + 1) - 1 / 3
+    uniform = lambda digest, k: f"({word(digest, k)} + 0.5) / 4294967296.0::DOUBLE"
+    return [
+        f"counts_ AS ({counts})",
+        f"grid AS (SELECT draw, label, n, client FROM counts_, range(1, 17) a(draw), range({clients}) b(client))",
+        f"tries AS (SELECT *, md5(concat_ws('|', 'assign|{seed}', draw, label, client, k)) AS h FROM grid, range(16) t(k))",
+        f"normals AS (SELECT *, {uniform('h', 2)} AS u, sqrt(-2 * ln({uniform('h', 0)})) * cos(2 * pi() * ({uniform('h', 1)})) AS x FROM tries)",
+        f"cubes AS (SELECT *, pow(1 + {1 / (9 * d) ** 0.5!r}::DOUBLE * x, 3) AS v FROM normals)",
+        f"""gammas AS (
+          SELECT draw, label, n, client, coalesce(arg_min({d!r}::DOUBLE * v, k) FILTER (v > 0 AND ln(u) < 0.5 * x * x + {d!r}::DOUBLE - {d!r}::DOUBLE * v
+                   + {d!r}::DOUBLE * ln(greatest(v, 1e-300))), {d!r}::DOUBLE)
+                 * pow({uniform(f"md5(concat_ws('|', 'assign|{seed}', draw, label, client, 'power'))", 0)}, {1 / alpha!r}::DOUBLE) AS g
+          FROM cubes GROUP BY draw, label, n, client)""",
+        """sums AS (SELECT *, sum(g) OVER (PARTITION BY draw, label ORDER BY client) AS upto, sum(g) OVER (PARTITION BY draw, label) AS total FROM gammas)""",
+        f"cuts AS (SELECT draw, label, client, CASE WHEN client = {clients - 1} THEN n ELSE floor(upto / total * n)::BIGINT END AS hi FROM sums)",
+        "spans AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY draw, label ORDER BY client), 0) AS lo FROM cuts)",
+        "sizes_ AS (SELECT draw, client, sum(hi - lo) AS size FROM spans GROUP BY draw, client)",
+        f"first_ AS (SELECT min(draw) AS draw FROM (SELECT draw FROM sizes_ GROUP BY draw HAVING min(size) >= {min_size}))",
+        "edges AS (SELECT label, client::INTEGER AS client, lo, hi FROM spans WHERE draw = (SELECT draw FROM first_))",
+    ]
+
+
+@query(with_([KEYED_LABELS, *drawn_sql("SELECT label, count(*) AS n FROM keyed_labels GROUP BY label", 20, 0.5, 37, 10)], """
+SELECT client, label, hi - lo AS n, (SELECT draw FROM first_)::INTEGER AS draws FROM edges WHERE hi > lo"""))
+def dirichlet_client_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each class that each client has, and the draws it took until no client was too small."""
+    rows = keyed_labels(spark, sf)
+    assigned, draws = assign.dirichlet_assign(rows, "row_id", "label", 20, 0.5, 37)
+    counts = assigned.join(rows.select("row_id", "label"), "row_id").groupBy("client", "label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("draws", F.lit(draws))
+
+
+@query(with_([KEYED_LABELS, *drawn_sql("SELECT 0 AS label, count(*) AS n FROM keyed_labels", 20, 0.5, 41, 1)],
+             "SELECT client, hi - lo AS size FROM edges"))
+def quantity_skew_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Unequal client sizes."""
+    assigned, _ = assign.quantity_skew_assign(keyed_labels(spark, sf), "row_id", 20, 0.5, 41, min_size=1)
+    return assigned.groupBy("client").agg(F.count(F.lit(1)).alias("size"))
+
+
 @query(with_([KEYED_LABELS, "n AS (SELECT count(*) AS n FROM keyed_labels)"], """
 SELECT 'clients' AS part, n // 70 + 1 AS size, n % 70 AS number FROM n WHERE n % 70 > 0
 UNION ALL SELECT 'clients', n // 70, 70 - n % 70 FROM n

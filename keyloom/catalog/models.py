@@ -381,17 +381,18 @@ def dispersion(spark: SparkSession, sf: str) -> DataFrame:
 SIDES = "sided AS (SELECT *, CASE WHEN status = 'P' THEN 'unseen' ELSE 'seen' END AS side, key || '|' || status AS cell FROM keyed_labels)"
 
 
-def side_sql(name: str) -> list[str]:
+def side_sql(name: str, by: str, classes: int) -> list[str]:
+    """Metrics of ``sided`` by ``by``, as tables whose names end in ``name``."""
     renamed = {k: f"{k}_{name}" for k in ("labels_", "groups_", "per_class", "rates", "scores", "macro", "measured")}
     out = []
-    for cte in metrics_sql("sided", "side, cell" if name == "cell" else "side", 5):
+    for cte in metrics_sql("sided", by, classes):
         for a, b in renamed.items():
             cte = __import__("re").sub(rf"\b{a}\b", b, cte)
         out.append(cte)
     return out
 
 
-@query(with_([KEYED_LABELS, SIDES, *side_sql("pool"), *side_sql("cell"),
+@query(with_([KEYED_LABELS, SIDES, *side_sql("pool", "side", 5), *side_sql("cell", "side, cell", 5),
               f"spread AS (SELECT side, {dispersion_sql('macro_f1')} FROM measured_cell GROUP BY side)",
               "s AS (SELECT * FROM measured_pool JOIN spread USING (side) WHERE side = 'seen')",
               "u AS (SELECT * FROM measured_pool JOIN spread USING (side) WHERE side = 'unseen')"],

@@ -83,6 +83,16 @@ def head_records(spark: SparkSession, sf: str) -> DataFrame:
     return reviews.head_records(lines(spark, sf), 100).select("seq")
 
 
+@query(with_([RAW, FIELDS], """
+SELECT seq AS timestamp, is_object, nullif(user_id, '') AS user_id, parent_asin FROM fields WHERE is_object ORDER BY seq LIMIT 150"""))
+def read_review_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The first records of line files, in the order of files and of lines in them."""
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    document_lines(table(spark, sf, "documents"), table(spark, sf, "labels")).sort("seq").select("value").write.text(path)
+    head = reviews.read_review_lines(spark, path, max_records=150)
+    return reviews.parse_lines(head).select("timestamp", "is_object", "user_id", "parent_asin")
+
+
 @query(with_([RAW, FIELDS], f"""
 SELECT seq, is_object, CASE WHEN is_object THEN rating::DOUBLE END AS rating, nullif(user_id, '') AS user_id, parent_asin
 FROM fields"""))
@@ -148,6 +158,17 @@ def load_labelled_text(spark: SparkSession, sf: str) -> DataFrame:
     return labelled.split_class_counts(loaded)
 
 
+@query("""SELECT CASE WHEN p_partkey % 5 = 0 THEN 'test' ELSE 'train' END AS split, p_size - 1 AS label, count(*) AS n FROM part GROUP BY ALL""")
+def load_two_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """A training and a test file of one source."""
+    folder = f"{ensure_checkpoint_dir(spark)}/splits-{uuid.uuid4().hex}"
+    parts = table(spark, sf, "part")
+    for name, side in (("train", F.col("p_partkey") % 5 != 0), ("test", F.col("p_partkey") % 5 == 0)):
+        parts.where(side).write.parquet(f"{folder}/{name}")
+    loaded = labelled.load_labelled_text(spark, {n: f"{folder}/{n}" for n in ("train", "test")}, "p_name", "p_size", offset=1)
+    return labelled.split_class_counts(loaded)
+
+
 @query("SELECT o_custkey AS key, count(*) AS n FROM orders GROUP BY o_custkey")
 def write_once(spark: SparkSession, sf: str) -> DataFrame:
     """Written once, then read from the written copy."""

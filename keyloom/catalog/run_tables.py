@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.catalog import query
-from keyloom.catalog.models import HISTORY, history
+from keyloom.catalog.models import HISTORY, SPREAD, dispersion_sql, history, side_sql
 from keyloom.catalog.tables import KEYED_LABELS, keyed_labels, keyed_text, keyed_uses, model_inputs, r, rounded, rs, table, vocabulary, with_
-from keyloom.catalog.text import mixed_centroids
+from keyloom.catalog.text import DIRECTIONS, ROLES, mixed_centroids
 from keyloom.functions.numeric import correlation
 from keyloom.operators import metrics, runs
 from keyloom.operators.sampling import assign_roles_stratified
 from keyloom.plans import analysis
-from keyloom.sources.run_files import parse_run_files
+from keyloom.session import ensure_checkpoint_dir
+from keyloom.sources.run_files import FILES, parse_run_files, read_runs
 
 # A run is a line status (cell), return flag (condition) and supplier group (seed); its numbers are averages.
 # Fields go missing by rule, so that every check has something to find.
@@ -172,7 +175,18 @@ CHECKS = (
 @query(with_([RUNS, "names AS (SELECT unnest([" + ", ".join(f"'{c}'" for c in CHECKS) + "]) AS \"check\")"], """
 SELECT cell, seed, "check", CASE "check" WHEN 'same vocabulary' THEN seed <> 6 WHEN 'identical lr' THEN seed <> 4
   WHEN 'client class counts saved' THEN seed <> 5 WHEN 'alpha recorded' THEN NOT (cell = 'O' AND seed = 3)
-  WHEN 'git commit recorded' THEN seed <> 2 ELSE true END AS passed
+  WHEN 'git commit recorded' THEN seed <> 2 ELSE true END AS passed,
+  CASE "check" WHEN 'same vocabulary' THEN '{"vocabulary_sha256":"' || md5(CASE WHEN seed = 6 THEN 'other' ELSE 'vocabulary' END) || '"}'
+    WHEN 'same feature bundle' THEN '{"bundle_dir":"/bundles/' || cell || '"}' WHEN 'same training split' THEN '{"train_fingerprint":"' || md5(cell) || '"}'
+    WHEN 'same test set' THEN '{"test_size":10}' WHEN 'same seed' THEN '{"seed":' || seed || '}'
+    WHEN 'identical lr' THEN CASE WHEN seed = 4 THEN '{"lr":0.2}' ELSE '{"lr":0.1}' END WHEN 'identical lr_decay' THEN '{"lr_decay":1.0}'
+    WHEN 'identical batch_size' THEN '{"batch_size":32}' WHEN 'identical weight_decay' THEN '{"weight_decay":0.0}'
+    WHEN 'identical momentum' THEN '{"momentum":0.0}' WHEN 'identical model' THEN '{"name":"lr"}'
+    WHEN 'same partition' THEN '{"sha256":"' || md5(cell || '|' || seed) || '"}'
+    WHEN 'partition seed recorded' THEN '["' || seed * 100 || '","' || seed * 100 || '"]'
+    WHEN 'alpha recorded' THEN CASE WHEN cell = 'O' AND seed <> 3 THEN '["0.1","0.1"]' ELSE '["none","none"]' END
+    WHEN 'client count recorded' THEN '["2","2"]' WHEN 'official status recorded' THEN '["' || (seed % 2 = 0) || '"]'
+    WHEN 'git commit recorded' THEN '["' || CASE WHEN seed <> 2 THEN md5('commit') ELSE 'none' END || '"]' END AS detail
 FROM (SELECT DISTINCT cell, seed FROM runs), names"""))
 def comparability_checks(spark: SparkSession, sf: str) -> DataFrame:
     files = run_files(spark, sf).select("cell", "condition", "run_dir")
@@ -201,6 +215,51 @@ def seeds_differ(spark: SparkSession, sf: str) -> DataFrame:
     return runs.seeds_differ(seeds, seeds.where(F.col("final").isNotNull()), ["cell"])
 
 
+def written_runs(spark: SparkSession, sf: str) -> str:
+    """The runs as folders of JSON files, one folder per run and as many runs at any scale; the folder's path.
+
+    Clients get two fields that no schema names. Runs without a text have no such file.
+    """
+    extra = F.regexp_replace("clients", r'\{"client_id":(\d)', r'{"client_id":$1,"device":"d$1","load":$1.5,"parts":[1,2]')
+    rows = run_files(spark, sf).withColumn("clients", extra).collect()  # two cells, three conditions, eight seeds
+    root = f"{ensure_checkpoint_dir(spark)}/runs-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for run in rows:
+        for name in FILES:
+            if run[name] is not None:
+                out = files.create(path(f"{root}/{run['run_dir']}/{name}.json"))
+                out.write(bytearray(run[name].encode()))
+                out.close()
+    return root
+
+
+def runs_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    nested = read_runs(spark, written_runs(spark, sf))
+    return nested.withColumn("run_dir", F.regexp_extract("run_dir", "([^/]+/[^/]+/[^/]+)$", 1))
+
+
+@query(with_([RUNS], f"""
+SELECT run_dir, md5(run_dir) AS run_id, seed, CASE WHEN NOT (seed = 7 AND condition = 'A') THEN kind END AS kind,
+       CASE WHEN {FED} THEN 3 END::INTEGER AS rounds, CASE WHEN {FED} AND seed <> 6 THEN 2 END::INTEGER AS clients FROM runs"""))
+def read_runs_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Run folders read back; a file that is missing is NULL."""
+    return runs_from_files(spark, sf).select(
+        "run_dir", "run_metadata.run_id", "run_metadata.seed", "final.kind", F.size("history").alias("rounds"), F.size("clients").alias("clients")
+    ).withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in ("rounds", "clients")})
+
+
+@query(with_([RUNS], f"""
+SELECT md5(run_dir) AS run_id, seed, algorithm, c::BIGINT AS client_id, items + c AS n_train, {r('tax')} AS client_test_macro_f1,
+       'd' || c AS device, c + 0.5::DOUBLE AS load FROM runs, range(2) t(c) WHERE {FED} AND seed <> 6"""))
+def client_fields_from_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scalar field of the clients' files, two of them in no schema; lists are left out."""
+    rows = runs.collect_tables(runs_from_files(spark, sf))["clients"]
+    if "parts" in rows.columns:
+        raise RuntimeError("a list is no scalar field")
+    return rounded(rows.select("run_id", "seed", "algorithm", "client_id", "n_train", "client_test_macro_f1", "device", "load"), "client_test_macro_f1")
+
+
 VALUES = """vals AS (
   SELECT condition, cell, seed, unnest(['spearman', 'partial_pearson']) AS statistic,
          unnest([a, CASE WHEN seed <> 5 OR cell = 'O' THEN b END]) AS value
@@ -291,7 +350,36 @@ def anomalies(spark: SparkSession, sf: str) -> DataFrame:
     return runs.anomalies(rounds, metrics.confusion(rows, "label", "prediction", 5, ["run"]), ["run"])
 
 
-@query()
+CELL = [
+    *DIRECTIONS, *[cte for cte in [ROLES] if cte not in DIRECTIONS],
+    """sides AS (
+      SELECT k.doc_id, k.key, k.label, CASE WHEN k.lang = 'de' THEN 'unseen' WHEN t.rank > t.train + round_even(0.1 * s.n, 0) THEN 'seen' END AS side
+      FROM keyed_text k JOIN roles t ON t.doc_id = k.doc_id JOIN (SELECT label, count(*) AS n FROM keyed_text GROUP BY label) s ON s.label = k.label)""",
+    """models AS (
+      SELECT 'centralized' AS model, layer, class, idx, value FROM centroids
+      UNION ALL SELECT 'fedavg', 'weight', class, idx, sum(value) / (SELECT keys FROM key_count) FROM per_key GROUP BY class, idx)""",
+    """sums_ AS (
+      SELECT p.model, f.doc_id, p.class, sum(f.value * p.value) AS s FROM features f
+      JOIN models p ON p.idx = f.idx AND p.layer = 'weight' GROUP BY ALL)""",
+    """scored AS (
+      SELECT m.model, t.doc_id, t.key, t.label, t.side, c.class, coalesce(s.s, 0.0) + coalesce(b.value, 0.0) AS logit
+      FROM sides t CROSS JOIN (SELECT DISTINCT model FROM models) m CROSS JOIN range(2) c(class)
+      LEFT JOIN sums_ s ON s.model = m.model AND s.doc_id = t.doc_id AND s.class = c.class
+      LEFT JOIN models b ON b.model = m.model AND b.layer = 'bias' AND b.class = c.class WHERE t.side IS NOT NULL)""",
+    """sided AS (
+      SELECT model, key, side, label, class::INTEGER AS prediction FROM scored
+      QUALIFY row_number() OVER (PARTITION BY model, doc_id ORDER BY logit DESC, class) = 1)""",
+    *side_sql("pool", "model, side", 2), *side_sql("cell", "model, side, key", 2),
+    f"spread AS (SELECT model, side, {dispersion_sql('macro_f1')} FROM measured_cell GROUP BY model, side)",
+    "s AS (SELECT * FROM measured_pool JOIN spread USING (model, side) WHERE side = 'seen')",
+    "u AS (SELECT * FROM measured_pool JOIN spread USING (model, side) WHERE side = 'unseen')",
+]
+
+
+@query(with_(CELL, "SELECT s.model, " + ", ".join(
+    f"{t}.n AS {name}_n, {t}.count AS {name}_key_count, " + ", ".join(f"{r(f'{t}.{c}')} AS {name}_{c}" for c in ("accuracy", "macro_f1"))
+    + ", " + ", ".join(f"{r(f'{t}.{c}')} AS {name}_key_{c}" for c in SPREAD) for t, name in (("s", "seen"), ("u", "unseen")))
+    + f", {r('s.macro_f1 - u.macro_f1')} AS gap_macro_f1, {r('s.accuracy - u.accuracy')} AS gap_accuracy FROM s JOIN u ON u.model = s.model"))
 def analyze_cell(spark: SparkSession, sf: str) -> DataFrame:
     """Seen against unseen performance of two centroid models, after checks, decomposition, null and flags."""
     documents, values_, pooled = model_inputs(spark, sf)
@@ -302,4 +390,4 @@ def analyze_cell(spark: SparkSession, sf: str) -> DataFrame:
         rows, keyed_uses(spark, sf), values_, vocabulary(spark, sf), models, "doc_id", "key", "label", 2,
         analysis.FlagRule(repeats=5, fdr=0.5), 11,
     )
-    return tables["performance"]
+    return rounded(tables["performance"], *[c for c, kind in tables["performance"].dtypes if kind == "double"])

@@ -15,7 +15,7 @@ from keyloom.catalog.tables import ALL_WORDS, EVENT_TYPES, MESSAGES, position, r
 from keyloom.operators import terms
 from keyloom.operators.ledger import with_cumulative
 from keyloom.session import ensure_checkpoint_dir
-from keyloom.streaming import incremental
+from keyloom.streaming import incremental, running
 
 STATS = with_([ALL_WORDS, "tokens AS (SELECT doc_id, unnest(w) AS term FROM words)"],
               "SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM tokens GROUP BY term")
@@ -107,6 +107,32 @@ def append_term_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return terms.merge_term_statistics(spark.read.parquet(f"{folder}/rows"))
 
 
+@query(STATS)
+def running_term_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Every batch writes its own terms, runs are merged as the log grows."""
+    folder = f"{ensure_checkpoint_dir(spark)}/terms-{uuid.uuid4().hex}"
+    log, query = running.running_term_statistics(stream(spark, sf, "documents"), "text", f"{folder}/log", f"{folder}/state")
+    query.awaitTermination()
+    return log.table()
+
+
+@query(with_(EVENT_COUNTS, "SELECT * FROM counts"))
+def running_key_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every batch writes its own keys, runs are merged as the log grows."""
+    folder = f"{ensure_checkpoint_dir(spark)}/keys-{uuid.uuid4().hex}"
+    events = stream(spark, sf, "events").select(F.col("user_id").alias("key"), position("event_type", EVENT_TYPES).alias("label"))
+    log, query = running.running_key_label_counts(events, "key", "label", C, f"{folder}/log", f"{folder}/state")
+    query.awaitTermination()
+    return log.table()
+
+
+@query("SELECT DISTINCT lang, md5(text) AS digest FROM documents")
+def stream_dedup_for_a_day(spark: SparkSession, sf: str) -> DataFrame:
+    """State of a group ends a day after its first arrival."""
+    first = incremental.stream_dedup(stream(spark, sf, "documents"), ["lang", "text"], horizon="1 day")
+    return drained(spark, sf, "documents", first.select("lang", F.md5("text").alias("digest")), "append")
+
+
 @query(with_([MESSAGES,
               f"sums AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, {SUMS} FROM messages GROUP BY day)",
               "closed AS (SELECT * FROM sums WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM messages))"], f"""

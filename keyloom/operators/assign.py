@@ -1,7 +1,7 @@
 """Assignment of rows to synthetic or natural keys: ``(row, client)``.
 
-Proportions are drawn on the driver from the class counts (one number per client and class); every row finds its
-client in Spark from its seeded rank within its class.
+Dirichlet proportions are gamma numbers drawn from hashes in Spark; every row finds its client from its seeded rank
+within its class. Only equal-size plans are fitted on the driver, from one number per client and class.
 """
 
 from __future__ import annotations
@@ -9,13 +9,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.hashing import derive_seed, hash_word, seeded_hash
-from keyloom.functions.ordering import hash_rank, sorted_codes
+from keyloom.functions.ordering import hash_rank, ordered, running, sorted_codes
+from keyloom.functions.random import gamma
+from keyloom.session import cut_lineage
 from keyloom.sources.sinks import write_once
 
+# Draws that are looked at in one job.
+DRAWS_AT_ONCE = 16
+
 
 def iid_assign(df: DataFrame, row: str, clients: int, seed: object) -> DataFrame:
     """Deals shuffled rows into ``clients`` keys whose sizes differ by at most one."""
@@ -33,17 +38,37 @@ def _class_counts(df: DataFrame, label: str) -> dict[int, int]:
     return {r[label]: r["n"] for r in rows}
 
 
-def _cuts(rng: np.random.Generator, n: int, clients: int, alpha: float) -> np.ndarray:
-    inner = (np.cumsum(rng.dirichlet(np.full(clients, alpha)))[:-1] * n).astype(np.int64)
-    return np.concatenate([[0], inner, [n]])
-
+def _redraw(
+    counts: DataFrame, label: str | None, clients: int, alpha: float, seed: object, min_size: int, max_tries: int
+) -> tuple[DataFrame, int]:
+    """Intervals ``(label, client, lo, hi, width)`` of the first draw that gives every client ``min_size`` rows, and its number.
 
-def _redraw(counts: dict, clients: int, alpha: float, seed: object, min_size: int, max_tries: int) -> tuple[dict, int]:
-    rng = np.random.default_rng(derive_seed("assign", seed))
-    for draw in range(1, max_tries + 1):
-        cuts = {c: _cuts(rng, n, clients, alpha) for c, n in counts.items()}
-        if sum(np.diff(v) for v in cuts.values()).min() >= min_size:
-            return cuts, draw
+    ``counts`` has the rows ``n`` of each class. A draw is one gamma number per class and client, a function of seed, draw,
+    class and client; shares are running sums within the class. Draws are looked at ``DRAWS_AT_ONCE`` at a time in one
+    job; only their smallest clients reach the driver.
+    """
+    label = label or "__label"
+    if label not in counts.columns:
+        counts = counts.withColumn(label, F.lit(0))
+    counts = cut_lineage(counts.select(F.col(label).alias("label"), "n"))  # one row per class
+    for first in range(1, max_tries + 1, DRAWS_AT_ONCE):
+        draws = range(first, min(first + DRAWS_AT_ONCE, max_tries + 1))
+        grid = counts.select("label", "n", F.explode(F.array(*[F.lit(d) for d in draws])).alias("draw"))
+        grid = grid.repartition("label", "draw").select("label", "n", "draw", F.explode(F.sequence(F.lit(0), F.lit(clients - 1))).alias("client"))
+        drawn = grid.withColumn("g", gamma(alpha, F.lit(f"assign|{seed}"), F.col("draw"), F.col("label"), F.col("client")))
+        placed = running(ordered(drawn, ["draw", "label"], ["client"], "__at"), ["draw", "label"], "__at", F.col("g"), "sum", "upto")
+        placed = cut_lineage(placed.select("draw", "label", "client", "n", "g", "upto"))
+        total = placed.groupBy("draw", "label").agg(F.max("upto").alias("total"))
+        cut = placed.join(total, ["draw", "label"])
+        hi = F.when(F.col("client") == clients - 1, F.col("n")).otherwise(F.floor(F.col("upto") / F.col("total") * F.col("n"))).cast("long")
+        before = Window.partitionBy("draw", "label").orderBy("client")
+        edges = cut.select("draw", "label", "client", "n", hi.alias("hi"))
+        edges = cut_lineage(edges.withColumn("lo", F.coalesce(F.lag("hi").over(before), F.lit(0).cast("long"))))
+        smallest = edges.groupBy("draw", "client").agg(F.sum(F.col("hi") - F.col("lo")).alias("size")).groupBy("draw").agg(F.min("size").alias("least"))
+        good = smallest.where(F.col("least") >= min_size).agg(F.min("draw")).first()[0]
+        if good is not None:
+            width = F.greatest(F.lit(1), F.floor(F.col("n") / clients)).cast("long").alias("width")
+            return edges.where(F.col("draw") == good).select("label", "client", "lo", "hi", width), good
     raise RuntimeError(f"no draw gave every one of {clients} clients {min_size} rows in {max_tries} tries")
 
 
@@ -86,16 +111,17 @@ def dirichlet_assign(
 
     Redrawn until every client has ``min_size`` rows; also returns the number of draws.
     """
-    cuts, draws = _redraw(_class_counts(df, label), clients, alpha, seed, min_size, max_tries)
-    return _from_cuts(df, row, label, cuts, seed), draws
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    intervals, draws = _redraw(counts, label, clients, alpha, seed, min_size, max_tries)
+    return assign_by_intervals(hash_rank(df.select(row, label), [label], [row], seed), row, label, intervals), draws
 
 
 def quantity_skew_assign(
     df: DataFrame, row: str, clients: int, beta: float, seed: object, min_size: int = 10, max_tries: int = 1000
 ) -> tuple[DataFrame, int]:
     """Unequal client sizes in Dirichlet proportions, labels not looked at."""
-    cuts, draws = _redraw({0: df.count()}, clients, beta, seed, min_size, max_tries)
-    return _from_cuts(df, row, None, cuts, seed), draws
+    intervals, draws = _redraw(df.agg(F.count(F.lit(1)).alias("n")), None, clients, beta, seed, min_size, max_tries)
+    return assign_by_intervals(hash_rank(df.select(row), [], [row], seed), row, None, intervals), draws
 
 
 def fitted(preferences: np.ndarray, rows: np.ndarray, columns: np.ndarray, passes: int = 500) -> np.ndarray:

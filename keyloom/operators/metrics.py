@@ -11,15 +11,22 @@ from keyloom.functions.ordering import attach, percentiles
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, classes: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Every (true, predicted) pair with its count per ``keys`` group, zeros included."""
-    cells = [(t, p) for t in range(classes) for p in range(classes)]
-    counts = df.groupBy(*keys).agg(
-        *[F.count_if((F.col(truth) == t) & (F.col(predicted) == p)).alias(f"__{t}_{p}") for t, p in cells]
-    )
-    rows = F.array(
-        *[F.struct(F.lit(t).alias("y_true"), F.lit(p).alias("y_pred"), F.col(f"__{t}_{p}").alias("n")) for t, p in cells]
+    """Every (true, predicted) pair with its count per ``keys`` group, zeros included.
+
+    Pairs that occur are counted; a group's counts then fill its table of ``classes`` x ``classes`` pairs. Values that are no
+    class are left out.
+    """
+    keys = list(keys)
+    known = F.col(truth).between(0, classes - 1) & F.col(predicted).between(0, classes - 1)
+    place = F.when(known, F.col(truth) * classes + F.col(predicted)).cast("int").alias("__place")
+    pairs = df.groupBy(*keys, place).agg(F.count(F.lit(1)).alias("__n"))
+    seen = F.collect_list(F.when(F.col("__place").isNotNull(), F.struct("__place", "__n")))  # one entry per pair
+    groups = pairs.groupBy(*keys).agg(F.map_from_entries(seen).alias("__seen"))
+    cells = F.explode(F.sequence(F.lit(0), F.lit(classes * classes - 1))).alias("__cell")
+    return groups.select(*keys, "__seen", cells).select(
+        *keys, F.floor(F.col("__cell") / classes).cast("int").alias("y_true"), (F.col("__cell") % classes).alias("y_pred"),
+        F.coalesce(F.element_at("__seen", F.col("__cell")), F.lit(0).cast("long")).alias("n"),
     )
-    return counts.select(*keys, F.inline(rows))
 
 
 def classification_metrics(confused: DataFrame, classes: int, keys: Sequence[str] = ()) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators.keys import class_columns
 from keyloom.operators.metrics import classification_metrics, confusion
+from keyloom.operators.terms import match_terms
 
 
 def wide_weights(params: DataFrame, classes: int, by: Sequence[str] = ()) -> DataFrame:
@@ -32,9 +33,9 @@ def score_linear(documents: DataFrame, features: DataFrame, params: DataFrame, d
     """Adds ``logits``, one per class, to every document; a document without features scores the biases.
 
     Weights sit in one row per feature, so a document's features meet all classes at once and one shuffle on the
-    document sums them.
+    document sums them. Weights that are many are broadcast for frequent features only.
     """
-    joined = features.join(wide_weights(params, classes), "idx")
+    joined = match_terms(features.select(doc, "idx", "value"), wide_weights(params, classes), "idx")
     sums = joined.groupBy(doc).agg(*[F.sum(F.col("value") * F.col(f"w_{c}")).alias(f"__x_{c}") for c in range(classes)])
     scored = documents.join(sums, doc, "left").withColumn("__bias", bias_vector(params, classes))
     logits = F.array(*[F.coalesce(f"__x_{c}", F.lit(0.0)) + F.col("__bias")[c] for c in range(classes)])

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions.ordering import ordered
+from keyloom.functions.ordering import ordered, running
 from keyloom.functions.text import ngrams, tokens
 from keyloom.session import cut_lineage
 
@@ -54,15 +54,28 @@ def merge_term_statistics(stats: DataFrame) -> DataFrame:
 
 
 def select_vocabulary(stats: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
-    """Terms in at least ``min_df`` documents, the most frequent ``max_features`` of them, indexed alphabetically."""
+    """Terms in at least ``min_df`` documents, the most frequent ``max_features`` of them, indexed alphabetically.
+
+    Terms per frequency, a small table, tell the frequency at which the number is reached. Only the terms that are at least
+    so frequent are sorted, once: of those that are just so frequent, the first ones by alphabet fill up the number.
+    """
     kept = stats.where(F.col("df") >= min_df)
     if max_features is None:
         return ordered(kept, [], ["term"], rank="idx").select(
             "term", (F.col("idx") - 1).cast("int").alias("idx"), "tf", "df"
         )
-    placed = ordered(kept, [], [F.desc("tf"), F.asc("term")], rank="__place")
-    top = placed.where(F.col("__place") <= max_features).select("term", "tf", "df")
-    return ordered(top, [], ["term"], rank="idx").select("term", (F.col("idx") - 1).cast("int").alias("idx"), "tf", "df")
+    counts = kept.groupBy("tf").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.orderBy(F.desc("tf")).rowsBetween(Window.unboundedPreceding, 0))  # one row per frequency
+    reached = counts.select("tf", "__c", upto.alias("__upto")).where(F.col("__upto") >= max_features)
+    cut = reached.agg(F.max(F.struct("tf", (F.col("__upto") - F.col("__c")).alias("above")))).scalar()
+    frequent = kept.withColumn("__cut", cut).where(F.col("__cut").isNull() | (F.col("tf") >= F.col("__cut.tf")))
+    edge = F.coalesce(F.col("tf") == F.col("__cut.tf"), F.lit(False)).cast("long")
+    placed = ordered(frequent.select("term", "tf", "df", edge.alias("__edge"), F.col("__cut.above").alias("__above")), [], ["term"], rank="__at")
+    placed = running(placed, [], "__at", F.col("__edge"), "sum", "__edges")
+    room = F.lit(max_features) - F.col("__above")
+    chosen = placed.where((F.col("__edge") == 0) | (F.col("__edges") <= room))
+    left_out = F.greatest(F.lit(0), F.coalesce(F.col("__edges") - room, F.lit(0)))
+    return chosen.select("term", (F.col("__at") - left_out - 1).cast("int").alias("idx"), "tf", "df")
 
 
 def with_idf(vocabulary: DataFrame, documents: DataFrame) -> DataFrame:
@@ -104,15 +117,19 @@ def tfidf_transform(
     return weighted.select(doc, "idx", (F.col("value") / norm).alias("value"))
 
 
-def match_terms(uses: DataFrame, table: DataFrame, on: str, frequency: str) -> DataFrame:
+def match_terms(uses: DataFrame, table: DataFrame, on: str, frequency: str | None = None) -> DataFrame:
     """``uses`` joined with a table of one row per ``on``, without sending a frequent value's uses to one task.
 
     A small table is broadcast after its rows are counted. Of a larger one, the ``BROADCAST_TERMS`` rows of highest
-    ``frequency`` or fewer are broadcast, down to a power of two; the uses of the rest, each rare, are shuffled.
+    ``frequency`` (a column of the table, or else counted in ``uses``) or fewer are broadcast, down to a power of two; the
+    uses of the rest, each rare, are shuffled.
     """
     table = cut_lineage(table)
     if table.count() <= BROADCAST_TERMS:
-        return uses.join(F.broadcast(table.drop(frequency)), on)
+        return uses.join(F.broadcast(table.drop(frequency) if frequency else table), on)
+    if frequency is None:
+        frequency = "__uses"
+        table = cut_lineage(table.join(uses.groupBy(on).agg(F.count(F.lit(1)).alias(frequency)), on))
     sizes = table.groupBy(F.floor(F.log2(F.greatest(frequency, F.lit(1)))).alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()
     held, floor = 0, 63
     for row in sorted(sizes, key=lambda r: -r["level"]):

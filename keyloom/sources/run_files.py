@@ -63,8 +63,8 @@ def read_run_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_run_files(raw: DataFrame) -> DataFrame:
-    """The JSON texts as nested columns."""
-    return raw.select("run_dir", *[F.from_json(name, SCHEMAS[name]).alias(name) for name in FILES])
+    """The JSON texts as nested columns, and the clients' text, which may have fields that no schema names."""
+    return raw.select("run_dir", *[F.from_json(name, SCHEMAS[name]).alias(name) for name in FILES], F.col("clients").alias("clients_text"))
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:

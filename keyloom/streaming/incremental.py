@@ -40,11 +40,17 @@ def stream_cleaning_report(lines: DataFrame) -> DataFrame:
 def stream_dedup(records: DataFrame, columns: Sequence[str], time: str | None = None, horizon: str | None = None) -> DataFrame:
     """First arrival of each group of equal ``columns``.
 
-    State holds one digest per group, for ever or, with ``time`` and ``horizon``, for that long.
+    State holds one digest per group: with ``time`` and ``horizon`` as long as that column's watermark says; with
+    ``horizon`` alone that long after the group's first arrival, by the time of the batch, so that the state is bounded
+    by what arrives within the horizon whatever the records say; without both for ever. Keep such state in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``): it then lies on disk, and a restart reads it from the checkpoint.
     """
     keyed = records.withColumn("__key", duplicate_key(columns))
-    if time is None:
+    if time is None and horizon is None:
         return keyed.dropDuplicates(["__key"]).drop("__key")
+    if time is None:
+        arrived = keyed.withColumn("__arrived", F.current_timestamp()).withWatermark("__arrived", horizon)
+        return arrived.dropDuplicatesWithinWatermark(["__key"]).drop("__key", "__arrived")
     return keyed.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["__key"]).drop("__key")
 
 
