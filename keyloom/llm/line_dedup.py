@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import WORD, few, keep, text_batches
 
+# A line from its first word on.
+LINE = r"[^\x20\x09-\x0D][^\n]*"
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 # Bytes of text whose words are hashed at once, and index rows that a task collects before it sends them.
@@ -179,12 +181,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"oid long, line int, sid long, size int, {wide}, bucket int, n long")
 
 
-def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.ndarray, by_rarity: np.ndarray, hot: np.ndarray, threshold: float) -> np.ndarray:
-    """Rows of INDEX for the words in each line's prefix."""
+def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.ndarray, by_rarity: np.ndarray, hot: np.ndarray, threshold: float, only: np.ndarray | None = None) -> np.ndarray:
+    """Rows of INDEX for the words in each line's prefix; with ``only``, sorted words, those of these words."""
     lines, raw = _words(data)
     rank = np.empty(BUCKETS, np.uint64)
     rank[by_rarity] = np.arange(BUCKETS, dtype=np.uint64)
     codes = (rank[(raw >> np.uint64(32)).astype(np.int64)] << np.uint64(32)) | (raw & np.uint64(0xFFFFFFFF))
+    if only is not None and not hot.any() and len(lines):  # lines that have none of the words are left out at once
+        has = np.zeros(lines[-1] + 1, bool)
+        if len(only):
+            has[lines[only[np.minimum(np.searchsorted(only, codes), len(only) - 1)] == codes]] = True
+        lines, codes = lines[has[lines]], codes[has[lines]]
     lines, codes = _sets(lines, codes)
     if not len(lines):
         return np.zeros(0, INDEX)
@@ -220,7 +227,7 @@ def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.n
     at = lines[begins][owner]
     for name, value in (("word", np.concatenate(words)), ("sid", sid[owner]), ("sig", sig[owner]), ("sig2", sig2[owner]), ("oid", owners[at]), ("line", numbers[at]), ("size", sizes[owner]), ("pos", np.concatenate(places)), ("asks", asking[owner])):
         out[name] = value
-    return out
+    return out if only is None else out[np.isin(out["word"], only)]
 
 
 def _earliest(rows: np.ndarray) -> np.ndarray:
@@ -355,9 +362,7 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
                     asks = np.array([(o, n) in some for o, n in zip(owners.tolist(), numbers.tolist(), strict=True)], np.uint8)
                 else:
                     asks = np.full(len(owners), most is not None, np.uint8)
-                rows = _index_rows(data, owners, numbers, asks, by_rarity, hot, threshold)
-                if only is not None:
-                    rows = rows[np.isin(rows["word"], only.value)]
+                rows = _index_rows(data, owners, numbers, asks, by_rarity, hot, threshold, only.value if only is not None else None)
                 if len(rows):
                     held.append(rows)
                     size += len(rows)
@@ -505,10 +510,10 @@ def deduplicated(docs: DataFrame, row: str = "doc_id", text: str = "text", thres
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     joined = _marked(docs.select(*own), row, text, threshold, hot, first)
     numbers = F.transform("__gone", lambda x: x.line)
-    wordy = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: x.rlike(WORD))
+    wordy = F.coalesce(F.regexp_count(text, F.lit(LINE)), F.lit(0))
     removed = F.coalesce("__gone", F.array().cast("array<struct<line:int,like_oid:bigint,like_line:int>>"))
     kept = [_without(F.col(c), numbers).alias(c) if c == text else F.col(c) for c in own]
-    return joined.select(*kept, F.size(wordy).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
+    return joined.select(*kept, wordy.alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def without_repeats(docs: DataFrame, row: str = "doc_id", text: str = "text", length: str = "n_chars", threshold: float = THRESHOLD) -> DataFrame:
