@@ -21,9 +21,9 @@ EXACT = 2.0**53
 
 
 def quantised(table: DataFrame, row: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(row, vector) with components floor(scale * x) as longs. Null vectors, empty vectors and vectors with null or non-finite components are left out."""
+    """(row, vector) with components floor(scale * x) as longs. Null vectors, null ids and vectors with null or non-finite components are left out."""
     x = F.col(vector).cast("array<double>")
-    fine = F.col(vector).isNotNull() & F.col(row).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.col(vector).isNotNull() & F.col(row).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return table.where(fine).select(F.col(row).alias("row"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v).cast("long")).alias("vector"))
 
 
@@ -95,7 +95,8 @@ class Lists:
 
 
 def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
-    return vectors.combine_chunks().flatten().to_numpy().reshape(rows, -1) if rows else np.zeros((0, 0))
+    flat = vectors.combine_chunks().flatten().to_numpy()
+    return flat.reshape(rows, len(flat) // rows) if rows else np.zeros((0, 0))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
@@ -127,7 +128,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             return schema.empty_table()
         q, c = _matrix(asked["vector"], asked.num_rows), _matrix(held["vector"], held.num_rows)
         # the largest product a component can give, times the number of components
-        exact = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < EXACT
+        exact = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < EXACT
         ids, marks, lists, parts = asked["row"].to_numpy(), asked["mark"].to_numpy(), Lists(held["row"].to_numpy(), c), []
         for i in range(0, len(ids), TOGETHER):
             at, found, score = lists.best(ids[i : i + TOGETHER], q[i : i + TOGETHER], k, exact)

@@ -23,7 +23,8 @@ LEAST_WORDS, MOST_WORDS = 10, 40
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8)
 SLOTS = 1 << 20
 START_BIAS = -6.0
-# A slot is used if so many sampled documents have it; it starts at its log odds above START_ODDS, up to START_MOST.
+# A slot is used if so many sampled documents have it, fewer if fewer than ten times as many are toxic, but two at least; it
+# starts at its log odds above START_ODDS, up to START_MOST.
 LEAST_DOCUMENTS, START_ODDS, START_MOST = 5, 1.5, 5.0
 
 
@@ -99,7 +100,7 @@ def slot_counts(texts: list[str], toxic: np.ndarray) -> np.ndarray:
 
 def start_weights(counts: np.ndarray, clean: int, toxic: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights to start from, and which slots are used at all: rare ones would only fit single documents."""
-    used = counts.sum(axis=0) >= LEAST_DOCUMENTS
+    used = counts.sum(axis=0) >= min(LEAST_DOCUMENTS, max(2, toxic // 10))
     odds = np.log((counts[1] + 0.5) / (toxic + 1)) - np.log((counts[0] + 0.5) / (clean + 1))
     return np.where(used, np.clip(odds - START_ODDS, 0, START_MOST), 0), used
 

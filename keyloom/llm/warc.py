@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import few, keep, shared_folder, text_batches
+from keyloom.llm.common import few, keep, row_key, shared_folder, text_batches
 
 # Fixed values of the archive format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -118,7 +118,7 @@ def planned(pages: DataFrame, row: str = "page_id", url: str = "url", html: str
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     keyed = pages.select(F.col(row).cast("long").alias("row"), F.col(url).alias("url"), payload.alias("html"))
-    keyed = keyed.withColumns({"sha": F.sha1("html"), "mark": F.lower(F.hex(F.xxhash64("row", "url", "html")))})
+    keyed = keyed.withColumns({"sha": F.sha1("html"), "mark": F.lower(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in row_key("row", "url", "html")]))})
     light = keyed.where(F.octet_length("html") >= least_bytes).select("row", "mark", "sha")
     first = light.groupBy("sha").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count_if(F.col("row").isNull()).alias("nulls"))
     shared = first.where("first is not null and (first <> last or nulls > 0)").select("sha", "first")

@@ -503,8 +503,11 @@ def test_proximity_matches_look_at_all_words(spark, frame, slop):
     docs = frame([(str(k), " ".join(t)) for k, t in enumerate(texts)], "k string, text string")
     wanted, _ = decontamination.windows(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
     found = {r["k"] for r in decontamination.occurrences(docs, ["k"], "text", wanted, slop=slop).collect()}
+    counts = Counter(w for t in texts for w in t)
+    rarest = min(set(item), key=lambda w: (counts[w], w))
     for k, t in enumerate(texts):
-        close = any(all(word in t[max(0, b + o - slop) : max(0, b + o + slop + 1)] for o, word in enumerate(item)) for b in range(-slop, len(t)))
+        begins = [p - item.index(rarest) for p, w in enumerate(t) if w == rarest]
+        close = any(all(word in t[max(0, b + o - slop) : max(0, b + o + slop + 1)] for o, word in enumerate(item)) for b in begins)
         assert (str(k) in found) == close, t
     assert "2" not in found and "3" not in found and "0" in found
 
@@ -539,7 +542,7 @@ def test_top_k_equals_brute_force(spark, frame, monkeypatch, high):
     monkeypatch.setattr(topk, "TOGETHER", 3)
     monkeypatch.setattr(topk, "FIRST_DEPTH", 2)
     rng = np.random.default_rng(high)
-    rows = [(i, rng.integers(-high, high, 6).tolist()) for i in range(200)] + [(300 + i, rng.integers(-high, high, 3).tolist()) for i in range(5)]
+    rows = [(i, rng.integers(-high, high, 6).tolist()) for i in range(200)] + [(300 + i, rng.integers(-high, high, 3).tolist()) for i in range(5)] + [(400 + i, []) for i in range(15)]
     vectors = frame(rows, "row long, vector array<long>")
     queries = [r for r in rows if r[0] % 10 == 0]
     got = {tuple(r) for r in topk.top_k(vectors, vectors.where("row % 10 = 0"), 6).collect()}
