@@ -32,7 +32,7 @@ LOCAL, TOTAL, LISTED = 4, 16, 1 << 18
 # Sets that one task compares under a key with each other; half the pairs of different classes per set beyond which a token is frequent.
 GROUP = 2048
 # Sets under a key that are paired without a look at their parities; keys of more are marked when sets meet.
-LARGE = 16
+LARGE = 32
 # Tokens of a combination at most; what still meets too often is compared in blocks.
 MOST_TOKENS = 3
 # Random orders of sets, which give a set so many pivots or fewer.
@@ -364,7 +364,8 @@ def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int, signs: bool
     if signs:
         asked = few(keep(rows.select("sid").distinct(), "asked"))
         odd = sets.select("sid", "odd").join(asked, "sid", "left_semi")
-        rows = rows.join(odd.mapInArrow(fold, "sid long, " + ", ".join(f"p{i} long" for i in range(width))), "sid")
+        odd = keep(odd.mapInArrow(fold, "sid long, " + ", ".join(f"p{i} long" for i in range(width))), "folded")
+        rows = rows.join(few(odd, 150_000), "sid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
