@@ -152,6 +152,63 @@ def table_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.table_fingerprint(table(spark, sf, "documents"), ["doc_id", "lang", "source", "text"])
 
 
+def buckets_sql(source: str, columns: list[str], name: str) -> list[str]:
+    cells = " || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'n')" for c in columns)
+    sums = ", ".join(f"sum({word('d', w)})::VARCHAR AS w{w}" for w in range(4))
+    return [
+        f"{name}_sums AS (SELECT substr(d, 1, 2) AS bucket, count(*) AS rows, {sums} FROM (SELECT md5({cells}) AS d FROM {source}) GROUP BY bucket)",
+        f"{name} AS (SELECT bucket, rows, sha256(concat_ws('|', bucket, rows, w0, w1, w2, w3)) AS digest FROM {name}_sums)",
+    ]
+
+
+ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus"]
+
+
+@query(with_(buckets_sql("orders", ORDER_COLUMNS, "b"), "SELECT sum(rows)::BIGINT AS rows, sha256(string_agg(bucket || ':' || digest, '|' ORDER BY bucket)) AS fingerprint FROM b"))
+def tree_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    """Root of the hash tree of a table."""
+    return sinks.root_digest(sinks.bucket_digests(table(spark, sf, "orders"), ORDER_COLUMNS))
+
+
+@query(with_([
+    "changed AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey = (SELECT min(o_orderkey) FROM orders) THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders)",
+    *buckets_sql("orders", ORDER_COLUMNS, "a"), *buckets_sql("changed", ORDER_COLUMNS, "b")], """
+SELECT bucket, coalesce(a.rows, 0) AS rows_before, coalesce(b.rows, 0) AS rows_after FROM a FULL JOIN b USING (bucket)
+WHERE a.digest IS DISTINCT FROM b.digest"""))
+def changed_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """One changed row is found in the bucket it left and the bucket it came to."""
+    orders = table(spark, sf, "orders").select(*ORDER_COLUMNS)
+    first = orders.agg(F.min("o_orderkey")).scalar()
+    changed = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == first, "X").otherwise(F.col("o_orderstatus")))
+    return sinks.changed_buckets(sinks.bucket_digests(orders, ORDER_COLUMNS), sinks.bucket_digests(changed, ORDER_COLUMNS))
+
+
+@query("""SELECT 'part-' || substr(md5((doc_id % 7)::VARCHAR), 1, 6) AS name, sum(strlen(text) + 1)::BIGINT AS bytes,
+       sha256(string_agg(text, chr(10) ORDER BY doc_id) || chr(10)) AS sha256 FROM documents WHERE position(chr(13) IN text) = 0 GROUP BY doc_id % 7""")
+def file_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written to seven files, one after the other by id, and the files' bytes hashed again."""
+    folder = f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4().hex}"
+    name = F.concat(F.lit("part-"), F.substring(F.md5((F.col("doc_id") % 7).cast("string")), 1, 6))
+    texts = table(spark, sf, "documents").where(~F.contains("text", F.lit("\r"))).withColumn("name", name)
+    texts.repartition(7, "name").sortWithinPartitions("name", "doc_id").select("name", F.col("text").alias("value")).write.partitionBy("name").text(folder)
+    digests = sinks.file_digests(spark, folder, "part-*")
+    return digests.select(F.regexp_extract("file", "name=([^/]+)/", 1).alias("name"), "bytes", "sha256")
+
+
+@query("SELECT o_custkey AS key, count(*) AS orders, any_value(c_mktsegment) AS segment FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey")
+def bucketed_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Two tables bucketed by customer: neither the join nor the grouping moves a row."""
+    mark = uuid.uuid4().hex
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("key"))
+    customers = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    left, right = (
+        sinks.write_bucketed_once(df, f"{name}_{mark}", "key", 8, f"{ensure_checkpoint_dir(spark)}/{name}-{mark}")
+        for df, name in ((orders, "orders"), (customers, "customers"))
+    )
+    joined = left.hint("merge").join(right, "key")
+    return joined.groupBy("key").agg(F.count(F.lit(1)).alias("orders"), F.any_value("segment").alias("segment"))
+
+
 @query("SELECT 'train' AS split, p_size - 1 AS label, count(*) AS n FROM part GROUP BY p_size")
 def load_labelled_text(spark: SparkSession, sf: str) -> DataFrame:
     loaded = labelled.load_labelled_text(spark, {"train": f"{sf}/part.parquet"}, "p_name", "p_size", offset=1)

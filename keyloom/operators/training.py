@@ -23,6 +23,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,6 +36,8 @@ from keyloom.session import cut_lineage, ship_with_tasks
 ship_with_tasks(sys.modules[__name__])
 
 BIAS = -1
+# Features of a pooled model whose weights are sent to all tasks, and come back as one gradient.
+MOST_WEIGHTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -422,6 +425,83 @@ def fit_in_order(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
+def packed_documents(rows: DataFrame) -> DataFrame:
+    """One row per document, (key, doc, label, idx, value, ..) with its features as arrays, dealt out by document and written once."""
+    extra = [c for c in rows.columns if c not in ("key", "doc", "label", "idx", "value")]
+    cells = F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value")))  # of one document
+    packed = rows.groupBy("key", "doc").agg(F.first("label").cast("int").alias("label"), cells.alias("cells"), *[F.first(c).alias(c) for c in extra])
+    return cut_lineage(packed.select("key", "doc", "label", F.col("cells.idx").alias("idx"), F.col("cells.value").alias("value"), *extra))
+
+
+def fit_blocks(packed: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
+    """Full-batch steps of the one key of ``packed``; same result as :func:`fit_stepwise`.
+
+    Weights go to all tasks. A task adds up the gradient of its documents and sends one row per feature that they use, so a
+    step reads the features once and shuffles partial gradients only. For models of ``MOST_WEIGHTS`` features at most.
+    """
+    classes, steps = fit.classes, max(1, int(round(fit.epochs)))
+    spark = packed.sparkSession
+    begin = start.orderBy("idx").toPandas()  # MOST_WEIGHTS rows at most
+    idx = begin["idx"].to_numpy(np.int64)
+    first, variate, own = (begin[_columns(p, classes)].to_numpy(np.float64) for p in "wgl")
+    weights, speed, loss_sum, n = first.copy(), np.zeros_like(first), 0.0, 0
+    offsets = "offset" in packed.columns
+    sums = ", ".join(f"p_{c} double" for c in range(classes))
+
+    def gradients(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            idx, weights = shared.value
+            pull, loss, members = np.zeros_like(weights), 0.0, 0
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                lists = batch.column("idx")
+                doc = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False))
+                at = np.searchsorted(idx, lists.flatten().to_numpy(zero_copy_only=False))
+                value = batch.column("value").flatten().to_numpy(zero_copy_only=False)
+                label = batch.column("label").to_numpy(zero_copy_only=False)
+                contribution = value[:, None] * weights[at]
+                logits = np.stack([np.bincount(doc, contribution[:, c], n) for c in range(classes)], axis=1)
+                if offsets:
+                    logits += batch.column("offset").flatten().to_numpy(zero_copy_only=False).reshape(n, classes)
+                logits -= logits.max(axis=1, keepdims=True)
+                share = np.exp(logits)
+                share /= share.sum(axis=1, keepdims=True)
+                loss -= float(np.log(share[np.arange(n), label]).sum())
+                share[np.arange(n), label] -= 1.0
+                moved = value[:, None] * share[doc]
+                for c in range(classes):
+                    pull[:, c] += np.bincount(at, moved[:, c], len(idx))
+                members += n
+            used = np.flatnonzero(pull.any(axis=1))
+            place = np.append(used, -1)  # the last row has the loss and the number of documents
+            last = (loss, float(members))
+            columns = [np.append(pull[used, c], last[c] if c < 2 else 0.0) for c in range(classes)]
+            yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *map(pa.array, columns)], ["place", *(f"p_{c}" for c in range(classes))])
+
+        return packed.mapInArrow(run, f"place long, {sums}")
+
+    for _ in range(steps):
+        shared = spark.sparkContext.broadcast((idx, weights))
+        added = gradients(shared).groupBy("place").agg(*[F.sum(f"p_{c}").alias(f"p_{c}") for c in range(classes)]).toPandas()
+        shared.unpersist()
+        counted = added["place"] < 0
+        loss_sum += float(added.loc[counted, "p_0"].sum())
+        n = round(float(added.loc[counted, "p_1"].sum()))
+        pull = np.zeros_like(weights)
+        pull[added.loc[~counted, "place"].to_numpy()] = added.loc[~counted, _columns("p", classes)].to_numpy()
+        gradient = pull / max(n, 1) + fit.mu * (weights - first) + variate - own + fit.weight_decay * weights
+        speed = fit.momentum * speed + gradient
+        weights = weights - fit.lr * speed
+    keep, drift = _untouched(steps, fit)
+    out = pd.DataFrame({"key": begin["key"], "idx": idx.astype(np.int32), "n": n, "steps": steps, "train_loss": loss_sum / max(n * steps, 1), "keep": keep, "drift": drift})
+    for c in range(classes):
+        out[f"d_{c}"] = weights[:, c] - (keep * first[:, c] - drift * variate[:, c])
+        out[f"w_{c}"] = weights[:, c]
+    return spark.createDataFrame(out, _result_schema(packed, classes))
+
+
 def train_per_key(rows: DataFrame, start: DataFrame, fit: Fit) -> DataFrame:
     """Trains every key from its start weights.
 
@@ -448,13 +528,22 @@ def per_key_stats(trained: DataFrame) -> DataFrame:
 def train_pooled(
     documents: DataFrame, features: DataFrame, doc: str, label: str, fit: Fit, epochs: int, lr_decay: float = 1.0
 ) -> tuple[DataFrame, DataFrame]:
-    """One model on all rows: its parameter table and one history row per epoch."""
+    """One model on all rows: its parameter table and one history row per epoch.
+
+    Features stay where they are, packed by document; see :func:`fit_blocks`. A model of more than ``MOST_WEIGHTS`` features
+    is trained by :func:`fit_stepwise`.
+    """
     pooled = documents.withColumn("__all", F.lit(0))
-    rows = cut_lineage(training_rows(pooled, features, doc, "__all", label))
+    rows = training_rows(pooled, features, doc, "__all", label)
+    packed = packed_documents(rows)
+    used = cut_lineage(packed.select("key", F.explode("idx").alias("idx")).distinct().withColumn("idx", F.col("idx").cast("int")))
+    blocks = fit.classes >= 2 and 0 < used.count() <= MOST_WEIGHTS
+    rows = used if blocks else cut_lineage(rows)
     weights, history = None, None
     for epoch in range(1, epochs + 1):
         now = replace(fit, epochs=1.0, lr=fit.lr * lr_decay ** (epoch - 1), seed=f"{fit.seed}|{epoch}")
-        trained = cut_lineage(fit_stepwise(rows, start_table(rows, weights, fit.classes), now))
+        start = start_table(rows, weights, fit.classes)
+        trained = cut_lineage(fit_blocks(packed, start, now) if blocks else fit_stepwise(rows, start, now))
         weights = trained.select("idx", *_columns("w", fit.classes))
         row = per_key_stats(trained).select(F.lit(epoch).alias("round"), F.lit(now.lr).alias("lr"), "train_loss", "steps")
         history = row if history is None else history.unionByName(row)

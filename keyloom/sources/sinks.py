@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,49 @@ def table_fingerprint(df: DataFrame, cols: Sequence[str] | None = None) -> DataF
     return sums.select("rows", F.sha2(F.concat_ws("|", "rows", "w0", "w1", "w2", "w3"), 256).alias("fingerprint"))
 
 
+def _digest_of_sums(*columns: str) -> Column:
+    """Digest of a number of rows and the sums of their digests' words."""
+    return F.sha2(F.concat_ws("|", *columns, "w0", "w1", "w2", "w3"), 256)
+
+
+def bucket_digests(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
+    """``(bucket, rows, digest)``: leaves of a hash tree. A row's bucket is how its digest begins (``digits`` hex digits).
+
+    Digests do not depend on the order of rows or their partitions; one row per bucket and task is exchanged.
+    """
+    digests = df.select(row_digest(list(cols or df.columns)).alias("d"))
+    sums = digests.groupBy(F.substring("d", 1, digits).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.sum(hash_word(F.col("d"), w).cast("decimal(38,0)")).cast("string").alias(f"w{w}") for w in range(4)],
+    )
+    return sums.select("bucket", "rows", _digest_of_sums("bucket", "rows").alias("digest"))
+
+
+def root_digest(buckets: DataFrame) -> DataFrame:
+    """``(rows, fingerprint)`` of the tree over :func:`bucket_digests`: buckets in order, a fixed number at most."""
+    leaves = F.array_sort(F.collect_list(F.struct("bucket", "digest")))
+    return buckets.agg(
+        F.coalesce(F.sum("rows"), F.lit(0).cast("long")).alias("rows"),
+        F.sha2(F.concat_ws("|", F.transform(leaves, lambda x: F.concat(x["bucket"], F.lit(":"), x["digest"]))), 256).alias("fingerprint"),
+    )
+
+
+def changed_buckets(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(bucket, rows_before, rows_after)`` of the buckets in which two tables differ; which rows did is found inside these."""
+    both = before.select("bucket", F.col("rows").alias("rows_before"), F.col("digest").alias("was")).join(
+        after.select("bucket", F.col("rows").alias("rows_after"), F.col("digest").alias("is")), "bucket", "full"
+    )
+    differ = both.where(~F.col("was").eqNullSafe(F.col("is")))
+    return differ.select("bucket", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("rows_before", "rows_after")])
+
+
+def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``(file, bytes, sha256)`` of every file below ``path``, hashed byte by byte in the tasks. Empty
+    files are not listed. Files of 2 GB at most: larger sources have :func:`table_fingerprint` over their lines."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
 def _file_system(df: DataFrame, path: str):
     spark = df.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,11 +113,13 @@ def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = (), sourc
     return spark.read.parquet(path)
 
 
-def write_bucketed_once(df: DataFrame, table: str, key: str, buckets: int) -> DataFrame:
-    """Materialises ``df`` as a table bucketed by key, so that later joins on the key need no shuffle."""
+def write_bucketed_once(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> DataFrame:
+    """Materialises ``df`` as a table bucketed by key, so that later joins on the key need no shuffle. Its files lie in
+    ``path``, if given, else in the warehouse."""
     spark = df.sparkSession
     if not spark.catalog.tableExists(table):
-        df.write.mode("errorifexists").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        writer = df.repartition(buckets, key).write.mode("errorifexists").bucketBy(buckets, key).sortBy(key)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
     return spark.table(table)
 
 

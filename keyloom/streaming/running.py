@@ -49,8 +49,11 @@ class RunLog:
         return whole.groupBy(*self.keys).agg(*[F.sum(v).cast(kinds[v]).alias(v) for v in self.values])
 
     def add(self, sums: DataFrame, number: int) -> None:
-        """Writes the sums of batch ``number`` and what it completes. A batch that is there is not computed again."""
-        if not self.complete(0, number):
+        """Writes the sums of batch ``number`` and what it completes. A batch that is there, alone or merged, is not computed again."""
+        covered = [level for level in range(self.levels()) if self.complete(level, number // self.fan**level)]
+        if any(covered):
+            return
+        if not covered:
             write_once(sums.select(*self.keys, *self.values), self._path(0, number))
         level, index = 0, number
         while (index + 1) % self.fan == 0:
@@ -61,17 +64,23 @@ class RunLog:
                     raise RuntimeError(f"{self.folder}: batches up to {number} are not all there")
                 write_once(self.merged([self._read(*run) for run in below]), self._path(level, index))
 
+    def levels(self) -> int:
+        """How many levels the log has; a logarithm of the number of batches."""
+        level = 0
+        while self.files.exists(self._hadoop(f"{self.folder}/level={level}")):
+            level += 1
+        return level
+
     def runs(self) -> list[tuple[int, int]]:
         """The fewest complete runs that cover all batches from the first to the last without a gap."""
-        found, start = [], 0
+        found, start, levels = [], 0, self.levels()
         while True:
-            level, size = 0, 1
-            while start % (size * self.fan) == 0 and self.complete(level + 1, start // (size * self.fan)):
-                level, size = level + 1, size * self.fan
-            if not self.complete(level, start // size):
+            fitting = (k for k in range(levels - 1, -1, -1) if start % self.fan**k == 0 and self.complete(k, start // self.fan**k))
+            level = next(fitting, None)
+            if level is None:
                 return found
-            found.append((level, start // size))
-            start += size
+            found.append((level, start // self.fan**level))
+            start += self.fan**level
 
     def table(self) -> DataFrame | None:
         """All sums so far; None if there is no batch."""

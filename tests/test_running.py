@@ -45,6 +45,8 @@ def test_runs_are_merged_and_replays_change_nothing(spark, tmp_path):
     assert spark.read.parquet(log._path(0, 10)).count() == len(total(batches(11)[10]))  # a batch writes its own keys
     gone = log.vacuum()
     assert len(gone) == 9 + 3 and stored(log) == want and log.vacuum() == []
+    log.add(frames[3], 3)  # a replay of a batch that is merged, and whose own run is gone
+    assert stored(log) == want and log.runs() == [(2, 0), (0, 9), (0, 10)]
     again = RunLog(spark, str(tmp_path / "log"), ["key"], ["a", "b"], fan=3)
     again.add(frames[0], 11)
     assert again.runs() == [(2, 0), (1, 3)]

@@ -126,6 +126,21 @@ def test_pooled_step(data):
     assert history.first().train_loss == pytest.approx(np.log(C))
 
 
+@pytest.mark.parametrize("most", [0, 1000])
+@pytest.mark.parametrize("fit", [Fit(C, 0.5), Fit(C, 0.3, momentum=0.9, weight_decay=0.05, mu=0.2)])
+def test_pooled_blocks_equal_steps(data, monkeypatch, fit, most):
+    """Both forms of pooled training, over two epochs with a decaying rate."""
+    monkeypatch.setattr(training, "MOST_WEIGHTS", most)
+    x, y, _, documents, features = data
+    pooled, history = training.train_pooled(documents, features, "doc", "label", fit, 2, 0.5)
+    w = np.zeros((C, D + 1))
+    for epoch, lr in ((1, fit.lr), (2, fit.lr * 0.5)):
+        w, steps, loss = brute_fit(x, y, list(range(len(y))), w, Fit(C, lr, momentum=fit.momentum, weight_decay=fit.weight_decay, mu=fit.mu))
+        row = history.where(F.col("round") == epoch).first()
+        assert row.train_loss == pytest.approx(loss) and row.steps == steps and row.lr == pytest.approx(lr)
+    assert np.allclose(dense_long(pooled), w)
+
+
 def test_prior_offsets(data, frame_module):
     x, y, key, documents, features = data
     counts = np.array([np.bincount(y[key == k], minlength=C) + 1.0 for k in range(len(SIZES))])
