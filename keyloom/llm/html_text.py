@@ -62,6 +62,8 @@ ENDS_PARAGRAPH = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
     "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", *HEADINGS,
 }
+# Characters that an article has at least.
+ARTICLE = 200
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -163,10 +165,9 @@ class _Lines(HTMLParser):
                 self.held.append(" ")
             if tag in VOID or not attrs:
                 return
-            hides, clutter = _is_hidden(attrs), _is_clutter(tag, attrs)
-            if hides or clutter:  # other inline elements need no place: they neither hide nor part text
+            if _is_hidden(attrs) or _is_clutter(tag, attrs):  # other inline elements need no place: they neither hide nor part text
                 self.flush()
-                self.push(tag, hides, clutter)
+                self.push(tag, True)
             return
         if tag in FORMULA:
             return
@@ -224,7 +225,8 @@ class _Lines(HTMLParser):
             self.held.append(data)
 
     def shown(self) -> list[tuple[str, int, int, int]]:
-        """Lines outside of clutter: text, tags, nearest section, marked region. What holds more than half of the page's text is no clutter."""
+        """Lines outside of clutter: text, tags, nearest section, marked region. What holds more than half of the page's text, and
+        ``ARTICLE`` characters, is no clutter."""
         own = [0] * len(self.clutter_in)
         for text, _, _, _, clutter in self.lines:
             own[clutter] += len(text)
@@ -232,7 +234,7 @@ class _Lines(HTMLParser):
         for k in range(len(own) - 1, 0, -1):  # what is inside opened later
             own[self.clutter_in[k]] += own[k]
         for k in range(1, len(own)):
-            away[k] = away[self.clutter_in[k]] or 2 * own[k] <= total
+            away[k] = away[self.clutter_in[k]] or 2 * own[k] <= total or own[k] < ARTICLE
         return [line[:4] for line in self.lines if not away[line[4]]]
 
 
