@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,37 @@ def test_missing_cells_count_as_zero(frame_module):
     clients = frame_module([(1, 1), (2, 2)], "client int, n long")
     assert {r.idx: r.value for r in params.weighted_average(updates, clients).collect()} == {0: 1.0, 1: 4.0}
     assert {r.idx: r.value for r in params.simple_average(updates, clients).collect()} == {0: 1.5, 1: 3.0}
+
+
+def test_work_of_mini_batches_grows_with_rows_not_with_steps_times_features(monkeypatch):
+    rng = np.random.default_rng(3)
+    docs, features = 400, 3000
+    rows = pd.DataFrame({"doc": np.repeat(np.arange(docs), 6), "idx": np.tile([-1, 0, 0, 0, 0, 0], docs)})
+    rows.loc[rows["idx"] == 0, "idx"] = (np.arange(docs * 5) * 7) % features
+    rows["value"], rows["label"], rows["key"] = rng.normal(size=len(rows)), rows["doc"] % 2, "k"
+    start = pd.DataFrame({"key": "k", "idx": np.unique(rows["idx"])})
+    for name in ("w_0", "w_1", "g_0", "g_1", "l_0", "l_1"):
+        start[name] = rng.normal(size=len(start))
+    counted, made = np.bincount, []
+
+    def bincount(*args):
+        made.append(len(counted(*args)))
+        return counted(*args)
+
+    monkeypatch.setattr(training.np, "bincount", bincount)
+    fit = training.Fit(2, 0.1, epochs=1.5, batch_size=2, momentum=0.9, weight_decay=0.01, mu=0.1, seed=1)
+    got = training._fit_group(rows, start, fit).set_index("idx")
+    assert sum(made) <= 8 * len(rows)
+    # the same steps, every parameter moved in each
+    monkeypatch.undo()
+    w, g, own = (start.set_index("idx")[[f"{p}_0", f"{p}_1"]].to_numpy() for p in "wgl")
+    first, speed, at = w.copy(), np.zeros_like(w), np.searchsorted(start["idx"], rows["idx"])
+    x = np.zeros((docs, len(start)))
+    np.add.at(x, (rows["doc"], at), rows["value"])
+    for step in range(300):
+        batch = training._pass_order(list(range(docs)), 1, step // 200)[step % 200 * 2:][:2]
+        odds = np.exp(x[batch] @ w)
+        residual = odds / odds.sum(axis=1, keepdims=True) - np.eye(2)[batch % 2]
+        speed = 0.9 * speed + x[batch].T @ residual / 2 + 0.1 * (w - first) + g - own + 0.01 * w
+        w = w - 0.1 * speed
+    assert np.allclose(got.loc[start["idx"], ["w_0", "w_1"]], w)
