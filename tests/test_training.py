@@ -269,3 +269,17 @@ def test_work_of_mini_batches_grows_with_rows_not_with_steps_times_features(monk
         speed = 0.9 * speed + x[batch].T @ residual / 2 + 0.1 * (w - first) + g - own + 0.01 * w
         w = w - 0.1 * speed
     assert np.allclose(got.loc[start["idx"], ["w_0", "w_1"]], w)
+
+
+def test_pooled_rows_are_dealt_out_once_for_all_epochs(data, monkeypatch):
+    x, y, _, documents, features = data
+    dealt, parted = [], training._parted
+    monkeypatch.setattr(training, "MOST_WEIGHTS", 0)
+    monkeypatch.setattr(training, "_parted", lambda rows: dealt.append(1) or parted(rows))
+    monkeypatch.setattr(training, "packed_documents", lambda rows: pytest.fail("packed, but trained in steps"))
+    pooled, _ = training.train_pooled(documents, features, "doc", "label", Fit(C, 0.5), 2)
+    assert len(dealt) == 1
+    w = np.zeros((C, D + 1))
+    for _ in range(2):
+        w = brute_fit(x, y, list(range(len(y))), w, Fit(C, 0.5))[0]
+    assert np.allclose(dense_long(pooled), w)
