@@ -7,6 +7,8 @@ so each set is first compared with one set only, the one that it meets most ofte
 linked that way form classes, and a token matters only if different classes meet under it. Of those, a token that too many
 sets of different classes share is frequent: there sets meet under pairs of it and a later token of the 2-prefix, then under
 triples. What meets in different classes, and is not ruled out by sizes, places and parity bits, is verified on whole sets.
+Where a set has many such candidates under a key, its closest ones are verified first: what they link becomes one class, so that
+a large group of near copies is not paired all with all. What is still in different classes then follows, up to the last pair.
 """
 
 from __future__ import annotations
@@ -43,6 +45,9 @@ PIVOT_ROWS, STAR = 100_000, 256
 LEAST_BITS, BITS_PER_TOKEN = 512, 4
 # Candidates that a task collects before it sends them.
 PAIRS = 100_000
+# Closest candidates of a set under a key that are verified before its others; so many times more in each next round.
+CLOSEST = 4
+MORE = 8
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -350,8 +355,22 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return placed.join(sides, ["key", "block"]).select("key", "x", "y", "side", "sid", "n", "last", "group")
 
 
-def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int, signs: bool = True) -> DataFrame:
-    """(a, b) of different groups that meet in (key, x, y) and that sizes, places and, with ``signs``, folded parities do not rule out."""
+def _closest(found: np.ndarray, most: int) -> np.ndarray:
+    """Rows (a, b, differ, ..) that are among the ``most`` of least difference for a or for b."""
+    stays = np.zeros(len(found), bool)
+    for one, other in ((0, 1), (1, 0)):
+        order = np.lexsort((found[:, other], found[:, 2], found[:, one]))
+        mine = found[order, one]
+        stays[order[np.arange(len(mine)) - np.searchsorted(mine, mine) < most]] = True
+    return stays
+
+
+def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int, signs: bool = True, most: int | None = None) -> DataFrame:
+    """(a, b) of different groups that meet in (key, x, y) and that sizes, places and, with ``signs``, folded parities do not rule out.
+
+    With ``most``, a pair stays only if it is among the closest of one of its sets in (key, x, y); a row (key, null) names each
+    key under which pairs were left out.
+    """
     width = LEAST_BITS // 64 if signs else 0
     columns = ["key", "x", "y", "side", "sid", "n", "last", "group", *(f"p{i}" for i in range(width))]
 
@@ -370,10 +389,21 @@ def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int, signs: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         out: list[np.ndarray] = []
+        left: list[np.ndarray] = []
 
         def pairs(key, x, y, side, sid, n, last, group, *p):
             place = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
             at, d = np.arange(len(key)), 0
+            close: list[np.ndarray] = []  # rows of this call by place: a row is one set in one (key, x, y)
+            waiting = 0
+
+            def thin() -> int:
+                found = np.concatenate(close)
+                stays = _closest(found, most)
+                left.append(np.unique(key[found[~stays, 0]]))
+                close[:] = [found[stays]]
+                return len(close[0])
+
             while len(at):  # rows of a place stand in order of size: once a row's partner is too large, so are all after it
                 d += 1
                 at = at[at + d < len(key)]
@@ -384,19 +414,35 @@ def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int, signs: bool
                 both = n[a] + n[b]
                 good = k + np.minimum(n[a] - 1 - last[a], n[b] - 1 - last[b]) >= rule.shared(both)
                 a, b, both = a[good], b[good], both[good]
+                differ = np.zeros(len(a), np.int64)
                 if p:
                     differ = sum(np.bitwise_count(q[a].view(np.uint64) ^ q[b].view(np.uint64)).astype(np.int64) for q in p)
                     good = differ <= both - 2 * rule.shared(both)
-                    a, b = a[good], b[good]
-                if len(a):
+                    a, b, differ = a[good], b[good], differ[good]
+                if not len(a):
+                    continue
+                if most is None:
                     u, v = sid[a], sid[b]
                     out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
+                    continue
+                close.append(np.stack([a, b, differ], axis=1))
+                if sum(map(len, close)) > max(PAIRS, 2 * waiting):
+                    waiting = thin()
+            if close:
+                thin()
+                a, b = close[0][:, 0], close[0][:, 1]
+                u, v = sid[a], sid[b]
+                out.append(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1))
 
         def sent(least: int) -> Iterator[pa.RecordBatch]:
             if sum(map(len, out)) > least:
                 both = np.unique(np.concatenate(out), axis=0)
                 out.clear()
                 yield _batch(["a", "b"], [both[:, 0].copy(), both[:, 1].copy()])
+            if sum(map(len, left)):
+                keys = np.unique(np.concatenate(left))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64())], ["a", "b"])
+            left.clear()
 
         for batch in batches:
             if not batch.num_rows:
@@ -417,29 +463,50 @@ def _crossing(rows: DataFrame, sets: DataFrame, rule: Rule, k: int, signs: bool
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def crossing_pairs(met: DataFrame, groups: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): all candidates of different groups, by single tokens, by combinations of frequent ones, then in blocks."""
+def _settled(rows: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule, k: int, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(candidates not verified yet, links): those of :func:`_crossing`, the closest of each set first.
+
+    Under keys where others were left out, what was found is verified, sets that links connect become one group, and the sets
+    of such keys meet again with more room. No key is given up before it has no pair of different groups left out.
+    """
+    most = CLOSEST
+    while True:
+        found = keep(_crossing(rows, sets, rule, k, most=most), "crossing")
+        pairs, open_keys = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("key")).distinct()
+        if open_keys.isEmpty():
+            return pairs, links
+        links = keep(links.union(verify(pairs)), "links")
+        rows = rows.join(few(open_keys), "key", "left_semi").drop("group").join(few(_classes(sets, links)), "sid")
+        rows, most = keep(rows, "open"), most * MORE
+
+
+def crossing_pairs(met: DataFrame, links: DataFrame, sets: DataFrame, rule: Rule, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(candidates, links): all candidates of different groups, by single tokens, by combinations of frequent ones, then in
+    blocks; or, of sets with many candidates, what ``verify`` has added to ``links``."""
+    groups = _close_by(links)
     large = few(met.where("sid < 0").select("key").distinct())
     rows = met.where("sid >= 0").select("key", "sid", "n", "last").join(few(groups), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
     whole = {"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long"), "side": F.lit(2)}
     found = [keep(_crossing(rows.join(large, "key", "left_anti").withColumns(whole), sets, rule, 1, signs=False), "crossing")]
     rows = _mixed(rows.join(large, "key", "left_semi"))
     for k in range(1, MOST_TOKENS + 1):
-        found.append(keep(_crossing(rows.where(F.col("sets") <= GROUP).withColumns(whole), sets, rule, k), "crossing"))
+        pairs, links = _settled(rows.where(F.col("sets") <= GROUP).withColumns(whole), links, sets, rule, k, verify)
+        found.append(pairs)
         many = rows.where(F.col("sets") > GROUP)
         if many.isEmpty():
             break
         often = (F.col("crossing") > 2 * GROUP * F.col("sets")) if k < MOST_TOKENS else F.lit(False)
         blocked = many.where(~often)
         if not blocked.isEmpty():
-            found.append(keep(_crossing(_blocks(blocked), sets, rule, k), "crossing"))
+            pairs, links = _settled(_blocks(blocked), links, sets, rule, k, verify)
+            found.append(pairs)
         combined = many.where(often)
         if combined.isEmpty():
             break
         later = F.slice("prefix", F.col("last").cast("int") + 2, F.greatest(F.lit(0), rule.prefix(F.col("n"), k + 1) - F.col("last") - 1).cast("int"))
         longer = combined.join(sets.select("sid", "prefix"), "sid").select("key", "sid", "n", "last", "group", F.posexplode(later).alias("after", "token"))
         rows = _mixed(longer.select(F.xxhash64("key", "token").alias("key"), "sid", "n", (F.col("last") + 1 + F.col("after")).alias("last"), "group"))
-    return reduce(DataFrame.union, found).distinct()
+    return reduce(DataFrame.union, found).distinct(), links
 
 
 def joined(docs: DataFrame, rule: Rule, row: str, text: str, mark: Callable[[np.ndarray], int] | None = None, hints: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -452,9 +519,12 @@ def joined(docs: DataFrame, rule: Rule, row: str, text: str, mark: Callable[[np.
     sets = distinct_sets(documents)
     met = meetings(sets, rule, listed)
     first = pivot_pairs(met, rule, bool((listed[1] > PIVOT_ROWS).any()))
-    links = verified(first.union(hints(sets)) if hints else first, sets, keyed, "text", rule)
-    more = verified(crossing_pairs(met, _close_by(links), sets, rule), sets, keyed, "text", rule)
-    return documents, sets, _classes(sets, links.union(more))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, sets, keyed, "text", rule)
+
+    pairs, links = crossing_pairs(met, verify(first.union(hints(sets)) if hints else first), sets, rule, verify)
+    return documents, sets, _classes(sets, links.union(verify(pairs)))
 
 
 def near_duplicates(docs: DataFrame, row: str = "doc_id", text: str = "text", rule: Rule = Rule(4, 85)) -> DataFrame:

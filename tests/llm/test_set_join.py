@@ -95,6 +95,32 @@ def test_salted_pivots_lose_nothing(spark, frame, monkeypatch):
     assert got(set_join.near_duplicates(frame(rows, SCHEMA))) == slow_join(rows, Rule(4, 85))
 
 
+def test_near_copies_are_not_compared_all_with_all(spark, frame, monkeypatch):
+    # without pivots: before, all 1770 pairs of the copies were verified
+    monkeypatch.setattr(set_join, "pivot_pairs", lambda met, rule, salted: met.select(F.col("sid").alias("a"), F.col("pivot").alias("b")).where("false"))
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        mine = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            mine[rng.randrange(len(mine))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(mine), "x", "y"))
+    asked, verified = [], set_join.verified
+    monkeypatch.setattr(set_join, "verified", lambda pairs, *rest: asked.append(pairs.distinct().count()) or verified(pairs, *rest))
+    assert got(set_join.near_duplicates(frame(rows, SCHEMA))) == slow_join(rows, Rule(4, 85))
+    assert 0 < sum(asked) < 60 * 59 // 4
+
+
+@pytest.mark.parametrize("closest", [1, 2])
+def test_candidates_left_out_at_first_are_found_later(spark, frame, monkeypatch, closest):
+    for name, value in (("CLOSEST", closest), ("MORE", 2), ("LARGE", 1), ("GROUP", 6), ("PAIRS", 5)):
+        monkeypatch.setattr(set_join, name, value)
+    monkeypatch.setattr(set_join, "pivot_pairs", lambda met, rule, salted: met.select(F.col("sid").alias("a"), F.col("pivot").alias("b")).where("false"))
+    rows = texts(11, 70)
+    assert got(set_join.near_duplicates(frame(rows, SCHEMA))) == slow_join(rows, Rule(4, 85))
+
+
 def test_no_rows_and_no_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert got(set_join.near_duplicates(empty)) == []
