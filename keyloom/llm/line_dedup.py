@@ -37,8 +37,7 @@ MOST_SENT = 1_000_000
 # Pairs that are filtered at once.
 PAIRS = 1 << 18
 INDEX = [("word", np.uint64), ("sid", np.uint64), ("sig", np.uint64), ("sig2", np.uint64), ("oid", np.int64), ("line", np.uint32), ("size", np.uint32), ("pos", np.uint32), ("asks", np.uint8)]
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = bytes(1 if c in (9, 10, 11, 12, 13, 32) else 0 for c in range(256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -70,12 +69,13 @@ def _powers(base: int, n: int) -> np.ndarray:
 def _words(text: bytes, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(line, word hash of 48 bits, or of 64) of all words: polynomials of their bytes, as differences of one running sum."""
     data = np.frombuffer(text, np.uint8)
-    blank = np.ones(len(data) + 2, bool)
-    blank[1:-1] = _SPACE[data]
-    begins = np.flatnonzero(blank[:-1] & ~blank[1:])
-    ends = np.flatnonzero(~blank[:-1] & blank[1:])
+    blank = np.frombuffer(b"\1" + text.translate(_SPACE) + b"\1", np.bool_)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    begins, ends = edges[::2], edges[1::2]
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
+    terms = np.take(_BYTE, data)
+    terms *= _powers(_BASE, len(data))
+    np.cumsum(terms, out=sums[1:])
     inverse = _powers(pow(_BASE, -1, 1 << 64), len(data))
     hashes = _mix((sums[ends] - sums[begins]) * inverse[begins] + (ends - begins).astype(np.uint64))
     hashes = hashes if whole else hashes >> np.uint64(16)
@@ -186,12 +186,17 @@ def _index_rows(data: bytes, owners: np.ndarray, numbers: np.ndarray, asks: np.n
     lines, raw = _words(data)
     rank = np.empty(BUCKETS, np.uint64)
     rank[by_rarity] = np.arange(BUCKETS, dtype=np.uint64)
-    codes = (rank[(raw >> np.uint64(32)).astype(np.int64)] << np.uint64(32)) | (raw & np.uint64(0xFFFFFFFF))
     if only is not None and not hot.any() and len(lines):  # lines that have none of the words are left out at once
+        mine = np.sort((by_rarity[(only >> np.uint64(32)).astype(np.int64)].astype(np.uint64) << np.uint64(32)) | (only & np.uint64(0xFFFFFFFF)))
+        bucket = np.zeros(BUCKETS, bool)
+        bucket[(mine >> np.uint64(32)).astype(np.int64)] = True
+        near = np.flatnonzero(bucket[(raw >> np.uint64(32)).astype(np.int64)])
         has = np.zeros(lines[-1] + 1, bool)
-        if len(only):
-            has[lines[only[np.minimum(np.searchsorted(only, codes), len(only) - 1)] == codes]] = True
-        lines, codes = lines[has[lines]], codes[has[lines]]
+        if len(near):
+            has[lines[near[mine[np.minimum(np.searchsorted(mine, raw[near]), len(mine) - 1)] == raw[near]]]] = True
+        stay = has[lines]
+        lines, raw = lines[stay], raw[stay]
+    codes = (rank[(raw >> np.uint64(32)).astype(np.int64)] << np.uint64(32)) | (raw & np.uint64(0xFFFFFFFF))
     lines, codes = _sets(lines, codes)
     if not len(lines):
         return np.zeros(0, INDEX)
@@ -373,18 +378,31 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
             yield parted()
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_unpack(b, n) for batch in batches for n, b in zip(batch.column("n").to_pylist(), batch.column("rows").to_pylist(), strict=True)]
-        if held:
-            rows = np.concatenate(held)
-            held.clear()
+        """The parts of a task one after another: only one is held, however many the task has."""
+
+        def pairs(rows: np.ndarray) -> pa.RecordBatch:
             rows = _earliest(rows)
             later, earlier, more = _candidates(rows, threshold, most)
             arrays = [rows["oid"][later], rows["line"][later].astype(np.int32), rows["sid"][later].view(np.int64), rows["oid"][earlier], rows["line"][earlier].astype(np.int32), more]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["oid", "line", "sid", "like_oid", "like_line", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["oid", "line", "sid", "like_oid", "like_line", "more"])
+
+        held, part = [], None
+        for batch in batches:
+            for now, n, rows in zip(*(batch.column(c) for c in ("part", "n", "rows")), strict=True):
+                if held and now.as_py() != part:
+                    whole = np.concatenate(held)
+                    held = []
+                    yield pairs(whole)
+                part = now.as_py()
+                held.append(_unpack(rows.as_buffer(), n.as_py()))
+        if held:
+            whole = np.concatenate(held)
+            held = []
+            yield pairs(whole)
 
     sent = docs.mapInArrow(send, "part long, n long, rows binary")
     schema = "oid long, line int, sid long, like_oid long, like_line int, more boolean"
-    found = sent.repartition(parts, "part").mapInArrow(match, schema)
+    found = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, schema)
     pairs = found.groupBy("oid", "line", "sid", "like_oid", "like_line").agg(F.count(F.lit(1)).alias("shared"), F.max("more").alias("more"))
     return keep(pairs, "candidates")
 

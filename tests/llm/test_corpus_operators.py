@@ -280,6 +280,19 @@ def test_many_candidates_in_small_pieces(spark, frame, monkeypatch):
     assert {r["doc_id"]: [x["line"] for x in r["removed"]] for r in out} == want
 
 
+def test_line_dedup_holds_one_part_at_a_time(spark, frame, monkeypatch):
+    # before, a task held all parts that are dealt to it at once
+    candidates, mix = line_dedup._candidates, line_dedup._mix
+
+    def alone(rows, threshold, most):
+        assert len(np.unique(mix(rows["word"]) % np.uint64(8))) == 1
+        return candidates(rows, threshold, most)
+
+    monkeypatch.setattr(line_dedup, "_candidates", alone)
+    rows = [(i, "\n".join(f"w{i} w{i + k} w{2 * i} w{k} w{i * k}" for k in range(20))) for i in range(40)]
+    assert line_dedup.deduplicated(frame(rows, "doc_id long, text string")).count() == 40
+
+
 def test_line_dedup_of_odd_rows(spark, frame):
     rows = [(1, "b a\nx y z"), (1, "A  B\nq r s"), (2, "x y z\n\nx y z"), (3, None), (4, ""), (5, "\n \t\n"), (6, "k " * 300_000), (None, "x y z\nnew line here"), (7, "w\n" * 3000), (7, "w\n" * 3000)]
     docs = frame([(*r, "c") for r in rows], "doc_id long, text string, n_lines string")
