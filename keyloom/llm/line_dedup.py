@@ -23,9 +23,9 @@ LINE = r"[^\x20\x09-\x0D][^\n]*"
 THRESHOLD = 0.8
 BUCKETS = 1 << 16
 # Bytes of text whose words are hashed at once, and index rows that a task collects before it sends them.
-CHUNK, ROWS = 1 << 18, 150_000
-# Index rows of a part; a task reads a few parts.
-PART_ROWS = 300_000
+CHUNK, ROWS = 1 << 18, 100_000
+# Index rows of a part, which is what a matching task holds at once, and parts that it reads one after another.
+PART_ROWS, PARTS_PER_TASK = 150_000, 2
 # A word whose bucket has more occurrences than this meets only together with a second shared word.
 HOT = 5_000_000
 # Best candidates that a line sends for each of its words in the first round; the rest follow if none of them matches.
@@ -388,6 +388,7 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
 
         held, part = [], None
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for now, n, rows in zip(*(batch.column(c) for c in ("part", "n", "rows")), strict=True):
                 if held and now.as_py() != part:
                     whole = np.concatenate(held)
@@ -402,7 +403,7 @@ def _search(docs: DataFrame, by_rarity: np.ndarray, hot: np.ndarray, parts: int,
 
     sent = docs.mapInArrow(send, "part long, n long, rows binary")
     schema = "oid long, line int, sid long, like_oid long, like_line int, more boolean"
-    found = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(match, schema)
+    found = sent.repartition(-(-parts // PARTS_PER_TASK), "part").sortWithinPartitions("part").mapInArrow(match, schema)
     pairs = found.groupBy("oid", "line", "sid", "like_oid", "like_line").agg(F.count(F.lit(1)).alias("shared"), F.max("more").alias("more"))
     return keep(pairs, "candidates")
 
@@ -478,7 +479,7 @@ def removals(docs: DataFrame, threshold: float = THRESHOLD, hot: int = HOT, firs
         counts[r["bucket"]] = r["n"]
     by_rarity = np.argsort(counts, kind="stable")
     heat = counts[by_rarity] > hot
-    parts = max(8, int(counts.sum() * (1 - threshold) * 1.2) // PART_ROWS)
+    parts = max(8 * PARTS_PER_TASK, int(counts.sum() * (1 - threshold) * 1.2) // PART_ROWS)
     raw = _search(docs.withColumn("asked", F.lit(None).cast("array<int>")), by_rarity, heat, parts, threshold, first)
     candidates = _filtered(raw, seen, threshold)
     # most lines match the candidate with which they share the most words; the others try the rest
