@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 import sys
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,11 +79,83 @@ def changed_buckets(before: DataFrame, after: DataFrame) -> DataFrame:
     return differ.select("bucket", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("rows_before", "rows_after")])
 
 
+# Files of more bytes than this are hashed in parts.
+WHOLE_BYTES = 16 << 20
+LINE_END = b"\n"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+# How the name of a file ends that a codec could claim: a reader of lines unpacks files by it.
+EXTENSION = r"\.[A-Za-z][A-Za-z0-9]*$"
+
+
 def file_digests(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``(file, bytes, sha256)`` of every file below ``path``, hashed byte by byte in the tasks. Empty
-    files are not listed. Files of 2 GB at most: larger sources have :func:`table_fingerprint` over their lines."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    files are not listed. Files above ``WHOLE_BYTES`` may have any size: a task holds a batch of their lines, or one line."""
+
+    def read(kind: str, **options: str) -> DataFrame:
+        return spark.read.format(kind).options(recursiveFileLookup="true", pathGlobFilter=pattern, **options).load(path)
+
+    files = read("binaryFile")
+    small, large = files.where(F.col("length") <= WHOLE_BYTES), files.where(F.col("length") > WHOLE_BYTES)
+    whole = small.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    endings = [r[0] for r in large.select(F.regexp_extract("_metadata.file_name", EXTENSION, 0)).distinct().collect()]
+    if not endings:
+        return whole
+    hashed = reduce(DataFrame.union, [_large_files(read, ending) for ending in sorted(endings)]).mapInArrow(_hash_lines, "uri string, sha256 string")
+    listed = large.select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.col("_metadata.file_path").alias("uri"))
+    return whole.union(listed.join(hashed, "uri").select("file", "bytes", "sha256"))
+
+
+def _large_files(read: Callable[..., DataFrame], ending: str) -> DataFrame:
+    """``(uri, size, line)`` of the files above ``WHOLE_BYTES`` whose names end so, each with its lines in order in one partition.
+
+    A codec that passes bytes through, and cannot start amid a file, is put in charge of the ending: such a file is read as
+    it is, by one task, and nothing is exchanged. Names without an ending have no codec. Their files are read in splits, whose
+    lines are put in order again.
+    """
+    codec = {"io.compression.codecs": "org.apache.hadoop.io.compress.PassthroughCodec"}
+    # the key as Hadoop has it, and as it is in the Hadoop that comes with Spark, where packages are renamed
+    codec |= {f"{prefix}io.compress.passthrough.extension": ending for prefix in ("", "org.apache.hadoop.shaded.")}
+    lines = read("text", lineSep=LINE_END.decode(), **(codec if ending else {}))
+    name = F.col("_metadata.file_name")
+    lines = lines.where((F.col("_metadata.file_size") > WHOLE_BYTES) & (name.endswith(ending) if ending else ~name.rlike(EXTENSION)))
+    place = [] if ending else [F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place")]
+    lines = lines.select(
+        F.col("_metadata.file_path").alias("uri"), F.col("_metadata.file_size").alias("size"), *place,
+        F.concat(F.col("value").cast("binary"), F.lit(LINE_END)).alias("line"),
+    )
+    return lines if ending else lines.repartition("uri").sortWithinPartitions("uri", "block", "place").select("uri", "size", "line")
+
+
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(uri, sha256)`` of files whose lines follow each other, each ending in a line feed. A byte order mark is no part of the
+    first line, and the last one may lack the line feed in the file: what is missing from the file's size tells both."""
+    uri, size, seen, plain, marked = None, 0, 0, None, None
+
+    def digest() -> pa.RecordBatch:
+        missing = size - seen
+        if missing not in (0, -len(LINE_END), len(BYTE_ORDER_MARK), len(BYTE_ORDER_MARK) - len(LINE_END)):
+            raise RuntimeError(f"{uri} has {size} bytes, but its lines have {seen}: it was not read as it is, or by several tasks")
+        hasher = marked if missing > 0 else plain
+        if missing in (0, len(BYTE_ORDER_MARK)):
+            hasher.update(LINE_END)
+        return pa.RecordBatch.from_pydict({"uri": [uri], "sha256": [hasher.hexdigest()]})
+
+    for batch in (b for b in batches if b.num_rows):
+        lines = batch.column("line").cast(pa.binary())
+        starts = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + len(lines) + 1]
+        text, runs, first = memoryview(lines.buffers()[2]), pa.compute.run_end_encode(batch.column("uri")), 0
+        for file, last in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if file != uri:
+                if uri is not None:
+                    yield digest()
+                uri, size, seen, plain, marked = file, batch.column("size")[first].as_py(), 0, hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK)
+            for hasher in (plain, marked):
+                if seen:
+                    hasher.update(LINE_END)
+                hasher.update(text[starts[first] : starts[last] - len(LINE_END)])
+            seen, first = seen + int(starts[last] - starts[first]), last
+    if uri is not None:
+        yield digest()
 
 
 def _file_system(df: DataFrame, path: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -35,6 +36,31 @@ def test_files_are_hashed_byte_by_byte(spark, tmp_path):
     assert got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items() if data}
 
 
+def test_large_files_are_hashed_without_being_held(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "WHOLE_BYTES", 1000, raising=False)
+    text = "".join(f"{i} {'ü' * (i % 40)}\r\n" for i in range(900)).encode()
+    files = {
+        "lines.txt": text, "no end.txt": text[:-1], "a/marked.txt": b"\xef\xbb\xbf" + text, "a/marked no end.txt": b"\xef\xbb\xbf" + text[:-2],
+        "bytes.bin": bytes(range(256)) * 200, "empty lines.bin": b"\n" * 30_000, "one line.bin": b"x" * 30_000, "not unpacked.gz": gzip.compress(text), "no archive.gz": text,
+        "part-00000": text, "a/part-00000": text[:-1], "state": b"\xef\xbb\xbf" + text, "small.txt": b"\xef\xbb\xbf", "small.gz": gzip.compress(b"small"), "empty.txt": b"",
+    }
+    (tmp_path / "a").mkdir()
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    conf = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "5000", "spark.sql.execution.arrow.maxRecordsPerBatch": "70"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        rows = sinks.file_digests(spark, str(tmp_path)).collect()
+        chosen = sinks.file_digests(spark, str(tmp_path), "*.txt").collect()
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    got = {r.file.split(f"{tmp_path.name}/")[1]: (r.bytes, r.sha256) for r in rows}
+    assert len(rows) == len(got) and got == {name: (len(data), hashlib.sha256(data).hexdigest()) for name, data in files.items() if data}
+    assert sorted(chosen) == sorted(r for r in rows if r.file.endswith(".txt"))
+
+
 def test_bucketed_tables_join_without_an_exchange(spark, frame, tmp_path):
     mark = uuid.uuid4().hex
     left = sinks.write_bucketed_once(frame([(i % 20, i) for i in range(200)], "key long, a long"), f"left_{mark}", "key", 4, f"{tmp_path}/left")
