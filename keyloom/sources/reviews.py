@@ -21,9 +21,9 @@ def with_position(lines: DataFrame) -> DataFrame:
 
 
 def read_review_lines(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
-    """Raw lines ``(seq, value)``, the first ``max_records`` of them if given."""
+    """Raw lines ``(seq, value)``, the first ``max_records`` of them, in order, if given."""
     lines = with_position(spark.read.text(path))
-    return lines if max_records is None else head_records(lines, max_records)
+    return lines if max_records is None else head_records(lines, max_records).sort("seq")
 
 
 def head_records(df: DataFrame, n: int, seq: str = "seq") -> DataFrame:
