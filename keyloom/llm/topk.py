@@ -21,9 +21,9 @@ EXACT = 2.0**53
 
 
 def quantised(table: DataFrame, row: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(row, vector) with components floor(scale * x) as longs. Null vectors, null ids and vectors with null or non-finite components are left out."""
+    """(row, vector) with components floor(scale * x) as longs. Null vectors, empty vectors, null ids and vectors with null or non-finite components are left out."""
     x = F.col(vector).cast("array<double>")
-    fine = F.col(vector).isNotNull() & F.col(row).isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fine = F.col(vector).isNotNull() & F.col(row).isNotNull() & (F.size(vector) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return table.where(fine).select(F.col(row).alias("row"), F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v).cast("long")).alias("vector"))
 
 
